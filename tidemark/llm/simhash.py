@@ -105,5 +105,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42, distance:
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     # Most fingerprints are alone; only what has links goes through the second join.
     names = fps.join(rooted.select("fp", "root").join(smallest, "root").select("fp", "component_id"), "fp", "left")
-    names = names.select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
+    # Written out, so that the last join reads two plain exchanges and Spark can split a hot fingerprint.
+    names = materialise(names.select("fp", F.coalesce("component_id", "first_id").alias("component_id")), "names")
     return rows.join(names, "fp").select("doc_id", "fp", "component_id")
