@@ -54,7 +54,8 @@ def _split(word: bytes) -> tuple[bytes, bytes]:
 
 
 def _token_bytes(texts: list[bytes], vocabulary: WordIds) -> list[bytes]:
-    words = [t.translate(LOWER).split() for t in texts]
+    # Special tokens are matched before case is dropped, so texts that might hold one stay as they are.
+    words = [(t if b"<|" in t else t.translate(LOWER)).split() for t in texts]
     unseen = set().union(*words) - vocabulary.keys() if words else set()
     if unseen:
         parts = {w: _split(w) for w in unseen}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, cotrain, mixing, packing, sharding, simhash, topk, toxicity
+from tidemark.llm import ann, cotrain, mixing, packing, sharding, simhash, substring, topk, toxicity
 from tidemark.llm.common import table
 
 
@@ -37,6 +37,13 @@ def op6_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces, max_tokens=4096)
 
 
+def op7_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring.remove_repeats(table(spark, sf_dir, "documents"), window=13)
+    # What is left keeps its white space; the digest has one space between words.
+    spaced = F.btrim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "), F.lit(" "))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(spaced, 256).alias("kept_sha256"))
+
+
 def op8_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cotrain.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -56,12 +63,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op5_exact_topk": op5_exact_topk,
     "op6_sum_of_squares_packing": op6_sum_of_squares_packing,
+    "op7_fm_index": op7_fm_index,
     "op8_cotraining": op8_cotraining,
     "op9_simhash": op9_simhash,
     "op10_kmeans_tree": op10_kmeans_tree,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op7_fm_index": """
+        WITH words AS (
+          SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        places AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM words WHERE len(w) >= 13),
+        windows AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 12), ' ') AS x FROM places),
+        first AS (SELECT x, min(doc_id) AS d FROM windows GROUP BY x),
+        gone AS (
+          SELECT DISTINCT windows.doc_id, unnest(range(i, i + 13)) AS i
+          FROM windows JOIN first USING (x) WHERE first.d < windows.doc_id),
+        per_doc AS (SELECT doc_id, list(i) AS gone FROM gone GROUP BY doc_id)
+        SELECT words.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+          sha256(CASE WHEN gone IS NULL THEN array_to_string(w, ' ')
+            ELSE coalesce(array_to_string(list_filter(w, (x, k) -> NOT list_contains(gone, k)), ' '), '') END) AS kept_sha256
+        FROM words LEFT JOIN per_doc ON words.doc_id = per_doc.doc_id
+    """,
     "op5_exact_topk": """
         WITH kept AS (
           SELECT vec_id AS id, max(embedding) AS v FROM embeddings
