@@ -82,15 +82,15 @@ ORACLE_SQL: dict[str, str] = {
         per_doc AS (SELECT doc_id, list(i) AS gone FROM gone GROUP BY doc_id)
         SELECT words.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
           sha256(CASE WHEN gone IS NULL THEN array_to_string(w, ' ')
-            ELSE coalesce(array_to_string(list_filter(w, (x, k) -> NOT list_contains(gone, k)), ' '), '') END) AS kept_sha256
+            ELSE coalesce(array_to_string(list_filter(w, lambda x, k: NOT list_contains(gone, k)), ' '), '') END) AS kept_sha256
         FROM words LEFT JOIN per_doc ON words.doc_id = per_doc.doc_id
     """,
     "op5_exact_topk": """
         WITH kept AS (
           SELECT vec_id AS id, max(embedding) AS v FROM embeddings
-          WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+          WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
           GROUP BY vec_id),
-        whole AS (SELECT id, list_transform(v, x -> floor(1024 * CAST(x AS DOUBLE))) AS v FROM kept),
+        whole AS (SELECT id, list_transform(v, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM kept),
         scored AS (
           SELECT q.id AS query_id, c.id AS vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
           FROM whole q JOIN whole c ON q.id <> c.id AND len(q.v) = len(c.v) WHERE q.id % 100 = 0),

@@ -62,34 +62,35 @@ def _bits(fp: Column, ranges: list[tuple[int, int]]) -> Column:
 
 
 def links(fps: DataFrame, distance: int = 2, blocks: int = 4, crowd: int = 16) -> DataFrame:
-    """a, b: links that join just the fingerprints (column fp, distinct) that chains of close pairs join."""
-    if distance > 2:
-        raise ValueError("crowded keys have an exact way for up to 2 bits")
-    if blocks <= distance:
-        raise ValueError("there must be more blocks than bits that may differ")
+    """hashing, a, b: links that join just the fingerprints of a hashing that chains of close pairs join.
+
+    fps: distinct (hashing, fp). distance: 0 to 2, for which crowded keys have an exact way.
+    """
+    if not 0 <= distance <= 2 or blocks <= distance:
+        raise ValueError("distance must be 0 to 2, and blocks more than that")
     cut = [64 * i // blocks for i in range(blocks + 1)]
     tables = list(combinations([(cut[i], cut[i + 1]) for i in range(blocks)], blocks - distance))
     keys = F.array(*[F.struct(F.lit(t).alias("table"), _bits(F.col("fp"), list(ranges)).alias("key")) for t, ranges in enumerate(tables)])
-    keyed = materialise(fps.select("fp", F.explode(keys).alias("k")).select("fp", "k.table", "k.key"), "blocks")
-    sizes = keyed.groupBy("table", "key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = keyed.join(sizes, ["table", "key"])
-    few = shared.where(F.col("n") <= crowd).select("table", "key", "fp")
+    keyed = fps.select("hashing", "fp", F.explode(keys).alias("k")).select("hashing", "k.table", "k.key", "fp")
+    on = ["hashing", "table", "key"]
+    # Most keys are of one fingerprint alone; the others are written out and used from there.
+    sizes = keyed.groupBy(*on).agg(F.count("*").alias("n")).where("n > 1")
+    shared = materialise(keyed.join(sizes, on), "blocks")
+    few = shared.where(F.col("n") <= crowd).select(*on, "fp")
     close = F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= distance
-    pairs = few.alias("x").join(few.alias("y"), ["table", "key"]).where((F.col("x.fp") < F.col("y.fp")) & close)
-    pairs = pairs.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
-
-    flips = [0, *(1 << i for i in range(63)), -(1 << 63)]
-    crowded = shared.where(F.col("n") > crowd).select("fp").distinct()
-    if distance < 2:
-        flips = flips[:1] if not distance else flips
-    near = crowded.select("fp", F.explode(F.transform(F.array(*map(F.lit, flips)), lambda m: F.col("fp").bitwiseXOR(m))).alias("near"))
-    if distance == 1:  # under the fingerprint itself only: all within one bit of it
-        near = near.join(crowded.select(F.col("fp").alias("near")), "near", "left_semi")
-        stars = near.select(F.col("fp").alias("a"), F.col("near").alias("b"))
+    pairs = few.alias("x").join(few.alias("y"), on).where((F.col("x.fp") < F.col("y.fp")) & close)
+    pairs = pairs.select("hashing", F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
+
+    # Under each key of this second rule all are within 2 * (distance // 2) bits; with distance 1 it is used for pairs with the key itself.
+    flips = [0, *(1 << i for i in range(63)), -(1 << 63)] if distance else [0]
+    crowded = shared.where(F.col("n") > crowd).select("hashing", "fp").distinct()
+    near = crowded.select("hashing", "fp", F.explode(F.transform(F.array(*map(F.lit, flips)), lambda m: F.col("fp").bitwiseXOR(m))).alias("near"))
+    if distance == 2:
+        least = near.groupBy("hashing", "near").agg(F.min("fp").alias("b"), F.max("fp").alias("_max")).where("b < _max").drop("_max")
     else:
-        least = near.groupBy("near").agg(F.min("fp").alias("b"), F.max("fp").alias("_max")).where("b < _max")
-        stars = near.join(least, "near").select(F.col("fp").alias("a"), "b")
-    return pairs.union(stars.where("a <> b"))
+        least = crowded.select("hashing", F.col("fp").alias("near"), F.col("fp").alias("b"))
+    stars = near.join(least, ["hashing", "near"]).select("hashing", F.col("fp").alias("a"), "b")
+    return pairs.union(stars.where("a <> b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42, distance: int = 2, blocks: int = 4, crowd: int = 16) -> DataFrame:
@@ -100,7 +101,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42, distance:
     """
     rows = materialise(fingerprints(docs, shingle, seed), "fingerprints")
     fps = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
-    roots = materialise(connected_components(links(fps.select("fp"), distance, blocks, crowd)), "components")
+    roots = materialise(connected_components(links(fps.select(F.lit(0).alias("hashing"), "fp"), distance, blocks, crowd)), "components")
     rooted = fps.join(roots.withColumnRenamed("node", "fp"), "fp").select("fp", "root", "first_id")
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     # Most fingerprints are alone; only what has links goes through the second join.
@@ -108,3 +109,75 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42, distance:
     # Written out, so that the last join reads two plain exchanges and Spark can split a hot fingerprint.
     names = materialise(names.select("fp", F.coalesce("component_id", "first_id").alias("component_id")), "names")
     return rows.join(names, "fp").select("doc_id", "fp", "component_id")
+
+
+SKETCH = 128
+
+
+def _several(text: bytes, hashings: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """SimHashes of the text's word set under several hashings, and the SKETCH smallest hashes of its word shingles."""
+    words = text.translate(LOWER).split()
+    if not words:
+        return np.zeros(hashings, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    h = np.fromiter(map(xxhash.xxh64_intdigest, set(words)), dtype=np.uint64)
+    seeds = np.arange(1, hashings + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    ones = np.zeros((hashings, 64), dtype=np.int64)
+    for i in range(0, len(h), 4096):
+        x = h[i : i + 4096, None] + seeds
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+        x = x ^ (x >> np.uint64(32))
+        ones += np.unpackbits(x.view(np.uint8).reshape(len(x), hashings, 8), axis=2, bitorder="little").sum(axis=0, dtype=np.int64)
+    fps = np.packbits(2 * ones > len(h), axis=1, bitorder="little").view("<i8").ravel()
+    shingles = {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))}
+    sketch = np.unique(np.fromiter(map(xxhash.xxh32_intdigest, shingles), dtype=np.int64))
+    return fps, sketch[:SKETCH]
+
+
+def _alike(a: Column, b: Column) -> Column:
+    """Estimated Jaccard similarity of two shingle sets, from the smallest hashes of each; exact for small sets."""
+    both = F.slice(F.array_sort(F.array_union(a, b)), 1, SKETCH)
+    return F.when(F.size(both) == 0, 1.0).otherwise(F.size(F.array_intersect(F.array_intersect(both, a), b)) / F.size(both))
+
+
+def near_copies(docs: DataFrame, hashings: int = 12, distance: int = 2, shingle: int = 5, similarity: float = 0.8, blocks: int = 4, crowd: int = 16) -> DataFrame:
+    """_text (64-bit hash of a text), root: texts with one root are near copies, by chains of close pairs.
+
+    One SimHash of 64 bits tells copies of a similarity of 0.8 from others too seldom within 2 bits, so
+    each text has several, of its set of words. Texts that come within `distance` bits under any
+    are candidates; those stand whose word shingles are alike, by a sketch whose error (0.035) is allowed
+    for once below `similarity`. Null texts count as empty, and those without words are copies of each other.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [_several((t or "").encode("utf-8", "surrogatepass"), hashings, shingle) for t in pdf["text"]]
+            yield pd.DataFrame({"_text": pdf["_text"], "fps": [f for f, _ in found], "sketch": [s for _, s in found]})
+
+    texts = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("_text"), "text")
+    texts = texts.mapInPandas(run, "_text long, fps array<long>, sketch array<long>")
+    texts = materialise(texts.dropDuplicates(["_text"]), "texts")
+    hashed = texts.select("_text", F.posexplode("fps").alias("hashing", "fp"))
+    least = materialise(hashed.groupBy("hashing", "fp").agg(F.min("_text").alias("first"), F.count("*").alias("n")), "fingerprints")
+    same = hashed.join(least.where("n > 1").select("hashing", "fp", "first"), ["hashing", "fp"]).select(F.col("_text").alias("a"), F.col("first").alias("b"))
+    found = links(least.select("hashing", "fp"), distance, blocks, crowd)
+    ends = least.select("hashing", "fp", "first")
+    found = found.join(ends.withColumnsRenamed({"fp": "a", "first": "_a"}), ["hashing", "a"]).join(ends.withColumnsRenamed({"fp": "b", "first": "_b"}), ["hashing", "b"])
+    edges = same.union(found.select("_a", "_b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    edges = materialise(edges, "candidates")
+    sketches = texts.select("_text", "sketch")
+    checked = edges.join(sketches.withColumnsRenamed({"_text": "a", "sketch": "_x"}), "a").join(sketches.withColumnsRenamed({"_text": "b", "sketch": "_y"}), "b")
+    roots = connected_components(checked.where(_alike(F.col("_x"), F.col("_y")) >= similarity - 0.035).select("a", "b"))
+    return texts.select("_text").join(roots.withColumnRenamed("node", "_text"), "_text", "left").select("_text", F.coalesce("root", "_text").alias("root"))
+
+
+def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
+    """docs with one row of each group of near copies: that of the smallest doc_id (null ids last), once."""
+    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_text"))
+    groups = materialise(near_copies(docs, **options), "groups")
+    firsts = rows.groupBy("_text").agg(F.min("doc_id").alias("doc_id")).join(groups, "_text")
+    kept = firsts.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "_text")).alias("k"))
+    kept = materialise(kept.select(F.col("k._text").alias("_kept"), F.coalesce(F.col("k.doc_id"), F.lit(0)).alias("_id"), F.isnull("k.doc_id").alias("_null")), "kept")
+    tagged = docs.select("*", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_kept"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.isnull("doc_id").alias("_null"))
+    on = ["_kept", "_id", "_null"]
+    return tagged.join(kept, on).dropDuplicates(on).select(*docs.columns)
