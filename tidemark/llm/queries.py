@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, cotrain, mixing, packing, sharding, simhash, substring, topk, toxicity
+from tidemark.llm import ann, cotrain, licenses, mixing, packing, sharding, simhash, substring, topk, toxicity
 from tidemark.llm.common import table
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"), shingle=5, containment=0.8)
+
+
 def op2_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     mixed = mixing.mix(docs, mixing.token_count(F.col("text")), target_entropy=0.97, tie_by=["doc_id"])
@@ -58,6 +62,7 @@ def op10_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op2_temperature_mixing": op2_temperature_mixing,
     "op3_bounded_ring": op3_bounded_ring,
     "op4_toxicity": op4_toxicity,
