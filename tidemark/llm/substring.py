@@ -29,9 +29,9 @@ from tidemark.llm.common import materialise
 from tidemark.llm.fm_index import FmIndex, match_windows
 
 GRAM = 5  # words of the grams that anchors are chosen from
-BATCH_WORDS = 2_000_000
+BATCH_WORDS = 600_000
 FRAGMENT_WINDOWS = 64  # longer runs are cut
-SHARD_BYTES = 4_000_000  # of document text for each shard
+SHARD_BYTES = 2_000_000  # of document text for each shard
 CROWDED, LOCALLY_CROWDED = 20_000, 8  # contexts of an anchor in all and in one batch
 MOST_CROWDED = 100_000  # anchors that are dealt window by window, at most: bounds what is broadcast
 NO_ID = np.iinfo(np.int64).max  # what a null doc_id counts as: larger than any other
