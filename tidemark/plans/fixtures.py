@@ -112,7 +112,7 @@ VIEWS: dict[str, str] = {
         FROM {events} WHERE event_type = 'signup'""",
     "jobs": """
         SELECT concat('job-', o_orderkey) AS job_id, c.c_name AS name, CASE o_orderkey % 6 WHEN 0 THEN 'Planned' WHEN 1 THEN 'Scanning' WHEN 2 THEN 'Copying' WHEN 3 THEN 'Paused' WHEN 4 THEN 'Completed' ELSE 'Failed' END AS phase,
-          CAST(o_totalprice AS BIGINT) AS files_done, CAST(o_totalprice AS BIGINT) + (o_orderkey % 3 - 1) * 1000 AS files_total, o_orderkey % 13 AS errors,
+          CAST(floor(o_totalprice) AS BIGINT) AS files_done, CAST(floor(o_totalprice) AS BIGINT) + (o_orderkey % 3 - 1) * 1000 AS files_total, o_orderkey % 13 AS errors,
           CAST(o_orderdate AS TIMESTAMP) AS copy_start, CASE WHEN o_orderkey % 6 >= 4 THEN CAST(o_orderdate AS TIMESTAMP) + INTERVAL '3' HOUR END AS finished
         FROM {orders} o JOIN {customer} c ON o.o_custkey = c.c_custkey WHERE o_orderkey % 5 = 0""",
     "heartbeats": """
