@@ -1 +1,147 @@
-"""Queries."""
+"""Queries over operators.inventory."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidemark.functions import paths as P
+from tidemark.operators import inventory as I
+from tidemark.plans.registry import query
+
+
+@query("normalize_index", "scan", sql="""t AS (SELECT *, CASE file_type WHEN 'directory' THEN 2 WHEN 'symlink' THEN 3 ELSE 1 END AS tag, mtime_sec IS NOT NULL AND mtime_nsec IS NOT NULL AS exact FROM scan)
+  SELECT CAST(shard_index AS BIGINT) * 1099511627776 + row_in_shard AS row_id, substr(path, 8) AS path, CAST(size AS BIGINT) AS size, CAST(permissions | CASE tag WHEN 2 THEN 16384 WHEN 3 THEN 40960 ELSE 32768 END AS BIGINT) AS mode, tag AS file_type,
+    CAST(CASE WHEN exact THEN mtime_sec ELSE floor(mtime_us / 1000000) END AS BIGINT) AS mtime_sec, CAST(CASE WHEN exact THEN mtime_nsec ELSE (mtime_us - floor(mtime_us / 1000000) * 1000000) * 1000 END AS BIGINT) AS mtime_nsec,
+    CAST(floor(atime_us / 1000000) AS BIGINT) AS atime_sec, CAST((atime_us - floor(atime_us / 1000000) * 1000000) * 1000 AS BIGINT) AS atime_nsec, CAST(uid AS BIGINT) AS uid, CAST(gid AS BIGINT) AS gid, CAST(nlink AS BIGINT) AS nlink, inode, symlink_target FROM t""")
+def normalize_index(scan):
+    return I.normalize(scan, "/export/").drop("fsid", "shard_index")
+
+
+@query("norm_split_row_id", "catalog", sql="SELECT row_id >> 40 AS shard, count(*) AS n, max(row_id & 1099511627775) AS last_row FROM catalog GROUP BY 1")
+def norm_split_row_id(catalog):
+    parts = I.split_row_id(F.col("row_id"))
+    return catalog.select(parts.alias("p")).groupBy("p.shard").agg(F.count("*").alias("n"), F.max("p.row").alias("last_row"))
+
+
+@query("sc_type_from_mode", "scan", sql="SELECT CASE file_type WHEN 'directory' THEN 2 WHEN 'symlink' THEN 3 ELSE 1 END AS file_type, count(*) AS n FROM scan GROUP BY 1")
+def sc_type_from_mode(scan):
+    tag = I.file_type_tag(F.col("file_type"))
+    return scan.select(I.type_from_mode(I.full_mode(F.col("permissions"), tag)).alias("file_type")).groupBy("file_type").agg(F.count("*").alias("n"))
+
+
+PATTERNS = {"tenth": "/p[0-9]*0/", "fives": "_5$", "snapshots": P.SNAPSHOT_DIRS}
+HITS = """h AS (SELECT *, CASE WHEN regexp_matches(t, '/p[0-9]*0/') THEN 'tenth' WHEN regexp_matches(t, '_5$') THEN 'fives' WHEN regexp_matches(t, '(^|/)(\\.snapshot|\\.zfs/snapshot|~snapshot)(/|$)') THEN 'snapshots' END AS hit
+  FROM (SELECT *, CASE WHEN path LIKE '/%' THEN path ELSE concat('/', path) END AS t FROM odd_paths) x)"""
+
+
+@query("filter_inventory", "odd_paths", sql=f"{HITS} SELECT path, size FROM h WHERE hit IS NULL")
+def filter_inventory(entries):
+    return I.filter_inventory(entries, PATTERNS)[0].select("path", "size")
+
+
+@query("filter_inventory_counts", "odd_paths", sql=f"{HITS} SELECT hit AS pattern, count(*) AS excluded FROM h WHERE hit IS NOT NULL GROUP BY hit")
+def filter_inventory_counts(entries):
+    return I.filter_inventory(entries, PATTERNS)[1]
+
+
+@query("flt_snapshot_dirs", "odd_paths", sql="SELECT path FROM odd_paths WHERE NOT regexp_matches(path, '(^|/)(\\.snapshot|\\.zfs/snapshot|~snapshot)(/|$)')")
+def flt_snapshot_dirs(entries):
+    return I.exclude_snapshots(entries).select("path")
+
+
+@query("path_audit", "odd_paths", sql="""SELECT path, 'unsafe_path' AS finding FROM odd_paths WHERE NOT (path = '/' OR (path LIKE '/%' AND NOT regexp_matches(path, '/(/|\\.{1,2}(/|$))') AND NOT regexp_matches(path, './$')))
+  UNION ALL SELECT path, 'partial_file' FROM odd_paths WHERE file_type = 1 AND regexp_matches(regexp_extract(path, '[^/]*$'), '^\\..+\\.[^.]+\\.[0-9]+\\.partial$')
+  UNION ALL SELECT path, 'bad_file_type' FROM odd_paths WHERE file_type NOT BETWEEN 1 AND 7 UNION ALL SELECT path, 'unsupported_type' FROM odd_paths WHERE file_type BETWEEN 4 AND 7
+  UNION ALL SELECT path, 'boundary_size' FROM odd_paths WHERE file_type = 1 AND size IN (1048575, 1048576, 1048577, 1073741823, 1073741824, 1073741825)""")
+def path_audit(entries):
+    return I.path_audit(entries)
+
+
+@query("sc_path_parts", "obs_source", sql="SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS parent, count(*) AS children, max(length(path) - length(replace(path, '/', ''))) AS depth, min(regexp_extract(path, '[^/]*$')) AS first_name FROM obs_source GROUP BY 1")
+def sc_path_parts(source):
+    p = F.col("path")
+    return source.groupBy(P.parent(p).alias("parent")).agg(F.count("*").alias("children"), F.max(P.depth(p)).cast("long").alias("depth"), F.min(P.basename(p)).alias("first_name"))
+
+
+@query("sc_path_b64", "obs_source", sql="SELECT path, to_base64(encode(repeat(path, 6))) AS b64 FROM obs_source")
+def sc_path_b64(source):
+    return source.select("path", P.path_b64(F.repeat("path", F.lit(6))).alias("b64"))
+
+
+@query("sc_history_path", "catalog", sql="SELECT substr(path, 2) AS path FROM catalog")
+def sc_history_path(catalog):
+    return catalog.select(P.history_path(F.col("path")).alias("path"))
+
+
+ROLES = """k AS (SELECT *, inode IS NOT NULL AND nlink > 1 AND file_type = 1 AS keyed FROM catalog),
+  r AS (SELECT *, CASE WHEN keyed THEN CASE WHEN row_number() OVER (PARTITION BY shard_index, keyed, CASE WHEN keyed THEN fsid END, CASE WHEN keyed THEN inode ELSE row_id END ORDER BY row_id) = 1 THEN 'first' ELSE 'link' END END AS link_role FROM k),
+  p AS (SELECT *, CASE WHEN file_type = 3 THEN 'symlink' WHEN file_type = 2 THEN 'dir_attrs' WHEN file_type <> 1 THEN 'skip' WHEN link_role = 'link' THEN 'hardlink_existing' WHEN size = 0 THEN 'empty' ELSE 'copy' END AS action,
+    array_to_string(list_filter([CASE WHEN uid IS NOT NULL AND gid IS NOT NULL THEN concat('chown:', uid, ':', gid) END, concat('chmod:', mode & 4095),
+      CASE WHEN mtime_sec IS NOT NULL THEN concat('utimes:', CASE WHEN atime_sec IS NOT NULL THEN concat(atime_sec, '.0') ELSE concat(mtime_sec, '.', coalesce(mtime_nsec, 0)) END, ':', mtime_sec, '.', coalesce(mtime_nsec, 0)) END], lambda x: x IS NOT NULL), ';') AS attributes,
+    CASE WHEN file_type = 1 THEN CASE WHEN size < 1048576 THEN 'small' WHEN size < 1073741824 THEN 'medium' ELSE 'large' END END AS size_class FROM r)"""
+
+
+@query("copy_plan", "catalog", sql=f"{ROLES} SELECT row_id, action, link_role, attributes, size_class FROM p")
+def copy_plan(catalog):
+    return I.copy_plan(catalog).select("row_id", "action", "link_role", "attributes", "size_class")
+
+
+@query("copy_plan_rollup", "catalog", sql=f"{ROLES} SELECT CAST(shard_index AS INTEGER) AS shard_index, action, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM p GROUP BY 1, 2")
+def copy_plan_rollup(catalog):
+    return I.plan_rollup(I.copy_plan(catalog)).withColumn("shard_index", F.col("shard_index").cast("int"))
+
+
+@query("win_hardlink_order", "catalog", sql=f"{ROLES} SELECT row_id, link_role FROM r WHERE link_role IS NOT NULL")
+def win_hardlink_order(catalog):
+    return I.link_roles(catalog, ["shard_index"]).where("link_role is not null").select("row_id", "link_role")
+
+
+@query("win_microbatch", "catalog")
+def win_microbatch(catalog):
+    return I.assign_batches(catalog, 1 << 20, 100)
+
+
+@query("win_interleave", "catalog", sql="""n AS (SELECT *, (row_id & 1099511627775) // 1000 AS batch, regexp_extract(path, '^(.*)/[^/]*$', 1) AS parent FROM catalog),
+  t AS (SELECT *, row_number() OVER (PARTITION BY shard_index, batch, parent ORDER BY row_id) AS turn, min(row_id) OVER (PARTITION BY shard_index, batch, parent) AS seen FROM n)
+  SELECT row_id, CAST(row_number() OVER (PARTITION BY shard_index, batch ORDER BY turn, seen, row_id) AS INTEGER) AS spread_order FROM t""")
+def win_interleave(catalog):
+    batched = catalog.withColumn("batch", F.floor(F.col("row_id").bitwiseAND((1 << 40) - 1) / 1000))
+    return I.interleave(batched, ["shard_index", "batch"]).select("row_id", "spread_order")
+
+
+@query("win_deepest_first", "catalog", sql="SELECT row_id, length(path) - length(replace(path, '/', '')) AS depth FROM catalog WHERE file_type = 2 ORDER BY depth DESC, row_id")
+def win_deepest_first(catalog):
+    return I.deepest_first(catalog).select("row_id", F.col("depth").cast("long").alias("depth"))
+
+
+DOWN = """e AS (SELECT shard_index, row_id, 'NULL_MTIME' AS downgrade FROM catalog WHERE mtime_sec IS NULL UNION ALL SELECT shard_index, row_id, 'NULL_ATIME' FROM catalog WHERE atime_sec IS NULL
+    UNION ALL SELECT shard_index, row_id, 'NULL_OWNER' FROM catalog WHERE uid IS NULL OR gid IS NULL UNION ALL SELECT shard_index, row_id, 'SYMLINK_MODE' FROM catalog WHERE file_type = 3 AND mode & 511 <> 511
+    UNION ALL SELECT shard_index, min(row_id), 'FSID_UNGROUPED' FROM catalog WHERE fsid IS NULL AND nlink > 1 AND file_type = 1 GROUP BY shard_index)"""
+
+
+@query("sc_null_downgrades", "catalog", sql=f"{DOWN} SELECT row_id, downgrade FROM e")
+def sc_null_downgrades(catalog):
+    return I.expected_downgrades(catalog).select("row_id", "downgrade")
+
+
+@query("fidelity_forecast", "catalog", "sink_rows", sql=f"""{DOWN}, x AS (SELECT shard_index, downgrade, count(*) AS expected FROM e GROUP BY 1, 2), s AS (SELECT row_id % 9 AS shard_index, downgrade, count(*) AS recorded FROM sink_rows WHERE sink = 'downgrade' GROUP BY 1, 2)
+  SELECT CAST(coalesce(x.shard_index, s.shard_index) AS BIGINT) AS shard_index, coalesce(x.downgrade, s.downgrade) AS downgrade, coalesce(expected, 0) AS expected, coalesce(recorded, 0) AS recorded FROM x FULL OUTER JOIN s ON x.shard_index = s.shard_index AND x.downgrade = s.downgrade""")
+def fidelity_forecast(catalog, sinks):
+    recorded = sinks.where("sink = 'downgrade'").select((F.col("row_id") % 9).alias("shard_index"), "downgrade")
+    return I.fidelity_forecast(catalog, recorded).withColumn("shard_index", F.col("shard_index").cast("long"))
+
+
+@query("stability_audit", "obs_source", "obs_destination", sql="""j AS (SELECT s.path, s.file_type AS t, s.file_type IS DISTINCT FROM d.file_type AS ct, s.size IS DISTINCT FROM d.size AS cs, s.mtime_sec IS DISTINCT FROM d.mtime_sec OR s.mtime_nsec IS DISTINCT FROM d.mtime_nsec AS cm,
+    s.ino IS DISTINCT FROM d.ino - 1000000000 AS ci, s.mode IS DISTINCT FROM d.mode OR s.uid IS DISTINCT FROM d.uid OR s.gid IS DISTINCT FROM d.gid OR s.nlink IS DISTINCT FROM d.nlink AS ca FROM obs_source s JOIN obs_destination d ON s.path = d.path),
+  f AS (SELECT path, CASE WHEN t = 2 AND (ct OR cm OR ci OR ca) THEN 'unstable_directory' WHEN t = 1 AND (cs OR cm) THEN 'torn_copy' WHEN t = 1 AND ci THEN 'replaced' END AS finding,
+    array_to_string(list_filter([CASE WHEN ct THEN 'type' END, CASE WHEN cs THEN 'size' END, CASE WHEN cm THEN 'mtime' END, CASE WHEN ci THEN 'identity' END], lambda x: x IS NOT NULL), ',') AS changes FROM j)
+  SELECT * FROM f WHERE finding IS NOT NULL""")
+def stability_audit(before, after):
+    return I.stability_audit(before, after.withColumns({"ino": F.col("ino") - 1000000000, "dev": F.lit(1)}))
+
+
+@query("agg_estate_profile", "catalog", sql="""k AS (SELECT *, nlink > 1 AND inode IS NOT NULL AND file_type = 1 AS keyed FROM catalog), f AS (SELECT inode, min(row_id) AS first FROM k WHERE keyed GROUP BY inode),
+  t AS (SELECT k.file_type, CASE WHEN k.file_type = 1 THEN CASE WHEN size < 1048576 THEN 'small' WHEN size < 1073741824 THEN 'medium' ELSE 'large' END ELSE 'none' END AS size_class, size, CASE WHEN NOT keyed OR row_id = first THEN size ELSE 0 END AS once FROM k LEFT JOIN f ON k.inode = f.inode)
+  SELECT file_type, size_class, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes, CAST(sum(once) AS BIGINT) AS bytes_once FROM t GROUP BY CUBE (file_type, size_class)""")
+def agg_estate_profile(catalog):
+    return I.estate_profile(catalog)
