@@ -3,13 +3,14 @@
 A document is cut into windows of `window` words. The anchor of a window is the smallest hash among its word
 grams, so equal windows have equal anchors wherever they stand, and a run of windows with one anchor forms a
 fragment. Anchors deal fragments to shards; a shard sees all copies of every window it gets. It indexes its
-fragments (those whose anchor is not alone) in an FM-index and streams them through it: where the matching
-statistic reaches the window, the suffixes found tell the smallest doc_id that has the window.
-
-The work is in proportion to the text. Copies of a fragment collapse in the batch that reads them, so a
-passage of a third of all documents reaches its shard once a batch. Anchors that stand in very many
-different contexts (a common line has others around it each time) are found by a count over all
-documents; their windows are dealt one by one by their own hash, and collapse too.
+fragments in an FM-index and streams them through it: where the matching statistic reaches the window, the
+suffixes found tell the smallest doc_id that has the window.
+
+The work is in proportion to the text. Documents are dealt into batches once. Each batch first asks the
+shards which of its anchors stand in more than one fragment of the corpus; only such fragments are sent.
+Copies of a fragment collapse in their batch, so a passage of a third of all documents reaches its shard once
+a batch. Anchors that stand in very many different contexts (a common line has others around it each time)
+are flagged too; their windows are dealt one by one by their own hash, and collapse as well.
 """
 
 from __future__ import annotations
@@ -18,22 +19,19 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialise
 from tidemark.llm.fm_index import FmIndex, match_windows
 
 GRAM = 5  # words of the grams that anchors are chosen from
-BATCH_WORDS = 600_000
+BATCH_BYTES = 6_000_000  # of document text for each batch
 FRAGMENT_WINDOWS = 64  # longer runs are cut
 SHARD_BYTES = 2_000_000  # of document text for each shard
-CROWDED, LOCALLY_CROWDED = 20_000, 8  # contexts of an anchor in all and in one batch
-MOST_CROWDED = 100_000  # anchors that are dealt window by window, at most: bounds what is broadcast
+CROWDED = 5_000  # an anchor in so many fragments is dealt window by window
 NO_ID = np.iinfo(np.int64).max  # what a null doc_id counts as: larger than any other
 
 
@@ -74,7 +72,7 @@ class Batch:
         starts = np.concatenate([np.arange(f, f + k - window + 1) for f, k in zip(self.first, self.n_words) if k >= window] or [np.zeros(0, dtype=np.int64)])
         if n < 1 or not len(starts):
             self.run_at = self.run_windows = self.distinct = self.run_fragment = np.zeros(0, dtype=np.int64)
-            self.anchor, self.least_id = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+            self.anchor, self.source_anchor, self.least_id = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
             return
         grams = _mix(sum((hashes[j : len(hashes) - gram + 1 + j] * _odd(j) for j in range(gram)), np.uint64(0)))
         least, width, want = grams, 1, window - gram + 1
@@ -98,6 +96,7 @@ class Batch:
         self.run_at, self.run_windows = starts[first], np.diff(np.append(first, len(starts)))
         last = self.run_at + self.run_windows + window - 1
         content = (sums[last] - sums[self.run_at]) * inverse[self.run_at]
+        self.source_anchor = anchor[first]
         self.anchor = np.where(alone[first], _mix(content), anchor[first])
         key = _mix(content ^ _mix(anchor[first] + self.run_windows.astype(np.uint64)))
         owner = self.doc_ids[np.searchsorted(self.first, self.run_at, side="right") - 1]
@@ -117,7 +116,7 @@ class Batch:
 
 def _pack(*arrays: np.ndarray, text: bytes = b"") -> bytes:
     sizes = np.array([len(arrays), *(len(a) for a in arrays)], dtype=np.int64)
-    return zstandard.compress(sizes.tobytes() + b"".join(np.ascontiguousarray(a, dtype=np.int64).tobytes() for a in arrays) + text, 1)
+    return zstandard.compress(sizes.tobytes() + b"".join(np.ascontiguousarray(a, dtype=np.int64).tobytes() for a in arrays) + text, 3)
 
 
 def _unpack(blob: bytes) -> tuple[list[np.ndarray], bytes]:
@@ -130,68 +129,117 @@ def _unpack(blob: bytes) -> tuple[list[np.ndarray], bytes]:
     return arrays, raw[at:]
 
 
-def _batches(pdfs: Iterator[pd.DataFrame], window: int, crowded: np.ndarray) -> Iterator[tuple[list, Batch]]:
-    """Batches of about BATCH_WORDS words, with (hash of the text) of each document."""
-    ids: list = []
-    texts: list[bytes] = []
-    size = 0
-    for pdf in pdfs:
-        for doc_id, text in zip(pdf["_id"].tolist(), pdf["text"]):
-            t = (text or "").encode("utf-8", "surrogatepass")
-            ids.append(doc_id)
-            texts.append(t)
-            size += len(t)
-            if size > 6 * BATCH_WORDS:
-                yield texts, Batch(np.array(ids, dtype=np.int64), texts, window, crowded)
-                ids, texts, size = [], [], 0
-    if ids:
-        yield texts, Batch(np.array(ids, dtype=np.int64), texts, window, crowded)
-
-
-def _crowded_anchors(rows: DataFrame, window: int) -> np.ndarray:
-    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _, b in _batches(pdfs, window, np.zeros(0, dtype=np.uint64)):
-            anchors, n = np.unique(b.anchor[b.distinct], return_counts=True)
-            many = n >= LOCALLY_CROWDED
-            yield pd.DataFrame({"anchor": anchors[many].view(np.int64), "n": n[many]})
-
-    found = rows.mapInPandas(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") >= CROWDED)
-    anchors = [r["anchor"] for r in found.orderBy(F.desc("n"), "anchor").limit(MOST_CROWDED).collect()]
-    return np.sort(np.array(anchors, dtype=np.int64).view(np.uint64))
-
-
-def _cut(rows: DataFrame, window: int, shards: int, crowded: np.ndarray) -> DataFrame:
-    """(batch, shard, blob): fragments for each shard, and under shard -1 where they stand in the documents."""
-
-    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        task = TaskContext.get().partitionId() << 32
-        for number, (texts, b) in enumerate(_batches(pdfs, window, crowded)):
-            # Where runs begin, as differences, and which document each document's words belong to.
-            text_keys = np.array([xxhash.xxh64_intdigest(t, 42) for t in texts], dtype=np.uint64).view(np.int64)
-            windows = b.run_windows[b.distinct]
-            blobs = [(task + number, -1, _pack(b.doc_ids, text_keys, b.n_words, np.diff(b.run_at, prepend=0), b.run_fragment, windows, b.least_id))]
-            shard = (b.anchor[b.distinct] % np.uint64(shards)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
-            for part in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1) if len(order) else []:
+def _batch_of(table: pa.Table, window: int, crowded: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, Batch]:
+    """Number, order of the rows, hashes of the texts, and the batch: rows by id and text, in whatever order they came."""
+    ids, keys = table["_id"].to_numpy(), table["_key"].to_numpy()
+    order = np.lexsort((keys, ids))
+    texts = table["text"].to_pylist()
+    batch = Batch(ids[order], [(texts[i] or "").encode("utf-8", "surrogatepass") for i in order.tolist()], window, crowded)
+    return table["_batch"][0].as_py(), order, keys[order], batch
+
+
+def _shares(b: Batch, shards: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(shard, fragments of the batch that go to it)."""
+    shard = (b.anchor[b.distinct] % np.uint64(shards)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1) if len(order) else []:
+        yield int(shard[part[0]]), part
+
+
+def _short(anchors: np.ndarray) -> np.ndarray:
+    """32 bits of each anchor: enough to ask by, as a false match only sends a fragment more."""
+    return (anchors >> np.uint64(32)).astype(np.int64)
+
+
+def _rows(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    return pa.table([pa.array([r[i] for r in rows], type=f.type) for i, f in enumerate(schema)], schema=schema)
+
+
+ASKED = pa.schema([("_batch", pa.int64()), ("shard", pa.int64()), ("blob", pa.binary())])
+REPLY = pa.schema([("_batch", pa.int64()), ("blob", pa.binary())])
+MATCHED = pa.schema([("_batch", pa.int64()), ("place", pa.bool_()), ("blob", pa.binary())])
+NONE = np.zeros(0, dtype=np.uint64)
+
+
+def _ask(window: int, shards: int):
+    """For a batch: its anchors, shortened, and in how many of its fragments each is, for every shard."""
+
+    def run(table: pa.Table) -> pa.Table:
+        number, _, _, b = _batch_of(table, window, NONE)
+        out = []
+        for shard, part in _shares(b, shards):
+            anchors, n = np.unique(_short(b.anchor[b.distinct[part]]), return_counts=True)
+            out.append((number, shard, _pack(np.diff(anchors, prepend=0), n)))
+        return _rows(out, ASKED)
+
+    return run
+
+
+def _reply(crowded: int):
+    """For a shard's questions: which of the anchors are in more than one fragment (1) or in very many (2)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        asked = [_unpack(blob)[0] for blob in table["blob"].to_pylist()]
+        steps, n = [a[0] for a in asked], np.concatenate([a[1] for a in asked])
+        anchors = np.concatenate([np.cumsum(s) for s in steps])
+        _, which = np.unique(anchors, return_inverse=True)
+        total = np.bincount(which, weights=n)[which]
+        flag = (total > 1).astype(np.int64) + (total >= crowded)
+        ends = np.cumsum([len(s) for s in steps])
+        out = [(batch, _pack(np.array([shard]), f)) for batch, shard, f in zip(table["_batch"].to_pylist(), table["shard"].to_pylist(), np.split(flag, ends[:-1]))]
+        return _rows(out, REPLY)
+
+    return run
+
+
+def _send(window: int, shards: int):
+    """(batch, shard, blob): the fragments of a batch that others may have, and under a negative shard of its own where they stand."""
+
+    def run(table: pa.Table, replies: pa.Table) -> pa.Table:
+        if not len(table):
+            return _rows([], ASKED)
+        number, _, keys, b = _batch_of(table, window, NONE)
+        flags = {int(a[0][0]): a[1] for a in (_unpack(blob)[0] for blob in replies["blob"].to_pylist())}
+        flag = np.zeros(len(b.distinct), dtype=np.int64)
+        for shard, part in _shares(b, shards):
+            anchors, which = np.unique(_short(b.anchor[b.distinct[part]]), return_inverse=True)
+            flag[part] = flags[shard][which]
+        if (flag == 2).any():
+            crowded = np.unique(b.anchor[b.distinct[flag == 2]])
+            shared = np.unique(b.anchor[b.distinct[flag == 1]])
+            _, _, _, b = _batch_of(table, window, crowded)
+            flag = (np.isin(b.anchor[b.distinct], shared) | (b.run_windows[b.distinct] == 1) & np.isin(b.source_anchor[b.distinct], crowded)).astype(np.int64)
+        # Runs of fragments that stand once in the batch and in no other can't be repeats.
+        local = np.bincount(b.run_fragment, minlength=len(b.distinct)) > 1
+        kept = np.flatnonzero((flag > 0)[b.run_fragment] | local[b.run_fragment])
+        windows = b.run_windows[b.distinct]
+        out = [(number, -1 - number, _pack(np.diff(b.run_at[kept], prepend=0), b.run_fragment[kept], windows, b.least_id))]
+        for shard, part in _shares(b, shards):
+            part = part[flag[part] > 0]
+            if len(part):
                 text = b"\n".join([b.words_of(f) for f in part.tolist()])
-                blobs.append((task + number, int(shard[part[0]]), _pack(part, b.anchor[b.distinct[part]].view(np.int64), b.least_id[part], text=text)))
-            yield pd.DataFrame(blobs, columns=["batch", "shard", "blob"])
+                out.append((number, shard, _pack(part, b.anchor[b.distinct[part]].view(np.int64), b.least_id[part], text=text)))
+        return _rows(out, ASKED)
 
-    return rows.mapInPandas(run, "batch long, shard long, blob binary")
+    return run
 
 
 def _match(window: int):
-    """For the fragments of a shard: (batch, blob) with the smallest doc_id of each of their windows, where it is below the batch's own."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts, texts = zip(*map(_unpack, pdf["blob"]))
+    """(batch, place, blob). For the fragments of a shard: the smallest doc_id of each of their windows, where it is below
+    the batch's own. What a batch keeps under its negative shard passes by, as `place`: so that fragments, the bulk
+    of the data, are written to disk once, in this shuffle."""
+
+    def run(table: pa.Table) -> pa.Table:
+        batches, blobs = table["_batch"].to_pylist(), table["blob"].to_pylist()
+        if table["shard"][0].as_py() < 0:
+            return _rows([(n, True, blob) for n, blob in zip(batches, blobs)], MATCHED)
+        parts, texts = zip(*map(_unpack, blobs))
         source = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
         fragment, anchor, least_id = (np.concatenate([p[i] for p in parts]) for i in range(3))
         _, which, times = np.unique(anchor, return_inverse=True, return_counts=True)
         shared = np.flatnonzero(times[which] > 1)
-        nothing = pd.DataFrame({"batch": pd.Series(dtype="int64"), "blob": pd.Series(dtype="object")})
         if not len(shared):
-            return nothing
+            return _rows([], MATCHED)
         lines = [line for text in texts for line in text.split(b"\n")]
         content: dict[bytes, int] = defaultdict()
         content.default_factory = content.__len__
@@ -224,57 +272,74 @@ def _match(window: int):
             flat = np.repeat(begins[text] - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))
             news = np.add.reduceat((minima[flat] < np.repeat(own, k)).astype(np.int64), np.cumsum(k) - k) > 0
             if news.any():
-                out.append((int(pdf["batch"].iloc[s]), _pack(fragment[shared][mine][news], minima[flat[np.repeat(news, k)]])))
-        return pd.DataFrame(out, columns=["batch", "blob"]) if out else nothing
+                out.append((batches[s], False, _pack(fragment[shared][mine][news], minima[flat[np.repeat(news, k)]])))
+        return _rows(out, MATCHED)
 
     return run
 
 
-def _spans(window: int):
-    def run(places: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for blob in places["blob"]:
-            (doc_ids, text_keys, n_words, run_steps, run_fragment, windows, least_id), _ = _unpack(blob)
-            run_at = np.cumsum(run_steps)
-            first = np.concatenate([[0], np.cumsum(n_words)])
-            offset = np.concatenate([[0], np.cumsum(windows)])
-            minima = np.repeat(least_id, windows)
-            for answer in answers["blob"]:
-                (fragments, least), _ = _unpack(answer)
-                k = windows[fragments]
-                flat = np.repeat(offset[fragments] - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))
-                minima[flat] = np.minimum(minima[flat], least)
-            k = windows[run_fragment]
-            flat = np.repeat(offset[run_fragment] - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))
-            at = np.repeat(run_at - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))
-            own = doc_ids[np.searchsorted(first, at, side="right") - 1]
-            known = at[minima[flat] < own]
-            edges = np.zeros(int(first[-1]) + 1, dtype=np.int64)
-            np.add.at(edges, known, 1)
-            np.add.at(edges, known + window, -1)
-            covered = np.cumsum(edges[:-1]) > 0
-            for d in np.flatnonzero(np.add.reduceat(np.append(covered, False), first[:-1]) * (n_words > 0)).tolist():
-                mine = np.concatenate([[False], covered[first[d] : first[d + 1]], [False]])
-                changes = np.flatnonzero(mine[1:] != mine[:-1])
-                out.append((doc_ids[d], text_keys[d], changes.astype("<i4").tobytes()))
-        return pd.DataFrame(out, columns=["_id", "_key", "_spans"])
-
-    return run
+def _covered(b_ids: np.ndarray, n_words: np.ndarray, places: list[bytes], answers: list[bytes], window: int) -> np.ndarray:
+    """For every word of a batch whether a window over it is in a document with a smaller id."""
+    first = np.concatenate([[0], np.cumsum(n_words)])
+    edges = np.zeros(int(first[-1]) + 1, dtype=np.int64)
+    for blob in places:
+        (run_steps, run_fragment, windows, least_id), _ = _unpack(blob)
+        run_at = np.cumsum(run_steps)
+        offset = np.concatenate([[0], np.cumsum(windows)])
+        minima = np.repeat(least_id, windows)
+        for answer in answers:
+            (fragments, least), _ = _unpack(answer)
+            k = windows[fragments]
+            flat = np.repeat(offset[fragments] - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))
+            minima[flat] = np.minimum(minima[flat], least)
+        k = windows[run_fragment]
+        flat = np.repeat(offset[run_fragment] - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))
+        at = np.repeat(run_at - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))
+        own = b_ids[np.searchsorted(first, at, side="right") - 1]
+        known = at[minima[flat] < own]
+        np.add.at(edges, known, 1)
+        np.add.at(edges, known + window, -1)
+    return np.cumsum(edges[:-1]) > 0
 
 
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
-def _keep(text: bytes, spans: np.ndarray) -> tuple[bytes, int]:
-    """The text without the word spans, its other words as they stand in it; how many words it had."""
+def _keep(text: bytes, spans: np.ndarray) -> bytes:
+    """The text without the word spans, its other words as they stand in it."""
     space = _SPACE[np.frombuffer(text, dtype=np.uint8)]
     edges = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]])))
     begins, ends = edges[::2], edges[1::2]
     kept = np.concatenate([[0], spans, [len(begins)]]).reshape(-1, 2).tolist()
-    return b" ".join(text[begins[a] : ends[b - 1]] for a, b in kept if b > a), len(begins)
+    return b" ".join(text[begins[a] : ends[b - 1]] for a, b in kept if b > a)
+
+
+def _clean(window: int, columns: list[str]):
+    """The documents of a batch less their repeats, every other column as it is."""
+
+    def run(table: pa.Table, found: pa.Table) -> pa.Table:
+        ids, keys = table["_id"].to_numpy(), table["_key"].to_numpy()
+        order = np.lexsort((keys, ids)).tolist()
+        texts = table["text"].to_pylist()
+        n_words = np.array([len((texts[i] or "").encode("utf-8", "surrogatepass").split()) for i in order], dtype=np.int64)
+        place = found["place"].to_pylist()
+        blobs = found["blob"].to_pylist()
+        covered = _covered(ids[order], n_words, [x for x, p in zip(blobs, place) if p], [x for x, p in zip(blobs, place) if not p], window)
+        words, removed, at = [0] * len(order), [0] * len(order), 0
+        for i, n in zip(order, n_words.tolist()):
+            gone = covered[at : at + n]
+            at += n
+            words[i], removed[i] = n, int(gone.sum())
+            if removed[i]:
+                edges = np.concatenate([[False], gone, [False]])
+                texts[i] = _keep(texts[i].encode("utf-8", "surrogatepass"), np.flatnonzero(edges[1:] != edges[:-1])).decode("utf-8", "surrogatepass")
+        kept = [pa.array(texts, type=table.schema.field("text").type) if c == "text" else table[c] for c in columns]
+        return pa.table([*kept, pa.array(words, type=pa.int64()), pa.array(removed, type=pa.int64())], names=[*columns, "n_words", "n_removed"])
+
+    return run
 
 
-def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 13, crowded: int = CROWDED) -> DataFrame:
     """docs with their text less every word of a window that a document with a smaller doc_id has too.
 
     Adds n_words and n_removed (columns of these names are replaced); texts that lose nothing stay as they
@@ -282,32 +347,16 @@ def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
     neighbours are one space apart. Rows with one doc_id do not remove each other's words, and a null
     doc_id counts as larger than any other. doc_id must be an integer.
     """
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID))).alias("_id"), "text")
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = int(max(1, -(-size // SHARD_BYTES)))
-    cut = materialise(_cut(rows, window, shards, _crowded_anchors(rows, window)), "fragments")
-    answers = cut.where("shard >= 0").groupBy("shard").applyInPandas(_match(window), "batch long, blob binary")
-    answers = materialise(answers, "first-owners")
-    places = cut.where("shard = -1").select("batch", "blob")
-    spans = places.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(_spans(window), "_id long, _key long, _spans binary")
-    spans = materialise(spans.dropDuplicates(["_id", "_key"]), "spans")
-
     columns = [c for c in docs.columns if c not in ("n_words", "n_removed")]
-    keyed = docs.select(*columns, F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID))).alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_key"))
-    joined = keyed.join(spans, ["_id", "_key"], "left")
-
-    @F.pandas_udf("text string, n_words long, n_removed long")
-    def cleaned(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for texts, gone in batches:
-            out = []
-            for text, span in zip(texts, gone):
-                if text is None or span is None:
-                    out.append((text, len(text.encode("utf-8", "surrogatepass").split()) if text else 0, 0))
-                    continue
-                spans = np.frombuffer(span, dtype="<i4").astype(np.int64)
-                kept, n = _keep(text.encode("utf-8", "surrogatepass"), spans)
-                out.append((kept.decode("utf-8", "surrogatepass"), n, int((spans[1::2] - spans[::2]).sum())))
-            yield pd.DataFrame(out, columns=["text", "n_words", "n_removed"])
-
-    done = joined.withColumn("_new", cleaned("text", "_spans"))
-    return done.select(*[F.col("_new.text").alias("text") if c == "text" else F.col(c) for c in columns], "_new.n_words", "_new.n_removed")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards, batches = (int(max(1, -(-size // n))) for n in (SHARD_BYTES, BATCH_BYTES))
+    id_, key = F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID))), F.xxhash64(F.coalesce("text", F.lit("")))
+    dealt = docs.select(*columns, id_.alias("_id"), key.alias("_key")).withColumn("_batch", F.pmod(F.xxhash64("_id", "_key"), F.lit(batches)))
+    # All three uses below take all columns, so that they share this one shuffle of the texts.
+    dealt = dealt.repartition("_batch")
+    asked = dealt.groupBy("_batch").applyInArrow(_ask(window, shards), "_batch long, shard long, blob binary")
+    replies = asked.groupBy("shard").applyInArrow(_reply(crowded), "_batch long, blob binary")
+    sent = dealt.groupBy("_batch").cogroup(replies.groupBy("_batch")).applyInArrow(_send(window, shards), "_batch long, shard long, blob binary")
+    matched = sent.groupBy("shard").applyInArrow(_match(window), "_batch long, place boolean, blob binary")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in columns)
+    return dealt.groupBy("_batch").cogroup(matched.groupBy("_batch")).applyInArrow(_clean(window, columns), f"{kinds}, n_words long, n_removed long")
