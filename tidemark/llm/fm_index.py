@@ -11,7 +11,9 @@ import numpy as np
 
 class FmIndex:
     def __init__(self, symbols: np.ndarray, depth: int = 16):
-        """symbols: integers from 0 (a separator that no pattern holds)."""
+        """symbols: integers from 0 (a separator that no pattern holds), a separator last."""
+        if len(symbols) and symbols[-1] != 0:
+            raise ValueError("the last symbol must be a separator")
         self.n, self.depth = len(symbols), depth
         pad = np.zeros(depth, dtype=np.int64)
         ranks, k = {1: np.concatenate([symbols.astype(np.int64), pad])}, 1
