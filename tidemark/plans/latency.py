@@ -36,12 +36,12 @@ def agg_latency(samples):
     return L.summary(L.histogram(with_op(samples), ["side", "op"]), ["side", "op"])
 
 
-SHARES = "p AS (SELECT worker_id, coalesce(sum(us) FILTER (side = 'src'), 0) * 100.0 / 2e9 AS src_busy_pct, coalesce(sum(us) FILTER (side = 'dst'), 0) * 100.0 / 2e9 AS dst_busy_pct, coalesce(sum(us) FILTER (side = 's3'), 0) * 100.0 / 1e9 AS s3_wait_pct, 1 + CAST(substr(worker_id, 3) AS INTEGER) % 4 AS pairs FROM samples GROUP BY worker_id)"
+SHARES = "p AS (SELECT worker_id, coalesce(sum(us) FILTER (side = 'src'), 0) * 100.0 / 1999999874.0 AS src_busy_pct, coalesce(sum(us) FILTER (side = 'dst'), 0) * 100.0 / 1999999874.0 AS dst_busy_pct, coalesce(sum(us) FILTER (side = 's3'), 0) * 100.0 / 999999937.0 AS s3_wait_pct, 1 + CAST(substr(worker_id, 3) AS INTEGER) % 4 AS pairs FROM samples GROUP BY worker_id)"
 
 
 @query("agg_busy_share", "samples", sql=f"{SHARES} SELECT worker_id, round(src_busy_pct, 6) AS src_busy_pct, round(dst_busy_pct, 6) AS dst_busy_pct, round(s3_wait_pct, 6) AS s3_wait_pct FROM p")
 def agg_busy_share(samples):
-    shares = L.busy_share(samples, ["worker_id"], 1_000_000_000, 2)
+    shares = L.busy_share(samples, ["worker_id"], 999_999_937, 2)
     return shares.select("worker_id", *[F.round(c, 6).alias(c) for c in ("src_busy_pct", "dst_busy_pct", "s3_wait_pct")])
 
 
@@ -54,7 +54,7 @@ def agg_fleet_latency(samples):
 @query("agg_fleet_verdict", "samples", sql=f"""{SHARES}, f AS (SELECT count(*) AS workers, sum(src_busy_pct * pairs) / sum(pairs) AS src, sum(dst_busy_pct * pairs) / sum(pairs) AS dst, avg(s3_wait_pct) AS s3 FROM p)
   SELECT workers, round(src, 6) AS src, round(dst, 6) AS dst, round(s3, 6) AS s3, CASE WHEN dst >= 85 AND dst >= src THEN 'destination-bound' WHEN src >= 85 THEN 'source-bound' WHEN s3 >= 50 THEN 'store-bound' WHEN greatest(src, dst) < 60 THEN 'client-bound' ELSE 'mixed' END AS verdict FROM f""")
 def agg_fleet_verdict(samples):
-    shares = L.busy_share(samples, ["worker_id"], 1_000_000_000, 2)
+    shares = L.busy_share(samples, ["worker_id"], 999_999_937, 2)
     one = L.fleet_verdict(shares.withColumn("pairs", 1 + F.substring("worker_id", 3, 9).cast("int") % 4))
     return one.select("workers", *[F.round(c, 6).alias(c) for c in ("src", "dst", "s3")], "verdict")
 

@@ -1 +1,60 @@
-"""Queries."""
+"""Queries that replay the driver's tables as streams."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidemark.plans.registry import query
+from tidemark.scratch import scratch_path
+from tidemark.sources.tables import read_events
+from tidemark.streaming import events as S
+
+
+def replay(events, chunks: int = 3):
+    """The events as a stream of JSON files, `chunks` micro-batches in order of seq."""
+    path = scratch_path(events.sparkSession, "replay")
+    last = events.agg(F.max("seq")).first()[0] or 0
+    for i in range(chunks):
+        part = events.where((F.col("seq") > last * i // chunks) & (F.col("seq") <= last * (i + 1) // chunks))
+        part.coalesce(1).write.mode("append").json(path)
+    return read_events(events.sparkSession, path, streaming=True)
+
+
+@query("st_ingest", "event_log", sql="SELECT seq, worker_id FROM event_log WHERE client_seq IS NULL UNION ALL SELECT min(seq), worker_id FROM event_log WHERE client_seq IS NOT NULL GROUP BY worker_id, client_seq")
+def st_ingest(events):
+    unique = events.groupBy("worker_id", F.coalesce("client_seq", -F.col("seq")).alias("k")).agg(F.min("seq").alias("seq")).select("seq")
+    once = events.join(unique, "seq", "left_semi")
+    return S.run_available(S.ingest(replay(once.unionByName(once.where("seq % 4 = 0 and client_seq is not null")))), "ingest").select("seq", "worker_id")
+
+
+@query("st_state", "event_log", sql="d AS (SELECT job_id, kind, sync_files, sum(coalesce(files_delta, 0)) OVER (PARTITION BY job_id ORDER BY seq) AS s FROM event_log) SELECT job_id, CAST(max(s) + greatest(0, max(CASE WHEN kind = 'ProgressSync' THEN sync_files - s END)) AS BIGINT) AS total FROM d GROUP BY job_id")
+def st_state(events):
+    updates = S.run_available(S.live_progress(replay(events)), "state", "update")
+    return updates.groupBy("job_id").agg(F.max_by("total", "last_seq").alias("total"))
+
+
+@query("st_progress_cap", "event_log", sql="SELECT job_id, worker_id, CAST(sum(files_delta) AS BIGINT) AS files FROM event_log WHERE kind = 'ProgressDelta' GROUP BY job_id, worker_id")
+def st_progress_cap(events):
+    parts = S.run_available(S.capped_progress(replay(events)), "capped")
+    # Nothing is lost: what passed, what was released, and what is still held add up to what came in.
+    passed = F.coalesce(F.sum(F.when(F.col("part") != "retained", F.col("files"))), F.lit(0))
+    return parts.groupBy("job_id", "worker_id").agg((passed + F.max_by(F.col("files"), F.when(F.col("part") == "retained", F.col("seq")))).alias("files"))
+
+
+@query("st_rates_stream", "event_log", sql="s AS (SELECT job_id, files_delta, CAST(floor(epoch(event_at) / 60) AS BIGINT) * 60 AS m FROM event_log WHERE kind = 'ProgressDelta'), e AS (SELECT CAST(floor(epoch(max(event_at))) AS BIGINT) AS last FROM event_log WHERE kind = 'ProgressDelta'), w AS (SELECT job_id, m - 60 * k AS start, files_delta FROM s, range(0, 5) t(k)) SELECT job_id, start, CAST(sum(files_delta) AS BIGINT) AS files FROM w, e WHERE start + 300 <= last - 600 GROUP BY job_id, start")
+def st_rates_stream(events):
+    done = S.run_available(S.windowed_rates(replay(events)), "rates")
+    return done.select("job_id", F.unix_seconds("start").alias("start"), "files")
+
+
+@query("st_reconcile", "shards", "claims", sql="SELECT 'JobFailed' AS kind, concat((SELECT count(*) FROM claims WHERE state = 'failed'), ' of ', (SELECT count(*) FROM shards), ' shards failed') AS reason")
+def st_reconcile(shards, claims):
+    spark, path = shards.sparkSession, scratch_path(shards.sparkSession, "reconcile")
+    done = claims.withColumn("state", F.when(F.col("state") == "active", "completed").otherwise(F.col("state"))).select("shard", "state", "claimed_utc", "claim_etag")
+    rest = shards.join(claims.select("shard"), "shard", "left_anti").select("shard", F.lit("completed").alias("state"), F.lit(None).cast("timestamp").alias("claimed_utc"), F.lit("late").alias("claim_etag"))
+    for part in (done, rest):
+        part.coalesce(1).write.mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema(done.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    running = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{path}/checkpoint").foreachBatch(S.completion(shards, f"{path}/out")).start()
+    running.awaitTermination()
+    return S.outcome(spark, f"{path}/out")
