@@ -22,8 +22,8 @@ def replay(events, chunks: int = 3):
 
 @query("st_ingest", "event_log", sql="SELECT seq, worker_id FROM event_log WHERE client_seq IS NULL UNION ALL SELECT min(seq), worker_id FROM event_log WHERE client_seq IS NOT NULL GROUP BY worker_id, client_seq")
 def st_ingest(events):
-    unique = events.groupBy("worker_id", F.coalesce("client_seq", -F.col("seq")).alias("k")).agg(F.min("seq").alias("seq")).select("seq")
-    once = events.join(unique, "seq", "left_semi")
+    firsts = events.where("client_seq is not null").groupBy("worker_id", "client_seq").agg(F.min("seq").alias("seq")).select("seq")
+    once = events.join(firsts, "seq", "left_semi").unionByName(events.where("client_seq is null"))
     return S.run_available(S.ingest(replay(once.unionByName(once.where("seq % 4 = 0 and client_seq is not null")))), "ingest").select("seq", "worker_id")
 
 
