@@ -53,8 +53,8 @@ def pair_sides(entries: DataFrame) -> DataFrame:
     return pairs.withColumn("place", place).drop("src_here", "dst_here")
 
 
-def diff_pairs(pairs: DataFrame, preserve: Preserve = Preserve()) -> DataFrame:
-    """path, kind, expected, observed: one row for every difference of a pair, in the order of the rules."""
+def differences(preserve: Preserve = Preserve()) -> Column:
+    """The differences of a pair as an array of (kind, expected, observed), in the order of the rules."""
     s, d = (lambda c: F.col(f"src_{c}")), (lambda c: F.col(f"dst_{c}"))
     both = F.col("place") == "both"
 
@@ -84,8 +84,12 @@ def diff_pairs(pairs: DataFrame, preserve: Preserve = Preserve()) -> DataFrame:
         found(both & (s("file_type") == SYMLINK) & (d("file_type") == SYMLINK) & ~s("symlink_target").eqNullSafe(d("symlink_target")), "symlink_target", *either("symlink_target")),
         found(both & ~s("group_root").eqNullSafe(d("group_root")), "hardlink_group", *either("group_root")),
     ]
-    exploded = pairs.select("path", F.explode(F.array_compact(F.array(*rules))).alias("d"))
-    return exploded.select("path", "d.kind", "d.expected", "d.observed")
+    return F.array_compact(F.array(*rules))
+
+
+def diff_pairs(pairs: DataFrame, preserve: Preserve = Preserve()) -> DataFrame:
+    """path, kind, expected, observed: one row for every difference of a pair."""
+    return pairs.select("path", F.explode(differences(preserve)).alias("d")).select("path", "d.kind", "d.expected", "d.observed")
 
 
 def compare_entries(entries: DataFrame, preserve: Preserve = Preserve()) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.reconcile import REGULAR, both_sides, diff_pairs, pair_sides, with_groups
+from tidemark.operators.reconcile import REGULAR, both_sides, differences, pair_sides, with_groups
+from tidemark.scratch import materialise
 
 # Bits of a reason mask, in the order in which reasons are listed.
 REASONS = ("metadata_mismatch", "hardlink_group", "migration_failure", "migration_downgrade", "retried_shard", "bucket_boundary", "seeded")
@@ -70,15 +71,23 @@ def ineligible_groups(entries: DataFrame) -> DataFrame:
     return members.groupBy("group_root").agg(F.count("*").alias("members"), F.count("good").alias("eligible")).where("eligible = 0").select("group_root", "members")
 
 
-def mandatory(entries: DataFrame, risk: DataFrame) -> DataFrame:
-    """path, reasons of every eligible path that has a reason: evidence, a metadata difference, a boundary size, or being its group's first."""
+def reasons_of(entries: DataFrame, risk: DataFrame) -> DataFrame:
+    """path, reasons of every eligible path: evidence, a metadata difference, a boundary size, being its group's first; 0 for none.
+
+    The paired sides are written once, as everything below reads them.
+    """
     pairs = pair_sides(with_groups(entries))
-    good = pairs.where((F.col("src_file_type") == REGULAR) & (F.col("dst_file_type") == REGULAR))
-    firsts = _source_members(entries).where("good").groupBy("group_root").agg(F.min("path").alias("path")).select("path", F.lit("hardlink_group").alias("reason"))
-    differing = diff_pairs(good).select("path").distinct().select("path", F.lit("metadata_mismatch").alias("reason"))
-    sized = good.where(is_boundary(F.col("src_size"))).select("path", F.lit("bucket_boundary").alias("reason"))
-    known = risk.select("path", "reason").join(good.select("path"), "path", "left_semi")
-    return reason_masks(firsts.unionByName(differing).unionByName(sized).unionByName(known))
+    own = F.when(F.size(differences()) > 0, BIT["metadata_mismatch"]).otherwise(0).bitwiseOR(F.when(is_boundary(F.col("src_size")), BIT["bucket_boundary"]).otherwise(0))
+    good = pairs.where((F.col("src_file_type") == REGULAR) & (F.col("dst_file_type") == REGULAR)).select("path", "src_group_root", own.alias("own"))
+    good = materialise(good, "eligible")
+    firsts = good.where("src_group_root is not null").groupBy("src_group_root").agg(F.min("path").alias("path")).select("path", F.lit("hardlink_group").alias("reason"))
+    marks = reason_masks(firsts.unionByName(risk.select("path", "reason"))).withColumnRenamed("reasons", "marks")
+    return good.join(marks, "path", "left").select("path", F.col("own").bitwiseOR(F.coalesce("marks", F.lit(0))).alias("reasons"))
+
+
+def mandatory(entries: DataFrame, risk: DataFrame) -> DataFrame:
+    """path, reasons of every eligible path that has a reason."""
+    return reasons_of(entries, risk).where("reasons <> 0")
 
 
 def select_sample(entries: DataFrame, risk: DataFrame, run_id: str, seed: int, target: int) -> DataFrame:
@@ -86,10 +95,9 @@ def select_sample(entries: DataFrame, risk: DataFrame, run_id: str, seed: int, t
 
     Mandatory paths are never dropped, so there may be more than the target.
     """
-    must = mandatory(entries, risk)
-    good = both_sides(entries.where(F.col("file_type") == REGULAR))
-    others = good.join(must.select("path"), "path", "left_anti")
-    rest = seeded(others, target, run_id, seed)  # at most `target` rows from here on
+    found = reasons_of(entries, risk)
+    must = found.where("reasons <> 0")
+    rest = seeded(found.where("reasons = 0"), target, run_id, seed)  # at most `target` rows from here on
     room = F.lit(target) - F.col("taken")
     order = Window.orderBy("rank", "path")
     rest = rest.withColumn("place", F.row_number().over(order)).crossJoin(F.broadcast(must.agg(F.count("*").alias("taken")))).where(F.col("place") <= room)
