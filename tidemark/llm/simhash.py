@@ -112,26 +112,42 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42, distance:
 
 
 SKETCH = 128
+#: Bands of ROWS smallest hashes each: texts of similarity s share no band with odds of (1 - s ** ROWS) ** BANDS, 4e-4 at 0.8.
+BANDS, ROWS = 20, 5
 
 
-def _several(text: bytes, hashings: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """SimHashes of the text's word set under several hashings, and the SKETCH smallest hashes of its word shingles."""
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """Sorted 64-bit hashes of the distinct word shingles; a text of fewer words is one shingle, one without words has none."""
     words = text.translate(LOWER).split()
     if not words:
-        return np.zeros(hashings, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    h = np.fromiter(map(xxhash.xxh64_intdigest, set(words)), dtype=np.uint64)
-    seeds = np.arange(1, hashings + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    ones = np.zeros((hashings, 64), dtype=np.int64)
-    for i in range(0, len(h), 4096):
-        x = h[i : i + 4096, None] + seeds
-        x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-        x = x ^ (x >> np.uint64(32))
-        ones += np.unpackbits(x.view(np.uint8).reshape(len(x), hashings, 8), axis=2, bitorder="little").sum(axis=0, dtype=np.int64)
-    fps = np.packbits(2 * ones > len(h), axis=1, bitorder="little").view("<i8").ravel()
-    shingles = {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))}
-    sketch = np.unique(np.fromiter(map(xxhash.xxh32_intdigest, shingles), dtype=np.int64))
-    return fps, sketch[:SKETCH]
+        return np.zeros(0, dtype=np.uint64)
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
+    n = max(1, len(words) - shingle + 1)
+    x = np.zeros(n, dtype=np.uint64)
+    for i in range(min(shingle, len(words))):
+        x = x * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n]
+    return np.unique(_mixed(x))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+ODD = (_mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """One key a band, of the smallest values that ROWS hash functions take on the set; the empty set has keys of its own."""
+    short = (hashes >> np.uint64(32)).astype(np.uint32)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint32).max, dtype=np.uint32)
+    for i in range(0, len(short), 1024):
+        # The high bits of a product depend on all bits of the hash, and each odd factor is a permutation.
+        least = np.minimum(least, (short[i : i + 1024, None] * ODD).min(axis=0))
+    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for i in range(ROWS):
+        keys = _mixed(keys * np.uint64(0x94D049BB133111EB) + least[i::ROWS])
+    return keys.view(np.int64)
 
 
 def _alike(a: Column, b: Column) -> Column:
@@ -140,30 +156,27 @@ def _alike(a: Column, b: Column) -> Column:
     return F.when(F.size(both) == 0, 1.0).otherwise(F.size(F.array_intersect(F.array_intersect(both, a), b)) / F.size(both))
 
 
-def near_copies(docs: DataFrame, hashings: int = 12, distance: int = 2, shingle: int = 5, similarity: float = 0.8, blocks: int = 4, crowd: int = 16) -> DataFrame:
+def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """_text (64-bit hash of a text), root: texts with one root are near copies, by chains of close pairs.
 
-    One SimHash of 64 bits tells copies of a similarity of 0.8 from others too seldom within 2 bits, so
-    each text has several, of its set of words. Texts that come within `distance` bits under any
-    are candidates; those stand whose word shingles are alike, by a sketch whose error (0.035) is allowed
+    At a similarity of 0.8 a SimHash differs in 0.15 of its bits: keys of 28 bits, which keep unlike texts apart,
+    would have to be 460 a text to miss 1 % of such pairs. Candidates share one of BANDS keys of smallest
+    shingle hashes instead; those stand whose word shingles are alike, by a sketch whose error (0.035) is allowed
     for once below `similarity`. Null texts count as empty, and those without words are copies of each other.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [_several((t or "").encode("utf-8", "surrogatepass"), hashings, shingle) for t in pdf["text"]]
-            yield pd.DataFrame({"_text": pdf["_text"], "fps": [f for f, _ in found], "sketch": [s for _, s in found]})
+            found = [shingle_hashes((t or "").encode("utf-8", "surrogatepass"), shingle) for t in pdf["text"]]
+            yield pd.DataFrame({"_text": pdf["_text"], "keys": [band_keys(s) for s in found], "sketch": [(s >> np.uint64(1))[:SKETCH].view(np.int64) for s in found]})
 
     texts = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("_text"), "text")
-    texts = texts.mapInPandas(run, "_text long, fps array<long>, sketch array<long>")
+    texts = texts.mapInPandas(run, "_text long, keys array<long>, sketch array<long>")
     texts = materialise(texts.dropDuplicates(["_text"]), "texts")
-    hashed = texts.select("_text", F.posexplode("fps").alias("hashing", "fp"))
-    least = materialise(hashed.groupBy("hashing", "fp").agg(F.min("_text").alias("first"), F.count("*").alias("n")), "fingerprints")
-    same = hashed.join(least.where("n > 1").select("hashing", "fp", "first"), ["hashing", "fp"]).select(F.col("_text").alias("a"), F.col("first").alias("b"))
-    found = links(least.select("hashing", "fp"), distance, blocks, crowd)
-    ends = least.select("hashing", "fp", "first")
-    found = found.join(ends.withColumnsRenamed({"fp": "a", "first": "_a"}), ["hashing", "a"]).join(ends.withColumnsRenamed({"fp": "b", "first": "_b"}), ["hashing", "b"])
-    edges = same.union(found.select("_a", "_b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    keyed = texts.select("_text", F.explode("keys").alias("key"))
+    # Most keys are of one text alone.
+    least = keyed.groupBy("key").agg(F.min("_text").alias("hub"), F.max("_text").alias("_max")).where("hub < _max").select("key", "hub")
+    edges = keyed.join(least, "key").where("_text <> hub").select(F.col("hub").alias("a"), F.col("_text").alias("b")).distinct()
     edges = materialise(edges, "candidates")
     sketches = texts.select("_text", "sketch")
     checked = edges.join(sketches.withColumnsRenamed({"_text": "a", "sketch": "_x"}), "a").join(sketches.withColumnsRenamed({"_text": "b", "sketch": "_y"}), "b")
