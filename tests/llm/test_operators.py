@@ -449,7 +449,28 @@ def test_near_copies_of_edited_passages(spark):
     assert alike == [i % 4 != 3 for i in range(150)]
     kept = {r["doc_id"] for r in simhash.drop_near_copies(table(spark, texts)).collect()}
     stayed = [2 * i + 1 in kept for i in range(150)]
-    assert all(2 * i in kept for i in range(150)) and sum(a and k for a, k in zip(alike, stayed)) <= 3  # the sketch errs on a few
+    assert all(2 * i in kept for i in range(150)) and stayed == [not a for a in alike]
+
+
+def test_near_copies_meet_more_than_their_hub(spark):
+    """Chains of edits, unlike their ends, and crowds of them: components of all pairs of 0.8 by brute force."""
+    rng = random.Random(21)
+    texts = []
+    for g in range(6):
+        w = [f"g{g}x{rng.randrange(50_000)}" for _ in range(120)]
+        for _ in range(40 if g < 2 else 8):
+            texts.append(" ".join(w))
+            at = rng.randrange(110)
+            w = w[:at] + [f"y{rng.randrange(50_000)}" for _ in range(rng.choice([3, 5, 9, 14]))] + w[at + rng.choice([3, 5, 9]) :]
+    sets = [shingles(t) for t in texts]
+    n = len(texts)
+    close = [(i, j) for i in range(n) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    want = components_of(n, close)
+    for crowd in (32, 2):
+        roots = {r["_text"]: r["root"] for r in simhash.near_copies(table(spark, texts), crowd=crowd).collect()}
+        ids = {r["doc_id"]: r["t"] for r in table(spark, texts).select("doc_id", F.xxhash64("text").alias("t")).collect()}
+        first = {}
+        assert [first.setdefault(roots[ids[i]], i) for i in range(n)] == want
 
 
 def test_near_copies_by_similarity(spark):

@@ -111,7 +111,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42, distance:
     return rows.join(names, "fp").select("doc_id", "fp", "component_id")
 
 
-SKETCH = 128
 #: Bands of ROWS smallest hashes each: texts of similarity s share no band with odds of (1 - s ** ROWS) ** BANDS, 4e-4 at 0.8.
 BANDS, ROWS = 20, 5
 
@@ -150,37 +149,80 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def _alike(a: Column, b: Column) -> Column:
-    """Estimated Jaccard similarity of two shingle sets, from the smallest hashes of each; exact for small sets."""
-    both = F.slice(F.array_sort(F.array_union(a, b)), 1, SKETCH)
-    return F.when(F.size(both) == 0, 1.0).otherwise(F.size(F.array_intersect(F.array_intersect(both, a), b)) / F.size(both))
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) whose shingle sets have the similarity, exactly; two empty sets are alike."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            stands = []
+            for x, y in zip(pdf["x"], pdf["y"]):
+                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+                both = np.concatenate([x, y])
+                both.sort(kind="stable")
+                shared = int((both[1:] == both[:-1]).sum())
+                stands.append(shared >= similarity * (len(both) - shared) - 1e-9)
+            yield pdf.loc[stands, ["a", "b"]]
+
+    joined = pairs.join(sets.withColumnsRenamed({"_text": "b", "hashes": "y"}), "b").join(sets.withColumnsRenamed({"_text": "a", "hashes": "x"}), "a")
+    # A set that is much smaller than the other cannot be alike.
+    sized = F.least(F.length("x"), F.length("y")) >= F.lit(similarity - 1e-9) * F.greatest(F.length("x"), F.length("y"))
+    return joined.where(sized).select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
+
+
+def _ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
+    return pairs.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
-def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+
+def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, crowd: int = 32) -> DataFrame:
     """_text (64-bit hash of a text), root: texts with one root are near copies, by chains of close pairs.
 
     At a similarity of 0.8 a SimHash differs in 0.15 of its bits: keys of 28 bits, which keep unlike texts apart,
     would have to be 460 a text to miss 1 % of such pairs. Candidates share one of BANDS keys of smallest
-    shingle hashes instead; those stand whose word shingles are alike, by a sketch whose error (0.035) is allowed
-    for once below `similarity`. Null texts count as empty, and those without words are copies of each other.
+    shingle hashes instead, and exact shingle sets decide. The texts of a key meet its smallest first; under keys whose
+    texts are not all linked then, crowded ones meet other members in turn, and in the end all texts that
+    are not linked yet meet each other. Null texts count as empty, and those without words are copies of each other.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"_text": pdf["_text"], "keys": [band_keys(shingle_hashes((t or "").encode("utf-8", "surrogatepass"), shingle)) for t in pdf["text"]]})
+
+    def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [shingle_hashes((t or "").encode("utf-8", "surrogatepass"), shingle) for t in pdf["text"]]
-            yield pd.DataFrame({"_text": pdf["_text"], "keys": [band_keys(s) for s in found], "sketch": [(s >> np.uint64(1))[:SKETCH].view(np.int64) for s in found]})
+            yield pd.DataFrame({"_text": pdf["_text"], "hashes": [shingle_hashes((t or "").encode("utf-8", "surrogatepass"), shingle).tobytes() for t in pdf["text"]]})
 
-    texts = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("_text"), "text")
-    texts = texts.mapInPandas(run, "_text long, keys array<long>, sketch array<long>")
-    texts = materialise(texts.dropDuplicates(["_text"]), "texts")
+    plain = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("_text"), "text")
+    texts = materialise(plain.mapInPandas(keys, "_text long, keys array<long>").dropDuplicates(["_text"]), "texts")
     keyed = texts.select("_text", F.explode("keys").alias("key"))
-    # Most keys are of one text alone.
-    least = keyed.groupBy("key").agg(F.min("_text").alias("hub"), F.max("_text").alias("_max")).where("hub < _max").select("key", "hub")
-    edges = keyed.join(least, "key").where("_text <> hub").select(F.col("hub").alias("a"), F.col("_text").alias("b")).distinct()
-    edges = materialise(edges, "candidates")
-    sketches = texts.select("_text", "sketch")
-    checked = edges.join(sketches.withColumnsRenamed({"_text": "a", "sketch": "_x"}), "a").join(sketches.withColumnsRenamed({"_text": "b", "sketch": "_y"}), "b")
-    roots = connected_components(checked.where(_alike(F.col("_x"), F.col("_y")) >= similarity - 0.035).select("a", "b"))
+    # Most keys are of one text alone; the others are written out and used from there.
+    least = keyed.groupBy("key").agg(F.min("_text").alias("hub"), F.max("_text").alias("_max"), F.count("*").alias("n")).where("hub < _max").drop("_max")
+    shared = materialise(keyed.join(least, "key"), "keys")
+    used = shared.select("_text").distinct()
+    sets = materialise(plain.join(used, "_text").mapInPandas(hashes, "_text long, hashes binary").dropDuplicates(["_text"]), "sets")
+
+    tried = materialise(_ordered(shared.where("_text <> hub"), "_text", "hub"), "candidates")
+    stands = materialise(_alike(tried, sets, similarity), "near-copies")
+    for salt in range(4):
+        roots = materialise(connected_components(stands), "components")
+        rooted = shared.join(roots.withColumnRenamed("node", "_text"), "_text", "left").select("key", "n", "_text", F.coalesce("root", "_text").alias("root"))
+        split = rooted.groupBy("key").agg(F.min("root").alias("_min"), F.max("root").alias("_max"), F.min_by("_text", F.xxhash64(F.lit(salt), "_text")).alias("hub")).where("_min < _max")
+        split = materialise(rooted.join(split.select("key", "hub"), "key"), "split-keys")
+        crowded = split.where(F.col("n") > crowd)
+        if salt < 3 and not crowded.isEmpty():
+            more = _ordered(crowded.where("_text <> hub"), "_text", "hub")
+        else:
+            # All texts of other roots under the key; blocks of a crowded key keep joins even.
+            blocks = F.ceil(F.col("n") / crowd).cast("int")
+            x = split.select("key", F.pmod(F.xxhash64("_text"), blocks).cast("int").alias("block"), F.col("_text").alias("a"), F.col("root").alias("_x"))
+            y = split.select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.col("_text").alias("b"), F.col("root").alias("_y"))
+            more = _ordered(x.join(y, ["key", "block"]).where("_x < _y"), "a", "b")
+            salt = 3
+        more = materialise(more.join(tried, ["a", "b"], "left_anti"), "candidates")
+        stands = materialise(stands.union(_alike(more, sets, similarity)), "near-copies")
+        tried = tried.union(more)
+        if salt == 3:
+            break
+    roots = connected_components(stands)
     return texts.select("_text").join(roots.withColumnRenamed("node", "_text"), "_text", "left").select("_text", F.coalesce("root", "_text").alias("root"))
 
 
