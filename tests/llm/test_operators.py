@@ -237,6 +237,21 @@ def test_topk_equals_brute_force(spark, n):
         assert sorted(got.get(q, [])) == [(k + 1, c, -s) for k, (s, c) in enumerate(want)]
 
 
+def test_topk_query_without_vectors_that_are_not_finite(spark, tmp_path):
+    import duckdb
+
+    from tidemark.llm.queries import ORACLE_SQL, QUERIES
+
+    nan, inf = float("nan"), float("inf")
+    rows = [(i, [i % 7 - 3.3, i % 5 / 3]) for i in range(40)] + [(100, [nan, 1.0]), (41, [nan, 2.0]), (42, [inf, 0.0]), (43, [0.5, -inf]), (44, None), (45, [None, 1.0])]
+    rows += [(46, [0.0001, 2.5]), (46, [0.0002, -2.5]), (46, [inf, 1.0])]  # the greater of the finite two stands, though they start alike when quantised
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted(tuple(r) for r in QUERIES["op5_exact_topk"](spark, str(tmp_path)).select("query_id", "rank", "vec_id", "score").collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert got == sorted(con.sql(ORACLE_SQL["op5_exact_topk"]).fetchall()) and len(got) == 10
+
+
 def test_topk_repeats_and_large_numbers(spark):
     df = spark.createDataFrame([(0, [2**29, 1]), (0, [2**29, 1]), (1, [2**29, 3]), (2, [-5, 2])], "vec_id long, embedding array<long>")
     assert [(r["vec_id"], r["score"]) for r in topk.search(df, F.col("id") == 0).orderBy("rank").collect()] == [(1, 2**58 + 3), (2, -5 * 2**29 + 2)]

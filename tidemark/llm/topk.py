@@ -23,7 +23,8 @@ EXACT = 1 << 53
 
 
 def quantise(vector: Column, scale: int = 1024) -> Column:
-    return F.transform(vector, lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("long"))
+    """Whole numbers; null for a component that is not finite (NaN is above infinity)."""
+    return F.transform(vector, lambda x: F.when(F.abs(x.cast("double")) < float("inf"), F.floor(F.lit(scale) * x.cast("double")).cast("long")))
 
 
 def _partials(q: np.ndarray, c: np.ndarray, lists: int) -> list[np.ndarray]:
