@@ -79,3 +79,10 @@ def test_risk_is_never_evicted_and_the_rest_fills_up(spark):
     first = sorted(r["path"] for r in S.select_sample(df, risk, "r", 1, 8).collect())
     assert first == sorted(r["path"] for r in S.select_sample(df.orderBy(F.rand()), risk, "r", 1, 8).collect())
     assert first != sorted(r["path"] for r in S.select_sample(df, risk, "r", 2, 8).collect())
+
+
+def test_sort_raw_path_keeps_every_path(spark):
+    paths = [f"p{i * 7919 % 5003}/{c}" for i in range(1000) for c in ("a", "\u00e9", "\U0001f600", "\uffee")]
+    df = spark.createDataFrame([(p,) for p in paths], "path string").repartition(7)
+    got = [(r["path"], r["place"]) for r in R.sort_raw_path(df).collect()]
+    assert got == [(p, i + 1) for i, p in enumerate(sorted(paths, key=lambda p: p.encode()))]

@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.scratch import materialise
+
 REGULAR, DIRECTORY, SYMLINK = 1, 2, 3
 SUPPORTED = (REGULAR, DIRECTORY, SYMLINK)
 ATTRIBUTES = ("file_type", "size", "mode", "uid", "gid", "mtime_sec", "mtime_nsec", "symlink_target")
@@ -179,3 +181,16 @@ def group_diff(entries: DataFrame) -> DataFrame:
     sets = members.groupBy("side", "group_root").agg(F.count("*").alias("members"), digest.alias("digest"))
     here = sets.groupBy("group_root", "members", "digest").agg(F.min("side").alias("side"), F.count("*").alias("sides"))
     return here.where("sides = 1").select("side", "group_root", "members")
+
+
+def sort_raw_path(df: DataFrame) -> DataFrame:
+    """df in raw byte order of path, by a range-partitioned sort, with its place (from 1): the rows of all ranges before, and the row inside its own."""
+    ranked = df.orderBy(F.col("path").cast("binary")).withColumn("_at", F.monotonically_increasing_id())
+    ranked = materialise(ranked, "ranges").withColumn("_range", F.shiftright("_at", 33))
+    before, rows = 0, []
+    for r in ranked.groupBy("_range").count().orderBy("_range").collect():  # one row a partition
+        rows.append((r["_range"], before))
+        before += r["count"]
+    starts = df.sparkSession.createDataFrame(rows, "_range long, _start long")
+    placed = ranked.join(F.broadcast(starts), "_range").withColumn("place", F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1)
+    return placed.drop("_range", "_at", "_start").orderBy("place")

@@ -129,3 +129,8 @@ def sort_raw_path(source):
     first = source.select("path").orderBy(F.col("path").cast("binary")).limit(100)
     # A row number over the hundred rows that the limit leaves.
     return first.select(F.hex("path").alias("path_hex"), F.row_number().over(Window.orderBy(F.col("path").cast("binary"))).cast("long").alias("place"))
+
+
+@query("sort_raw_path_all", "obs_source", sql="SELECT hex(encode(path)) AS path_hex, row_number() OVER (ORDER BY path) AS place FROM obs_source")
+def sort_raw_path_all(source):
+    return R.sort_raw_path(source).select(F.hex("path").alias("path_hex"), "place")
