@@ -86,3 +86,13 @@ def test_sort_raw_path_keeps_every_path(spark):
     df = spark.createDataFrame([(p,) for p in paths], "path string").repartition(7)
     got = [(r["path"], r["place"]) for r in R.sort_raw_path(df).collect()]
     assert got == [(p, i + 1) for i, p in enumerate(sorted(paths, key=lambda p: p.encode()))]
+
+
+def test_manifests_hold_all_shards_in_documents_of_fixed_size(spark):
+    from tidemark.plans import sources
+
+    shards = spark.range(1, 20_001).selectExpr("concat('part-', id) AS shard", "1 AS n_rows", "2L AS n_bytes", "'e' AS etag", "id AS shard_no")
+    bodies = sources._manifest_all(shards)
+    found = sources.S.manifest_shards(bodies)
+    assert found.count() == 20_000 == found.select("shard").distinct().count()
+    assert found.groupBy("run_id").count().agg(F.max("count")).first()[0] == sources.RUN_KEYS

@@ -73,6 +73,32 @@ def src_manifest_shards(shards):
     return S.manifest_shards(_manifest(shards)).select("run_id", "shard", "n_rows", "n_bytes", "etag")
 
 
+RUN_KEYS = 1000
+
+
+def _manifest_all(shards):
+    """One document for each range of RUN_KEYS shard numbers: more shards make more manifests, not larger ones."""
+    entry = F.struct(F.col("shard").alias("key"), F.col("n_rows").alias("rows"), F.col("n_bytes").alias("bytes"), "etag")
+    run = F.concat(F.lit("run-"), F.floor(F.col("shard_no") / RUN_KEYS).cast("string"))
+    return shards.groupBy(run.alias("run_id")).agg(F.collect_list(entry).alias("shards")).select(F.to_json(F.struct("run_id", "shards")).alias("body"))
+
+
+ALL_RUNS = f"r AS (SELECT concat('run-', CAST(floor(shard_no / {RUN_KEYS}) AS BIGINT)) AS run_id, * FROM shards)"
+
+
+@query("src_manifest_all", "shards", sql=f"{ALL_RUNS} SELECT run_id, '/' AS root, count(*) AS shards, CAST(sum(n_rows) AS BIGINT) AS total_rows FROM r GROUP BY run_id")
+def src_manifest_all(shards):
+    path = scratch_path(shards.sparkSession, "manifest")
+    _manifest_all(shards).write.text(path)
+    runs = S.manifest_run(shards.sparkSession.read.text(path).withColumnRenamed("value", "body"))
+    return runs.select("run_id", "root", F.col("shards").cast("long").alias("shards"), "total_rows")
+
+
+@query("src_manifest_shards_all", "shards", sql=f"{ALL_RUNS} SELECT run_id, shard, n_rows, n_bytes, etag FROM r")
+def src_manifest_shards_all(shards):
+    return S.manifest_shards(_manifest_all(shards)).select("run_id", "shard", "n_rows", "n_bytes", "etag")
+
+
 @query("src_claims", "claims", "shards", sql="SELECT shard, CASE WHEN epoch = 2 AND state = 'active' THEN 'unparseable' ELSE state END AS state, CASE WHEN epoch = 2 AND state = 'active' THEN NULL ELSE host END AS host FROM claims")
 def src_claims(claims, shards):
     body = F.to_json(F.struct("host", "claimed_utc", "epoch", "state"))
@@ -148,7 +174,7 @@ def src_risk_roundtrip(raw):
 @query("src_rewrite_report", "shards", sql="SELECT CAST(shard_no % 7 AS INTEGER) AS part, count(*) AS shards, CAST(sum(n_rows) AS BIGINT) AS rows, CAST(sum(n_bytes) AS BIGINT) AS bytes FROM shards GROUP BY 1")
 def src_rewrite_report(shards):
     entry = F.struct(F.col("shard").alias("name"), F.col("n_rows").alias("rows"), F.col("n_bytes").alias("bytes"), F.col("etag").alias("sha256"))
-    bodies = shards.groupBy((F.col("shard_no") % 700).alias("g")).agg(F.to_json(F.struct(F.collect_list(entry).alias("shards"))).alias("body"))
+    bodies = shards.groupBy(F.floor(F.col("shard_no") / RUN_KEYS).alias("g")).agg(F.to_json(F.struct(F.collect_list(entry).alias("shards"))).alias("body"))
     found = S.rewrite_report(bodies)
     part = (F.regexp_extract("shard", r"(\d+)", 1).cast("long") % 7).cast("int")
     return found.groupBy(part.alias("part")).agg(F.count("*").alias("shards"), F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"))
