@@ -10,101 +10,126 @@ one bin's worth unused beyond what its pieces force, so groups cost at most one
 from __future__ import annotations
 
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import materialise
 
-LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 GROUP_PIECES = 20_000
-CACHED_WORDS = 500_000
+CACHED_WORDS = 1_000_000
+CHUNK_BYTES = 8_000_000  # of text that is split into words at once
 _vocabularies: dict[str, "WordIds"] = {}
 
 
-class WordIds(dict):
-    """Token ids (bytes, little-endian unsigned 32 bits) of white-space separated words, for a tokenizer
-    that drops white space, ignores case and splits letters from commas and stops; at most CACHED_WORDS stay."""
+class WordIds:
+    """Token ids of white-space separated words, for a tokenizer that drops white space, ignores case and
+    splits letters from commas and stops. Words are looked up by Arrow; CACHED_WORDS stay, besides those of a chunk."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self._forget(0)
 
-    def learn(self, words: set[bytes]) -> None:
-        """Tokenise unseen words in one call."""
-        stems = list({w for w in words if w not in self})
-        if not stems:
-            return
-        e = self.tokenizer.encode([w.decode() for w in stems], is_pretokenized=True, add_special_tokens=False)
-        ids, owner = np.array(e.ids, dtype="<u4").tobytes(), np.array(e.word_ids, dtype=np.int64)
-        cut = np.searchsorted(owner, np.arange(len(stems) + 1)).tolist()
-        for w, i, j in zip(stems, cut, cut[1:]):
-            self[w] = ids[4 * i : 4 * j]
-
-
-def _split(word: bytes) -> tuple[bytes, bytes]:
-    """A word's stem and its final comma or stop, if just one follows an ASCII letter."""
-    if len(word) > 1 and word[-1:] in (b",", b".") and word[-2:-1].isalpha():
-        return word[:-1], word[-1:]
-    return word, b""
-
-
-def _token_bytes(texts: list[bytes], vocabulary: WordIds) -> list[bytes]:
+    def _forget(self, keep: int) -> None:
+        """Keep the words that came first, which are the frequent ones."""
+        if not keep:
+            self.words, self.sizes, self.ids = pa.array([], pa.string()), np.zeros(0, dtype=np.int64), np.zeros(0, dtype="<u4")
+        else:
+            # A copy, as a slice would hold on to the whole.
+            self.words, self.sizes = pa.concat_arrays([self.words.slice(0, keep), self.words.slice(0, 0)]), self.sizes[:keep].copy()
+            self.ids = self.ids[: self.sizes.sum()].copy()
+
+    def of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For distinct words: where the ids of each start, how many they are, and the ids."""
+        if len(self.words) > CACHED_WORDS:
+            self._forget(CACHED_WORDS // 2)
+        place = pc.index_in(words, value_set=self.words)
+        if place.null_count:
+            unseen = words.filter(pc.is_null(place))
+            sizes, ids = self._tokenise(unseen.to_pylist())
+            place = np.array(pc.fill_null(place, -1).to_numpy(zero_copy_only=False), dtype=np.int64)
+            place[place < 0] = len(self.words) + np.arange(len(unseen))
+            self.words, self.sizes, self.ids = pa.concat_arrays([self.words, unseen]), np.append(self.sizes, sizes), np.append(self.ids, ids)
+        else:
+            place = place.to_numpy()
+        return (np.cumsum(self.sizes) - self.sizes)[place], self.sizes[place], self.ids
+
+    def _tokenise(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each word has, and all ids: a final comma or stop after an ASCII letter is a token of its own."""
+        parts: list[str] = []
+        first = np.zeros(len(words) + 1, dtype=np.int64)
+        for k, w in enumerate(words):
+            if w[-1:] in (",", ".") and w[-2:-1].isascii() and w[-2:-1].isalpha():
+                parts += (w[:-1], w[-1])
+            else:
+                parts.append(w)
+            first[k + 1] = len(parts)
+        e = self.tokenizer.encode(parts, is_pretokenized=True, add_special_tokens=False)
+        # A part that the tokenizer drops has no id.
+        return np.diff(np.searchsorted(np.array(e.word_ids, dtype=np.int64), first)), np.array(e.ids, dtype="<u4")
+
+
+def _token_ids(texts: pa.Array, vocabulary: WordIds) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts end to end, and how many each has. Words are split and told apart by Arrow; Python sees only unseen ones."""
     # Special tokens are matched before case is dropped, so texts that might hold one stay as they are.
-    words = [(t if b"<|" in t else t.translate(LOWER)).split() for t in texts]
-    unseen = set().union(*words) - vocabulary.keys() if words else set()
-    if unseen:
-        parts = {w: _split(w) for w in unseen}
-        vocabulary.learn({s for pair in parts.values() for s in pair if s})
-        for w, (stem, end) in parts.items():
-            if end:
-                vocabulary[w] = vocabulary[stem] + vocabulary[end]
-    out = [b"".join(map(vocabulary.__getitem__, ws)) for ws in words]
-    if len(vocabulary) > CACHED_WORDS:
-        # Words that came first are the frequent ones: keep those.
-        for w in list(vocabulary)[CACHED_WORDS // 2 :]:
-            del vocabulary[w]
+    words = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts)))
+    coded = words.flatten().dictionary_encode()
+    starts, sizes, ids = vocabulary.of(coded.dictionary)
+    which = coded.indices.to_numpy()
+    n = sizes[which]
+    before = np.concatenate([[0], np.cumsum(n)])
+    at = np.repeat(starts[which] - before[:-1], n)
+    at += np.arange(before[-1])
+    return ids[at], np.diff(before[np.concatenate([[0], np.cumsum(pc.list_value_length(words).to_numpy())])])
+
+
+def _pieces(doc_ids: pa.Array, texts: pa.Array, vocabulary: WordIds, max_tokens: int, end_id: int, with_ids: bool) -> list[pa.Array]:
+    ids, n = _token_ids(texts, vocabulary)
+    ids, n = np.insert(ids, np.cumsum(n), end_id), n + 1
+    counts = -(-n // max_tokens)
+    doc = np.repeat(np.arange(len(n)), counts)
+    piece = np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)
+    start = piece * max_tokens
+    length = np.minimum(max_tokens, n[doc] - start)
+    ends = 4 * np.cumsum(length)
+    data = memoryview(np.ascontiguousarray(ids, dtype="<u4")).cast("B")
+    sums = np.fromiter((crc32(data[e - k : e]) for e, k in zip(ends.tolist(), (4 * length).tolist())), dtype=np.int64, count=len(ends))
+    out = [doc_ids.take(pa.array(doc)), pa.array(piece, type=pa.int32()), pa.array(start), pa.array(length), pa.array(sums)]
+    if with_ids:
+        edges = np.concatenate([[0], ends]).astype(np.int32)
+        out.append(pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(edges), pa.py_buffer(data)]))
     return out
 
 
-def tokenise(docs: DataFrame, tokenizer_path: str, max_tokens: int = 4096, end_id: int = 1) -> DataFrame:
-    """doc_id, piece, start, length, ids (binary, little-endian unsigned 32 bits), one row a piece.
+def tokenise(docs: DataFrame, tokenizer_path: str, max_tokens: int = 4096, end_id: int = 1, with_ids: bool = True) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 (of ids) and, with_ids, ids (binary, little-endian unsigned 32 bits), one row a piece.
 
     A null or empty text is its end id alone. Rows that repeat give repeated pieces. The tokenizer's file
     must lie at the same path on every executor.
     """
-    end = np.array([end_id], dtype="<u4").tobytes()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _vocabularies.get(tokenizer_path)
         if vocabulary is None:
             vocabulary = _vocabularies[tokenizer_path] = WordIds(tokenizer_path)
-        for pdf in batches:
-            texts = [(t or "").encode("utf-8", "surrogatepass") for t in pdf["text"]]
-            rows: list[tuple] = []
-            first = 0
-            while first < len(texts):
-                last, size = first, 0
-                while last < len(texts) and (last == first or size < 4_000_000):
-                    size += len(texts[last])
-                    last += 1
-                for doc_id, ids in zip(pdf["doc_id"].iloc[first:last], _token_bytes(texts[first:last], vocabulary)):
-                    ids += end
-                    n = len(ids) // 4
-                    rows += [(doc_id, k, s, min(max_tokens, n - s), ids[4 * s : 4 * (s + max_tokens)]) for k, s in enumerate(range(0, n, max_tokens))]
-                first = last
-                if len(rows) > 4000:
-                    yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids"])
-                    rows = []
-            if rows:
-                yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids"])
+        names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
+        for batch in batches:
+            doc_ids, texts = batch.column("doc_id"), pc.fill_null(batch.column("text"), "")
+            chunk = np.cumsum(pc.binary_length(texts).to_numpy()) // CHUNK_BYTES
+            for part in np.split(np.arange(len(chunk)), np.flatnonzero(np.diff(chunk)) + 1) if len(chunk) else []:
+                first, k = int(part[0]), len(part)
+                yield pa.RecordBatch.from_arrays(_pieces(doc_ids.slice(first, k), texts.slice(first, k), vocabulary, max_tokens, end_id, with_ids), names=names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, piece int, start long, length long, ids binary")
+    shape = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
+    return docs.select("doc_id", "text").mapInArrow(run, shape)
 
 
 def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

@@ -39,8 +39,7 @@ def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.tokenise(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), max_tokens=4096)
-    pieces = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    pieces = packing.tokenise(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), max_tokens=4096, with_ids=False)
     return packing.pack(pieces, max_tokens=4096)
 
 
