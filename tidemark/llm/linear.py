@@ -6,20 +6,53 @@ import numpy as np
 
 
 class Rows:
-    """Sparse rows: slot numbers of each row end to end, their values, and where each row starts."""
+    """Sparse rows: slot numbers of each row end to end (32 bits), their values, and where each row starts.
+
+    Products run over CHUNK entries at a time, so that they need little memory besides the rows."""
+
+    CHUNK = 1 << 18
 
     def __init__(self, slots: list[np.ndarray], width: int, values: list[np.ndarray] | None = None):
         sizes = np.array([len(s) for s in slots], dtype=np.int64)
-        self.width, self.count = width, len(slots)
-        self.owner = np.repeat(np.arange(len(slots)), sizes)
-        self.slots = np.concatenate(slots) if len(slots) else np.zeros(0, dtype=np.int64)
-        self.values = np.concatenate(values) if values is not None and len(slots) else np.ones(len(self.slots))
+        flat = np.concatenate(slots) if len(slots) else np.zeros(0)
+        self._set(flat, sizes, width, None if values is None or not len(slots) else np.concatenate(values))
+
+    @classmethod
+    def of(cls, flat: np.ndarray, sizes: np.ndarray, width: int, values: np.ndarray | None = None) -> "Rows":
+        """From the slots of all rows end to end; values of one a slot of the width are looked up there."""
+        rows = cls.__new__(cls)
+        rows._set(flat, sizes, width, values)
+        return rows
+
+    def _set(self, flat, sizes, width, values) -> None:
+        self.width, self.count = width, len(sizes)
+        self.slots = flat.astype(np.int32, copy=False)
+        self.values = values
+        self.starts = np.concatenate([[0], np.cumsum(sizes)])
+
+    def _chunks(self):
+        """(first row, rows, slots, values, entries of each row)."""
+        first = 0
+        while first < self.count:
+            last = max(first + 1, int(np.searchsorted(self.starts, self.starts[first] + self.CHUNK, side="right")) - 1)
+            a, b = self.starts[first], self.starts[last]
+            yield first, last, self.slots[a:b], None if self.values is None else self.values[a:b], np.diff(self.starts[first : last + 1])
+            first = last
 
     def times(self, weights: np.ndarray) -> np.ndarray:
-        return np.bincount(self.owner, weights=self.values * weights[self.slots], minlength=self.count)
+        out = np.empty(self.count)
+        for first, last, slots, values, n in self._chunks():
+            x = weights[slots] if values is None else values * weights[slots]
+            sums = np.concatenate([[0.0], np.cumsum(x, dtype=np.float64)])
+            out[first:last] = np.diff(sums[np.concatenate([[0], np.cumsum(n)])])
+        return out
 
     def transposed_times(self, per_row: np.ndarray) -> np.ndarray:
-        return np.bincount(self.slots, weights=self.values * per_row[self.owner], minlength=self.width)
+        out = np.zeros(self.width)
+        for first, last, slots, values, n in self._chunks():
+            x = np.repeat(per_row[first:last], n)
+            out += np.bincount(slots, weights=x if values is None else values * x, minlength=self.width)
+        return out
 
 
 def sigmoid(z):

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,39 +71,54 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows:
         for pdf in batches:
             yield pd.DataFrame({"one": 0, "doc_id": pdf["doc_id"].astype(str), "label": pdf["label"], "slots": [ngram_slots(t, orders, bits).astype("<u4").tobytes() for t in pdf["text"]]})
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("doc_id")
-        y = pdf["label"].to_numpy(dtype=np.float64)
-        rows = [np.frombuffer(s, dtype="<u4").astype(np.int64) for s in pdf["slots"]]
-        share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
-        nothing = pd.DataFrame({"slot": [-1], "weight": [np.log(share / (1 - share))]})
-        if y.min() == y.max():
-            return nothing
-        width = 1 << bits
-        there = np.zeros((2, width))
-        for r, c in zip(rows, y.astype(int)):
-            there[c, r] += 1
-        smooth = there + 1
-        ratio = np.log(smooth[1] / smooth[1].sum()) - np.log(smooth[0] / smooth[0].sum())
-        seen = there.sum(axis=0)
-        ratio[seen < LEAST_DOCUMENTS] = 0
-        if (ratio != 0).sum() > max_features:
-            strength = np.abs(ratio) * np.sqrt(seen)
-            ratio[np.argpartition(strength, -max_features)[:-max_features]] = 0
-        rows = [r[ratio[r] != 0] for r in rows]
-        w, bias = fit_logistic(Rows(rows, width, [ratio[r] for r in rows]), y, l2=l2)
-        w = w * ratio
-        used = np.flatnonzero(w)
-        return pd.DataFrame({"slot": np.append(used, -1), "weight": np.append(w[used], bias)})
+    def fit(table: pa.Table) -> pa.Table:
+        slot, weight = fit_weights(table, 1 << bits, max_features, l2)
+        return pa.table({"slot": pa.array(slot, pa.int32()), "weight": pa.array(weight, pa.float64())})
 
     sample = labelled_sample(docs, labels, label, sample_rows).mapInPandas(features, "one int, doc_id string, label int, slots binary")
-    found = sample.groupBy("one").applyInPandas(fit, "slot int, weight double").toPandas()  # at most max_features + 1 rows
+    found = sample.groupBy("one").applyInArrow(fit, "slot int, weight double").toPandas()  # at most max_features + 1 rows
     weights = np.zeros(1 << bits, dtype=np.float32)
     weights[found["slot"][found["slot"] >= 0]] = found["weight"][found["slot"] >= 0]
     bias = float(found["weight"][found["slot"] < 0].sum()) if len(found) else 0.0
     return Model(weights, bias, orders, bits)
 
 
+def fit_weights(table: pa.Table, width: int, max_features: int, l2: float) -> tuple[np.ndarray, np.ndarray]:
+    """Slots and their weights from (doc_id, label, slots); slot -1 is the bias.
+
+    The slots of a document are read where Arrow holds them; only those of kept slots are copied, renumbered.
+    """
+    order = np.argsort(np.array(table["doc_id"].to_pylist(), dtype=object), kind="stable").tolist()
+    y = table["label"].to_numpy().astype(np.float64)[order]
+    share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
+    if y.min() == y.max():
+        return np.array([-1]), np.array([np.log(share / (1 - share))])
+    slots = [np.frombuffer(x.as_buffer(), dtype="<u4") for x in table["slots"]]
+    there = np.zeros((2, width), dtype=np.int32)
+    for k, label in zip(order, y.astype(int).tolist()):
+        there[label, slots[k]] += 1  # each slot once a document
+    smooth = there + 1.0
+    ratio = np.log(smooth[1] / smooth[1].sum()) - np.log(smooth[0] / smooth[0].sum())
+    seen = there.sum(axis=0)
+    ratio[seen < LEAST_DOCUMENTS] = 0
+    del smooth, there
+    if (ratio != 0).sum() > max_features:
+        strength = np.abs(ratio) * np.sqrt(seen)
+        ratio[np.argpartition(strength, -max_features)[:-max_features]] = 0
+    used = np.flatnonzero(ratio)
+    number = np.full(width, -1, dtype=np.int32)
+    number[used] = np.arange(len(used))
+    kept = []
+    for k in order:
+        n = number[slots[k]]
+        kept.append(n[n >= 0])
+    sizes, flat = np.array([len(n) for n in kept]), np.concatenate(kept)
+    del kept, slots
+    ratio = ratio[used]
+    w, bias = fit_logistic(Rows.of(flat, sizes, len(used), ratio.astype(np.float32)[flat]), y, l2=l2)
+    return np.append(used, -1), np.append(w * ratio, bias)
+
+
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     """docs with the probability that the text is toxic; null and empty texts have one too. A column of that name is replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
