@@ -252,6 +252,32 @@ def test_topk_query_without_vectors_that_are_not_finite(spark, tmp_path):
     assert got == sorted(con.sql(ORACLE_SQL["op5_exact_topk"]).fetchall()) and len(got) == 10
 
 
+def test_topk_of_vectors_that_repeat_or_differ_in_length(spark):
+    """A third of all rows share a vector, and ids of a third ask with it: ties go to the smaller ids, own rows take no part."""
+    rng = np.random.default_rng(3)
+    x = {i: [1, 2, 3, 4] if i % 3 == 0 else rng.integers(-3, 4, 1 if i % 17 == 0 else 4).tolist() for i in range(300)}
+    x |= {300: [], 310: []}
+    got = {}
+    for r in topk.search(spark.createDataFrame(list(x.items()), "vec_id long, embedding array<long>"), F.col("id") % 10 == 0, k=7).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    for q in range(0, 311, 10):
+        want = sorted((-sum(a * b for a, b in zip(x[q], x[c])), c) for c in x if c != q and len(x[c]) == len(x[q]))[:7]
+        assert sorted(got.get(q, [])) == [(k + 1, c, -s) for k, (s, c) in enumerate(want)]
+
+
+def test_topk_beyond_64_bits(spark):
+    big = 1 << 62
+    x = {0: [big, 3], 1: [5, -1], 2: [-big, 1], 3: [big, big], 4: [1, 2], 10: [2, 2], 20: [-(1 << 63), 1]}
+    got = {}
+    for r in topk.search(spark.createDataFrame(list(x.items()), "vec_id long, embedding array<long>"), F.col("id") % 10 == 0, k=5).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    for q in (0, 10, 20):
+        want = sorted((-max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(x[q], x[c])))), c) for c in x if c != q)[:5]
+        assert sorted(got[q]) == [(k + 1, c, -s) for k, (s, c) in enumerate(want)]
+    huge = spark.createDataFrame([(0, [1e300, -1e300, float("nan")])], "i int, v array<double>").select(topk.quantise(F.col("v"))).first()[0]
+    assert huge == [(1 << 63) - 1, -(1 << 63), None]
+
+
 def test_topk_repeats_and_large_numbers(spark):
     df = spark.createDataFrame([(0, [2**29, 1]), (0, [2**29, 1]), (1, [2**29, 3]), (2, [-5, 2])], "vec_id long, embedding array<long>")
     assert [(r["vec_id"], r["score"]) for r in topk.search(df, F.col("id") == 0).orderBy("rank").collect()] == [(1, 2**58 + 3), (2, -5 * 2**29 + 2)]

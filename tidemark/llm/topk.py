@@ -1,107 +1,193 @@
 """Op 5: exact top-k by inner product with a three-phase uniform threshold.
 
-A score is the sum of `lists` partial scores, one over each part of the components; a block of candidates
-holds one local score list a query and part. Phase one gathers the heads of the local lists, whose totals
-give each query a cutoff that its k-th best score cannot be below. Phase two sends the cutoff back: a
-candidate that reaches it has a partial score of at least cutoff / lists in some list, so only such
-entries are collected. Phase three drops those whose partial scores so far, with the most that the
-lists which did not report them allow, stay below the cutoff, and resolves the others exactly.
+A score is the sum of `lists` partial scores, one over each part of the components. The parts are shards of
+their own: a task has one part of a block of candidates and of a block of queries, and so one local score
+list a query. Phase one gathers the heads of the local lists; the exact totals of these few candidates give
+each query a cutoff that its k-th best score cannot be below. Phase two sends the cutoff back: a candidate
+that reaches it has a partial score of at least cutoff / lists in some list, so only such entries are
+collected. Phase three drops those that the lists which did not report them cannot lift to the cutoff, asks
+those lists for the partial scores of the others, and so resolves them exactly.
+
+Equal vectors are searched once: a group of them has its k + 1 smallest ids, which is all that a top-k with
+ties to the smaller id can use, and rows that ask with equal vectors share one search.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import materialise
-from tidemark.llm.vectors import best, cut, matrix, spread, top_rows, usable
+from tidemark.llm.vectors import best, block_matrix, cut, spread, top_rows, usable
 
-QUERY_BLOCK, CANDIDATE_BLOCK = 512, 8192
+QUERY_BLOCK, CANDIDATE_BLOCK = 8192, 8192
+AT_ONCE = 256  # queries of a block that are multiplied at once
 EXACT = 1 << 53
+MOST = (1 << 63) - 1
+WIDE = 1 << 60  # totals of vectors that might pass it are computed beyond 64 bits
+FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+CELLS = ["dim", "list", "_g", "_h"]
 
 
 def quantise(vector: Column, scale: int = 1024) -> Column:
-    """Whole numbers; null for a component that is not finite (NaN is above infinity)."""
+    """Whole numbers, those beyond 64 bits as the nearest of 64; null for a component that is not finite (NaN is above infinity)."""
     return F.transform(vector, lambda x: F.when(F.abs(x.cast("double")) < float("inf"), F.floor(F.lit(scale) * x.cast("double")).cast("long")))
 
 
-def _partials(q: np.ndarray, c: np.ndarray, lists: int) -> list[np.ndarray]:
-    """Partial scores of all queries and candidates, one array a list; exact integers."""
-    bounds = [q.shape[1] * i // lists for i in range(lists + 1)]
+def _products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Inner products of all queries and candidates, exactly."""
     most = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(1, q.shape[1])
-    if most >= 2.0**63:
-        raise OverflowError("a score does not fit 64 bits")
     if most < EXACT:  # then doubles hold every sum exactly, and matrix products are fast
-        q, c = q.astype(np.float64), c.astype(np.float64)
-    return [(q[:, a:b] @ c[:, a:b].T).astype(np.int64) for a, b in zip(bounds, bounds[1:])]
+        return (q.astype(np.float64) @ c.astype(np.float64).T).astype(np.int64)
+    return q @ c.T
 
 
-def _heads(k: int, lists: int):
-    def run(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
+def _wide_products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Inner products beyond 64 bits, set to the ends of 64 bits."""
+    return np.clip(q.astype(object) @ c.T.astype(object), -MOST - 1, MOST).astype(np.int64)
+
+
+def _blocks(queries: pa.Table, candidates: pa.Table, products):
+    """(ids of some queries, their rows in the table, ids of the candidates, products)."""
+    if len(queries) and len(candidates):
+        ids, c, q = candidates["id"].to_numpy(), block_matrix(candidates["v"]), block_matrix(queries["v"])
+        for first in range(0, len(q), AT_ONCE):
+            rows = np.arange(first, min(first + AT_ONCE, len(q)))
+            yield queries["id"].to_numpy()[rows], rows, ids, products(q[rows], c)
+
+
+def _found(parts: list[tuple], schema: pa.Schema = FOUND) -> pa.Table:
+    columns = [np.concatenate([np.asarray(p[i]) for p in parts]) if parts else [] for i in range(len(schema))]
+    return pa.table([pa.array(x, type=f.type) for x, f in zip(columns, schema)], schema=schema)
+
+
+def _heads(k: int, products=_products):
+    def run(queries: pa.Table, candidates: pa.Table) -> pa.Table:
         out = []
-        if len(queries) and len(candidates):
-            ids = candidates["id"].to_numpy()
-            parts = _partials(matrix(queries["v"], np.int64), matrix(candidates["v"], np.int64), lists)
-            for i, own in enumerate(queries["id"]):
-                others = np.flatnonzero(ids != own)
-                head = np.unique(np.concatenate([top_rows(p[i], ids, k, others) for p in parts]))
-                total = sum(p[i, head] for p in parts)
-                for j in top_rows(total, ids[head], k, np.arange(len(head))):
-                    out.append((own, ids[head[j]], total[j]))
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+        for own, _, ids, p in _blocks(queries, candidates, products):
+            every = np.arange(len(ids))
+            for i in range(len(own)):
+                at = top_rows(p[i], ids, k, every)
+                out.append((np.full(len(at), own[i]), ids[at], p[i, at]))
+        return _found(out)
 
     return run
 
 
-def _resolve(k: int, lists: int):
-    def run(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
+COLLECTED = pa.schema([*FOUND, ("cutoff", pa.int64()), ("list", pa.int32()), ("dim", pa.int32())])
+
+
+def _collect(lists: int):
+    """Partial scores of at least cutoff / lists; all of a query without a cutoff."""
+
+    def run(queries: pa.Table, candidates: pa.Table) -> pa.Table:
         out = []
-        if len(queries) and len(candidates):
-            ids = candidates["id"].to_numpy()
-            parts = _partials(matrix(queries["v"], np.int64), matrix(candidates["v"], np.int64), lists)
-            for i, (own, cutoff) in enumerate(zip(queries["id"], queries["cutoff"])):
-                if pd.isna(cutoff):  # fewer than k candidates in all: every entry is needed
-                    seen = np.ones((lists, len(ids)), dtype=bool)
-                    at = np.flatnonzero(ids != own)
-                else:
-                    cutoff = int(cutoff)
-                    seen = np.stack([lists * p[i] >= cutoff for p in parts])
-                    at = np.flatnonzero(seen.any(axis=0) & (ids != own))
-                    # What a list did not report is below cutoff / lists.
-                    reached = sum(np.where(s[at], lists * p[i, at], cutoff) for s, p in zip(seen, parts))
-                    at = at[reached >= lists * cutoff]
-                total = np.zeros(len(ids), dtype=np.int64)
-                total[at] = sum(p[i, at] for p in parts)
-                if not pd.isna(cutoff):
-                    at = at[total[at] >= cutoff]
-                out += [(own, ids[j], total[j]) for j in top_rows(total, ids, k, at)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+        for own, rows, ids, p in _blocks(queries, candidates, _products):
+            cutoff = queries["cutoff"].fill_null(-MOST).to_numpy()[rows]
+            i, j = np.nonzero(p >= -(-cutoff // lists)[:, None])
+            cell = [np.full(len(i), queries[c][0].as_py()) for c in ("list", "dim")]
+            out.append((own[i], ids[j], p[i, j], cutoff[i], *cell))
+        return _found(out, COLLECTED)
 
     return run
 
 
+def _resolve(asked: pa.Table, candidates: pa.Table) -> pa.Table:
+    """Partial scores of the pairs asked for: rows of `asked` hold a query's vector, or the vec_id of a pair."""
+    pair = np.asarray(asked["vec_id"].is_valid())
+    pairs, queries = asked.filter(pa.array(pair)), asked.filter(pa.array(~pair))
+    if not len(pairs):
+        return _found([])
+    own, other = pairs["id"].to_numpy(), pairs["vec_id"].to_numpy()
+    q, c = block_matrix(queries["v"]), block_matrix(candidates["v"])
+    rows = []
+    for table, wanted in ((queries, own), (candidates, other)):
+        ids = table["id"].to_numpy()
+        order = np.argsort(ids)
+        rows.append(order[np.searchsorted(ids, wanted, sorter=order)])
+    part = [(q[rows[0][a : a + 65536]] * c[rows[1][a : a + 65536]]).sum(axis=1) for a in range(0, len(own), 65536)]
+    return _found([(own, other, np.concatenate(part))])
+
+
+def _sharded(rows: DataFrame, lists: int) -> DataFrame:
+    """Every row once a list, with that part of its vector."""
+    each = rows.withColumn("list", F.explode(F.array(*[F.lit(i) for i in range(lists)])))
+    first, end = F.expr(f"(dim * list) div {lists}").cast("int"), F.expr(f"(dim * (list + 1)) div {lists}").cast("int")
+    return each.withColumn("v", F.slice("v", first + 1, end - first))
+
+
+def _three_phases(groups: DataFrame, asked: int, n: int, k: int, lists: int) -> DataFrame:
+    """query_id, vec_id, score: the k best groups of each asking group, by ids of groups."""
+    g, h = max(1, -(-n // CANDIDATE_BLOCK)), max(1, -(-asked // QUERY_BLOCK))
+    candidates = spread(_sharded(groups.select("id", "v", "dim"), lists).withColumn("_g", cut("id", g)), "_h", h)
+    queries = groups.where("asks").select("id", "v", "dim").withColumn("_h", cut("id", h))
+
+    heads = spread(_sharded(queries, lists), "_g", g).groupBy(*CELLS).cogroup(candidates.groupBy(*CELLS)).applyInArrow(_heads(k), "query_id long, vec_id long, score long")
+    # Lists that hold parts of one total may report a pair each; k of them in all lists together are enough for a cutoff.
+    pairs = best(heads, lists * k).select("query_id", "vec_id").distinct()
+    q, c = (groups.select(F.col("id").alias(name), F.col("v").alias(v)) for name, v in (("query_id", "qv"), ("vec_id", "cv")))
+    total = F.aggregate(F.zip_with("qv", "cv", lambda x, y: x * y), F.lit(0).cast("long"), lambda x, y: x + y)
+    scored = pairs.join(c, "vec_id").join(q, "query_id").select("query_id", "vec_id", total.alias("score"))
+    cutoffs = best(scored, k).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("cutoff"))
+    sent = materialise(queries.join(cutoffs, "id", "left"), "queries")
+
+    shape = "query_id long, vec_id long, score long, cutoff long, list int, dim int"
+    entries = spread(_sharded(sent, lists), "_g", g).groupBy(*CELLS).cogroup(candidates.groupBy(*CELLS)).applyInArrow(_collect(lists), shape)
+    known = entries.groupBy("query_id", "vec_id").agg(F.sum("score").alias("score"), F.max("cutoff").alias("cutoff"), F.max("dim").alias("dim"), F.collect_list("list").alias("lists"))
+    missing = lists - F.size("lists")
+    # What a list did not report is below cutoff / lists.
+    within = F.col("score") + missing * F.expr(f"(cutoff + {lists - 1}) div {lists}") >= F.col("cutoff")
+    known = materialise(known.where((missing == 0) | within), "entries")
+
+    every = F.array(*[F.lit(i) for i in range(lists)])
+    open_ = known.where(F.size("lists") < lists).withColumn("list", F.explode(F.array_except(every, "lists")))
+    open_ = open_.select("dim", "list", cut("vec_id", g).alias("_g"), cut("query_id", h).alias("_h"), F.col("query_id").alias("id"), F.lit(None).cast("array<long>").alias("v"), "vec_id")
+    vectors = spread(_sharded(queries, lists), "_g", g).select(*CELLS, "id", "v", F.lit(None).cast("long").alias("vec_id"))
+    parts = vectors.union(open_).groupBy(*CELLS).cogroup(candidates.groupBy(*CELLS)).applyInArrow(_resolve, "query_id long, vec_id long, score long")
+    whole = known.select("query_id", "vec_id", "score").union(parts).groupBy("query_id", "vec_id").agg(F.sum("score").alias("score"))
+    return best(whole, k).select("query_id", "vec_id", "score")
+
+
+def _beyond(groups: DataFrame, asked: int, n: int, k: int) -> DataFrame:
+    """The same for pairs with a wide vector: block by block, in whole numbers of any size."""
+    g, h = max(1, -(-n // CANDIDATE_BLOCK)), max(1, -(-asked // QUERY_BLOCK))
+    cells = ["dim", "_g", "_h", "wide"]
+    candidates = spread(groups.select("id", "v", "dim", "wide").withColumn("_g", cut("id", g)), "_h", h)
+    asking = spread(groups.where("asks").select("id", "v", "dim", "wide").withColumn("_h", cut("id", h)), "_g", g)
+    # Wide queries meet all candidates; others only the wide ones.
+    asking = asking.withColumn("wide", F.explode(F.when(F.col("wide"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))))
+    found = asking.groupBy(*cells).cogroup(candidates.groupBy(*cells)).applyInArrow(_heads(k, _wide_products), "query_id long, vec_id long, score long")
+    return best(found, k).select("query_id", "vec_id", "score")
+
+
 def search(vectors: DataFrame, is_query: Column, k: int = 10, lists: int = 2, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k highest integer inner products of every query.
 
     vector: integers, as of quantise(). is_query is a condition on `id`. Candidates are all rows but the
     query's own; only vectors of the query's length compare, and vectors that are null or hold nulls take no
-    part. Of repeated ids the greatest vector stands for all. Fewer candidates than k give fewer rows.
+    part. Of repeated ids the greatest vector stands for all. Fewer candidates than k give fewer rows. A score
+    beyond 64 bits counts as the nearest number of 64 bits. The integers must be ids, too.
     """
-    rows = materialise(usable(vectors, id_column, vector, zero_too=True), "vectors").withColumn("dim", F.size("v"))
-    n, asked = rows.agg(F.count("*"), F.count_if(is_query)).first()
-    if not n:
+    rows = usable(vectors, id_column, vector, zero_too=True).withColumn("dim", F.size("v"))
+    # Totals of other vectors stay below WIDE: each component is below the root of WIDE / dim.
+    most = F.floor(F.sqrt(F.lit(float(WIDE)) / F.greatest("dim", F.lit(1)))) - 1
+    rows = rows.withColumn("wide", F.exists("v", lambda x: (x > most) | (x < -most)))
+    rows = materialise(rows.withColumn("key", F.struct(F.xxhash64(F.lit(1), "v"), F.xxhash64(F.lit(2), "v"), "dim")), "vectors")
+    # 128 bits of hash tell vectors apart.
+    groups = materialise(rows.groupBy("key").agg(F.min("id").alias("id"), F.first("v").alias("v"), F.first("dim").alias("dim"), F.first("wide").alias("wide"), F.bool_or(F.coalesce(is_query, F.lit(False))).alias("asks")), "groups")
+    n, asked, wide = groups.agg(F.count("*"), F.count_if("asks"), F.count_if("wide")).first()
+    if not asked:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    g, h = max(1, -(-n // CANDIDATE_BLOCK)), max(1, -(-asked // QUERY_BLOCK))
-    cells = ["dim", "_g", "_h"]
-    candidates = spread(rows.withColumn("_g", cut("id", g)), "_h", h)
-    queries = rows.where(is_query).withColumn("_h", cut("id", h))
-    shape = "query_id long, vec_id long, score long"
-
-    heads = spread(queries, "_g", g).groupBy(*cells).cogroup(candidates.groupBy(*cells)).applyInPandas(_heads(k, lists), shape)
-    cutoffs = best(heads, k).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("cutoff"))
-    cutoffs = materialise(cutoffs, "cutoffs")
-    sent = spread(materialise(queries.join(cutoffs, "id", "left"), "queries"), "_g", g)
-    found = sent.groupBy(*cells).cogroup(candidates.groupBy(*cells)).applyInPandas(_resolve(k, lists), shape)
-    return best(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    found = _three_phases(groups.where("not wide"), asked, n, k + 1, lists)
+    if wide:
+        found = found.union(_beyond(groups, asked, n, k + 1))
+    found = materialise(best(found, k + 1).select("query_id", "vec_id", "score"), "found")
+
+    names = groups.select("key", F.col("id").alias("group"))
+    smallest = rows.select("key", "id").withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("id"))).where(F.col("n") <= k + 1)
+    members = smallest.join(names, "key").select(F.col("group").alias("vec_id"), F.col("id").alias("member"))
+    askers = rows.where(is_query).select("key", "id").join(names, "key").select(F.col("group").alias("query_id"), F.col("id").alias("asker"))
+    each = askers.join(found, "query_id").join(members, "vec_id").where("asker <> member").select(F.col("asker").alias("query_id"), F.col("member").alias("vec_id"), "score")
+    return best(each, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

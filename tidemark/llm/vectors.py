@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +43,12 @@ def matrix(column: pd.Series, dtype) -> np.ndarray:
     return np.array(rows, dtype=dtype).reshape(len(rows), -1)
 
 
+def block_matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """The lists of an Arrow column, all of one length and without nulls, as rows."""
+    n = len(column)
+    return np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks]).reshape(n, -1) if n else np.zeros((0, 0))
+
+
 def top_rows(scores: np.ndarray, ids: np.ndarray, k: int, at: np.ndarray) -> np.ndarray:
     """Of the places `at` the k with the highest scores, ties to the smaller id."""
     if len(at) > k:
