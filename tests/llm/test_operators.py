@@ -35,7 +35,7 @@ def odd(spark):
     rng = random.Random(4)
     texts = [None, "", " \n\t", "one", "two words", sentence(rng, 60), sentence(rng, 60_000), "Zoë ünï x　y"]
     df = table(spark, texts * 2, [0, 1, 2, 3, 4, 5, 6, None] * 2)
-    clash = {c: F.lit("mine") for c in ("score", "shard", "size", "rank", "label", "_text", "fp", "component_id", "n_words", "piece", "length", "mix_tokens_", "keep", "slot_")}
+    clash = {c: F.lit("mine") for c in ("score", "shard", "size", "rank", "label", "_text", "fp", "component_id", "n_words", "piece", "length", "mix_tokens", "mix_epoch", "keep", "slot", "_key", "_block", "_id", "_null", "_kept", "_batch", "_group", "sequence_id", "offset", "_toxic", "dim", "ids_crc32")}
     return df.withColumns(clash)
 
 
@@ -115,6 +115,63 @@ def test_mixing_reads_whole_epochs_and_meets_targets(spark, documents):
         assert w * sum(natural.values()) - 1 <= read <= w * sum(natural.values()) + longest[s]
 
 
+def brute_exponent(tokens, entropy=None, max_epochs=4.0, budget=None):
+    p = np.array(tokens) / sum(tokens)
+    w = lambda a: p**a / (p**a).sum()
+    grid = np.linspace(0, 1, 100_001)
+    if entropy is not None:
+        budget = sum(tokens) if budget is None else budget
+        grid = grid[max(i for i, a in enumerate(grid) if -(w(a) * np.log(w(a))).sum() >= entropy * np.log(len(p)) - 1e-9) :]
+    for a in grid:
+        whole = budget if budget is not None else 1 / (w(a) / tokens).min()
+        if whole * (w(a) / tokens).max() <= max_epochs * (1 + 1e-6):
+            return a
+    raise AssertionError
+
+
+@pytest.mark.parametrize("options", [dict(entropy=0.9), dict(entropy=0.99, max_epochs=2.0), dict(max_epochs=3.0), dict(max_epochs=1.5, budget=2000.0), dict(entropy=1.0, max_epochs=1e9)])
+def test_exponent_equals_a_scan(spark, options):
+    tokens = [1000, 300, 300, 50, 7, 1]
+    sizes = spark.createDataFrame([(t,) for t in tokens], "source_tokens long")
+    a, _ = mixing.find_exponent(sizes, options.get("entropy"), options.get("max_epochs", 4.0), options.get("budget"))
+    assert abs(a - brute_exponent(tokens, **options)) < 3e-5
+
+
+def test_mixing_equals_a_brute_force_dealer(spark):
+    """Weights, budgets and the order of blocks and documents, recomputed from the sizes and hashes."""
+    rng = random.Random(5)
+    texts = [sentence(rng, rng.randrange(0, 25)) for _ in range(400)]
+    df = table(spark, texts).drop("n_chars")
+    rows = mixing.mix(df, mixing.token_count(F.col("text")), target_entropy=0.999, max_epochs=2.5, tie_by=["doc_id"], least_blocks=8).collect()
+    hashed = df.withColumn("key", F.xxhash64(F.lit(11), "doc_id"))
+    docs = [(r["source"], r["key"], r["doc_id"], len((r["text"] or "").split()) + 1) for r in hashed.collect()]
+    orders = {(r["e"], r["b"]): r["h"] for r in spark.range(3).select(F.col("id").cast("int").alias("e"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("b")).withColumn("h", F.xxhash64(F.lit(11), "e", "b")).collect()}
+    inner = {(r["key"], r["e"]): r["h"] for r in hashed.select("key", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("e")).withColumn("h", F.xxhash64("key", "e")).collect()}
+    tokens = Counter()
+    for s, _, _, n in docs:
+        tokens[s] += n
+    total = sum(tokens.values())
+    a = brute_exponent(list(tokens.values()), 0.999, 2.5)
+    norm = sum((t / total) ** a for t in tokens.values())
+    for s, t in tokens.items():
+        budget = total * (t / total) ** a / norm
+        dealt = sorted((e, orders[e, key % 8], key % 8, inner[key, e], key, d, n) for src, key, d, n in docs if src == s for e in range(3))
+        want, used = [], 0
+        for e, *_, d, n in dealt:
+            if used < budget - 0.2:
+                want.append((e, d))
+            used += n
+        got = sorted(((r["mix_position"], r["mix_epoch"], r["doc_id"]) for r in rows if r["source"] == s))
+        assert abs(len(got) - len(want)) <= 1 and all((e, d) == w for (_, e, d), w in zip(got, want))
+
+
+def test_a_tiny_source_is_not_read_without_end(spark):
+    df = spark.createDataFrame([(i, "big", "w " * 2000) for i in range(300)] + [(300, "tiny", "w")], "doc_id long, source string, text string")
+    rows = mixing.mix(df, mixing.token_count(F.col("text")), target_entropy=0.97, max_epochs=4.0, tie_by=["doc_id"]).collect()
+    reads = Counter(r["doc_id"] for r in rows)
+    assert reads[300] <= 4 and len(reads) == 301
+
+
 def test_mixing_positions_are_running_sums(spark):
     rng = random.Random(8)
     df = table(spark, [sentence(rng, rng.randrange(1, 30)) for _ in range(200)])
@@ -130,7 +187,8 @@ def test_mixing_positions_are_running_sums(spark):
 
 def test_mixing_odd(odd):
     got = mixing.mix(odd, mixing.token_count(F.col("text")), max_epochs=1.0)
-    assert got.count() == odd.count() and got.columns[: len(odd.columns)] == odd.columns
+    theirs = [c for c in odd.columns if c not in mixing.ADDED]
+    assert got.count() == odd.count() and got.columns == [*theirs, *mixing.ADDED] and set(mixing.ADDED) & set(odd.columns)
     assert mixing.mix(odd.limit(0), mixing.token_count(F.col("text")), target_entropy=0.9).count() == 0
 
 
@@ -508,8 +566,8 @@ def test_near_copies_meet_more_than_their_hub(spark):
     close = [(i, j) for i in range(n) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
     want = components_of(n, close)
     for crowd in (32, 2):
-        roots = {r["_text"]: r["root"] for r in simhash.near_copies(table(spark, texts), crowd=crowd).collect()}
-        ids = {r["doc_id"]: r["t"] for r in table(spark, texts).select("doc_id", F.xxhash64("text").alias("t")).collect()}
+        roots = {r["__text"]: r["root"] for r in simhash.near_copies(table(spark, texts), crowd=crowd).collect()}
+        ids = {r["doc_id"]: r["t"] for r in table(spark, texts).select("doc_id", simhash.identity(F.col("text")).alias("t")).collect()}
         first = {}
         assert [first.setdefault(roots[ids[i]], i) for i in range(n)] == want
 

@@ -164,18 +164,19 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
 def pack(pieces: DataFrame, max_tokens: int = 4096, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """pieces (with a `length`) and the sequence_id and offset of each; keep other columns small.
 
-    Lengths out of 1..max_tokens, and null ones, are an error. An empty table gives an empty result.
+    Lengths out of 1..max_tokens, and null ones, are an error. An empty table gives an empty result. Columns
+    called sequence_id and offset are replaced; names that begin with __ are reserved.
     """
-    pieces = materialise(pieces, "pieces")  # row numbers below stay as they are when a task runs again
+    pieces = materialise(pieces.drop("sequence_id", "offset"), "pieces")  # row numbers below stay as they are when a task runs again
     groups = max(1, -(-pieces.count() // group_pieces))
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
+    dealt = pieces.withColumn("__group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         bins, offsets = sum_of_squares(pdf["length"].to_numpy(), max_tokens)
-        return pdf.assign(sequence_id=(int(pdf["_group"].iloc[0]) << 32) + bins, offset=offsets).drop(columns="_group")
+        return pdf.assign(sequence_id=(int(pdf["__group"].iloc[0]) << 32) + bins, offset=offsets).drop(columns="__group")
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return dealt.groupBy("_group").applyInPandas(run, f"{kinds}, sequence_id long, offset long")
+    return dealt.groupBy("__group").applyInPandas(run, f"{kinds}, sequence_id long, offset long")
 
 
 def sequences(pieces: DataFrame, placed: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    mixed = mixing.mix(docs, mixing.token_count(F.col("text")), target_entropy=0.97, tie_by=["doc_id"])
+    mixed = mixing.mix(docs, mixing.token_count(F.col("text")), target_entropy=0.97, max_epochs=4.0, tie_by=["doc_id"])
     return mixed.select("doc_id", "source", "mix_tokens", "mix_epoch", "mix_weight", "mix_position")
 
 

@@ -58,14 +58,16 @@ def assign(df: DataFrame, key: str, tie_by: list[str], shards: int = 16, vnodes:
     """df with `shard` (int) and `slot` (long, gapless from 0 in each shard).
 
     Null keys stand at one point of the ring; rows with equal keys stand together and are told apart by
-    tie_by, which also spreads a hot key over cells. An empty table gives an empty result.
+    tie_by, which also spreads a hot key over cells. An empty table gives an empty result. Columns called
+    shard and slot are replaced, unless they are the key or in tie_by; names that begin with __ are reserved.
     """
+    df = df.drop(*{"shard", "slot"} - {key, *tie_by})
     points = ring(shards, vnodes)
     owners = [s for _, s in points]
     # The arc of a hash is the number of points below it: arcs end at their owner's point, the last wraps to the first.
     ends = F.expr(f"array({', '.join(f'{p}L' for p, _ in points)})")
     position = F.pmod(F.xxhash64(F.lit(17), F.col(key)), F.lit(1 << RING_BITS))
-    spot = df.withColumn("_pos", position)
+    spot = df.withColumn("__pos", position)
     coarse = 1 << 12
     # Points below the start of each of 4096 equal slices of the ring, then at most a few compares within the slice.
     width = (1 << RING_BITS) // coarse
@@ -75,15 +77,15 @@ def assign(df: DataFrame, key: str, tie_by: list[str], shards: int = 16, vnodes:
             at += 1
         below.append(at)
     most = max(below[c + 1] - below[c] for c in range(coarse))
-    base = F.element_at(F.expr(f"array({', '.join(map(str, below))})"), (F.shiftrightunsigned("_pos", RING_BITS - 12) + 1).cast("int"))
-    arc = F.col("_base")
+    base = F.element_at(F.expr(f"array({', '.join(map(str, below))})"), (F.shiftrightunsigned("__pos", RING_BITS - 12) + 1).cast("int"))
+    arc = F.col("__base")
     for k in range(most):
-        arc = arc + F.coalesce((F.try_element_at(ends, F.col("_base") + F.lit(k + 1)) < F.col("_pos")).cast("int"), F.lit(0))
-    spot = spot.withColumn("_base", base).withColumn("_arc", F.pmod(arc, F.lit(len(points))).cast("int"))
-    spot = spot.withColumn("_cell", F.pmod(F.xxhash64(F.lit(29), F.col(key), *tie_by), F.lit(cells)).cast("int")).drop("_base")
+        arc = arc + F.coalesce((F.try_element_at(ends, F.col("__base") + F.lit(k + 1)) < F.col("__pos")).cast("int"), F.lit(0))
+    spot = spot.withColumn("__base", base).withColumn("__arc", F.pmod(arc, F.lit(len(points))).cast("int"))
+    spot = spot.withColumn("__cell", F.pmod(F.xxhash64(F.lit(29), F.col(key), *tie_by), F.lit(cells)).cast("int")).drop("__base")
 
-    counts = spot.groupBy("_arc", "_cell").agg(F.count("*").alias("_n"))
-    per_cell = [(r["_arc"], r["_cell"], r["_n"]) for r in counts.collect()]  # at most shards x vnodes x cells rows
+    counts = spot.groupBy("__arc", "__cell").agg(F.count("*").alias("__n"))
+    per_cell = [(r["__arc"], r["__cell"], r["__n"]) for r in counts.collect()]  # at most shards x vnodes x cells rows
     per_arc: dict[int, int] = {}
     before: list[tuple[int, int, int]] = []
     for a, c, n in sorted(per_cell):
@@ -91,13 +93,13 @@ def assign(df: DataFrame, key: str, tie_by: list[str], shards: int = 16, vnodes:
         per_arc[a] = per_arc.get(a, 0) + n
     parts = fill(per_arc, owners, shards, load)
     spark = df.sparkSession
-    starts = spark.createDataFrame(before, "_arc int, _cell int, _before long")
-    pieces = spark.createDataFrame(parts, "_arc int, _from long, _to long, shard int, _slot long")
-    w = Window.partitionBy("_arc", "_cell").orderBy("_pos", F.col(key), *tie_by)
-    ranked = spot.withColumn("_in", F.row_number().over(w) - 1).join(F.broadcast(starts), ["_arc", "_cell"])
-    ranked = ranked.withColumn("_rank", F.col("_before") + F.col("_in"))
-    placed = ranked.join(F.broadcast(pieces), "_arc").where("_rank >= _from and _rank < _to")
-    return placed.withColumn("slot", F.col("_slot") + F.col("_rank") - F.col("_from")).drop("_pos", "_arc", "_cell", "_before", "_in", "_rank", "_from", "_to", "_slot")
+    starts = spark.createDataFrame(before, "__arc int, __cell int, __before long")
+    pieces = spark.createDataFrame(parts, "__arc int, __from long, __to long, shard int, __slot long")
+    w = Window.partitionBy("__arc", "__cell").orderBy("__pos", F.col(key), *tie_by)
+    ranked = spot.withColumn("__in", F.row_number().over(w) - 1).join(F.broadcast(starts), ["__arc", "__cell"])
+    ranked = ranked.withColumn("__rank", F.col("__before") + F.col("__in"))
+    placed = ranked.join(F.broadcast(pieces), "__arc").where("__rank >= __from and __rank < __to")
+    return placed.withColumn("slot", F.col("__slot") + F.col("__rank") - F.col("__from")).drop("__pos", "__arc", "__cell", "__before", "__in", "__rank", "__from", "__to", "__slot")
 
 
 def shard_documents(docs: DataFrame, shards: int = 16, **ring_options) -> DataFrame:

@@ -163,18 +163,23 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
                 stands.append(shared >= similarity * (len(both) - shared) - 1e-9)
             yield pdf.loc[stands, ["a", "b"]]
 
-    joined = pairs.join(sets.withColumnsRenamed({"_text": "b", "hashes": "y"}), "b").join(sets.withColumnsRenamed({"_text": "a", "hashes": "x"}), "a")
+    joined = pairs.join(sets.withColumnsRenamed({"__text": "b", "hashes": "y"}), "b").join(sets.withColumnsRenamed({"__text": "a", "hashes": "x"}), "a")
     # A set that is much smaller than the other cannot be alike.
     sized = F.least(F.length("x"), F.length("y")) >= F.lit(similarity - 1e-9) * F.greatest(F.length("x"), F.length("y"))
-    return joined.where(sized).select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
+    return joined.where(sized).select("a", "b", "x", "y").mapInPandas(run, "a binary, b binary")
 
 
 def _ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
     return pairs.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
 
+def identity(text: Column) -> Column:
+    """128 bits that stand for a text; a null one is an empty one."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
 def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, crowd: int = 32) -> DataFrame:
-    """_text (64-bit hash of a text), root: texts with one root are near copies, by chains of close pairs.
+    """__text (see identity), root: texts with one root are near copies, by chains of close pairs.
 
     At a similarity of 0.8 a SimHash differs in 0.15 of its bits: keys of 28 bits, which keep unlike texts apart,
     would have to be 460 a text to miss 1 % of such pairs. Candidates share one of BANDS keys of smallest
@@ -185,37 +190,37 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, crow
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"_text": pdf["_text"], "keys": [band_keys(shingle_hashes((t or "").encode("utf-8", "surrogatepass"), shingle)) for t in pdf["text"]]})
+            yield pd.DataFrame({"__text": pdf["__text"], "keys": [band_keys(shingle_hashes((t or "").encode("utf-8", "surrogatepass"), shingle)) for t in pdf["text"]]})
 
     def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"_text": pdf["_text"], "hashes": [shingle_hashes((t or "").encode("utf-8", "surrogatepass"), shingle).tobytes() for t in pdf["text"]]})
+            yield pd.DataFrame({"__text": pdf["__text"], "hashes": [shingle_hashes((t or "").encode("utf-8", "surrogatepass"), shingle).tobytes() for t in pdf["text"]]})
 
-    plain = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("_text"), "text")
-    texts = materialise(plain.mapInPandas(keys, "_text long, keys array<long>").dropDuplicates(["_text"]), "texts")
-    keyed = texts.select("_text", F.explode("keys").alias("key"))
+    plain = docs.select(identity(F.col("text")).alias("__text"), "text")
+    texts = materialise(plain.mapInPandas(keys, "__text binary, keys array<long>").dropDuplicates(["__text"]), "texts")
+    keyed = texts.select("__text", F.explode("keys").alias("key"))
     # Most keys are of one text alone; the others are written out and used from there.
-    least = keyed.groupBy("key").agg(F.min("_text").alias("hub"), F.max("_text").alias("_max"), F.count("*").alias("n")).where("hub < _max").drop("_max")
+    least = keyed.groupBy("key").agg(F.min("__text").alias("hub"), F.max("__text").alias("__max"), F.count("*").alias("n")).where("hub < __max").drop("__max")
     shared = materialise(keyed.join(least, "key"), "keys")
-    used = shared.select("_text").distinct()
-    sets = materialise(plain.join(used, "_text").mapInPandas(hashes, "_text long, hashes binary").dropDuplicates(["_text"]), "sets")
+    used = shared.select("__text").distinct()
+    sets = materialise(plain.join(used, "__text").mapInPandas(hashes, "__text binary, hashes binary").dropDuplicates(["__text"]), "sets")
 
-    tried = materialise(_ordered(shared.where("_text <> hub"), "_text", "hub"), "candidates")
+    tried = materialise(_ordered(shared.where("__text <> hub"), "__text", "hub"), "candidates")
     stands = materialise(_alike(tried, sets, similarity), "near-copies")
     for salt in range(4):
         roots = materialise(connected_components(stands), "components")
-        rooted = shared.join(roots.withColumnRenamed("node", "_text"), "_text", "left").select("key", "n", "_text", F.coalesce("root", "_text").alias("root"))
-        split = rooted.groupBy("key").agg(F.min("root").alias("_min"), F.max("root").alias("_max"), F.min_by("_text", F.xxhash64(F.lit(salt), "_text")).alias("hub")).where("_min < _max")
+        rooted = shared.join(roots.withColumnRenamed("node", "__text"), "__text", "left").select("key", "n", "__text", F.coalesce("root", "__text").alias("root"))
+        split = rooted.groupBy("key").agg(F.min("root").alias("__min"), F.max("root").alias("__max"), F.min_by("__text", F.xxhash64(F.lit(salt), "__text")).alias("hub")).where("__min < __max")
         split = materialise(rooted.join(split.select("key", "hub"), "key"), "split-keys")
         crowded = split.where(F.col("n") > crowd)
         if salt < 3 and not crowded.isEmpty():
-            more = _ordered(crowded.where("_text <> hub"), "_text", "hub")
+            more = _ordered(crowded.where("__text <> hub"), "__text", "hub")
         else:
             # All texts of other roots under the key; blocks of a crowded key keep joins even.
             blocks = F.ceil(F.col("n") / crowd).cast("int")
-            x = split.select("key", F.pmod(F.xxhash64("_text"), blocks).cast("int").alias("block"), F.col("_text").alias("a"), F.col("root").alias("_x"))
-            y = split.select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.col("_text").alias("b"), F.col("root").alias("_y"))
-            more = _ordered(x.join(y, ["key", "block"]).where("_x < _y"), "a", "b")
+            x = split.select("key", F.pmod(F.xxhash64("__text"), blocks).cast("int").alias("block"), F.col("__text").alias("a"), F.col("root").alias("__x"))
+            y = split.select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.col("__text").alias("b"), F.col("root").alias("__y"))
+            more = _ordered(x.join(y, ["key", "block"]).where("__x < __y"), "a", "b")
             salt = 3
         more = materialise(more.join(tried, ["a", "b"], "left_anti"), "candidates")
         stands = materialise(stands.union(_alike(more, sets, similarity)), "near-copies")
@@ -223,16 +228,16 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, crow
         if salt == 3:
             break
     roots = connected_components(stands)
-    return texts.select("_text").join(roots.withColumnRenamed("node", "_text"), "_text", "left").select("_text", F.coalesce("root", "_text").alias("root"))
+    return texts.select("__text").join(roots.withColumnRenamed("node", "__text"), "__text", "left").select("__text", F.coalesce("root", "__text").alias("root"))
 
 
 def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
-    """docs with one row of each group of near copies: that of the smallest doc_id (null ids last), once."""
-    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_text"))
+    """docs with one row of each group of near copies: that of the smallest doc_id (null ids last), once. Names that begin with __ are reserved."""
+    rows = docs.select("doc_id", identity(F.col("text")).alias("__text"))
     groups = materialise(near_copies(docs, **options), "groups")
-    firsts = rows.groupBy("_text").agg(F.min("doc_id").alias("doc_id")).join(groups, "_text")
-    kept = firsts.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "_text")).alias("k"))
-    kept = materialise(kept.select(F.col("k._text").alias("_kept"), F.coalesce(F.col("k.doc_id"), F.lit(0)).alias("_id"), F.isnull("k.doc_id").alias("_null")), "kept")
-    tagged = docs.select("*", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_kept"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.isnull("doc_id").alias("_null"))
-    on = ["_kept", "_id", "_null"]
+    firsts = rows.groupBy("__text").agg(F.min("doc_id").alias("doc_id")).join(groups, "__text")
+    kept = firsts.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "__text")).alias("k"))
+    kept = materialise(kept.select(F.col("k.__text").alias("__kept"), F.coalesce(F.col("k.doc_id"), F.lit(0)).alias("__id"), F.isnull("k.doc_id").alias("__null")), "kept")
+    tagged = docs.select("*", identity(F.col("text")).alias("__kept"), F.coalesce("doc_id", F.lit(0)).alias("__id"), F.isnull("doc_id").alias("__null"))
+    on = ["__kept", "__id", "__null"]
     return tagged.join(kept, on).dropDuplicates(on).select(*docs.columns)

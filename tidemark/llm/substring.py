@@ -131,11 +131,11 @@ def _unpack(blob: bytes) -> tuple[list[np.ndarray], bytes]:
 
 def _batch_of(table: pa.Table, window: int, crowded: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, Batch]:
     """Number, order of the rows, hashes of the texts, and the batch: rows by id and text, in whatever order they came."""
-    ids, keys = table["_id"].to_numpy(), table["_key"].to_numpy()
+    ids, keys = table["__id"].to_numpy(), table["__key"].to_numpy()
     order = np.lexsort((keys, ids))
     texts = table["text"].to_pylist()
     batch = Batch(ids[order], [(texts[i] or "").encode("utf-8", "surrogatepass") for i in order.tolist()], window, crowded)
-    return table["_batch"][0].as_py(), order, keys[order], batch
+    return table["__batch"][0].as_py(), order, keys[order], batch
 
 
 def _shares(b: Batch, shards: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -155,9 +155,9 @@ def _rows(rows: list[tuple], schema: pa.Schema) -> pa.Table:
     return pa.table([pa.array([r[i] for r in rows], type=f.type) for i, f in enumerate(schema)], schema=schema)
 
 
-ASKED = pa.schema([("_batch", pa.int64()), ("shard", pa.int64()), ("blob", pa.binary())])
-REPLY = pa.schema([("_batch", pa.int64()), ("blob", pa.binary())])
-MATCHED = pa.schema([("_batch", pa.int64()), ("place", pa.bool_()), ("blob", pa.binary())])
+ASKED = pa.schema([("__batch", pa.int64()), ("shard", pa.int64()), ("blob", pa.binary())])
+REPLY = pa.schema([("__batch", pa.int64()), ("blob", pa.binary())])
+MATCHED = pa.schema([("__batch", pa.int64()), ("place", pa.bool_()), ("blob", pa.binary())])
 NONE = np.zeros(0, dtype=np.uint64)
 
 
@@ -186,7 +186,7 @@ def _reply(crowded: int):
         total = np.bincount(which, weights=n)[which]
         flag = (total > 1).astype(np.int64) + (total >= crowded)
         ends = np.cumsum([len(s) for s in steps])
-        out = [(batch, _pack(np.array([shard]), f)) for batch, shard, f in zip(table["_batch"].to_pylist(), table["shard"].to_pylist(), np.split(flag, ends[:-1]))]
+        out = [(batch, _pack(np.array([shard]), f)) for batch, shard, f in zip(table["__batch"].to_pylist(), table["shard"].to_pylist(), np.split(flag, ends[:-1]))]
         return _rows(out, REPLY)
 
     return run
@@ -230,7 +230,7 @@ def _match(window: int):
     of the data, are written to disk once, in this shuffle."""
 
     def run(table: pa.Table) -> pa.Table:
-        batches, blobs = table["_batch"].to_pylist(), table["blob"].to_pylist()
+        batches, blobs = table["__batch"].to_pylist(), table["blob"].to_pylist()
         if table["shard"][0].as_py() < 0:
             return _rows([(n, True, blob) for n, blob in zip(batches, blobs)], MATCHED)
         parts, texts = zip(*map(_unpack, blobs))
@@ -318,7 +318,7 @@ def _clean(window: int, columns: list[str]):
     """The documents of a batch less their repeats, every other column as it is."""
 
     def run(table: pa.Table, found: pa.Table) -> pa.Table:
-        ids, keys = table["_id"].to_numpy(), table["_key"].to_numpy()
+        ids, keys = table["__id"].to_numpy(), table["__key"].to_numpy()
         order = np.lexsort((keys, ids)).tolist()
         texts = table["text"].to_pylist()
         n_words = np.array([len((texts[i] or "").encode("utf-8", "surrogatepass").split()) for i in order], dtype=np.int64)
@@ -345,18 +345,18 @@ def remove_repeats(docs: DataFrame, window: int = 13, crowded: int = CROWDED) ->
     Adds n_words and n_removed (columns of these names are replaced); texts that lose nothing stay as they
     are, byte for byte, null ones too. The rest of a text keeps its white space; where words went, the
     neighbours are one space apart. Rows with one doc_id do not remove each other's words, and a null
-    doc_id counts as larger than any other. doc_id must be an integer.
+    doc_id counts as larger than any other. doc_id must be an integer. Names that begin with __ are reserved.
     """
     columns = [c for c in docs.columns if c not in ("n_words", "n_removed")]
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards, batches = (int(max(1, -(-size // n))) for n in (SHARD_BYTES, BATCH_BYTES))
     id_, key = F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID))), F.xxhash64(F.coalesce("text", F.lit("")))
-    dealt = docs.select(*columns, id_.alias("_id"), key.alias("_key")).withColumn("_batch", F.pmod(F.xxhash64("_id", "_key"), F.lit(batches)))
+    dealt = docs.select(*columns, id_.alias("__id"), key.alias("__key")).withColumn("__batch", F.pmod(F.xxhash64("__id", "__key"), F.lit(batches)))
     # All three uses below take all columns, so that they share this one shuffle of the texts.
-    dealt = dealt.repartition("_batch")
-    asked = dealt.groupBy("_batch").applyInArrow(_ask(window, shards), "_batch long, shard long, blob binary")
-    replies = asked.groupBy("shard").applyInArrow(_reply(crowded), "_batch long, blob binary")
-    sent = dealt.groupBy("_batch").cogroup(replies.groupBy("_batch")).applyInArrow(_send(window, shards), "_batch long, shard long, blob binary")
-    matched = sent.groupBy("shard").applyInArrow(_match(window), "_batch long, place boolean, blob binary")
+    dealt = dealt.repartition("__batch")
+    asked = dealt.groupBy("__batch").applyInArrow(_ask(window, shards), "__batch long, shard long, blob binary")
+    replies = asked.groupBy("shard").applyInArrow(_reply(crowded), "__batch long, blob binary")
+    sent = dealt.groupBy("__batch").cogroup(replies.groupBy("__batch")).applyInArrow(_send(window, shards), "__batch long, shard long, blob binary")
+    matched = sent.groupBy("shard").applyInArrow(_match(window), "__batch long, place boolean, blob binary")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in columns)
-    return dealt.groupBy("_batch").cogroup(matched.groupBy("_batch")).applyInArrow(_clean(window, columns), f"{kinds}, n_words long, n_removed long")
+    return dealt.groupBy("__batch").cogroup(matched.groupBy("__batch")).applyInArrow(_clean(window, columns), f"{kinds}, n_words long, n_removed long")
