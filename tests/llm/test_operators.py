@@ -341,14 +341,16 @@ def test_topk_repeats_and_large_numbers(spark):
     assert [(r["vec_id"], r["score"]) for r in topk.search(df, F.col("id") == 0).orderBy("rank").collect()] == [(1, 2**58 + 3), (2, -5 * 2**29 + 2)]
 
 
-@pytest.mark.parametrize("n", [0, 1, 5, 3000])
-def test_ann_recall_and_exact_scores(spark, n):
+@pytest.mark.parametrize("n, options", [(0, {}), (1, {}), (5, {}), (3000, {}), (3000, dict(sample_rows=200, split_rows=60))])
+def test_ann_recall_and_exact_scores(spark, n, options):
     rng = np.random.default_rng(n)
     centre = rng.normal(size=(12, 16))
     x = (centre[rng.integers(0, 12, n)] + 0.4 * rng.normal(size=(n, 16))).astype(np.float32)
-    rows = [(i, [float(v) for v in x[i]]) for i in range(n)] + [(n, [0.0] * 16), (n + 1, [float("nan")] * 16), (n + 2, None)]
+    if n > 5:
+        x[rng.random(n) < 0.1] = x[7]  # a leaf of equal vectors that no tree can split
+    rows = [(i, [float(v) for v in x[i]]) for i in range(n)] + [(n, [0.0] * 16), (n + 1, [float("nan")] * 16), (n + 2, None), (n + 10, [1.0] * 3)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = ann.search(df, F.col("id") % 20 == 0, k=20).collect()
+    got = ann.search(df, F.col("id") % 20 == 0, k=20, **options).collect()
     hits = total = 0
     y = x.astype(np.float64)
     for q in range(0, n, 20):
@@ -356,11 +358,38 @@ def test_ann_recall_and_exact_scores(spark, n):
         assert [r for r, _, _ in mine] == list(range(1, min(20, n - 1) + 1)) and q not in {v for _, v, _ in mine}
         assert all(abs(s - y[q] @ y[v]) < 1e-9 for _, v, s in mine)
         true = sorted((-(y[q] @ y[c]), c) for c in range(n) if c != q)[:20]
-        hits += len({c for _, c in true} & {v for _, v, _ in mine})
+        hits += sum(s >= -true[-1][0] - 1e-9 for _, _, s in mine)
         total += len(true)
     assert hits >= 0.9 * total
 
 
+def test_ann_tree_grows_with_the_table(spark):
+    """Clusters that a small sample cannot tell apart: leaves split on their own rows, and few rows are compared."""
+    rng = np.random.default_rng(2)
+    centre = rng.normal(size=(60, 12))
+    x = centre[rng.integers(0, 60, 4000)] + 0.1 * rng.normal(size=(4000, 12))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    forest = ann.Forest(rows, sample_rows=150, split_rows=100)
+    assert forest.lower and forest.rows.count() == forest.rows.select("id").distinct().count() == 4000
+    sizes = {r["leaf"]: r["rows"] for r in forest.sizes.collect()}
+    assert max(sizes.values()) <= 100 and len(sizes) > 40
+    visits = ann._calibrate(forest, 20, 0.95, 100)
+    walked = forest.walk(rows.where("id % 50 = 0"), visits, 21).join(forest.sizes, "leaf").groupBy("id").agg(F.sum("rows").alias("n")).collect()
+    assert len(walked) == 80 and np.mean([r["n"] for r in walked]) < 4000 / 5
+
+
+def test_ann_recall_on_queries_that_did_not_calibrate(spark):
+    """The given embeddings have no clusters: recall holds, at the price of many visits."""
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").where("embedding is not null")
+    x = {r["vec_id"]: np.array(r["embedding"], dtype=np.float64) for r in df.collect()}
+    used = {r["vec_id"] for r in df.orderBy(F.xxhash64(F.lit(3), "vec_id"), "vec_id").limit(ann.CALIBRATION_QUERIES).collect()}
+    found = {}
+    for r in ann.search(df, F.col("id") % 20 == 0, k=20).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = [len(found[q] & {c for _, c in sorted((-(x[q] @ x[c]), c) for c in x if c != q)[:20]}) for q in found if q not in used]
+    assert len(hits) > 50 and sum(hits) >= 0.9 * 20 * len(hits)
+
+
 def test_ann_widens_until_there_are_enough(spark):
     df = spark.createDataFrame([(i, [float(i % 5 == 0), 1.0]) for i in range(300)], "vec_id long, embedding array<float>")
     got = ann.search(df, F.col("id") == 0, k=20).orderBy("rank").collect()
