@@ -487,8 +487,11 @@ def test_fm_index_finds_what_a_scan_finds():
     s[-1] = 0
     q = rng.integers(1, 4, 60)
     for window in (2, 5, 13):
-        at, low, high = match_windows(index := FmIndex(s), q, np.array([60]), np.array([60]), window)
-        got = {int(a): sorted(index.order[i:j].tolist()) for a, i, j in zip(at, low, high)}
+        index = FmIndex(s, window, np.arange(400))
+        at, low, high = match_windows(index, q, np.array([60]), np.array([60]))
+        got = {int(a): sorted(index.values[i:j].tolist()) for a, i, j in zip(at, low, high)}
+        assert index.least(low, high).tolist() == [got[int(a)][0] for a in at]
+        assert not any(len(v) == len(s) and v is not index.values for v in vars(index).values() if isinstance(v, np.ndarray))
         for k in range(60 - window + 1):
             assert got.get(k, []) == [j for j in range(400 - window + 1) if (s[j : j + window] == q[k : k + window]).all()]
 

@@ -254,14 +254,10 @@ def _match(window: int):
         owners = np.full(len(content), NO_ID, dtype=np.int64)
         np.minimum.at(owners, text_of, least_id[shared])
 
-        depth = 1 << (window - 1).bit_length()
-        index = FmIndex(symbols, depth)
-        at, low, _ = match_windows(index, symbols, ends, sizes - 1, window)
-        # The suffixes of a window are one group; its smallest owner is the group's.
-        group, starts = index.groups(window)
-        least = np.minimum.reduceat(np.repeat(owners, sizes)[index.order], starts[:-1])
+        index = FmIndex(symbols, window, np.repeat(owners, sizes))
+        at, low, high = match_windows(index, symbols, ends, sizes - 1)
         minima = np.full(len(symbols), NO_ID, dtype=np.int64)
-        minima[at] = least[group[low]]
+        minima[at] = index.least(low, high)
 
         out = []
         begins, windows = ends - sizes + 1, sizes - window
