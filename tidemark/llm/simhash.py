@@ -111,8 +111,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42, distance:
     return rows.join(names, "fp").select("doc_id", "fp", "component_id")
 
 
-#: Bands of ROWS smallest hashes each: texts of similarity s share no band with odds of (1 - s ** ROWS) ** BANDS, 4e-4 at 0.8.
-BANDS, ROWS = 20, 5
+#: (bands, smallest hashes in each): texts of similarity s share no key with odds of (1 - s ** rows) ** bands. At 0.8 that
+#: is 4e-4 for COARSE, and 1e-2 for FINE (3e-5 at 0.85), which keeps those of 0.6 apart in 92 % of all cases.
+COARSE, FINE = (20, 5), (100, 14)
+HUBS = 4  # texts that all others of a crowded key meet
 
 
 def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
@@ -133,19 +135,17 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-ODD = (_mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-
-
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """One key a band, of the smallest values that ROWS hash functions take on the set; the empty set has keys of its own."""
+def band_keys(hashes: np.ndarray, bands: int = COARSE[0], rows: int = COARSE[1]) -> np.ndarray:
+    """One key a band, of the smallest values that `rows` hash functions take on the set; the empty set has keys of its own."""
+    odd = (_mixed(np.arange(1, bands * rows + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
     short = (hashes >> np.uint64(32)).astype(np.uint32)
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint32).max, dtype=np.uint32)
-    for i in range(0, len(short), 1024):
+    least = np.full(bands * rows, np.iinfo(np.uint32).max, dtype=np.uint32)
+    for i in range(0, len(short), 256):
         # The high bits of a product depend on all bits of the hash, and each odd factor is a permutation.
-        least = np.minimum(least, (short[i : i + 1024, None] * ODD).min(axis=0))
-    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for i in range(ROWS):
-        keys = _mixed(keys * np.uint64(0x94D049BB133111EB) + least[i::ROWS])
+        least = np.minimum(least, (short[i : i + 256, None] * odd).min(axis=0))
+    keys = np.arange(1, bands + 1, dtype=np.uint64)
+    for i in range(rows):
+        keys = _mixed(keys * np.uint64(0x94D049BB133111EB) + least[i::rows])
     return keys.view(np.int64)
 
 
@@ -173,6 +173,14 @@ def _ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
     return pairs.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
 
+def _unlinked(keyed: DataFrame, crowd: int) -> DataFrame:
+    """Pairs of different roots under a key of (key, n, __text, root); keys of many texts are cut into blocks, which keeps the join even."""
+    blocks = F.ceil(F.col("n") / crowd).cast("int")
+    x = keyed.select("key", F.pmod(F.xxhash64("__text"), blocks).cast("int").alias("block"), F.col("__text").alias("a"), F.col("root").alias("__x"))
+    y = keyed.select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.col("__text").alias("b"), F.col("root").alias("__y"))
+    return _ordered(x.join(y, ["key", "block"]).where("__x < __y"), "a", "b")
+
+
 def identity(text: Column) -> Column:
     """128 bits that stand for a text; a null one is an empty one."""
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
@@ -182,10 +190,9 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, crow
     """__text (see identity), root: texts with one root are near copies, by chains of close pairs.
 
     At a similarity of 0.8 a SimHash differs in 0.15 of its bits: keys of 28 bits, which keep unlike texts apart,
-    would have to be 460 a text to miss 1 % of such pairs. Candidates share one of BANDS keys of smallest
-    shingle hashes instead, and exact shingle sets decide. The texts of a key meet its smallest first; under keys whose
-    texts are not all linked then, crowded ones meet other members in turn, and in the end all texts that
-    are not linked yet meet each other. Null texts count as empty, and those without words are copies of each other.
+    would have to be 460 a text to miss 1 % of such pairs. Candidates share one of 20 COARSE keys of smallest
+    shingle hashes instead, and exact shingle sets decide. The texts of a key meet its smallest first, those of a crowded
+    key HUBS members; then texts of a key that are not linked yet meet each other, in a crowded one under FINE keys. Null texts count as empty, and those without words are copies of each other.
     """
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -196,37 +203,39 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, crow
         for pdf in batches:
             yield pd.DataFrame({"__text": pdf["__text"], "hashes": [shingle_hashes((t or "").encode("utf-8", "surrogatepass"), shingle).tobytes() for t in pdf["text"]]})
 
+    def fine_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"__text": pdf["__text"], "root": pdf["root"], "keys": [band_keys(np.frombuffer(h, dtype=np.uint64), *FINE) for h in pdf["hashes"]]})
+
     plain = docs.select(identity(F.col("text")).alias("__text"), "text")
     texts = materialise(plain.mapInPandas(keys, "__text binary, keys array<long>").dropDuplicates(["__text"]), "texts")
     keyed = texts.select("__text", F.explode("keys").alias("key"))
     # Most keys are of one text alone; the others are written out and used from there.
-    least = keyed.groupBy("key").agg(F.min("__text").alias("hub"), F.max("__text").alias("__max"), F.count("*").alias("n")).where("hub < __max").drop("__max")
-    shared = materialise(keyed.join(least, "key"), "keys")
+    more_hubs = [F.min_by("__text", F.xxhash64(F.lit(salt), "__text")) for salt in range(HUBS - 1)]
+    hubs = keyed.groupBy("key").agg(F.min("__text").alias("hub"), F.max("__text").alias("__max"), F.count("*").alias("n"), F.array(*more_hubs).alias("more")).where("hub < __max").drop("__max")
+    shared = materialise(keyed.join(hubs, "key"), "keys")
     used = shared.select("__text").distinct()
     sets = materialise(plain.join(used, "__text").mapInPandas(hashes, "__text binary, hashes binary").dropDuplicates(["__text"]), "sets")
 
-    tried = materialise(_ordered(shared.where("__text <> hub"), "__text", "hub"), "candidates")
+    met = F.when(F.col("n") > crowd, F.concat(F.array("hub"), "more")).otherwise(F.array("hub"))
+    tried = shared.select("__text", F.explode(met).alias("hub")).where("__text <> hub")
+    tried = materialise(_ordered(tried, "__text", "hub"), "candidates")
     stands = materialise(_alike(tried, sets, similarity), "near-copies")
-    for salt in range(4):
-        roots = materialise(connected_components(stands), "components")
-        rooted = shared.join(roots.withColumnRenamed("node", "__text"), "__text", "left").select("key", "n", "__text", F.coalesce("root", "__text").alias("root"))
-        split = rooted.groupBy("key").agg(F.min("root").alias("__min"), F.max("root").alias("__max"), F.min_by("__text", F.xxhash64(F.lit(salt), "__text")).alias("hub")).where("__min < __max")
-        split = materialise(rooted.join(split.select("key", "hub"), "key"), "split-keys")
-        crowded = split.where(F.col("n") > crowd)
-        if salt < 3 and not crowded.isEmpty():
-            more = _ordered(crowded.where("__text <> hub"), "__text", "hub")
-        else:
-            # All texts of other roots under the key; blocks of a crowded key keep joins even.
-            blocks = F.ceil(F.col("n") / crowd).cast("int")
-            x = split.select("key", F.pmod(F.xxhash64("__text"), blocks).cast("int").alias("block"), F.col("__text").alias("a"), F.col("root").alias("__x"))
-            y = split.select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.col("__text").alias("b"), F.col("root").alias("__y"))
-            more = _ordered(x.join(y, ["key", "block"]).where("__x < __y"), "a", "b")
-            salt = 3
-        more = materialise(more.join(tried, ["a", "b"], "left_anti"), "candidates")
-        stands = materialise(stands.union(_alike(more, sets, similarity)), "near-copies")
-        tried = tried.union(more)
-        if salt == 3:
-            break
+    roots = materialise(connected_components(stands), "components")
+    rooted = shared.join(roots.withColumnRenamed("node", "__text"), "__text", "left").select("key", "n", "__text", F.coalesce("root", "__text").alias("root"))
+    split = rooted.groupBy("key").agg(F.min("root").alias("__min"), F.max("root").alias("__max")).where("__min < __max")
+    split = materialise(rooted.join(split.select("key"), "key"), "split-keys")
+    # In a key of few texts, those that are not linked yet all meet. In a crowded one that would be the square of the crowd:
+    # its texts meet under their fine keys, which unlike texts hardly share.
+    few = _unlinked(split.where(F.col("n") <= crowd), crowd)
+    crowds = split.where(F.col("n") > crowd).select("__text", "root").distinct()
+    fine = sets.join(crowds, "__text").mapInPandas(fine_keys, "__text binary, root binary, keys array<long>").select("__text", "root", F.explode("keys").alias("key"))
+    counts = fine.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("__min"), F.max("root").alias("__max")).where("__min < __max").select("key", "n")
+    fine = materialise(fine.join(counts, "key"), "fine-keys")
+    more = materialise(few.union(_unlinked(fine, crowd)).distinct().join(tried, ["a", "b"], "left_anti"), "candidates")
+    found = materialise(_alike(more, sets, similarity), "near-copies")
+    # What holds so far is a star a component.
+    stands = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found)
     roots = connected_components(stands)
     return texts.select("__text").join(roots.withColumnRenamed("node", "__text"), "__text", "left").select("__text", F.coalesce("root", "__text").alias("root"))
 
