@@ -274,6 +274,33 @@ def test_quality_held_out(spark):
     assert np.mean(good) > 0.97
 
 
+def test_views_teach_each_other(spark):
+    """Unlabelled pages shout words that no label has: the page view knows shouting, and teaches the text view the words."""
+    rng = random.Random(3)
+    good, bad, new = ([f"{c}{rng.choice('aeiou')}{rng.choice('lmnr')}{i}" for i in range(30)] for c in ("good", "bad", "fresh"))
+    rows, marks = [], []
+    for i in range(240):
+        marks.append((i, i % 2))
+        rows.append((i, sentence(rng, 60, good) if i % 2 else sentence(rng, 60, bad).upper(), "en", "s"))
+    rows += [(1000 + i, sentence(rng, 60, new + bad[:3]).upper() if i % 2 else sentence(rng, 60, good), "en", "s") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame(marks, "doc_id long, quality int")
+    calm = [sentence(rng, 60, new) for _ in range(30)]  # without the shouting: only the text view can tell
+    alone, taught = (cotrain.train(docs, labels, rounds=r, per_round=60).measures(calm, ["en"] * 30, ["s"] * 30) for r in (0, 2))
+    assert taught["text"].mean() < alone["text"].mean() - 1 and (taught["text"] < 0).mean() > 0.9
+
+
+def test_pseudo_labels_equal_brute_force(spark):
+    rng = np.random.default_rng(4)
+    x = [(i, float(a), float(b)) for i, (a, b) in enumerate(rng.normal(0, 3, (500, 2)))]
+    got = {tuple(r) for r in cotrain.most_confident(spark.createDataFrame(x, "doc_id long, text double, page double"), 0.75, 40).collect()}
+    want = set()
+    for v in (0, 1):
+        low, high = sorted(x, key=lambda r: r[1 + v])[:10], sorted(x, key=lambda r: -r[1 + v])[:30]
+        want |= {(i, 0.0, 1 - v) for i, *m in low if m[v] < -1} | {(i, 1.0, 1 - v) for i, *m in high if m[v] > 1}
+    assert got == want
+
+
 # 5 and 10
 
 

@@ -1,11 +1,11 @@
 """Op 8: quality by co-training a text view and a metadata view.
 
-The text view sees character n-grams of the whole text and how often a word
-follows itself. The metadata view sees what is known about the
-page without reading it: its language, source, length, compressed size and layout (lines, line lengths,
-shares of upper case, symbols and spaces). Both start from the labelled sample; in every round each gives its most
-confident pseudo-labels of unlabelled documents to the other. Both are then calibrated on labelled
-documents kept aside for that, and the mean of the calibrated log-odds scores all documents.
+The text view sees character n-grams of the whole text and how often a word follows itself. The metadata
+view sees the page: its language, source, length, compressed size and layout (lines, line lengths, shares of
+upper case, symbols and spaces); it knows no n-gram and no word. Both start from the labelled sample; in every
+round each scores all unlabelled documents and gives its most confident pseudo-labels to the other. Both are
+then calibrated on labelled documents kept aside for that, and the mean of the calibrated log-odds scores all
+documents.
 """
 
 from __future__ import annotations
@@ -20,11 +20,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import materialise
 from tidemark.llm.linear import Rows, encode, fit_logistic, hashed_ngrams, sigmoid
 from tidemark.llm.toxicity import held_out, labelled_sample
 
 LABELLED_ROWS = 3000  # labelled documents that are used, at most; a quarter of them calibrates
-POOL_ROWS = 3000  # unlabelled documents that get pseudo-labels, at most
 ROUNDS = 3
 PER_ROUND = 300  # pseudo-labels that a view gives away in a round, at most
 ORDERS = (1, 2, 3)
@@ -87,14 +87,15 @@ class Model:
     text_bias: float
     page_bias: float
 
-    def score(self, texts: list[str], langs: list, sources: list) -> np.ndarray:
+    def measures(self, texts: list[str], langs: list, sources: list) -> pd.DataFrame:
+        """Margins of the text view and the page view, before calibration, and the score."""
         first = np.empty(len(texts))
         for k, text in enumerate(texts):
             slots = text_slots(text)
             first[k] = self.text[slots].sum() / np.sqrt(len(slots)) + self.text_bias
         second = _metadata_rows(np.array([metadata(*x) for x in zip(texts, langs, sources)])).times(self.page) + self.page_bias if texts else first
         a, b = self.text_line, self.page_line
-        return sigmoid((a[0] * first + a[1] + b[0] * second + b[1]) / 2)
+        return pd.DataFrame({"text": first, "page": second, "score": sigmoid((a[0] * first + a[1] + b[0] * second + b[1]) / 2)})
 
 
 def _calibrate(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -108,77 +109,55 @@ def _calibrate(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return (float(w[0]), b) if w[0] > 0 else (1.0, 0.0)
 
 
-def co_train(y: np.ndarray, labelled: np.ndarray, text_rows: list[np.ndarray], pages: np.ndarray, rounds: int = ROUNDS, per_round: int = PER_ROUND) -> Model:
-    """y: labels of all sample rows, read only where labelled is true."""
-    fold = np.arange(len(y)) % 4 == 0
-    aside, known = labelled & fold, labelled & ~fold
-    if not known.any() or y[known].min() == y[known].max():
-        share = float(np.clip(y[known].mean(), 1e-3, 1 - 1e-3)) if known.any() else 0.5
+def fit_views(y: np.ndarray, view: np.ndarray, text_rows: list[np.ndarray], pages: np.ndarray) -> Model:
+    """Both views and their calibration. y: labels; view: -1 for a given label, or the view (0 text, 1 page) that learns the row's pseudo-label."""
+    given = np.flatnonzero(view < 0)
+    aside, known = given[::4], np.setdiff1d(given, given[::4])
+    if not len(known) or y[known].min() == y[known].max():
+        share = float(np.clip(y[known].mean(), 1e-3, 1 - 1e-3)) if len(known) else 0.5
         odds = float(np.log(share / (1 - share)))
         return Model(np.zeros(WIDTH), (1.0, 0.0), np.zeros(DENSE + NAMES_SLOTS), (1.0, 0.0), odds, odds)
 
     def text_of(at):
-        return Rows([text_rows[i] for i in at], WIDTH, [np.full(len(text_rows[i]), 1 / np.sqrt(max(1, len(text_rows[i])))) for i in at])
+        return Rows([text_rows[i] for i in at], WIDTH, [np.full(len(text_rows[i]), 1 / np.sqrt(max(1, len(text_rows[i]))), dtype=np.float32) for i in at])
 
     def pages_of(at):
         return _metadata_rows(pages[at])
 
-    views, taught = (text_of, pages_of), [dict(), dict()]  # what each view has learnt from the other: row -> label
-    free = ~labelled
-    start = np.flatnonzero(known)
-    fits = [None, None]
-    for turn in range(rounds + 1):
-        for v in (0, 1):
-            extra = np.array(sorted(taught[v]), dtype=np.int64)
-            at = np.concatenate([start, extra])
-            labels = np.concatenate([y[start], [taught[v][i] for i in extra]])
-            weights = np.concatenate([np.ones(len(start)), np.full(len(extra), 0.5)])
-            fits[v] = fit_logistic(views[v](at), labels, weights, l2=0.1)
-        pool = np.flatnonzero(free)
-        if turn == rounds or not len(pool):
-            break
-        share = y[start].mean()
-        for v in (0, 1):
-            margin = views[v](pool).times(fits[v][0]) + fits[v][1]
-            order = np.argsort(margin, kind="stable")
-            low, high = round(per_round * (1 - share)), round(per_round * share)
-            for i in order[:low]:
-                if margin[i] < -1:
-                    taught[1 - v][pool[i]] = 0.0
-            for i in order[len(order) - high :]:
-                if margin[i] > 1:
-                    taught[1 - v][pool[i]] = 1.0
-        free[[*taught[0], *taught[1]]] = False
-    at = np.flatnonzero(aside)
-    lines = [_calibrate(views[v](at).times(fits[v][0]) + fits[v][1], y[at]) for v in (0, 1)]
+    fits, lines = [], []
+    for v, rows_of in enumerate((text_of, pages_of)):
+        at = np.concatenate([known, np.flatnonzero(view == v)])
+        w, b = fit_logistic(rows_of(at), y[at], np.where(view[at] < 0, 1.0, 0.5), l2=0.1)
+        fits.append((w, b))
+        lines.append(_calibrate(rows_of(aside).times(w) + b, y[aside]))
     return Model(fits[0][0], lines[0], fits[1][0], lines[1], fits[0][1], fits[1][1])
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", labelled_rows: int = LABELLED_ROWS, pool_rows: int = POOL_ROWS, rounds: int = ROUNDS, per_round: int = PER_ROUND) -> Model:
-    """Co-train on bounded samples, in one task. Rows held out (see toxicity.held_out) are never read."""
-    known = labelled_sample(docs, labels, label, labelled_rows)
-    pool = docs.select("doc_id").where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).join(labels.where(F.col(label).isNotNull()).select("doc_id"), "doc_id", "left_anti")
-    pool = pool.distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(pool_rows)
-    ids = known.select("doc_id", "label").union(pool.select("doc_id", F.lit(None).cast("int")))
-    sample = docs.select("doc_id", "text", "lang", "source").join(F.broadcast(ids), "doc_id")  # at most labelled_rows + pool_rows ids
-    sample = sample.groupBy("doc_id").agg(*[F.max(c).alias(c) for c in ("text", "lang", "source", "label")])
+FEATURES = "one int, doc_id string, label double, view int, slots binary, page binary"
 
-    def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _features(rows: DataFrame) -> DataFrame:
+    """What fit_views reads, of (doc_id, text, lang, source, label, view)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             texts = [t or "" for t in pdf["text"]]
             pages = [metadata(t, a, b).tobytes() for t, a, b in zip(texts, pdf["lang"], pdf["source"])]
-            yield pd.DataFrame({"one": 0, "doc_id": pdf["doc_id"].astype(str), "label": pdf["label"].astype("float64"), "slots": [text_slots(t).astype("<u4").tobytes() for t in texts], "page": pages})
+            yield pd.DataFrame({"one": 0, "doc_id": pdf["doc_id"].astype(str), "label": pdf["label"].astype("float64"), "view": pdf["view"], "slots": [text_slots(t).astype("<u4").tobytes() for t in texts], "page": pages})
+
+    return rows.select("doc_id", "text", "lang", "source", "label", "view").mapInPandas(run, FEATURES)
+
+
+def _fit(sample: DataFrame) -> Model:
+    """Both views from all rows of _features, in one task: they are bounded."""
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("doc_id")
-        rows = [np.frombuffer(s, dtype="<u4").astype(np.int64) for s in pdf["slots"]]
-        pages = np.array([np.frombuffer(p) for p in pdf["page"]])
-        y = pdf["label"].to_numpy(dtype=np.float64)
-        m = co_train(np.nan_to_num(y), ~np.isnan(y), rows, pages, rounds, per_round)
+        pdf = pdf.sort_values(["doc_id", "view"])
+        rows = [np.frombuffer(s, dtype="<u4") for s in pdf["slots"]]
+        m = fit_views(pdf["label"].to_numpy(), pdf["view"].to_numpy(), rows, np.array([np.frombuffer(p) for p in pdf["page"]]))
         numbers = [*m.text_line, *m.page_line, m.text_bias, m.page_bias]
         return pd.DataFrame({"part": ["text", "page", "numbers"], "data": [np.asarray(x, dtype=np.float64).tobytes() for x in (m.text, m.page, numbers)]})
 
-    sample = sample.mapInPandas(features, "one int, doc_id string, label double, slots binary, page binary")
     parts = {r["part"]: np.frombuffer(r["data"]) for r in sample.groupBy("one").applyInPandas(fit, "part string, data binary").collect()}
     if not parts:
         return Model(np.zeros(WIDTH), (1.0, 0.0), np.zeros(DENSE + NAMES_SLOTS), (1.0, 0.0), 0.0, 0.0)
@@ -186,19 +165,60 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", labelled_r
     return Model(parts["text"], (n[0], n[1]), parts["page"], (n[2], n[3]), n[4], n[5])
 
 
-def score_column(docs: DataFrame, model: Model) -> Column:
+def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, text, lang, source) with the columns of ids, one row a row of ids; ids are few. Of repeated ids the last in order stands."""
+    rows = docs.select("doc_id", "text", "lang", "source").join(F.broadcast(ids.select("doc_id").distinct()), "doc_id")
+    return rows.groupBy("doc_id").agg(*[F.max(c).alias(c) for c in ("text", "lang", "source")]).join(ids, "doc_id")
+
+
+def most_confident(margins: DataFrame, share: float, per_round: int) -> DataFrame:
+    """(doc_id, label, view): the pseudo-labels that each view gives the other, of all documents in (doc_id, text, page)."""
+    found = None
+    for v, column in enumerate(("text", "page")):
+        for label, count, sure, order in ((0.0, round(per_round * (1 - share)), F.col(column) < -1, F.col(column)), (1.0, round(per_round * share), F.col(column) > 1, F.col(column).desc())):
+            top = margins.where(sure).orderBy(order, F.xxhash64("doc_id"), "doc_id").limit(count)
+            top = top.select("doc_id", F.lit(label).alias("label"), F.lit(1 - v).alias("view"))
+            found = top if found is None else found.union(top)
+    return found.groupBy("doc_id", "view").agg(F.max("label").alias("label")).select("doc_id", "label", "view")
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", labelled_rows: int = LABELLED_ROWS, rounds: int = ROUNDS, per_round: int = PER_ROUND) -> Model:
+    """Co-train on at most labelled_rows labelled documents and all unlabelled ones. Rows held out (see toxicity.held_out) are never read.
+
+    In each round both views score every unlabelled document, and the per_round most confident ones of each
+    (less, if it is sure of fewer) become labels of the other view; only these are added to the rows of the fit.
+    """
+    known = labelled_sample(docs, labels, label, labelled_rows).select("doc_id", F.col("label").cast("double").alias("label"), F.lit(-1).alias("view"))
+    sample = materialise(_features(_texts_of(docs, materialise(known, "labelled"))), "features")
+    share = sample.agg(F.avg("label")).first()[0]
+    if share is None or share in (0.0, 1.0):
+        return _fit(sample)
+    free = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).join(labels.where(F.col(label).isNotNull()).select("doc_id").distinct(), "doc_id", "left_anti")
+    taught = docs.sparkSession.createDataFrame([], "doc_id string")
+    for _ in range(rounds):
+        margins = free.select("doc_id", _measures(docs, _fit(sample)).alias("m"))
+        margins = materialise(margins.select("doc_id", "m.text", "m.page"), "margins")
+        left = margins.join(taught, margins["doc_id"].cast("string") == taught["doc_id"], "left_anti")
+        news = materialise(most_confident(left, share, per_round), "pseudo-labels")
+        sample = materialise(sample.union(_features(_texts_of(docs, news))), "features")
+        taught = sample.where("view >= 0").select("doc_id").distinct()
+    return _fit(sample)
+
+
+def _measures(docs: DataFrame, model: Model) -> Column:
+    """A struct of the margins of both views, text and page, and the score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def scores(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.pandas_udf("text double, page double, score double")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for texts, langs, sources in batches:
-            yield pd.Series(shared.value.score([t or "" for t in texts], list(langs), list(sources)))
+            yield shared.value.measures([t or "" for t in texts], list(langs), list(sources))
 
-    return scores(F.col("text"), F.col("lang"), F.col("source"))
+    return run(F.col("text"), F.col("lang"), F.col("source"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
     """doc_id, held_out, score (of being good), keep for every row; null texts, languages and sources count as empty."""
     columns = docs.select("doc_id", "text", "lang", "source")
-    scored = columns.select("doc_id", score_column(columns, train(docs, labels, **options)).alias("score"))
+    scored = columns.select("doc_id", _measures(columns, train(docs, labels, **options))["score"].alias("score"))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).alias("keep"))
