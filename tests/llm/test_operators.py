@@ -81,6 +81,13 @@ def test_licenses_equal_brute_force(spark):
         assert r["containment"] >= 0.8 and r["first_word"] + r["n_words"] <= len(licenses.words_of(texts[r["doc_id"]].encode()))
 
 
+def test_the_best_of_overlapping_licenses(spark):
+    t = licenses.TEMPLATES
+    texts = ["so " + t["GPL-2.0-header"] + " far", t["BSD-3-Clause"], t["MIT-text"] + " and " + t["ISC"], t["BSD-2-Clause"].lower()]
+    got = licenses.scan(table(spark, texts)).where("best").collect()
+    assert sorted((r["doc_id"], r["license"]) for r in got) == [(0, "GPL-2.0-header"), (1, "BSD-3-Clause"), (2, "ISC"), (2, "MIT-text"), (3, "BSD-2-Clause")]
+
+
 def test_licenses_odd(spark, odd):
     assert licenses.scan(odd).count() == 0
     assert licenses.scan(odd.limit(0)).count() == 0
