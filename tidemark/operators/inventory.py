@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,7 +41,9 @@ def type_from_mode(mode: Column) -> Column:
 
 def split_us(us: Column) -> tuple[Column, Column]:
     """Seconds and nanoseconds; nanoseconds are never negative."""
-    return F.floor(us / 1000000).cast("long"), (F.pmod(us, F.lit(1000000)) * 1000).cast("long")
+    below = F.pmod(us, F.lit(1000000))
+    # Whole numbers throughout: a double has no room for the microseconds of far dates.
+    return F.call_function("div", us - below, F.lit(1000000)).cast("long"), (below * 1000).cast("long")
 
 
 def times(sec: Column, nsec: Column, us: Column) -> tuple[Column, Column]:
@@ -105,6 +108,11 @@ def copy_action(role: Column) -> Column:
     return F.when(t == 3, "symlink").when(t == 2, "dir_attrs").when(t != 1, "skip").when(role == "link", "hardlink_existing").when(F.col("size") == 0, "empty").otherwise("copy")
 
 
+def timestamp(sec: Column, nsec: Column) -> Column:
+    """Seconds, a point, and nine digits of nanoseconds; no nanoseconds are zero."""
+    return F.concat_ws(".", sec, F.lpad(F.coalesce(nsec, F.lit(0)).cast("string"), 9, "0"))
+
+
 def attr_plan(owner: bool = True, mode: bool = True, utimes: bool = True) -> Column:
     """Attribute operations in order: owner, mode, times (no access time: the modification's; no nanoseconds: zero)."""
     ops = []
@@ -113,35 +121,48 @@ def attr_plan(owner: bool = True, mode: bool = True, utimes: bool = True) -> Col
     if mode:
         ops.append(F.concat(F.lit("chmod:"), F.col("mode").bitwiseAND(4095).cast("string")))
     if utimes:
-        m = F.concat_ws(".", F.col("mtime_sec"), F.coalesce(F.col("mtime_nsec"), F.lit(0)))
-        a = F.when(F.col("atime_sec").isNotNull(), F.concat_ws(".", F.col("atime_sec"), F.lit(0))).otherwise(m)
+        m = timestamp(F.col("mtime_sec"), F.col("mtime_nsec"))
+        a = F.when(F.col("atime_sec").isNotNull(), timestamp(F.col("atime_sec"), F.col("atime_nsec"))).otherwise(m)
         ops.append(F.when(F.col("mtime_sec").isNotNull(), F.concat_ws(":", F.lit("utimes"), a, m)))
     return F.array_join(F.array_compact(F.array(*ops)), ";")
 
 
+def _fill(sizes: np.ndarray, batch: int, files: int, held: int, max_bytes: int, max_files: int) -> tuple[np.ndarray, int, int, int]:
+    """Batch numbers of some rows of a shard, going on from an open batch: from one end of a batch to the next."""
+    cum, n, at = np.concatenate([[0], np.cumsum(sizes)]), len(sizes), 0
+    out = np.empty(n, dtype=np.int64)
+    while at < n:
+        end = min(int(np.searchsorted(cum, cum[at] + max_bytes - held, side="right")) - 1, at + max_files - files, n)
+        end = max(end, at + 1) if not files else max(end, at)
+        out[at:end] = batch
+        files, held, at = files + end - at, held + int(cum[end] - cum[at]), end
+        if at < n:
+            batch, files, held = batch + 1, 0, 0
+    return out, batch, files, held
+
+
 def assign_batches(index: DataFrame, max_bytes: int, max_files: int) -> DataFrame:
-    """shard_index, row_id, batch: rows of a shard in order, a batch closing when it has max_files rows or the next
-    row would take it over max_bytes; the first row of a batch always fits.
+    """index with `batch`: rows of a shard in order, a batch closing when it has max_files rows or the next row
+    would take it over max_bytes; the first row of a batch always fits. A null size counts nothing.
 
-    Where a batch ends depends on all before it in the shard, so every shard is folded in order, streaming.
+    Where a batch ends depends on all before it in the shard, so every shard is read in order, streaming.
     """
 
-    def fold(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shard, batch, files, held = None, 0, 0, 0
-        for pdf in pdfs:
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, state = None, (0, 0, 0)
+        for rows in batches:
+            shards = np.array(rows["shard_index"].to_numpy(zero_copy_only=False))
+            sizes = rows["size"].fill_null(0).to_numpy()
             out = []
-            for s, size in zip(pdf["shard_index"], pdf["size"]):
-                if s != shard:
-                    shard, batch, files, held = s, 0, 0, 0
-                elif files >= max_files or held + size > max_bytes:
-                    batch, files, held = batch + 1, 0, 0
-                files, held = files + 1, held + size
-                out.append(batch)
-            yield pd.DataFrame({"shard_index": pdf["shard_index"], "row_id": pdf["row_id"], "batch": out})
+            for part in np.split(np.arange(len(shards)), np.flatnonzero(shards[1:] != shards[:-1]) + 1) if len(shards) else []:
+                if shards[part[0]] != shard:
+                    shard, state = shards[part[0]], (0, 0, 0)
+                numbers, *state = _fill(sizes[part], *state, max_bytes, max_files)
+                out.append(numbers)
+            yield rows.append_column("batch", pa.array(np.concatenate(out) if out else np.zeros(0, dtype=np.int64)))
 
-    kind = index.schema["shard_index"].dataType.simpleString()
-    dealt = index.select("shard_index", "row_id", "size").repartition("shard_index").sortWithinPartitions("shard_index", "row_id")
-    return dealt.mapInPandas(fold, f"shard_index {kind}, row_id long, batch long")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in index.schema)
+    return index.repartition("shard_index").sortWithinPartitions("shard_index", "row_id").mapInArrow(fold, f"{kinds}, batch long")
 
 
 def interleave(rows: DataFrame, within: list[str]) -> DataFrame:
@@ -157,10 +178,11 @@ def deepest_first(rows: DataFrame) -> DataFrame:
     return rows.where("file_type = 2").withColumn("depth", depth(F.col("path"))).orderBy(F.desc("depth"), "row_id")
 
 
-def copy_plan(index: DataFrame, **policy) -> DataFrame:
-    """row_id, action, link_role, attributes and size class of every row: links are found inside their shard."""
-    roles = link_roles(index, ["shard_index"])
-    return roles.select("shard_index", "row_id", copy_action(F.col("link_role")).alias("action"), "link_role", attr_plan(**policy).alias("attributes"), F.when(F.col("file_type") == 1, size_class(F.col("size"))).alias("size_class"), "size")
+def copy_plan(index: DataFrame, max_bytes: int = 1 << 30, max_files: int = 1000, **policy) -> DataFrame:
+    """Batch, place in its spread order, action, link role, attributes and size class of every row; links are found inside their batch."""
+    batched = assign_batches(index, max_bytes, max_files)
+    roles = interleave(link_roles(batched, ["shard_index", "batch"]), ["shard_index", "batch"])
+    return roles.select("shard_index", "row_id", "batch", "spread_order", copy_action(F.col("link_role")).alias("action"), "link_role", attr_plan(**policy).alias("attributes"), F.when(F.col("file_type") == 1, size_class(F.col("size"))).alias("size_class"), "size")
 
 
 def plan_rollup(plan: DataFrame) -> DataFrame:
@@ -186,26 +208,55 @@ def fidelity_forecast(index: DataFrame, recorded: DataFrame) -> DataFrame:
     return j.select("shard_index", "downgrade", F.coalesce("expected", F.lit(0)).alias("expected"), F.coalesce("recorded", F.lit(0)).alias("recorded"))
 
 
-DIRECTORY_ATTRIBUTES = ("file_type", "mode", "uid", "gid", "mtime_sec", "mtime_nsec", "ino", "nlink")
+DIRECTORY_ATTRIBUTES = ("file_type", "dev", "ino", "mode", "uid", "gid", "nlink", "size", "mtime_sec", "mtime_nsec", "ctime_sec", "ctime_nsec")
+
+
+def identity_changes(before: Callable[[str], Column], after: Callable[[str], Column]) -> Column:
+    """Which of type, size, mtime, ctime and device:inode differ, with both values, as text."""
+
+    def change(name: str, *fields: str, show: Callable[..., Column] = lambda *c: F.concat_ws(":", *c)) -> Column:
+        moved = F.array_contains(F.array(*[~before(c).eqNullSafe(after(c)) for c in fields]), True)
+        return F.when(moved, F.concat(F.lit(f"{name} "), show(*map(before, fields)), F.lit(" -> "), show(*map(after, fields))))
+
+    times = {"mtime": ("mtime_sec", "mtime_nsec"), "ctime": ("ctime_sec", "ctime_nsec")}
+    found = [change("type", "file_type"), change("size", "size"), *[change(k, *v, show=timestamp) for k, v in times.items()], change("identity", "dev", "ino")]
+    return F.array_join(F.array_compact(F.array(*found)), ", ")
 
 
 def stability_audit(before: DataFrame, after: DataFrame) -> DataFrame:
-    """path, finding, changes: directories that changed while they were listed, and files torn or replaced meanwhile."""
-    fields = [*DIRECTORY_ATTRIBUTES, "size", "dev"]
-    j = before.select("path", *[F.col(c).alias(f"a_{c}") for c in fields]).join(after.select("path", *[F.col(c).alias(f"b_{c}") for c in fields]), "path")
-    moved = lambda c: ~F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}"))
-    changes = F.array_join(F.array_compact(F.array(F.when(moved("file_type"), "type"), F.when(moved("size"), "size"), F.when(moved("mtime_sec") | moved("mtime_nsec"), "mtime"), F.when(moved("dev") | moved("ino"), "identity"))), ",")
-    any_moved = lambda cs: F.array_contains(F.array(*map(moved, cs)), True)
-    finding = F.when((F.col("a_file_type") == 2) & any_moved(DIRECTORY_ATTRIBUTES), "unstable_directory").when((F.col("a_file_type") == 1) & (moved("size") | moved("mtime_sec") | moved("mtime_nsec")), "torn_copy").when((F.col("a_file_type") == 1) & moved("ino"), "replaced")
-    return j.select("path", finding.alias("finding"), changes.alias("changes")).where("finding is not null")
+    """path, finding, changes: directories of which any attribute changed while they were listed, and files torn or replaced meanwhile.
+
+    A change time tells a file that was rewritten in place and had its modification time put back.
+    """
+    j = before.select("path", *[F.col(c).alias(f"a_{c}") for c in DIRECTORY_ATTRIBUTES]).join(after.select("path", *[F.col(c).alias(f"b_{c}") for c in DIRECTORY_ATTRIBUTES]), "path")
+    a, b = (lambda c: F.col(f"a_{c}")), (lambda c: F.col(f"b_{c}"))
+
+    def moved(*fields: str) -> Column:
+        return F.array_contains(F.array(*[~a(c).eqNullSafe(b(c)) for c in fields]), True)
+
+    torn = moved("size", "mtime_sec", "mtime_nsec", "ctime_sec", "ctime_nsec")
+    finding = F.when((a("file_type") == 2) & moved(*DIRECTORY_ATTRIBUTES), "unstable_directory").when((a("file_type") == 1) & torn, "torn_copy").when((a("file_type") == 1) & moved("dev", "ino"), "replaced")
+    return j.select("path", finding.alias("finding"), identity_changes(a, b).alias("changes")).where("finding is not null")
+
+
+BLOCK_BYTES = 512
 
 
 def estate_profile(index: DataFrame) -> DataFrame:
-    """Rows, bytes and bytes with every inode once, by type and size class, by each, and in all."""
-    keyed = (F.col("nlink") > 1) & F.col("inode").isNotNull() & (F.col("file_type") == 1)
-    # The first row of an inode carries its bytes: one shuffle by inode, which rows of single links spread evenly.
-    firsts = index.where(keyed).groupBy("inode").agg(F.min("row_id").alias("_first"))
-    j = index.join(firsts, "inode", "left")
-    once = F.when(~keyed | (F.col("row_id") == F.col("_first")), F.col("size")).otherwise(0)
-    typed = j.select("file_type", F.when(F.col("file_type") == 1, size_class(F.col("size"))).otherwise("none").alias("size_class"), "size", once.alias("once"))
-    return typed.cube("file_type", "size_class").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.sum("once").alias("bytes_once"))
+    """Rows, bytes, bytes with every inode once, and bytes that sparse files don't allocate: by type and size class, by
+    each, by depth, by owner, and in all. `level` tells the columns that are not grouped by, as bits.
+
+    Inodes are told apart by file system; all without one are one. The first row of an inode carries its bytes.
+    """
+    blocks = F.col("allocated_blocks") if "allocated_blocks" in index.columns else F.lit(None).cast("long")
+    keyed = F.coalesce((F.col("nlink") > 1) & F.col("inode").isNotNull() & (F.col("file_type") == 1), F.lit(False))
+    kind = F.when(F.col("file_type") == 1, size_class(F.col("size"))).otherwise("none")
+    by = ["file_type", "size_class", "depth", "uid"]
+    rows = index.select("row_id", "fsid", "inode", "size", "file_type", kind.alias("size_class"), depth(F.col("path")).cast("long").alias("depth"), "uid", keyed.alias("keyed"), F.greatest(F.col("size") - blocks * BLOCK_BYTES, F.lit(0)).alias("sparse"))
+    each = rows.select(*by, F.lit(1).alias("n"), "size", F.when(F.col("keyed"), 0).otherwise(F.col("size")).alias("once"), F.when(F.col("file_type") == 1, F.col("sparse")).alias("sparse"))
+    first = rows.where("keyed").groupBy("fsid", "inode").agg(F.min(F.struct("row_id", *by, "size")).alias("f")).select("f.*")
+    zero = F.lit(0).cast("long")
+    both = each.unionByName(first.select(*by, F.lit(0).alias("n"), zero.alias("size"), F.col("size").alias("once"), zero.alias("sparse")))
+    sets = [["file_type", "size_class"], ["file_type"], ["size_class"], ["depth"], ["uid"], []]
+    sums = both.groupingSets([[F.col(c) for c in s] for s in sets], *by)
+    return sums.agg(F.grouping_id().cast("int").alias("level"), F.sum("n").alias("n"), F.sum("size").alias("bytes"), F.sum("once").alias("bytes_once"), F.coalesce(F.sum("sparse"), zero).alias("sparse_bytes"))

@@ -17,21 +17,21 @@ SHARD_NAME = "concat('part-', lpad(CAST(o_orderkey AS VARCHAR(20)), 8, '0'), '.p
 VIEWS: dict[str, str] = {
     "obs_source": """
         SELECT path, max(file_type) AS file_type, max(size) AS size, max(mode) AS mode, max(uid) AS uid, max(gid) AS gid,
-          max(mtime_sec) AS mtime_sec, max(mtime_nsec) AS mtime_nsec, 1 AS dev, max(ino) AS ino, max(nlink) AS nlink, max(symlink_target) AS symlink_target
+          max(mtime_sec) AS mtime_sec, max(mtime_nsec) AS mtime_nsec, max(ctime_sec) AS ctime_sec, max(ctime_nsec) AS ctime_nsec, 1 AS dev, max(ino) AS ino, max(nlink) AS nlink, max(symlink_target) AS symlink_target
         FROM (SELECT concat('s', l_suppkey, '/p', l_partkey, '/o', l_orderkey, '_', l_linenumber) AS path,
           CASE WHEN l_linenumber = 5 THEN 2 WHEN l_linenumber = 6 THEN 3 WHEN l_linenumber = 4 AND l_suppkey % 50 = 0 THEN 4 ELSE 1 END AS file_type,
           CASE WHEN l_linenumber = 7 THEN 1048574 + l_partkey % 5 ELSE CAST(l_quantity AS BIGINT) * 1024 END AS size,
           420 + (l_linenumber % 2) * 73 AS mode, l_suppkey AS uid, l_partkey % 10 AS gid,
-          l_orderkey * 86400 AS mtime_sec, (l_partkey % 1000) * 1000 + 7 AS mtime_nsec,
+          l_orderkey * 86400 AS mtime_sec, (l_partkey % 1000) * 1000 + 7 AS mtime_nsec, l_orderkey * 86400 + 60 AS ctime_sec, l_partkey % 500 AS ctime_nsec,
           l_orderkey * 10 + l_suppkey % 3 AS ino, 1 + l_partkey % 2 AS nlink,
           CASE WHEN l_linenumber = 6 THEN concat('../o', l_orderkey) END AS symlink_target FROM {lineitem}) t GROUP BY path""",
     "obs_destination": """
         SELECT path, file_type, size + CASE WHEN ino % 97 = 1 THEN 1 ELSE 0 END AS size, CASE WHEN ino % 89 = 2 THEN 384 ELSE mode END AS mode,
           CASE WHEN ino % 83 = 3 THEN 0 ELSE uid END AS uid, gid, mtime_sec, mtime_nsec + CASE WHEN ino % 79 = 4 THEN 1000 WHEN ino % 79 = 5 THEN 1 ELSE 0 END AS mtime_nsec,
-          2 AS dev, CASE WHEN ino % 67 = 7 THEN ino * 100000 + uid + 7000000000 ELSE ino + 1000000000 END AS ino, nlink,
+          ctime_sec + CASE WHEN ino % 61 = 8 THEN 5 ELSE 0 END AS ctime_sec, ctime_nsec + CASE WHEN ino % 59 = 9 THEN 1 ELSE 0 END AS ctime_nsec, 2 AS dev, CASE WHEN ino % 67 = 7 THEN ino * 100000 + uid + 7000000000 ELSE ino + 1000000000 END AS ino, nlink,
           CASE WHEN ino % 71 = 6 THEN concat(symlink_target, 'x') ELSE symlink_target END AS symlink_target
         FROM {obs_source} WHERE ino % 101 <> 0
-        UNION ALL SELECT concat('extra/', path), file_type, size, mode, uid, gid, mtime_sec, mtime_nsec, 2, ino + 5000000000, 1, symlink_target FROM {obs_source} WHERE ino % 103 = 5""",
+        UNION ALL SELECT concat('extra/', path), file_type, size, mode, uid, gid, mtime_sec, mtime_nsec, ctime_sec, ctime_nsec, 2, ino + 5000000000, 1, symlink_target FROM {obs_source} WHERE ino % 103 = 5""",
     "entries": """
         SELECT 0 AS side, * FROM {obs_source} UNION ALL SELECT 1 AS side, * FROM {obs_destination}""",
     "issues": """
@@ -58,8 +58,10 @@ VIEWS: dict[str, str] = {
         SELECT (uid % 8) * 1099511627776 + row_number() OVER (PARTITION BY uid % 8 ORDER BY path) - 1 AS row_id,
           concat('/', path) AS path, size, mode, file_type, CASE WHEN ino % 10 = 0 THEN NULL ELSE mtime_sec END AS mtime_sec,
           CASE WHEN ino % 20 < 2 THEN NULL ELSE mtime_nsec END AS mtime_nsec, CASE WHEN ino % 5 <> 0 THEN mtime_sec + 1 END AS atime_sec,
+          CASE WHEN ino % 4 <> 0 THEN (ino * 7) % 1000000000 END AS atime_nsec,
           CASE WHEN uid % 17 = 0 THEN NULL ELSE uid END AS uid, CASE WHEN uid % 19 = 0 THEN NULL ELSE gid END AS gid, nlink,
-          CASE WHEN ino % 13 = 0 THEN NULL ELSE ino END AS inode, CASE WHEN uid % 7 = 0 THEN NULL ELSE 1 END AS fsid, symlink_target, uid % 8 AS shard_index
+          CASE WHEN ino % 13 = 0 THEN NULL ELSE ino END AS inode, CASE WHEN uid % 7 = 0 THEN NULL ELSE 1 + uid % 2 END AS fsid,
+          CASE WHEN ino % 9 = 0 THEN NULL WHEN ino % 4 = 1 THEN 0 ELSE CAST(ceil(size / 512.0) AS BIGINT) END AS allocated_blocks, symlink_target, uid % 8 AS shard_index
         FROM {obs_source}""",
     "odd_paths": """
         SELECT concat(CASE ino % 12 WHEN 0 THEN '' WHEN 1 THEN '/a/../' WHEN 2 THEN '/a/./' WHEN 3 THEN '/a//' WHEN 4 THEN '/.snapshot/' WHEN 5 THEN '/.zfs/snapshot/' ELSE '/' END, path,
@@ -100,7 +102,7 @@ VIEWS: dict[str, str] = {
         SELECT l_orderkey * 8 + l_linenumber AS row_id, concat('h', l_suppkey % 20) AS host, concat('part-', lpad(CAST(l_orderkey % 50 AS VARCHAR(20)), 5, '0')) AS shard, 1 + l_partkey % 3 AS epoch,
           CASE WHEN l_linenumber % 2 = 0 THEN 'failure' ELSE 'downgrade' END AS sink, CASE l_partkey % 4 WHEN 0 THEN 'copy' WHEN 1 THEN 'attrs' WHEN 2 THEN 'fenced' ELSE 'open' END AS phase,
           CASE l_suppkey % 5 WHEN 0 THEN 'NULL_MTIME' WHEN 1 THEN 'NULL_ATIME' WHEN 2 THEN 'NULL_OWNER' WHEN 3 THEN 'TORN_COPY' ELSE 'FSID_UNGROUPED' END AS downgrade
-        FROM {lineitem} WHERE l_partkey % 9 = 0""",
+        FROM {lineitem}""",
     "outcomes": """
         SELECT l_orderkey AS shard_no, l_orderkey * 8 + l_linenumber AS row_id, concat('h', l_suppkey % 20) AS host,
           CASE WHEN l_partkey % 17 = 0 THEN 'failed' WHEN l_partkey % 23 = 0 THEN 'fenced' ELSE 'ok' END AS outcome, l_partkey % 29 = 0 AS torn,
@@ -114,7 +116,7 @@ VIEWS: dict[str, str] = {
         SELECT concat('job-', o_orderkey) AS job_id, c.c_name AS name, CASE o_orderkey % 6 WHEN 0 THEN 'Planned' WHEN 1 THEN 'Scanning' WHEN 2 THEN 'Copying' WHEN 3 THEN 'Paused' WHEN 4 THEN 'Completed' ELSE 'Failed' END AS phase,
           CAST(floor(o_totalprice) AS BIGINT) AS files_done, CAST(floor(o_totalprice) AS BIGINT) + (o_orderkey % 3 - 1) * 1000 AS files_total, o_orderkey % 13 AS errors,
           CAST(o_orderdate AS TIMESTAMP) AS copy_start, CASE WHEN o_orderkey % 6 >= 4 THEN CAST(o_orderdate AS TIMESTAMP) + INTERVAL '3' HOUR END AS finished
-        FROM {orders} o JOIN {customer} c ON o.o_custkey = c.c_custkey WHERE o_orderkey % 5 = 0""",
+        FROM {orders} o JOIN {customer} c ON o.o_custkey = c.c_custkey""",
     "heartbeats": """
         SELECT concat('h', user_id % 20) AS host, ts AS heartbeat_utc, event_id AS files_ok, CASE WHEN event_id % 4 = 0 THEN NULL ELSE concat('c', event_id) END AS held_etag,
           CAST(round(value * 1000000) AS BIGINT) AS bytes_total FROM {events}""",
@@ -144,4 +146,4 @@ def with_views(*names: str) -> str:
 
     for name in names:
         add(name)
-    return "WITH " + ", ".join(f"{n} AS ({VIEWS[n].format(**{x: x for x in _needs(n)})})" for n in order)
+    return "WITH " + ", ".join(f"{n} AS MATERIALIZED ({VIEWS[n].format(**{x: x for x in _needs(n)})})" for n in order)

@@ -73,32 +73,43 @@ def sc_history_path(catalog):
     return catalog.select(P.history_path(F.col("path")).alias("path"))
 
 
-ROLES = """k AS (SELECT *, inode IS NOT NULL AND nlink > 1 AND file_type = 1 AS keyed FROM catalog),
-  r AS (SELECT *, CASE WHEN keyed THEN CASE WHEN row_number() OVER (PARTITION BY shard_index, keyed, CASE WHEN keyed THEN fsid END, CASE WHEN keyed THEN inode ELSE row_id END ORDER BY row_id) = 1 THEN 'first' ELSE 'link' END END AS link_role FROM k),
+BATCH_BYTES, BATCH_FILES = 1 << 20, 100
+# From one batch of each shard to the next: its last row is the last that both limits let in, and at least its first.
+BATCHES = f"""o AS MATERIALIZED (SELECT shard_index, row_id, size, row_number() OVER w AS rn, sum(size) OVER w AS cum FROM catalog WINDOW w AS (PARTITION BY shard_index ORDER BY row_id)),
+  b AS (SELECT shard_index, CAST(-1 AS BIGINT) AS batch, CAST(0 AS BIGINT) AS first, CAST(0 AS BIGINT) AS last FROM (SELECT DISTINCT shard_index FROM catalog) z
+    UNION ALL SELECT b.shard_index, b.batch + 1, b.last + 1, max(e.rn) FROM b JOIN o f ON f.shard_index = b.shard_index AND f.rn = b.last + 1 JOIN o e ON e.shard_index = b.shard_index AND e.rn >= b.last + 1 AND e.rn <= b.last + {BATCH_FILES}
+      WHERE e.rn = f.rn OR e.cum - f.cum + f.size <= {BATCH_BYTES} GROUP BY b.shard_index, b.batch, b.last),
+  batched AS MATERIALIZED (SELECT c.*, b.batch FROM catalog c JOIN o ON c.row_id = o.row_id JOIN b ON b.shard_index = o.shard_index AND o.rn BETWEEN b.first AND b.last)"""
+ROLES = f"""RECURSIVE {BATCHES}, k AS (SELECT *, inode IS NOT NULL AND nlink > 1 AND file_type = 1 AS keyed, regexp_extract(path, '^(.*)/[^/]*$', 1) AS parent FROM batched),
+  r0 AS (SELECT *, CASE WHEN keyed THEN CASE WHEN row_number() OVER (PARTITION BY shard_index, batch, keyed, CASE WHEN keyed THEN fsid END, CASE WHEN keyed THEN inode ELSE row_id END ORDER BY row_id) = 1 THEN 'first' ELSE 'link' END END AS link_role,
+    row_number() OVER (PARTITION BY shard_index, batch, parent ORDER BY row_id) AS turn, min(row_id) OVER (PARTITION BY shard_index, batch, parent) AS seen FROM k),
+  r AS (SELECT *, CAST(row_number() OVER (PARTITION BY shard_index, batch ORDER BY turn, seen, row_id) AS INTEGER) AS spread_order FROM r0),
   p AS (SELECT *, CASE WHEN file_type = 3 THEN 'symlink' WHEN file_type = 2 THEN 'dir_attrs' WHEN file_type <> 1 THEN 'skip' WHEN link_role = 'link' THEN 'hardlink_existing' WHEN size = 0 THEN 'empty' ELSE 'copy' END AS action,
+    concat(mtime_sec, '.', lpad(CAST(coalesce(mtime_nsec, 0) AS VARCHAR), 9, '0')) AS m, concat(atime_sec, '.', lpad(CAST(coalesce(atime_nsec, 0) AS VARCHAR), 9, '0')) AS a,
     array_to_string(list_filter([CASE WHEN uid IS NOT NULL AND gid IS NOT NULL THEN concat('chown:', uid, ':', gid) END, concat('chmod:', mode & 4095),
-      CASE WHEN mtime_sec IS NOT NULL THEN concat('utimes:', CASE WHEN atime_sec IS NOT NULL THEN concat(atime_sec, '.0') ELSE concat(mtime_sec, '.', coalesce(mtime_nsec, 0)) END, ':', mtime_sec, '.', coalesce(mtime_nsec, 0)) END], lambda x: x IS NOT NULL), ';') AS attributes,
+      CASE WHEN mtime_sec IS NOT NULL THEN concat('utimes:', CASE WHEN atime_sec IS NOT NULL THEN a ELSE m END, ':', m) END], lambda x: x IS NOT NULL), ';') AS attributes,
     CASE WHEN file_type = 1 THEN CASE WHEN size < 1048576 THEN 'small' WHEN size < 1073741824 THEN 'medium' ELSE 'large' END END AS size_class FROM r)"""
 
 
-@query("copy_plan", "catalog", sql=f"{ROLES} SELECT row_id, action, link_role, attributes, size_class FROM p")
+@query("copy_plan", "catalog", sql=f"{ROLES} SELECT row_id, batch, spread_order, action, link_role, attributes, size_class FROM p")
 def copy_plan(catalog):
-    return I.copy_plan(catalog).select("row_id", "action", "link_role", "attributes", "size_class")
+    return I.copy_plan(catalog, BATCH_BYTES, BATCH_FILES).select("row_id", "batch", "spread_order", "action", "link_role", "attributes", "size_class")
 
 
 @query("copy_plan_rollup", "catalog", sql=f"{ROLES} SELECT CAST(shard_index AS INTEGER) AS shard_index, action, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM p GROUP BY 1, 2")
 def copy_plan_rollup(catalog):
-    return I.plan_rollup(I.copy_plan(catalog)).withColumn("shard_index", F.col("shard_index").cast("int"))
+    return I.plan_rollup(I.copy_plan(catalog, BATCH_BYTES, BATCH_FILES)).withColumn("shard_index", F.col("shard_index").cast("int"))
 
 
 @query("win_hardlink_order", "catalog", sql=f"{ROLES} SELECT row_id, link_role FROM r WHERE link_role IS NOT NULL")
 def win_hardlink_order(catalog):
-    return I.link_roles(catalog, ["shard_index"]).where("link_role is not null").select("row_id", "link_role")
+    batched = I.assign_batches(catalog, BATCH_BYTES, BATCH_FILES)
+    return I.link_roles(batched, ["shard_index", "batch"]).where("link_role is not null").select("row_id", "link_role")
 
 
-@query("win_microbatch", "catalog")
+@query("win_microbatch", "catalog", sql=f"RECURSIVE {BATCHES} SELECT CAST(shard_index AS BIGINT) AS shard_index, row_id, batch FROM batched")
 def win_microbatch(catalog):
-    return I.assign_batches(catalog, 1 << 20, 100)
+    return I.assign_batches(catalog, BATCH_BYTES, BATCH_FILES).select(F.col("shard_index").cast("long").alias("shard_index"), "row_id", "batch")
 
 
 @query("win_interleave", "catalog", sql="""n AS (SELECT *, (row_id & 1099511627775) // 1000 AS batch, regexp_extract(path, '^(.*)/[^/]*$', 1) AS parent FROM catalog),
@@ -132,16 +143,21 @@ def fidelity_forecast(catalog, sinks):
 
 
 @query("stability_audit", "obs_source", "obs_destination", sql="""j AS (SELECT s.path, s.file_type AS t, s.file_type IS DISTINCT FROM d.file_type AS ct, s.size IS DISTINCT FROM d.size AS cs, s.mtime_sec IS DISTINCT FROM d.mtime_sec OR s.mtime_nsec IS DISTINCT FROM d.mtime_nsec AS cm,
-    s.ino IS DISTINCT FROM d.ino - 1000000000 AS ci, s.mode IS DISTINCT FROM d.mode OR s.uid IS DISTINCT FROM d.uid OR s.gid IS DISTINCT FROM d.gid OR s.nlink IS DISTINCT FROM d.nlink AS ca FROM obs_source s JOIN obs_destination d ON s.path = d.path),
-  f AS (SELECT path, CASE WHEN t = 2 AND (ct OR cm OR ci OR ca) THEN 'unstable_directory' WHEN t = 1 AND (cs OR cm) THEN 'torn_copy' WHEN t = 1 AND ci THEN 'replaced' END AS finding,
-    array_to_string(list_filter([CASE WHEN ct THEN 'type' END, CASE WHEN cs THEN 'size' END, CASE WHEN cm THEN 'mtime' END, CASE WHEN ci THEN 'identity' END], lambda x: x IS NOT NULL), ',') AS changes FROM j)
+    s.ctime_sec IS DISTINCT FROM d.ctime_sec OR s.ctime_nsec IS DISTINCT FROM d.ctime_nsec AS cc, s.ino IS DISTINCT FROM d.ino - 1000000000 AS ci, s.mode IS DISTINCT FROM d.mode OR s.uid IS DISTINCT FROM d.uid OR s.gid IS DISTINCT FROM d.gid OR s.nlink IS DISTINCT FROM d.nlink AS ca,
+    concat('type ', s.file_type, ' -> ', d.file_type) AS xt, concat('size ', s.size, ' -> ', d.size) AS xs, concat('identity 1:', s.ino, ' -> 1:', d.ino - 1000000000) AS xi,
+    concat('mtime ', s.mtime_sec, '.', lpad(CAST(s.mtime_nsec AS VARCHAR), 9, '0'), ' -> ', d.mtime_sec, '.', lpad(CAST(d.mtime_nsec AS VARCHAR), 9, '0')) AS xm,
+    concat('ctime ', s.ctime_sec, '.', lpad(CAST(s.ctime_nsec AS VARCHAR), 9, '0'), ' -> ', d.ctime_sec, '.', lpad(CAST(d.ctime_nsec AS VARCHAR), 9, '0')) AS xc FROM obs_source s JOIN obs_destination d ON s.path = d.path),
+  f AS (SELECT path, CASE WHEN t = 2 AND (ct OR cs OR cm OR cc OR ci OR ca) THEN 'unstable_directory' WHEN t = 1 AND (cs OR cm OR cc) THEN 'torn_copy' WHEN t = 1 AND ci THEN 'replaced' END AS finding,
+    array_to_string(list_filter([CASE WHEN ct THEN xt END, CASE WHEN cs THEN xs END, CASE WHEN cm THEN xm END, CASE WHEN cc THEN xc END, CASE WHEN ci THEN xi END], lambda x: x IS NOT NULL), ', ') AS changes FROM j)
   SELECT * FROM f WHERE finding IS NOT NULL""")
 def stability_audit(before, after):
     return I.stability_audit(before, after.withColumns({"ino": F.col("ino") - 1000000000, "dev": F.lit(1)}))
 
 
-@query("agg_estate_profile", "catalog", sql="""k AS (SELECT *, nlink > 1 AND inode IS NOT NULL AND file_type = 1 AS keyed FROM catalog), f AS (SELECT inode, min(row_id) AS first FROM k WHERE keyed GROUP BY inode),
-  t AS (SELECT k.file_type, CASE WHEN k.file_type = 1 THEN CASE WHEN size < 1048576 THEN 'small' WHEN size < 1073741824 THEN 'medium' ELSE 'large' END ELSE 'none' END AS size_class, size, CASE WHEN NOT keyed OR row_id = first THEN size ELSE 0 END AS once FROM k LEFT JOIN f ON k.inode = f.inode)
-  SELECT file_type, size_class, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes, CAST(sum(once) AS BIGINT) AS bytes_once FROM t GROUP BY CUBE (file_type, size_class)""")
+@query("agg_estate_profile", "catalog", sql="""k AS (SELECT *, coalesce(nlink > 1 AND inode IS NOT NULL AND file_type = 1, FALSE) AS keyed FROM catalog),
+  t AS (SELECT file_type, CASE WHEN file_type = 1 THEN CASE WHEN size < 1048576 THEN 'small' WHEN size < 1073741824 THEN 'medium' ELSE 'large' END ELSE 'none' END AS size_class, length(path) - length(replace(path, '/', '')) AS depth, uid, size,
+    CASE WHEN NOT keyed OR row_number() OVER (PARTITION BY keyed, fsid, inode ORDER BY row_id) = 1 THEN size ELSE 0 END AS once, CASE WHEN file_type = 1 THEN greatest(size - allocated_blocks * 512, 0) END AS sparse FROM k)
+  SELECT file_type, size_class, depth, uid, CAST(GROUPING(file_type, size_class, depth, uid) AS INTEGER) AS level, CAST(count(*) AS BIGINT) AS n, CAST(sum(size) AS BIGINT) AS bytes, CAST(sum(once) AS BIGINT) AS bytes_once, CAST(coalesce(sum(sparse), 0) AS BIGINT) AS sparse_bytes
+  FROM t GROUP BY GROUPING SETS ((file_type, size_class), (file_type), (size_class), (depth), (uid), ())""")
 def agg_estate_profile(catalog):
     return I.estate_profile(catalog)
