@@ -126,19 +126,24 @@ def error_samples(events: DataFrame, keep: int = SAMPLES, classes: int = CLASSES
     return errors.repartition("job_id", "class").sortWithinPartitions("job_id", "class", "seq").mapInPandas(fold, "job_id string, class string, paths array<string>")
 
 
+def phase_step(phase: str, history: list[tuple[int, str, str]], seq: int, kind: str, to: str | None) -> tuple[str, list[tuple[int, str, str]]]:
+    """Phase and history (seq, before, after; the last HISTORY) after one more event."""
+    if kind == "ProgressDelta":
+        to = "Copying" if phase == "Planned" else None
+    elif kind == "JobResumed":
+        to = next((a for _, a, _ in reversed(history) if a != "Paused"), "Scanning") if phase == "Paused" else None
+    else:
+        to = {"JobPaused": "Paused", "JobCompleted": "Completed", "JobFailed": "Failed", "JobCancelled": "Cancelled", "VerifyStarted": "Verifying"}.get(kind, to)
+    if to and transition_allowed(phase, to):
+        return to, [*history, (seq, phase, to)][-HISTORY:]
+    return phase, history
+
+
 def fold_phases(events: list[tuple[int, str, str | None]]) -> tuple[str, list[tuple[int, str, str]]]:
-    """Phase and history (seq, before, after) of one job from its (seq, kind, target) in order."""
+    """Phase and history of one job from its (seq, kind, target) in order."""
     phase, history = "Planned", []
-    for seq, kind, to in events:
-        if kind == "ProgressDelta":
-            to = "Copying" if phase == "Planned" else None
-        elif kind == "JobResumed":
-            to = next((a for _, a, _ in reversed(history) if a != "Paused"), "Scanning") if phase == "Paused" else None
-        else:
-            to = {"JobPaused": "Paused", "JobCompleted": "Completed", "JobFailed": "Failed", "JobCancelled": "Cancelled", "VerifyStarted": "Verifying"}.get(kind, to)
-        if to and transition_allowed(phase, to):
-            history = [*history, (seq, phase, to)][-HISTORY:]
-            phase = to
+    for event in events:
+        phase, history = phase_step(phase, history, *event)
     return phase, history
 
 
@@ -155,25 +160,24 @@ def job_phases(events: DataFrame) -> DataFrame:
     Jobs are dealt over tasks and their events streamed in order, one job's phase and history held at a time.
     """
 
-    def fold(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def row(job, rows):
-            phase, history = fold_phases(rows)
-            copying = next((s for s, _, to in history if to == "Copying"), None)
-            ended = next((s for s, _, to in history if to in ENDED), None)
-            return job, phase, len(history), copying, ended
+    def row(job: str, phase: str, history: list) -> tuple:
+        copying = next((s for s, _, to in history if to == "Copying"), None)
+        ended = next((s for s, _, to in history if to in ENDED), None)
+        return job, phase, len(history), copying, ended
 
-        job, rows = None, []
+    def fold(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        job, phase, history = None, "Planned", []
         for pdf in pdfs:
             done = []
             for j, *event in zip(pdf["job_id"], pdf["seq"], pdf["kind"], pdf["to_phase"]):
                 if j != job:
                     if job is not None:
-                        done.append(row(job, rows))
-                    job, rows = j, []
-                rows.append(tuple(event))
+                        done.append(row(job, phase, history))
+                    job, phase, history = j, "Planned", []
+                phase, history = phase_step(phase, history, *event)
             yield _phase_frame(done)
         if job is not None:
-            yield _phase_frame([row(job, rows)])
+            yield _phase_frame([row(job, phase, history)])
 
     dealt = phase_relevant(events).select("job_id", "seq", "kind", "to_phase").repartition("job_id").sortWithinPartitions("job_id", "seq")
     return dealt.mapInPandas(fold, "job_id string, phase string, transitions long, first_copying long, ended long")
@@ -206,6 +210,13 @@ def rates_absolute(events: DataFrame, key: str, value: str, now: str, seconds: i
     return per.select(key, F.when(F.col("spent") > 0, (F.col("last") - F.col("first")) / F.col("spent")).alias("rate"))
 
 
+def recent_problems(errors: DataFrame, mismatches: DataFrame, n: int = 50) -> DataFrame:
+    """list (errors or mismatches), job_id, seq, detail, place: the newest n of both lists of each job, oldest first."""
+    both = errors.select(F.lit("errors").alias("list"), "job_id", "seq", F.col("class").alias("detail")).unionByName(mismatches.select(F.lit("mismatches").alias("list"), "job_id", "seq", "detail"))
+    kept = recent(both.withColumn("_key", F.struct("list", "job_id")), "_key", n)
+    return kept.drop("_key")
+
+
 def recent(events: DataFrame, key: str, n: int = 50) -> DataFrame:
     """The newest n events of each key, numbered oldest first."""
     newest = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("seq")))

@@ -6,11 +6,13 @@ and 0 unsupported), size, mode, uid, gid, mtime_sec, mtime_nsec, dev, ino, nlink
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.paths import path_b64
 from tidemark.scratch import materialise
 
 REGULAR, DIRECTORY, SYMLINK = 1, 2, 3
@@ -55,36 +57,57 @@ def pair_sides(entries: DataFrame) -> DataFrame:
     return pairs.withColumn("place", place).drop("src_here", "dst_here")
 
 
+def _json(**fields: Column) -> Column:
+    return F.to_json(F.struct(*[c.alias(name) for name, c in fields.items()]), {"ignoreNullFields": "false"})
+
+
+def observed(of: Callable[[str], Column] = F.col) -> Column:
+    """What is known of an entry, as JSON: the mode's permission bits, and link targets and groups in base64, as their bytes may be no text."""
+    plain = {c: of(c) for c in ("file_type", "size")}
+    rest = {c: of(c) for c in ("uid", "gid", "mtime_sec", "mtime_nsec")}
+    return _json(**plain, mode=of("mode").bitwiseAND(4095), **rest, symlink_target_b64=path_b64(of("symlink_target")), hardlink_group_b64=path_b64(of("group_root")))
+
+
+SUPPORTED_TEXT = "a regular file, a directory or a symlink"
+
+
 def differences(preserve: Preserve = Preserve()) -> Column:
-    """The differences of a pair as an array of (kind, expected, observed), in the order of the rules."""
+    """The differences of a pair as an array of (kind, expected, observed), in the order of the rules: numbers as they are, JSON where there are several, base64 for bytes."""
     s, d = (lambda c: F.col(f"src_{c}")), (lambda c: F.col(f"dst_{c}"))
     both = F.col("place") == "both"
 
     def found(condition: Column, kind: str, expected: Column, observed: Column) -> Column:
         return F.when(condition, F.struct(F.lit(kind).alias("kind"), expected.cast("string").alias("expected"), observed.cast("string").alias("observed")))
 
-    def micros(side) -> Column:
-        return F.struct(side("mtime_sec").alias("sec"), F.floor(side("mtime_nsec") / 1000).alias("usec"))
+    def differ(*columns: str) -> Column:
+        return both & F.array_contains(F.array(*[~s(c).eqNullSafe(d(c)) for c in columns]), True)
+
+    def usec(side) -> Column:
+        return F.floor(side("mtime_nsec") / 1000)
 
     def either(c: str) -> tuple[Column, Column]:
         return s(c), d(c)
 
+    odd = F.coalesce(is_unsupported(s("file_type")), F.lit(False)) | F.coalesce(is_unsupported(d("file_type")), F.lit(False))
+    types = F.when(both, _json(source=s("file_type"), destination=d("file_type"))).otherwise(F.coalesce(s("file_type"), d("file_type")).cast("string"))
     rules = [
-        found(F.col("place") == "source", "missing_destination", s("file_type"), F.lit(None)),
-        found(F.col("place") == "destination", "unexpected_destination", F.lit(None), d("file_type")),
-        found(F.coalesce(is_unsupported(s("file_type")), F.lit(False)) | F.coalesce(is_unsupported(d("file_type")), F.lit(False)), "unsupported_feature", *either("file_type")),
-        found(both & (s("file_type") != d("file_type")), "type", *either("file_type")),
-        found(both & (s("file_type") == REGULAR) & (d("file_type") == REGULAR) & (s("size") != d("size")), "size", *either("size")),
+        found(F.col("place") == "source", "missing_destination", observed(s), F.lit(None)),
+        found(F.col("place") == "destination", "unexpected_destination", F.lit(None), observed(d)),
+        found(odd, "unsupported_feature", F.lit(SUPPORTED_TEXT), types),
+        found(differ("file_type"), "type", *either("file_type")),
+        found((s("file_type") == REGULAR) & (d("file_type") == REGULAR) & differ("size"), "size", *either("size")),
     ]
     if preserve.mode:
-        rules.append(found(both & (s("mode").bitwiseAND(4095) != d("mode").bitwiseAND(4095)), "mode", *either("mode")))
+        masked = tuple(c.bitwiseAND(4095) for c in either("mode"))
+        rules.append(found(both & ~masked[0].eqNullSafe(masked[1]), "mode", *masked))
     if preserve.owner:
-        rules.append(found(both & ((s("uid") != d("uid")) | (s("gid") != d("gid"))), "owner", F.concat_ws(":", s("uid"), s("gid")), F.concat_ws(":", d("uid"), d("gid"))))
+        rules.append(found(differ("uid", "gid"), "owner", *[_json(uid=x("uid"), gid=x("gid")) for x in (s, d)]))
     if preserve.times:
-        rules.append(found(both & (micros(s) != micros(d)), "mtime", F.concat_ws(".", s("mtime_sec"), s("mtime_nsec")), F.concat_ws(".", d("mtime_sec"), d("mtime_nsec"))))
+        moved = differ("mtime_sec") | (both & ~usec(s).eqNullSafe(usec(d)))
+        rules.append(found(moved, "mtime", *[_json(sec=x("mtime_sec"), usec=usec(x)) for x in (s, d)]))
     rules += [
-        found(both & (s("file_type") == SYMLINK) & (d("file_type") == SYMLINK) & ~s("symlink_target").eqNullSafe(d("symlink_target")), "symlink_target", *either("symlink_target")),
-        found(both & ~s("group_root").eqNullSafe(d("group_root")), "hardlink_group", *either("group_root")),
+        found((s("file_type") == SYMLINK) & (d("file_type") == SYMLINK) & differ("symlink_target"), "symlink_target", *map(path_b64, either("symlink_target"))),
+        found(differ("group_root"), "hardlink_group", *map(path_b64, either("group_root"))),
     ]
     return F.array_compact(F.array(*rules))
 
@@ -174,12 +197,12 @@ def ordered_mismatches(issues: DataFrame, unstable: DataFrame, diffs: DataFrame,
 def group_diff(entries: DataFrame) -> DataFrame:
     """Hardlink groups of one side that the other has not, as sets of paths: side, group_root, members.
 
-    Inode numbers differ between sides, so groups compare by their members: count and an order-free digest.
+    Inode numbers differ between sides, so groups compare by their members: count and an order-free digest of 128 bits.
     """
     members = with_groups(entries).where("group_root is not null")
-    digest = F.bit_xor(F.xxhash64("path"))
-    sets = members.groupBy("side", "group_root").agg(F.count("*").alias("members"), digest.alias("digest"))
-    here = sets.groupBy("group_root", "members", "digest").agg(F.min("side").alias("side"), F.count("*").alias("sides"))
+    digest = [F.bit_xor(F.xxhash64(F.lit(seed), "path")).alias(f"digest{seed}") for seed in (1, 2)]
+    sets = members.groupBy("side", "group_root").agg(F.count("*").alias("members"), *digest)
+    here = sets.groupBy("group_root", "members", "digest1", "digest2").agg(F.min("side").alias("side"), F.count("*").alias("sides"))
     return here.where("sides = 1").select("side", "group_root", "members")
 
 

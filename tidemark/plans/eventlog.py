@@ -80,7 +80,7 @@ def _rate(seconds: int) -> None:
         return E.rates(events, "worker_id", NOW, seconds).withColumns({"files_s": F.round("files_s", 9), "bytes_s": F.round("bytes_s", 6)})
 
 
-for _seconds in (60, 300, 86400):
+for _seconds in (1, 60, 300, 86400):
     _rate(_seconds)
 
 
@@ -100,6 +100,12 @@ def win_recent(events):
     return E.recent(events.where("kind = 'ErrorEmitted'"), "job_id", 50).select("job_id", "seq", "class", "place")
 
 
+@query("win_recent_problems", "event_log", sql="""b AS (SELECT 'errors' AS list, job_id, seq, class AS detail FROM event_log WHERE kind = 'ErrorEmitted' UNION ALL SELECT 'mismatches', job_id, seq, worker_id FROM event_log WHERE kind = 'ClaimConflictResolved'),
+  r AS (SELECT *, row_number() OVER (PARTITION BY list, job_id ORDER BY seq DESC) AS n FROM b) SELECT list, job_id, seq, detail, CAST(row_number() OVER (PARTITION BY list, job_id ORDER BY seq) AS INTEGER) AS place FROM r WHERE n <= 50""")
+def win_recent_problems(events):
+    return E.recent_problems(events.where("kind = 'ErrorEmitted'"), events.where("kind = 'ClaimConflictResolved'").withColumn("detail", F.col("worker_id")), 50)
+
+
 @query("win_freshness", "event_log", sql="w AS (SELECT worker_id, min(event_at) + INTERVAL 10 DAY AS b FROM event_log GROUP BY worker_id), l AS (SELECT worker_id, max(event_at) AS l FROM event_log WHERE kind <> 'WorkerJoined' GROUP BY worker_id) SELECT w.worker_id, CAST(floor(epoch(greatest(b, l))) AS BIGINT) AS fresh_at FROM w LEFT JOIN l ON w.worker_id = l.worker_id")
 def win_freshness(events):
     workers = events.groupBy("worker_id").agg((F.min("event_at") + F.expr("INTERVAL 10 DAYS")).alias("heartbeat_at"))

@@ -29,7 +29,7 @@ VIEWS: dict[str, str] = {
         SELECT path, file_type, size + CASE WHEN ino % 97 = 1 THEN 1 ELSE 0 END AS size, CASE WHEN ino % 89 = 2 THEN 384 ELSE mode END AS mode,
           CASE WHEN ino % 83 = 3 THEN 0 ELSE uid END AS uid, gid, mtime_sec, mtime_nsec + CASE WHEN ino % 79 = 4 THEN 1000 WHEN ino % 79 = 5 THEN 1 ELSE 0 END AS mtime_nsec,
           ctime_sec + CASE WHEN ino % 61 = 8 THEN 5 ELSE 0 END AS ctime_sec, ctime_nsec + CASE WHEN ino % 59 = 9 THEN 1 ELSE 0 END AS ctime_nsec, 2 AS dev, CASE WHEN ino % 67 = 7 THEN ino * 100000 + uid + 7000000000 ELSE ino + 1000000000 END AS ino, nlink,
-          CASE WHEN ino % 71 = 6 THEN concat(symlink_target, 'x') ELSE symlink_target END AS symlink_target
+          CASE WHEN ino % 71 = 6 AND symlink_target IS NOT NULL THEN concat(symlink_target, 'x') ELSE symlink_target END AS symlink_target
         FROM {obs_source} WHERE ino % 101 <> 0
         UNION ALL SELECT concat('extra/', path), file_type, size, mode, uid, gid, mtime_sec, mtime_nsec, ctime_sec, ctime_nsec, 2, ino + 5000000000, 1, symlink_target FROM {obs_source} WHERE ino % 103 = 5""",
     "entries": """

@@ -9,17 +9,21 @@ from tidemark.plans.registry import query
 
 GROUPED = """
   linked AS (SELECT side, dev, ino, min(path) AS group_root, count(*) AS members FROM entries WHERE file_type = 1 AND nlink > 1 GROUP BY side, dev, ino HAVING count(*) > 1),
-  grouped AS (SELECT e.*, g.group_root FROM entries e LEFT JOIN linked g ON e.side = g.side AND e.dev = g.dev AND e.ino = g.ino AND e.file_type = 1),
-  s AS (SELECT * FROM grouped WHERE side = 0), d AS (SELECT * FROM grouped WHERE side = 1),
-  j AS (SELECT coalesce(s.path, d.path) AS path, s.path AS sp, d.path AS dp, s.file_type st, d.file_type dt, s.size ss, d.size ds, s.mode sm, d.mode dm, s.uid su, d.uid du, s.gid sg, d.gid dg,
-    s.mtime_sec sx, d.mtime_sec dx, s.mtime_nsec sn, d.mtime_nsec dn, s.symlink_target sl, d.symlink_target dl, s.group_root sr, d.group_root dr FROM s FULL OUTER JOIN d ON s.path = d.path),
-  diffs AS (SELECT path, 'missing_destination' AS kind FROM j WHERE dp IS NULL UNION ALL SELECT path, 'unexpected_destination' FROM j WHERE sp IS NULL
-    UNION ALL SELECT path, 'unsupported_feature' FROM j WHERE st IN (0,4,5,6,7) OR dt IN (0,4,5,6,7) UNION ALL SELECT path, 'type' FROM j WHERE st <> dt
-    UNION ALL SELECT path, 'size' FROM j WHERE st = 1 AND dt = 1 AND ss <> ds UNION ALL SELECT path, 'mode' FROM j WHERE (sm & 4095) <> (dm & 4095)
-    UNION ALL SELECT path, 'owner' FROM j WHERE su <> du OR sg <> dg
-    UNION ALL SELECT path, 'mtime' FROM j WHERE sp IS NOT NULL AND dp IS NOT NULL AND (sx <> dx OR floor(sn / 1000) <> floor(dn / 1000))
-    UNION ALL SELECT path, 'symlink_target' FROM j WHERE st = 3 AND dt = 3 AND sl IS DISTINCT FROM dl
-    UNION ALL SELECT path, 'hardlink_group' FROM j WHERE sp IS NOT NULL AND dp IS NOT NULL AND sr IS DISTINCT FROM dr)"""
+  grouped AS MATERIALIZED (SELECT e.*, g.group_root FROM entries e LEFT JOIN linked g ON e.side = g.side AND e.dev = g.dev AND e.ino = g.ino AND e.file_type = 1),
+  shown AS (SELECT *, to_base64(encode(symlink_target)) AS target_b64, to_base64(encode(group_root)) AS root_b64 FROM grouped),
+  seen AS MATERIALIZED (SELECT *, concat('{"file_type":', file_type, ',"size":', size, ',"mode":', mode & 4095, ',"uid":', uid, ',"gid":', gid, ',"mtime_sec":', mtime_sec, ',"mtime_nsec":', mtime_nsec,
+      ',"symlink_target_b64":', CASE WHEN target_b64 IS NULL THEN 'null' ELSE concat('"', target_b64, '"') END, ',"hardlink_group_b64":', CASE WHEN root_b64 IS NULL THEN 'null' ELSE concat('"', root_b64, '"') END, '}') AS observed FROM shown),
+  s AS (SELECT * FROM seen WHERE side = 0), d AS (SELECT * FROM seen WHERE side = 1),
+  j AS MATERIALIZED (SELECT coalesce(s.path, d.path) AS path, s.path AS sp, d.path AS dp, s.observed so, d.observed do_, s.file_type st, d.file_type dt, s.size ss, d.size ds, s.mode & 4095 sm, d.mode & 4095 dm, s.uid su, d.uid du, s.gid sg, d.gid dg,
+    s.mtime_sec sx, d.mtime_sec dx, CAST(floor(s.mtime_nsec / 1000) AS BIGINT) sn, CAST(floor(d.mtime_nsec / 1000) AS BIGINT) dn, s.target_b64 sl, d.target_b64 dl, s.root_b64 sr, d.root_b64 dr FROM s FULL OUTER JOIN d ON s.path = d.path),
+  diffs AS (SELECT path, 'missing_destination' AS kind, so AS expected, CAST(NULL AS VARCHAR) AS observed FROM j WHERE dp IS NULL UNION ALL SELECT path, 'unexpected_destination', NULL, do_ FROM j WHERE sp IS NULL
+    UNION ALL SELECT path, 'unsupported_feature', 'a regular file, a directory or a symlink', CASE WHEN sp IS NULL THEN CAST(dt AS VARCHAR) WHEN dp IS NULL THEN CAST(st AS VARCHAR) ELSE concat('{"source":', st, ',"destination":', dt, '}') END FROM j WHERE st IN (0,4,5,6,7) OR dt IN (0,4,5,6,7)
+    UNION ALL SELECT path, 'type', CAST(st AS VARCHAR), CAST(dt AS VARCHAR) FROM j WHERE st <> dt
+    UNION ALL SELECT path, 'size', CAST(ss AS VARCHAR), CAST(ds AS VARCHAR) FROM j WHERE st = 1 AND dt = 1 AND ss <> ds UNION ALL SELECT path, 'mode', CAST(sm AS VARCHAR), CAST(dm AS VARCHAR) FROM j WHERE sm <> dm
+    UNION ALL SELECT path, 'owner', concat('{"uid":', su, ',"gid":', sg, '}'), concat('{"uid":', du, ',"gid":', dg, '}') FROM j WHERE su <> du OR sg <> dg
+    UNION ALL SELECT path, 'mtime', concat('{"sec":', sx, ',"usec":', sn, '}'), concat('{"sec":', dx, ',"usec":', dn, '}') FROM j WHERE sp IS NOT NULL AND dp IS NOT NULL AND (sx <> dx OR sn <> dn)
+    UNION ALL SELECT path, 'symlink_target', sl, dl FROM j WHERE st = 3 AND dt = 3 AND sl IS DISTINCT FROM dl
+    UNION ALL SELECT path, 'hardlink_group', sr, dr FROM j WHERE sp IS NOT NULL AND dp IS NOT NULL AND sr IS DISTINCT FROM dr)"""
 
 BLOBS = """
   hashed AS (SELECT coalesce(s.path, d.path) AS path, CASE WHEN s.path IS NULL OR d.path IS NULL THEN 'missing' WHEN s.content IS NULL OR d.content IS NULL THEN 'unreadable'
@@ -38,7 +42,7 @@ def join_hardlink_attach(entries):
     return R.with_groups(entries).where("group_root is not null").select("side", "path", "group_root")
 
 
-@query("join_eligible", "entries", sql="SELECT path FROM entries s WHERE side = 0 AND file_type = 1 AND EXISTS (SELECT 1 FROM entries d WHERE d.side = 1 AND d.file_type = 1 AND d.path = s.path)")
+@query("join_eligible", "entries", sql="SELECT path FROM entries WHERE side = 0 AND file_type = 1 INTERSECT SELECT path FROM entries WHERE side = 1 AND file_type = 1")
 def join_eligible(entries):
     return R.eligible_paths(entries)
 
@@ -58,9 +62,14 @@ def agg_hardlinks(entries):
     return R.hardlink_groups(entries)
 
 
-@query("compare_entries", "entries", sql=GROUPED + " SELECT path, kind FROM diffs")
+@query("compare_entries", "entries", sql=GROUPED + " SELECT path, kind, expected, observed FROM diffs")
 def compare_entries(entries):
-    return R.compare_entries(entries).select("path", "kind")
+    return R.compare_entries(entries)
+
+
+@query("sc_observed", "entries", sql=GROUPED + " SELECT side, path, observed FROM seen")
+def sc_observed(entries):
+    return R.with_groups(entries).select("side", "path", R.observed().alias("observed"))
 
 
 @query("agg_mismatch_kinds", "entries", sql=GROUPED + " SELECT kind, count(*) AS n FROM diffs GROUP BY kind")
@@ -122,15 +131,10 @@ def set_hardlink_partition(entries):
     return R.group_diff(entries)
 
 
-@query("sort_raw_path", "obs_source", sql="SELECT hex(encode(path)) AS path_hex, row_number() OVER (ORDER BY path) AS place FROM obs_source ORDER BY path LIMIT 100")
-def sort_raw_path(source):
-    from pyspark.sql import Window
+PLACES = "SELECT hex(encode(path)) AS path_hex, row_number() OVER (ORDER BY path) AS place FROM obs_source"
 
-    first = source.select("path").orderBy(F.col("path").cast("binary")).limit(100)
-    # A row number over the hundred rows that the limit leaves.
-    return first.select(F.hex("path").alias("path_hex"), F.row_number().over(Window.orderBy(F.col("path").cast("binary"))).cast("long").alias("place"))
 
-
-@query("sort_raw_path_all", "obs_source", sql="SELECT hex(encode(path)) AS path_hex, row_number() OVER (ORDER BY path) AS place FROM obs_source")
-def sort_raw_path_all(source):
+@query("sort_raw_path", "obs_source", sql=PLACES)
+@query("sort_raw_path_all", "obs_source", sql=PLACES)
+def sort_raw_path(source):
     return R.sort_raw_path(source).select(F.hex("path").alias("path_hex"), "place")

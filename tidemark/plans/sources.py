@@ -27,13 +27,15 @@ def src_scan_contract(scan):
 
 
 def _index(catalog):
+    """An index with planted problems: file types that don't exist, and row ids of another shard."""
     path = scratch_path(catalog.sparkSession, "index")
-    bad = F.when(F.col("size") % 97 == 0, 9).otherwise(F.col("file_type"))
-    S.write_index(catalog.drop("symlink_target").withColumn("file_type", bad), path)
+    bad = F.when(F.col("row_id") % 97 == 0, 9).otherwise(F.col("file_type"))
+    strayed = F.when(F.col("row_id") % 89 == 1, F.col("row_id") + (1 << 40)).otherwise(F.col("row_id"))
+    S.write_index(catalog.drop("symlink_target").withColumns({"file_type": bad, "row_id": strayed}), path)
     return path
 
 
-@query("src_index", "catalog", sql="SELECT CASE WHEN size % 97 = 0 THEN 'file_type' END AS problem, count(*) AS n, 0 AS links, count(uid) AS owned FROM catalog GROUP BY 1")
+@query("src_index", "catalog", sql="SELECT CASE WHEN row_id % 97 = 0 THEN 'file_type' WHEN row_id % 89 = 1 THEN 'shard' END AS problem, count(*) AS n, 0 AS links, count(uid) AS owned FROM catalog GROUP BY 1")
 def src_index(catalog):
     found = S.read_index(catalog.sparkSession, _index(catalog))
     return found.groupBy("problem").agg(F.count("*").alias("n"), F.count("symlink_target").cast("int").alias("links"), F.count("uid").alias("owned"))
@@ -51,28 +53,6 @@ def src_index_footer(catalog):
     return per_file.agg(F.sum("rows").alias("rows"), F.countDistinct(F.regexp_extract("file", r"shard_index=(\d+)", 1)).alias("shards"))
 
 
-def _manifest(shards):
-    some = shards.where("shard_no % 10 = 0")  # one document a run holds its shards: a fixture of moderate size
-    entry = F.struct(F.col("shard").alias("key"), F.col("n_rows").alias("rows"), F.col("n_bytes").alias("bytes"), "etag")
-    return some.groupBy(F.concat(F.lit("run-"), (F.col("shard_no") % 50).cast("string")).alias("run_id")).agg(F.collect_list(entry).alias("shards")).select(F.to_json(F.struct("run_id", "shards")).alias("body"))
-
-
-RUNS = "r AS (SELECT concat('run-', shard_no % 50) AS run_id, * FROM shards WHERE shard_no % 10 = 0)"
-
-
-@query("src_manifest", "shards", sql=f"{RUNS} SELECT run_id, '/' AS root, count(*) AS shards, CAST(sum(n_rows) AS BIGINT) AS total_rows FROM r GROUP BY run_id")
-def src_manifest(shards):
-    path = scratch_path(shards.sparkSession, "manifest")
-    _manifest(shards).write.text(path)
-    runs = S.manifest_run(shards.sparkSession.read.text(path).withColumnRenamed("value", "body"))
-    return runs.select("run_id", "root", F.col("shards").cast("long").alias("shards"), "total_rows")
-
-
-@query("src_manifest_shards", "shards", sql=f"{RUNS} SELECT run_id, shard, n_rows, n_bytes, etag FROM r")
-def src_manifest_shards(shards):
-    return S.manifest_shards(_manifest(shards)).select("run_id", "shard", "n_rows", "n_bytes", "etag")
-
-
 RUN_KEYS = 1000
 
 
@@ -83,10 +63,13 @@ def _manifest_all(shards):
     return shards.groupBy(run.alias("run_id")).agg(F.collect_list(entry).alias("shards")).select(F.to_json(F.struct("run_id", "shards")).alias("body"))
 
 
-ALL_RUNS = f"r AS (SELECT concat('run-', CAST(floor(shard_no / {RUN_KEYS}) AS BIGINT)) AS run_id, * FROM shards)"
+RUNS = f"r AS (SELECT concat('run-', CAST(floor(shard_no / {RUN_KEYS}) AS BIGINT)) AS run_id, * FROM shards)"
+RUN_TOTALS = f"{RUNS} SELECT run_id, '/' AS root, count(*) AS shards, CAST(sum(n_rows) AS BIGINT) AS total_rows FROM r GROUP BY run_id"
+RUN_SHARDS = f"{RUNS} SELECT run_id, shard, n_rows, n_bytes, etag FROM r"
 
 
-@query("src_manifest_all", "shards", sql=f"{ALL_RUNS} SELECT run_id, '/' AS root, count(*) AS shards, CAST(sum(n_rows) AS BIGINT) AS total_rows FROM r GROUP BY run_id")
+@query("src_manifest", "shards", sql=RUN_TOTALS)
+@query("src_manifest_all", "shards", sql=RUN_TOTALS)
 def src_manifest_all(shards):
     path = scratch_path(shards.sparkSession, "manifest")
     _manifest_all(shards).write.text(path)
@@ -94,8 +77,9 @@ def src_manifest_all(shards):
     return runs.select("run_id", "root", F.col("shards").cast("long").alias("shards"), "total_rows")
 
 
-@query("src_manifest_shards_all", "shards", sql=f"{ALL_RUNS} SELECT run_id, shard, n_rows, n_bytes, etag FROM r")
-def src_manifest_shards_all(shards):
+@query("src_manifest_shards", "shards", sql=RUN_SHARDS)
+@query("src_manifest_shards_all", "shards", sql=RUN_SHARDS)
+def src_manifest_shards(shards):
     return S.manifest_shards(_manifest_all(shards)).select("run_id", "shard", "n_rows", "n_bytes", "etag")
 
 
@@ -137,16 +121,16 @@ def src_downgrades(rows):
 @query("src_events", "event_log", sql="SELECT kind, count(*) AS n, CAST(sum(seq) AS BIGINT) AS seqs, count(client_seq) AS stamped FROM event_log WHERE seq > 1000 GROUP BY kind")
 def src_events(events):
     path = scratch_path(events.sparkSession, "events")
-    events.write.json(path)
+    S.write_events(events.withColumn("schema_version", F.lit(S.SCHEMA_VERSION)), path, chunk=400)
     return S.read_events(events.sparkSession, path, since=1000).groupBy("kind").agg(F.count("*").alias("n"), F.sum("seq").alias("seqs"), F.count("client_seq").alias("stamped"))
 
 
 @query("src_snapshot", "event_log", sql="SELECT job_id, max(seq) AS last_seq FROM event_log GROUP BY job_id")
 def src_snapshot(events):
     spark, path = events.sparkSession, scratch_path(events.sparkSession, "state")
-    for version, part in ((1, events.where("seq <= 5000")), (2, events)):
-        S.write_state({"jobs": part.groupBy("job_id").agg(F.max("seq").alias("last_seq"))}, path, version)
-    return S.read_state(spark, path, "jobs", 2)
+    for version, part in ((1, events.where("seq <= 5000")), (2, events.where("seq <= 9000")), (3, events)):
+        S.write_state({"jobs": part.groupBy("job_id").agg(F.max("seq").alias("last_seq"))}, path, version, keep=2)
+    return S.read_state(spark, path, "jobs")
 
 
 @query("src_audit", "event_log", sql="SELECT CAST(CAST(event_at AS DATE) AS VARCHAR) AS day, count(*) AS n FROM event_log WHERE kind = 'ErrorEmitted' AND event_at < TIMESTAMP '2024-01-11 00:00:00' GROUP BY 1")

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dirs: dict[str, str] = {}
+_made: list[str] = []  # what this process has named so far
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -24,7 +25,19 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def mark() -> int:
+    """A point that clear() goes back to."""
+    return len(_made)
+
+
+def clear(spark: SparkSession, since: int = 0) -> None:
+    """Delete the scratch tables made since a mark: for callers who have written what they read from them."""
+    while len(_made) > since:
+        remove(spark, _made.pop())
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -32,3 +45,9 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, wherever Spark keeps it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

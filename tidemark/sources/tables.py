@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.paths import path_b64, path_from_b64, shard_of_claim, sink_of, start_seq
+from tidemark.scratch import remove
 
 FORMAT_VERSION = 1
+SCHEMA_VERSION = 1  # of events and snapshots
 SCAN_REQUIRED = {"path": "string", "file_type": "string", "size": "bigint", "permissions": "int", "uid": "bigint", "gid": "bigint", "nlink": "bigint", "inode": "bigint", "mtime_us": "bigint"}
 SCAN_OPTIONAL = {"atime_us": "bigint", "mtime_sec": "bigint", "mtime_nsec": "bigint", "atime_sec": "bigint", "atime_nsec": "bigint", "symlink_target": "string"}
 INDEX_REQUIRED = ("row_id", "path", "size", "mode", "file_type")
-INDEX_OPTIONAL = {"mtime_sec": "bigint", "mtime_nsec": "bigint", "atime_sec": "bigint", "uid": "bigint", "gid": "bigint", "nlink": "bigint", "inode": "bigint", "fsid": "bigint", "symlink_target": "string"}
+INDEX_OPTIONAL = {"mtime_sec": "bigint", "mtime_nsec": "bigint", "atime_sec": "bigint", "atime_nsec": "bigint", "uid": "bigint", "gid": "bigint", "nlink": "bigint", "inode": "bigint", "fsid": "bigint", "allocated_blocks": "bigint", "symlink_target": "string"}
 
 MANIFEST = "run_id string, created_utc string, root string, exclusions array<string>, shards array<struct<key: string, rows: bigint, bytes: bigint, etag: string>>, format_version int"
 CLAIM = "host string, claimed_utc timestamp, epoch int, state string"
@@ -145,10 +147,33 @@ def sink_lines(lines: DataFrame) -> DataFrame:
     return raw.select("k.*", "r.row_id", path_from_b64(F.col("r.path_b64")).alias("path"), "r.error", "r.phase", F.when(name != "", name).otherwise(F.col("r.downgrade")).alias("downgrade"))
 
 
-def read_events(spark: SparkSession, path: str, since: int | None = None, streaming: bool = False) -> DataFrame:
-    """Events of JSON lines; a line that doesn't parse is an error. since: only later ones."""
-    reader = (spark.readStream.option("maxFilesPerTrigger", 1) if streaming else spark.read).schema(EVENT).option("mode", "FAILFAST")
-    df = reader.json(path)
+def _refuse_newer(version: Column, what: str) -> Column:
+    """True, or an error where a version is above the one that this library knows."""
+    return F.when(F.coalesce(version, F.lit(SCHEMA_VERSION)) <= SCHEMA_VERSION, True).otherwise(F.raise_error(F.lit(f"{what} of a newer schema")).cast("boolean"))
+
+
+def write_events(events: DataFrame, path: str, chunk: int = 100_000) -> None:
+    """Events as JSON lines in folders by the first seq that may stand in them, start_seq."""
+    start = F.col("seq") - F.pmod(F.col("seq") - 1, F.lit(chunk))
+    events.withColumn("start_seq", start).repartition("start_seq").sortWithinPartitions("start_seq", "seq").write.partitionBy("start_seq").json(path)
+
+
+def read_events(spark: SparkSession, path: str, since: int | None = None, streaming: bool = False, files: int = 1) -> DataFrame:
+    """Events of JSON lines; a line that doesn't parse, or is of a newer schema, is an error. since: only later ones.
+
+    Chunks of write_events that end before `since` are not read. files: of a micro-batch, for a stream.
+    """
+    reader = (spark.readStream.option("maxFilesPerTrigger", files) if streaming else spark.read).option("mode", "FAILFAST")
+    chunked = since is not None and not streaming
+    if chunked:
+        names = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.regexp_extract("path", r"/start_seq=(\d+)/", 1).try_cast("long").alias("start")).distinct()
+        # The last chunk that starts at or before the cursor may hold later events; those before it can't.
+        first = names.where(F.col("start") <= since).agg(F.max("start")).first()[0]
+        chunked = first is not None
+    df = reader.schema(EVENT + ", start_seq bigint" * chunked).json(path)
+    if chunked:
+        df = df.where(F.col("start_seq") >= first).drop("start_seq")
+    df = df.where(_refuse_newer(F.col("schema_version"), "event"))
     return df if since is None else df.where(F.col("seq") > since)
 
 
@@ -156,14 +181,27 @@ def chunk_of(key: Column) -> Column:
     return start_seq(key)
 
 
-def write_state(tables: dict[str, DataFrame], path: str, version: int) -> None:
-    """Each table of a snapshot under its version."""
+def write_state(tables: dict[str, DataFrame], path: str, version: int, keep: int | None = None) -> None:
+    """Each table of a snapshot under its version. keep: versions that stay, the newest ones."""
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/version={version}/{name}")
+        df.withColumn("_schema_version", F.lit(SCHEMA_VERSION)).write.mode("overwrite").parquet(f"{path}/version={version}/{name}")
+    spark = next(iter(tables.values())).sparkSession
+    for old in state_history(spark, path)[keep:] if keep is not None else []:
+        remove(spark, f"{path}/version={old}")
+
+
+def state_history(spark: SparkSession, path: str) -> list[int]:
+    """Versions that are stored, newest first: one name a snapshot."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path).select(F.regexp_extract("path", r"/version=(\d+)/", 1).cast("int").alias("v")).distinct()
+    return sorted((r["v"] for r in found.collect()), reverse=True)
 
 
-def read_state(spark: SparkSession, path: str, name: str, version: int) -> DataFrame:
-    return spark.read.parquet(f"{path}/version={version}/{name}")
+def read_state(spark: SparkSession, path: str, name: str, version: int | None = None) -> DataFrame:
+    """A table of a snapshot, the newest if no version is given; one of a newer schema is an error."""
+    if version is None:
+        version = state_history(spark, path)[0]
+    df = spark.read.parquet(f"{path}/version={version}/{name}")
+    return df.where(_refuse_newer(F.col("_schema_version"), "snapshot")).drop("_schema_version")
 
 
 def write_partitioned(df: DataFrame, path: str, by: str, form: str = "parquet") -> None:

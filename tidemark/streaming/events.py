@@ -35,9 +35,9 @@ def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFra
     return spark.read.schema(schema).parquet(out)
 
 
-def ingest(events: DataFrame) -> DataFrame:
+def ingest(events: DataFrame, late: str = LATE) -> DataFrame:
     """Each stamped event of a worker once, if its repeats come within the lateness; unstamped ones as they are."""
-    marked = events.withWatermark("event_at", LATE)
+    marked = events.withWatermark("event_at", late)
     stamped = marked.where("client_seq is not null").dropDuplicatesWithinWatermark(["worker_id", "client_seq"])
     return stamped.unionByName(marked.where("client_seq is null"))
 
@@ -93,16 +93,20 @@ def windowed_rates(events: DataFrame, window: str = "5 minutes", slide: str = "1
 
 
 def completion(shards: DataFrame, path: str) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch over claims: adds them to a table, and when all shards are terminal tells the outcome, once.
+    """For foreachBatch over claims: keeps the state of each shard, and when all shards are terminal tells the outcome, once.
 
     Both tables are kept by micro-batch, so a batch that runs again leaves the same rows.
     """
 
     def batch(claims: DataFrame, n: int) -> None:
-        spark = claims.sparkSession
-        claims.write.mode("overwrite").parquet(f"{path}/claims/batch={n}")
-        known = spark.read.schema(claims.schema).parquet(f"{path}/claims")
-        latest = known.groupBy("shard").agg(F.max_by(F.struct("state", "claimed_utc", "claim_etag"), F.when(F.col("state") == "active", 0).otherwise(1)).alias("c")).select("shard", "c.*")
+        spark, schema = claims.sparkSession, claims.select("shard", "state", "claimed_utc", "claim_etag").schema
+        known = claims.select(*schema.names)
+        if n:
+            known = known.unionByName(spark.read.schema(schema).parquet(f"{path}/latest/batch={n - 1}"))
+        # What is known of each shard so far: a micro-batch reads this and its own claims, not all claims again.
+        newest = F.max_by(F.struct("state", "claimed_utc", "claim_etag"), F.when(F.col("state") == "active", 0).otherwise(1))
+        known.groupBy("shard").agg(newest.alias("c")).select("shard", "c.*").write.mode("overwrite").parquet(f"{path}/latest/batch={n}")
+        latest = spark.read.schema(schema).parquet(f"{path}/latest/batch={n}")
         one = tally(shards, latest).first()
         if one["all_terminal"]:
             reason = f"{one['failed']} of {one['failed'] + one['completed']} shards failed" if one["failed"] else "ok"
