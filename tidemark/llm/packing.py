@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import materialise
 
 GROUP_PIECES = 20_000
-CACHED_WORDS = 1_500_000
+CACHED_WORDS = 800_000
 CHUNK_BYTES = 8_000_000  # of text that is split into words at once
 _vocabularies: dict[str, "WordIds"] = {}
 

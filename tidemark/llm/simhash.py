@@ -15,6 +15,7 @@ from itertools import combinations, repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -152,33 +153,66 @@ def band_keys(hashes: np.ndarray, bands: int = COARSE[0], rows: int = COARSE[1])
 def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Those of the pairs (a, b) whose shingle sets have the similarity, exactly; two empty sets are alike."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             stands = []
-            for x, y in zip(pdf["x"], pdf["y"]):
-                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                both = np.concatenate([x, y])
+            for x, y in zip(batch["x"], batch["y"]):
+                both = np.concatenate([np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)])
                 both.sort(kind="stable")
                 shared = int((both[1:] == both[:-1]).sum())
                 stands.append(shared >= similarity * (len(both) - shared) - 1e-9)
-            yield pdf.loc[stands, ["a", "b"]]
+            yield batch.select(["a", "b"]).filter(pa.array(stands, pa.bool_()))
 
     joined = pairs.join(sets.withColumnsRenamed({"__text": "b", "hashes": "y"}), "b").join(sets.withColumnsRenamed({"__text": "a", "hashes": "x"}), "a")
     # A set that is much smaller than the other cannot be alike.
     sized = F.least(F.length("x"), F.length("y")) >= F.lit(similarity - 1e-9) * F.greatest(F.length("x"), F.length("y"))
-    return joined.where(sized).select("a", "b", "x", "y").mapInPandas(run, "a binary, b binary")
+    return joined.where(sized).select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
 def _ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
     return pairs.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
 
-def _unlinked(keyed: DataFrame, crowd: int) -> DataFrame:
-    """Pairs of different roots under a key of (key, n, __text, root); keys of many texts are cut into blocks, which keeps the join even."""
+def _unlinked(keyed: DataFrame, crowd: int, also: Column | None = None) -> DataFrame:
+    """Pairs of different roots under a key of (key, n, __text, root, and what `also` needs, of x and y); keys of many texts are cut into blocks, which keeps the join even."""
     blocks = F.ceil(F.col("n") / crowd).cast("int")
-    x = keyed.select("key", F.pmod(F.xxhash64("__text"), blocks).cast("int").alias("block"), F.col("__text").alias("a"), F.col("root").alias("__x"))
-    y = keyed.select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.col("__text").alias("b"), F.col("root").alias("__y"))
-    return _ordered(x.join(y, ["key", "block"]).where("__x < __y"), "a", "b")
+    x = keyed.withColumn("block", F.pmod(F.xxhash64("__text"), blocks).cast("int")).alias("x")
+    y = keyed.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).alias("y")
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.root") < F.col("y.root")) & (F.lit(True) if also is None else also))
+    return _ordered(met.select(F.col("x.__text").alias("a"), F.col("y.__text").alias("b")), "a", "b")
+
+
+BUCKET_BYTES = 32_000_000
+
+
+def _shared_shingles(sets: DataFrame) -> DataFrame:
+    """__text, shared: of how many of its shingles another text of the table has the same. Shingles are dealt by hash, packed, to buckets of bounded size."""
+    size = sets.agg(F.sum(F.length("hashes"))).first()[0] or 0
+    buckets = max(64, -(-size // BUCKET_BYTES))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, bucket, parts = [], [], []
+            for text, blob in zip(batch["__text"].to_pylist(), batch["hashes"]):
+                h = np.frombuffer(blob.as_buffer(), dtype=np.uint64)
+                where = (h % np.uint64(buckets)).astype(np.int32)
+                order = np.argsort(where, kind="stable")
+                cut = np.flatnonzero(np.diff(where[order])) + 1
+                for part in np.split(order, cut) if len(h) else []:
+                    texts.append(text)
+                    bucket.append(int(where[part[0]]))
+                    parts.append(h[part].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), pa.array(bucket, pa.int32()), pa.array(parts, pa.binary())], names=["__text", "bucket", "hashes"])
+
+    def count(table: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in table["hashes"]]
+        _, which, times = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+        first = np.concatenate([[0], np.cumsum([len(p) for p in parts])[:-1]])
+        return pa.table({"__text": table["__text"], "shared": pa.array(np.add.reduceat((times[which] > 1).astype(np.int64), first))})
+
+    dealt = sets.select("__text", "hashes").mapInArrow(deal, "__text binary, bucket int, hashes binary")
+    counts = dealt.groupBy("bucket").applyInArrow(count, "__text binary, shared long")
+    return counts.groupBy("__text").agg(F.sum("shared").alias("shared"))
 
 
 def identity(text: Column) -> Column:
@@ -205,7 +239,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, crow
 
     def fine_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"__text": pdf["__text"], "root": pdf["root"], "keys": [band_keys(np.frombuffer(h, dtype=np.uint64), *FINE) for h in pdf["hashes"]]})
+            yield pdf[["__text", "root", "size", "shared"]].assign(keys=[band_keys(np.frombuffer(h, dtype=np.uint64), *FINE) for h in pdf["hashes"]])
 
     plain = docs.select(identity(F.col("text")).alias("__text"), "text")
     texts = materialise(plain.mapInPandas(keys, "__text binary, keys array<long>").dropDuplicates(["__text"]), "texts")
@@ -225,14 +259,18 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, crow
     rooted = shared.join(roots.withColumnRenamed("node", "__text"), "__text", "left").select("key", "n", "__text", F.coalesce("root", "__text").alias("root"))
     split = rooted.groupBy("key").agg(F.min("root").alias("__min"), F.max("root").alias("__max")).where("__min < __max")
     split = materialise(rooted.join(split.select("key"), "key"), "split-keys")
-    # In a key of few texts, those that are not linked yet all meet. In a crowded one that would be the square of the crowd:
-    # its texts meet under their fine keys, which unlike texts hardly share.
+    # In a key of few texts, those that are not linked yet all meet. In a crowded one that would be the square of the crowd.
+    # Two texts of x and y shingles that are similar enough share t / (1 + t) * (x + y) of them: a text that has fewer in common
+    # with all others of crowded keys together has no partner. The rest meet under their fine keys, which unlike texts hardly share.
     few = _unlinked(split.where(F.col("n") <= crowd), crowd)
-    crowds = split.where(F.col("n") > crowd).select("__text", "root").distinct()
-    fine = sets.join(crowds, "__text").mapInPandas(fine_keys, "__text binary, root binary, keys array<long>").select("__text", "root", F.explode("keys").alias("key"))
+    crowds = materialise(sets.join(split.where(F.col("n") > crowd).select("__text", "root").distinct(), "__text"), "crowds")
+    size = F.length("hashes") / 8
+    able = crowds.join(_shared_shingles(crowds), "__text").withColumn("size", size).where(F.col("shared") >= F.lit(similarity - 1e-9) * F.col("size"))
+    fine = able.mapInPandas(fine_keys, "__text binary, root binary, size double, shared long, keys array<long>").select("__text", "root", "size", "shared", F.explode("keys").alias("key"))
     counts = fine.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("__min"), F.max("root").alias("__max")).where("__min < __max").select("key", "n")
     fine = materialise(fine.join(counts, "key"), "fine-keys")
-    more = materialise(few.union(_unlinked(fine, crowd)).distinct().join(tried, ["a", "b"], "left_anti"), "candidates")
+    enough = F.least("x.shared", "y.shared") >= F.lit(similarity / (1 + similarity) - 1e-9) * (F.col("x.size") + F.col("y.size"))
+    more = materialise(few.union(_unlinked(fine, crowd, enough)).distinct().join(tried, ["a", "b"], "left_anti"), "candidates")
     found = materialise(_alike(more, sets, similarity), "near-copies")
     # What holds so far is a star a component.
     stands = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found)
