@@ -113,8 +113,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42, distance:
 
 
 #: (bands, smallest hashes in each): texts of similarity s share no key with odds of (1 - s ** rows) ** bands. At 0.8 that
-#: is 4e-4 for COARSE, and 1e-2 for FINE (3e-5 at 0.85), which keeps those of 0.6 apart in 92 % of all cases.
-COARSE, FINE = (20, 5), (100, 14)
+#: is 4e-4 for COARSE, and 1.4e-2 for FINE (1e-5 at 0.85), which keeps those of 0.6 apart in 96 % of all cases.
+COARSE, FINE = (20, 5), (150, 16)
 HUBS = 4  # texts that all others of a crowded key meet
 
 
