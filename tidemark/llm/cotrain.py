@@ -193,12 +193,15 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", labelled_r
     share = sample.agg(F.avg("label")).first()[0]
     if share is None or share in (0.0, 1.0):
         return _fit(sample)
-    free = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).join(labels.where(F.col(label).isNotNull()).select("doc_id").distinct(), "doc_id", "left_anti")
+    # Labelled documents are scored along: taking them out first would shuffle all texts, afterwards it's ids and numbers alone.
+    open_ = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    given = labels.where(F.col(label).isNotNull()).select("doc_id").distinct()
     taught = docs.sparkSession.createDataFrame([], "doc_id string")
     for _ in range(rounds):
-        margins = free.select("doc_id", _measures(docs, _fit(sample)).alias("m"))
+        margins = open_.select("doc_id", _measures(docs, _fit(sample)).alias("m"))
         margins = materialise(margins.select("doc_id", "m.text", "m.page"), "margins")
-        left = margins.join(taught, margins["doc_id"].cast("string") == taught["doc_id"], "left_anti")
+        left = margins.join(given, "doc_id", "left_anti")
+        left = left.join(taught, left["doc_id"].cast("string") == taught["doc_id"], "left_anti")
         news = materialise(most_confident(left, share, per_round), "pseudo-labels")
         sample = materialise(sample.union(_features(_texts_of(docs, news))), "features")
         taught = sample.where("view >= 0").select("doc_id").distinct()
