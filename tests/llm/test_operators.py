@@ -683,6 +683,83 @@ def test_pipeline(spark):
     assert full == 0
 
 
+def test_pipeline_stages_equal_brute_force(spark):
+    import corpus_pipeline as P
+
+    stages = dict(P.STAGES)
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    rows = docs.orderBy("doc_id").collect()
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    scores = {r["doc_id"]: r["score"] for r in toxicity.classify(docs, labels).collect()}
+    assert {r["doc_id"] for r in stages["toxicity"](spark, docs, DATA).collect()} == {d for d, s in scores.items() if s < 0.5}
+
+    sets = [shingles(r["text"]) for r in rows]
+    root = components_of(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])])
+    assert {r["doc_id"] for r in stages["simhash"](spark, docs, DATA).collect()} == {rows[i]["doc_id"] for i in set(root)}
+
+    want = {}
+    for r, (n, gone, left) in zip(rows, brute_repeats([(r["doc_id"], r["text"]) for r in rows], 13)):
+        if not gone or gone < n:
+            want[r["doc_id"]] = left
+    got = {r["doc_id"]: r for r in stages["substring"](spark, docs, DATA).collect()}
+    assert set(got) == set(want)
+    assert all(got[d]["text"].encode().split() == t.encode().split() and got[d]["n_chars"] == len(got[d]["text"]) for d, t in want.items())
+
+    mixed = stages["mixing"](spark, docs, DATA).collect()
+    words = {r["doc_id"]: len(r["text"].encode().split()) + 1 for r in rows}
+    reads, tokens = Counter(r["doc_id"] for r in mixed), Counter()
+    for r in rows:
+        tokens[r["source"]] += words[r["doc_id"]]
+    a = brute_exponent(list(tokens.values()), None, 2.0)
+    w = {s: (t / sum(tokens.values())) ** a for s, t in tokens.items()}
+    budget = 1 / min(w[s] / tokens[s] for s in w)
+    for s in tokens:
+        dealt = sum(reads[r["doc_id"]] * words[r["doc_id"]] for r in rows if r["source"] == s)
+        assert w[s] * budget - 1 <= dealt <= w[s] * budget + max(words.values()) and {reads[r["doc_id"]] for r in rows if r["source"] == s} <= {1, 2}
+
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    lengths = Counter()
+    for r in stages["packing"](spark, docs, DATA).collect():
+        lengths[r["doc_id"]] += r["length"]
+    assert lengths == {r["doc_id"]: len(tokenizer.encode(r["text"], add_special_tokens=False).ids) + 1 for r in rows}
+
+
+def test_pipeline_stages_odd(spark, odd):
+    import corpus_pipeline as P
+
+    docs = odd.withColumn("lang", F.when(F.col("doc_id") > 2, F.col("lang")))
+    for name, stage in P.STAGES:
+        some, none = stage(spark, docs, DATA), stage(spark, docs.limit(0), DATA)
+        assert none.count() == 0 and some.count() > 0, name
+        if name != "packing":
+            assert some.columns == none.columns == docs.columns, name
+        if name in ("toxicity", "mixing"):
+            assert {r["doc_id"] for r in some.select("doc_id").collect()} == {0, 1, 2, 3, 4, 5, 6, None}, name
+
+
+def test_recall_of_near_copies(spark):
+    """Every pair of the table by brute force: links of 0.8 and more join, and nothing else does."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = sorted({r["text"] for r in docs.select("text").collect()})
+    sets, ids = [simhash.shingle_hashes(t.encode(), 5) for t in texts], {r["text"]: bytes(r["i"]) for r in docs.select("text", simhash.identity(F.col("text")).alias("i")).collect()}
+    known, at = np.unique(np.concatenate(sets), return_inverse=True)
+    owner, start = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.argsort(at, kind="stable")
+    pairs = Counter()
+    for group in np.split(owner[start], np.flatnonzero(np.diff(at[start])) + 1):
+        if 1 < len(group):
+            pairs.update((int(i), int(j)) for k, i in enumerate(group) for j in group[:k])
+    close = [(i, j) for (i, j), n in pairs.items() if n >= 0.8 * (len(sets[i]) + len(sets[j]) - n)]
+    want = components_of(len(texts), close)
+    for crowd in (32, 2):
+        roots = {bytes(r["__text"]): bytes(r["root"]) for r in simhash.near_copies(docs, crowd=crowd).collect()}
+        root = [roots[ids[t]] for t in texts]
+        assert sum(root[i] == root[j] for i, j in close) >= 0.99 * len(close) > 0
+        for r in set(root):
+            assert len({want[k] for k in range(len(texts)) if root[k] == r}) == 1
+
+
 def test_digests_of_the_registered_queries(spark):
     from tidemark.llm.queries import QUERIES
 

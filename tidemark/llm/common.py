@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.scratch import materialise, scratch_dir
+from tidemark.scratch import clear, mark, materialise, remove, scratch_dir, scratch_path
 
-__all__ = ["WORD_PATTERN", "materialise", "scratch_dir", "table"]
+__all__ = ["WORD_PATTERN", "clear", "mark", "materialise", "remove", "scratch_dir", "scratch_path", "table"]
 
 # A word is a maximal run of bytes other than space and 0x09-0x0D; bytes.split() splits at just these.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
