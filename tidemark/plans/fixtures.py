@@ -7,9 +7,12 @@ them before its own SQL as common table expressions.
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.scratch import scratch_dir
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 SHARD_NAME = "concat('part-', lpad(CAST(o_orderkey AS VARCHAR(20)), 8, '0'), '.parquet')"
@@ -127,11 +130,24 @@ def _needs(name: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"\{(\w+)\}", VIEWS[name])))
 
 
+#: Views that group the largest table by path, and that a query reads several times: written once a session and folder.
+WRITTEN = ("obs_source", "obs_destination")
+_written: dict[tuple[str, str, str], str] = {}
+
+
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view, or one of the driver's tables, as a DataFrame."""
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spark.sql(VIEWS[name], **{n: frame(spark, sf_dir, n) for n in _needs(name)})
+    df = spark.sql(VIEWS[name], **{n: frame(spark, sf_dir, n) for n in _needs(name)})
+    if name not in WRITTEN:
+        return df
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _written:
+        path = f"{scratch_dir(spark)}/view-{name}-{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").parquet(path)
+        _written[key] = path
+    return spark.read.schema(df.schema).parquet(_written[key])
 
 
 def with_views(*names: str) -> str:
