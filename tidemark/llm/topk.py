@@ -79,6 +79,22 @@ def _heads(k: int, products=_products):
 COLLECTED = pa.schema([*FOUND, ("cutoff", pa.int64()), ("list", pa.int32()), ("dim", pa.int32())])
 
 
+def _local_heads(k: int):
+    """The k highest partial scores of each query in the list of this block."""
+
+    def run(queries: pa.Table, candidates: pa.Table) -> pa.Table:
+        out = []
+        for own, _, ids, p in _blocks(queries, candidates, _products):
+            every = np.arange(len(ids))
+            for i in range(len(own)):
+                at = top_rows(p[i], ids, k, every)
+                cell = [np.full(len(at), queries[c][0].as_py()) for c in ("list", "dim")]
+                out.append((np.full(len(at), own[i]), ids[at], p[i, at], np.full(len(at), -MOST), *cell))
+        return _found(out, COLLECTED)
+
+    return run
+
+
 def _collect(lists: int):
     """Partial scores of at least cutoff / lists; all of a query without a cutoff."""
 
@@ -124,30 +140,31 @@ def _three_phases(groups: DataFrame, asked: int, n: int, k: int, lists: int) ->
     candidates = spread(_sharded(groups.select("id", "v", "dim"), lists).withColumn("_g", cut("id", g)), "_h", h)
     queries = groups.where("asks").select("id", "v", "dim").withColumn("_h", cut("id", h))
 
-    heads = spread(_sharded(queries, lists), "_g", g).groupBy(*CELLS).cogroup(candidates.groupBy(*CELLS)).applyInArrow(_heads(k), "query_id long, vec_id long, score long")
-    # Lists that hold parts of one total may report a pair each; k of them in all lists together are enough for a cutoff.
-    pairs = best(heads, lists * k).select("query_id", "vec_id").distinct()
-    q, c = (groups.select(F.col("id").alias(name), F.col("v").alias(v)) for name, v in (("query_id", "qv"), ("vec_id", "cv")))
-    total = F.aggregate(F.zip_with("qv", "cv", lambda x, y: x * y), F.lit(0).cast("long"), lambda x, y: x + y)
-    scored = pairs.join(c, "vec_id").join(q, "query_id").select("query_id", "vec_id", total.alias("score"))
-    cutoffs = best(scored, k).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("cutoff"))
+    vectors = spread(_sharded(queries, lists), "_g", g)
+    shape = "query_id long, vec_id long, score long, cutoff long, list int, dim int"
+
+    def known(entries: DataFrame) -> DataFrame:
+        """One row a pair: the sum of its partial scores so far, and the lists that they are from."""
+        return entries.groupBy("query_id", "vec_id").agg(F.sum("score").alias("score"), F.max("cutoff").alias("cutoff"), F.max("dim").alias("dim"), F.collect_list("list").alias("lists"))
+
+    def complete(pairs: DataFrame) -> DataFrame:
+        """query_id, vec_id, score: exact totals, with the partial scores of lists that did not report a pair asked for by its ids."""
+        every = F.array(*[F.lit(i) for i in range(lists)])
+        open_ = pairs.where(F.size("lists") < lists).withColumn("list", F.explode(F.array_except(every, "lists")))
+        open_ = open_.select("dim", "list", cut("vec_id", g).alias("_g"), cut("query_id", h).alias("_h"), F.col("query_id").alias("id"), F.lit(None).cast("array<long>").alias("v"), "vec_id")
+        asked = vectors.select(*CELLS, "id", "v", F.lit(None).cast("long").alias("vec_id")).union(open_)
+        parts = asked.groupBy(*CELLS).cogroup(candidates.groupBy(*CELLS)).applyInArrow(_resolve, "query_id long, vec_id long, score long")
+        return pairs.select("query_id", "vec_id", "score").union(parts).groupBy("query_id", "vec_id").agg(F.sum("score").alias("score"))
+
+    heads = vectors.groupBy(*CELLS).cogroup(candidates.groupBy(*CELLS)).applyInArrow(_local_heads(k), shape)
+    cutoffs = best(complete(materialise(known(heads), "heads")), k).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("cutoff"))
     sent = materialise(queries.join(cutoffs, "id", "left"), "queries")
 
-    shape = "query_id long, vec_id long, score long, cutoff long, list int, dim int"
-    entries = spread(_sharded(sent, lists), "_g", g).groupBy(*CELLS).cogroup(candidates.groupBy(*CELLS)).applyInArrow(_collect(lists), shape)
-    known = entries.groupBy("query_id", "vec_id").agg(F.sum("score").alias("score"), F.max("cutoff").alias("cutoff"), F.max("dim").alias("dim"), F.collect_list("list").alias("lists"))
+    entries = known(spread(_sharded(sent, lists), "_g", g).groupBy(*CELLS).cogroup(candidates.groupBy(*CELLS)).applyInArrow(_collect(lists), shape))
     missing = lists - F.size("lists")
     # What a list did not report is below cutoff / lists.
     within = F.col("score") + missing * F.expr(f"(cutoff + {lists - 1}) div {lists}") >= F.col("cutoff")
-    known = materialise(known.where((missing == 0) | within), "entries")
-
-    every = F.array(*[F.lit(i) for i in range(lists)])
-    open_ = known.where(F.size("lists") < lists).withColumn("list", F.explode(F.array_except(every, "lists")))
-    open_ = open_.select("dim", "list", cut("vec_id", g).alias("_g"), cut("query_id", h).alias("_h"), F.col("query_id").alias("id"), F.lit(None).cast("array<long>").alias("v"), "vec_id")
-    vectors = spread(_sharded(queries, lists), "_g", g).select(*CELLS, "id", "v", F.lit(None).cast("long").alias("vec_id"))
-    parts = vectors.union(open_).groupBy(*CELLS).cogroup(candidates.groupBy(*CELLS)).applyInArrow(_resolve, "query_id long, vec_id long, score long")
-    whole = known.select("query_id", "vec_id", "score").union(parts).groupBy("query_id", "vec_id").agg(F.sum("score").alias("score"))
-    return best(whole, k).select("query_id", "vec_id", "score")
+    return best(complete(materialise(entries.where((missing == 0) | within), "entries")), k).select("query_id", "vec_id", "score")
 
 
 def _beyond(groups: DataFrame, asked: int, n: int, k: int) -> DataFrame:
