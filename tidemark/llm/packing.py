@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import materialise
 
 GROUP_PIECES = 20_000
-CACHED_WORDS = 800_000
+CACHED_WORDS, KEPT_WORDS = 1_000_000, 500_000  # in a task, and from one task of a worker to its next
 CHUNK_BYTES = 8_000_000  # of text that is split into words at once
 _vocabularies: dict[str, "WordIds"] = {}
 
@@ -35,10 +35,12 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self._forget(0)
+        self.forget(0)
 
-    def _forget(self, keep: int) -> None:
+    def forget(self, keep: int) -> None:
         """Keep the words that came first, which are the frequent ones."""
+        if keep >= len(getattr(self, "words", ())) > 0:
+            return
         if not keep:
             self.words, self.sizes, self.ids = pa.array([], pa.string()), np.zeros(0, dtype=np.int64), np.zeros(0, dtype="<u4")
         else:
@@ -49,7 +51,7 @@ class WordIds:
     def of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For distinct words: where the ids of each start, how many they are, and the ids."""
         if len(self.words) > CACHED_WORDS:
-            self._forget(CACHED_WORDS // 2)
+            self.forget(CACHED_WORDS // 2)
         place = pc.index_in(words, value_set=self.words)
         if place.null_count:
             unseen = words.filter(pc.is_null(place))
@@ -120,6 +122,8 @@ def tokenise(docs: DataFrame, tokenizer_path: str, max_tokens: int = 4096, end_i
             for part in np.split(np.arange(len(chunk)), np.flatnonzero(np.diff(chunk)) + 1) if len(chunk) else []:
                 first, k = int(part[0]), len(part)
                 yield pa.RecordBatch.from_arrays(_pieces(doc_ids.slice(first, k), texts.slice(first, k), vocabulary, max_tokens, end_id, with_ids), names=names)
+        vocabulary.forget(KEPT_WORDS)
+        pa.default_memory_pool().release_unused()  # the worker stays for other stages
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     shape = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
