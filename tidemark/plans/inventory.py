@@ -76,9 +76,9 @@ def sc_history_path(catalog):
 BATCH_BYTES, BATCH_FILES = 1 << 20, 100
 # From one batch of each shard to the next: its last row is the last that both limits let in, and at least its first.
 BATCHES = f"""o AS MATERIALIZED (SELECT shard_index, row_id, size, row_number() OVER w AS rn, sum(size) OVER w AS cum FROM catalog WINDOW w AS (PARTITION BY shard_index ORDER BY row_id)),
-  b AS (SELECT shard_index, CAST(-1 AS BIGINT) AS batch, CAST(0 AS BIGINT) AS first, CAST(0 AS BIGINT) AS last FROM (SELECT DISTINCT shard_index FROM catalog) z
-    UNION ALL SELECT b.shard_index, b.batch + 1, b.last + 1, max(e.rn) FROM b JOIN o f ON f.shard_index = b.shard_index AND f.rn = b.last + 1 JOIN o e ON e.shard_index = b.shard_index AND e.rn >= b.last + 1 AND e.rn <= b.last + {BATCH_FILES}
-      WHERE e.rn = f.rn OR e.cum - f.cum + f.size <= {BATCH_BYTES} GROUP BY b.shard_index, b.batch, b.last),
+  b AS (SELECT shard_index, CAST(-1 AS BIGINT) AS batch, CAST(0 AS BIGINT) AS first, CAST(0 AS BIGINT) AS last, CAST(0 AS HUGEINT) AS held FROM (SELECT DISTINCT shard_index FROM catalog) z
+    UNION ALL SELECT x.shard_index, x.batch + 1, x.last + 1, max(e.rn), max(e.cum) FROM (SELECT b.*, k FROM b, range(1, {BATCH_FILES + 1}) t(k)) x JOIN o e ON e.shard_index = x.shard_index AND e.rn = x.last + x.k
+      WHERE x.k = 1 OR e.cum - x.held <= {BATCH_BYTES} GROUP BY x.shard_index, x.batch, x.last),
   batched AS MATERIALIZED (SELECT c.*, b.batch FROM catalog c JOIN o ON c.row_id = o.row_id JOIN b ON b.shard_index = o.shard_index AND o.rn BETWEEN b.first AND b.last)"""
 ROLES = f"""RECURSIVE {BATCHES}, k AS (SELECT *, inode IS NOT NULL AND nlink > 1 AND file_type = 1 AS keyed, regexp_extract(path, '^(.*)/[^/]*$', 1) AS parent FROM batched),
   r0 AS (SELECT *, CASE WHEN keyed THEN CASE WHEN row_number() OVER (PARTITION BY shard_index, batch, keyed, CASE WHEN keyed THEN fsid END, CASE WHEN keyed THEN inode ELSE row_id END ORDER BY row_id) = 1 THEN 'first' ELSE 'link' END END AS link_role,
