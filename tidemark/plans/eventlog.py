@@ -48,7 +48,19 @@ def win_worker_fold(events):
     return E.worker_states(events)
 
 
-@query("win_phase_fold", "phase_events")
+# One event of every job at a time. back: the phase that a resumed job goes back to; fewer moves than the history keeps.
+PHASES = """RECURSIVE p(name, n) AS (VALUES ('Planned', 0), ('Scanning', 1), ('Copying', 2), ('Verifying', 3), ('Cutover', 4), ('Paused', 5), ('Completed', 6), ('Failed', 7), ('Cancelled', 8)),
+  v AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY seq) AS rn FROM phase_events),
+  f AS (SELECT job_id, CAST(0 AS BIGINT) AS rn, 'Planned' AS phase, 'Scanning' AS back, CAST(0 AS BIGINT) AS transitions, CAST(NULL AS BIGINT) AS first_copying, CAST(NULL AS BIGINT) AS ended FROM (SELECT DISTINCT job_id FROM v) z
+    UNION ALL SELECT w.job_id, w.rn, CASE WHEN ok THEN target ELSE phase END, CASE WHEN ok AND phase <> 'Paused' THEN phase ELSE back END, transitions + CASE WHEN ok THEN 1 ELSE 0 END,
+      CASE WHEN ok AND target = 'Copying' THEN coalesce(first_copying, seq) ELSE first_copying END, CASE WHEN ok AND a_n >= 6 THEN coalesce(ended, seq) ELSE ended END
+    FROM (SELECT t.*, a.n AS a_n, coalesce(b.n <> a.n AND b.n < 6 AND (a.n >= 5 OR b.n = 5 OR b.n < a.n), FALSE) AS ok
+      FROM (SELECT f.job_id, v.rn, v.seq, f.phase, f.back, f.transitions, f.first_copying, f.ended, CASE v.kind WHEN 'ProgressDelta' THEN CASE WHEN f.phase = 'Planned' THEN 'Copying' END WHEN 'JobResumed' THEN CASE WHEN f.phase = 'Paused' THEN f.back END
+          WHEN 'JobPaused' THEN 'Paused' WHEN 'JobCompleted' THEN 'Completed' WHEN 'JobFailed' THEN 'Failed' WHEN 'JobCancelled' THEN 'Cancelled' WHEN 'VerifyStarted' THEN 'Verifying' ELSE v.to_phase END AS target
+        FROM f JOIN v ON v.job_id = f.job_id AND v.rn = f.rn + 1) t LEFT JOIN p a ON a.name = t.target LEFT JOIN p b ON b.name = t.phase) w)"""
+
+
+@query("win_phase_fold", "phase_events", sql=f"{PHASES} SELECT job_id, arg_max(phase, rn) AS phase, max(transitions) AS transitions, max(first_copying) AS first_copying, max(ended) AS ended FROM f GROUP BY job_id")
 def win_phase_fold(events):
     return E.job_phases(events)
 

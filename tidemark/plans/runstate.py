@@ -166,7 +166,16 @@ def agg_failure_pct(outcomes):
     return R.shard_health(R.shard_outcomes(outcomes), 20, 10, F.col("bytes") / 1000).select("shard_no", "host", F.round("failure_pct", 6).alias("failure_pct"), "degraded")
 
 
-@query("win_backpressure", "outcomes")
+# One step of every host at a time: what is carried from a row to the next is in the row.
+EPISODES = f"""RECURSIVE {OUTCOMES}, h AS MATERIALIZED (SELECT host, shard_no * 60 AS at_s, (ok + failed > 0 AND failed / (ok + failed) * 100 > 20) OR (bytes > 0 AND floor(bytes / 1000) < 10) AS bad, row_number() OVER (PARTITION BY host ORDER BY shard_no) AS rn FROM o),
+  e AS (SELECT host, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS at_s, '' AS state, CAST(300 AS BIGINT) AS wait, CAST(NULL AS BIGINT) AS until, CAST(0 AS BIGINT) AS episode FROM (SELECT DISTINCT host FROM h) z
+    UNION ALL SELECT e.host, h.rn, h.at_s, CASE WHEN NOT bad THEN CASE WHEN until IS NULL THEN 'healthy' ELSE 'recovered' END WHEN until IS NULL THEN 'tripped' WHEN h.at_s >= until THEN 'probe_failed' ELSE 'straggler' END,
+      CASE WHEN NOT bad OR until IS NULL THEN 300 WHEN h.at_s >= until THEN least(2 * wait, 1800) ELSE wait END,
+      CASE WHEN NOT bad THEN NULL WHEN until IS NULL THEN h.at_s + 300 WHEN h.at_s >= until THEN h.at_s + least(2 * wait, 1800) ELSE h.at_s + wait END, episode + CASE WHEN bad AND until IS NULL THEN 1 ELSE 0 END
+    FROM e JOIN h ON h.host = e.host AND h.rn = e.rn + 1)"""
+
+
+@query("win_backpressure", "outcomes", sql=f"{EPISODES} SELECT host, CAST(at_s AS BIGINT) AS \"at\", state, CASE WHEN until IS NULL THEN 0 ELSE wait END AS cooldown_seconds, episode FROM e WHERE rn > 0")
 def win_backpressure(outcomes):
     health = R.shard_health(R.shard_outcomes(outcomes), 20, 10, F.col("bytes") / 1000)
     return R.backpressure(health.select("host", (F.col("shard_no") * 60).cast("long").alias("at"), F.col("shard_no").alias("seq"), "degraded"))
