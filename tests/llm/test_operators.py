@@ -227,6 +227,17 @@ def test_ring_equals_a_walk(spark):
     assert all(grown[d] in (plain[d], shards) for d in at)
 
 
+@pytest.mark.parametrize("load, most, between", [(None, 0.13, 0.06), (1.25, 0.08, 0.01)])
+def test_a_new_shard_moves_few_rows(spark, load, most, between):
+    """The registered law (no load: rooms without slack) and a bounded load: a 17th shard should take 1 / 17 = 0.059."""
+    df = spark.range(30_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("t"))
+    old, new = ({r["doc_id"]: r["shard"] for r in sharding.assign(df, "doc_id", ["t"], n, load=load).collect()} for n in (16, 17))
+    moved = [d for d in old if old[d] != new[d]]
+    stray = [d for d in moved if new[d] != 16]
+    print(load, len(moved) / 30_000, len(stray) / 30_000)
+    assert len(moved) <= most * 30_000 and len(stray) <= between * 30_000
+
+
 def test_sharding_odd(odd):
     got = sharding.shard_documents(odd).collect()
     assert len(got) == 16 and sorted(Counter(r["shard"] for r in got).values()) == [1] * 16
