@@ -113,8 +113,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42, distance:
 
 
 #: (bands, smallest hashes in each): texts of similarity s share no key with odds of (1 - s ** rows) ** bands. At 0.8 that
-#: is 4e-4 for COARSE, and 1.4e-2 for FINE (1e-5 at 0.85), which keeps those of 0.6 apart in 96 % of all cases.
-COARSE, FINE = (20, 5), (150, 16)
+#: is 4e-4 for COARSE, and 1.4e-2 for FINE (1e-5 at 0.85), which keeps those of 0.6 apart in 94 % of all cases.
+COARSE, FINE = (20, 5), (120, 15)
 HUBS = 4  # texts that all others of a crowded key meet
 
 
@@ -173,12 +173,23 @@ def _ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
     return pairs.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
 
-def _unlinked(keyed: DataFrame, crowd: int, also: Column | None = None) -> DataFrame:
-    """Pairs of different roots under a key of (key, n, __text, root, and what `also` needs, of x and y); keys of many texts are cut into blocks, which keeps the join even."""
-    blocks = F.ceil(F.col("n") / crowd).cast("int")
-    x = keyed.withColumn("block", F.pmod(F.xxhash64("__text"), blocks).cast("int")).alias("x")
-    y = keyed.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).alias("y")
-    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.root") < F.col("y.root")) & (F.lit(True) if also is None else also))
+BLOCK_TEXTS = 1024
+
+
+def _unlinked(keyed: DataFrame, also: Column | None = None) -> DataFrame:
+    """Pairs of different roots under a key of (key, __text, root, and what `also` needs, of x and y).
+
+    Most texts of a key have one root, once they are linked. A pair has a text of another root at least: those, in
+    blocks if there are very many, meet all texts of the key.
+    """
+    keys = keyed.groupBy("key").agg(F.mode("root", True).alias("major"), F.count("*").alias("n"))
+    rows = keyed.join(keys, "key")
+    others = rows.where("root <> major")
+    blocks = others.groupBy("key").agg(F.ceil(F.count("*") / BLOCK_TEXTS).cast("int").alias("blocks"))
+    x = others.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("__text"), F.col("blocks")).cast("int")).alias("x")
+    y = rows.join(blocks, "key").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("y")
+    once = (F.col("y.root") == F.col("y.major")) | (F.col("x.root") < F.col("y.root"))
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.block") == F.col("y.block")) & once & (F.lit(True) if also is None else also))
     return _ordered(met.select(F.col("x.__text").alias("a"), F.col("y.__text").alias("b")), "a", "b")
 
 
@@ -262,15 +273,15 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, crow
     # In a key of few texts, those that are not linked yet all meet. In a crowded one that would be the square of the crowd.
     # Two texts of x and y shingles that are similar enough share t / (1 + t) * (x + y) of them: a text that has fewer in common
     # with all others of crowded keys together has no partner. The rest meet under their fine keys, which unlike texts hardly share.
-    few = _unlinked(split.where(F.col("n") <= crowd), crowd)
+    few = _unlinked(split.where(F.col("n") <= crowd).select("key", "__text", "root"))
     crowds = materialise(sets.join(split.where(F.col("n") > crowd).select("__text", "root").distinct(), "__text"), "crowds")
     size = F.length("hashes") / 8
     able = crowds.join(_shared_shingles(crowds), "__text").withColumn("size", size).where(F.col("shared") >= F.lit(similarity - 1e-9) * F.col("size"))
     fine = able.mapInPandas(fine_keys, "__text binary, root binary, size double, shared long, keys array<long>").select("__text", "root", "size", "shared", F.explode("keys").alias("key"))
-    counts = fine.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("__min"), F.max("root").alias("__max")).where("__min < __max").select("key", "n")
-    fine = materialise(fine.join(counts, "key"), "fine-keys")
+    fine = materialise(fine, "fine-keys")
+    mixed = fine.groupBy("key").agg(F.min("root").alias("__min"), F.max("root").alias("__max")).where("__min < __max").select("key")
     enough = F.least("x.shared", "y.shared") >= F.lit(similarity / (1 + similarity) - 1e-9) * (F.col("x.size") + F.col("y.size"))
-    more = materialise(few.union(_unlinked(fine, crowd, enough)).distinct().join(tried, ["a", "b"], "left_anti"), "candidates")
+    more = materialise(few.union(_unlinked(fine.join(mixed, "key"), enough)).distinct().join(tried, ["a", "b"], "left_anti"), "candidates")
     found = materialise(_alike(more, sets, similarity), "near-copies")
     # What holds so far is a star a component.
     stands = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found)
