@@ -15,7 +15,7 @@ GROUPED = """
       ',"symlink_target_b64":', CASE WHEN target_b64 IS NULL THEN 'null' ELSE concat('"', target_b64, '"') END, ',"hardlink_group_b64":', CASE WHEN root_b64 IS NULL THEN 'null' ELSE concat('"', root_b64, '"') END, '}') AS observed FROM shown),
   s AS (SELECT * FROM seen WHERE side = 0), d AS (SELECT * FROM seen WHERE side = 1),
   j AS MATERIALIZED (SELECT coalesce(s.path, d.path) AS path, s.path AS sp, d.path AS dp, s.observed so, d.observed do_, s.file_type st, d.file_type dt, s.size ss, d.size ds, s.mode & 4095 sm, d.mode & 4095 dm, s.uid su, d.uid du, s.gid sg, d.gid dg,
-    s.mtime_sec sx, d.mtime_sec dx, CAST(floor(s.mtime_nsec / 1000) AS BIGINT) sn, CAST(floor(d.mtime_nsec / 1000) AS BIGINT) dn, s.target_b64 sl, d.target_b64 dl, s.root_b64 sr, d.root_b64 dr FROM s FULL OUTER JOIN d ON s.path = d.path),
+    s.mtime_sec sx, d.mtime_sec dx, CAST(floor(s.mtime_nsec / 1000) AS BIGINT) sn, CAST(floor(d.mtime_nsec / 1000) AS BIGINT) dn, s.target_b64 sl, d.target_b64 dl, s.root_b64 sr, d.root_b64 dr, s.group_root src_root, d.group_root dst_root FROM s FULL OUTER JOIN d ON s.path = d.path),
   diffs AS (SELECT path, 'missing_destination' AS kind, so AS expected, CAST(NULL AS VARCHAR) AS observed FROM j WHERE dp IS NULL UNION ALL SELECT path, 'unexpected_destination', NULL, do_ FROM j WHERE sp IS NULL
     UNION ALL SELECT path, 'unsupported_feature', 'a regular file, a directory or a symlink', CASE WHEN sp IS NULL THEN CAST(dt AS VARCHAR) WHEN dp IS NULL THEN CAST(st AS VARCHAR) ELSE concat('{"source":', st, ',"destination":', dt, '}') END FROM j WHERE st IN (0,4,5,6,7) OR dt IN (0,4,5,6,7)
     UNION ALL SELECT path, 'type', CAST(st AS VARCHAR), CAST(dt AS VARCHAR) FROM j WHERE st <> dt

@@ -70,7 +70,7 @@ def agg_selection_summary(entries, raw):
     return S.selection_summary(S.select_sample(entries, S.evidence(raw), RUN, SEED, TARGET))
 
 
-@query("join_jobs", "entries", "evidence_raw", sql=f"{SAMPLE} SELECT c.path, c.reasons, j.ss AS src_size, j.ds AS dst_size, j.sr AS src_root, j.dr AS dst_root FROM chosen c JOIN j ON c.path = j.path AND j.sp IS NOT NULL AND j.dp IS NOT NULL")
+@query("join_jobs", "entries", "evidence_raw", sql=f"{SAMPLE} SELECT c.path, c.reasons, j.ss AS src_size, j.ds AS dst_size, j.src_root, j.dst_root FROM chosen c JOIN j ON c.path = j.path AND j.sp IS NOT NULL AND j.dp IS NOT NULL")
 def join_jobs(entries, raw):
     return S.jobs_with_baselines(S.select_sample(entries, S.evidence(raw), RUN, SEED, TARGET), entries).select("path", "reasons", "src_size", "dst_size", "src_root", "dst_root")
 
