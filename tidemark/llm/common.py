@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.scratch import clear, mark, materialise, remove, scratch_dir, scratch_path
 
-__all__ = ["WORD_PATTERN", "clear", "mark", "materialise", "remove", "scratch_dir", "scratch_path", "table"]
+__all__ = ["WORD_PATTERN", "clear", "mark", "materialise", "release", "remove", "scratch_dir", "scratch_path", "table"]
 
 # A word is a maximal run of bytes other than space and 0x09-0x0D; bytes.split() splits at just these.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -14,3 +17,10 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def release() -> None:
+    """Give back what is free in this Python worker: workers stay for later tasks, whose memory would come on top."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)

@@ -19,10 +19,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialise
+from tidemark.llm.common import materialise, release
 
 GROUP_PIECES = 20_000
-CACHED_WORDS, KEPT_WORDS = 1_000_000, 500_000  # in a task, and from one task of a worker to its next
+CACHED_WORDS, KEPT_WORDS = 800_000, 400_000  # in a task, and from one task of a worker to its next
 CHUNK_BYTES = 8_000_000  # of text that is split into words at once
 _vocabularies: dict[str, "WordIds"] = {}
 
@@ -123,7 +123,7 @@ def tokenise(docs: DataFrame, tokenizer_path: str, max_tokens: int = 4096, end_i
                 first, k = int(part[0]), len(part)
                 yield pa.RecordBatch.from_arrays(_pieces(doc_ids.slice(first, k), texts.slice(first, k), vocabulary, max_tokens, end_id, with_ids), names=names)
         vocabulary.forget(KEPT_WORDS)
-        pa.default_memory_pool().release_unused()  # the worker stays for other stages
+        release()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     shape = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialise
+from tidemark.llm.common import materialise, release
 from tidemark.llm.components import connected_components
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -154,6 +154,7 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Those of the pairs (a, b) whose shingle sets have the similarity, exactly; two empty sets are alike."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             stands = []
             for x, y in zip(batch["x"], batch["y"]):
@@ -241,6 +242,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, crow
     """
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         for pdf in batches:
             yield pd.DataFrame({"__text": pdf["__text"], "keys": [band_keys(shingle_hashes((t or "").encode("utf-8", "surrogatepass"), shingle)) for t in pdf["text"]]})
 

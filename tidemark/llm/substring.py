@@ -25,10 +25,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import release
 from tidemark.llm.fm_index import FmIndex, match_windows
 
 GRAM = 5  # words of the grams that anchors are chosen from
-BATCH_BYTES = 6_000_000  # of document text for each batch
+BATCH_BYTES = 4_000_000  # of document text for each batch
 FRAGMENT_WINDOWS = 64  # longer runs are cut
 SHARD_BYTES = 2_000_000  # of document text for each shard
 CROWDED = 5_000  # an anchor in so many fragments is dealt window by window
@@ -85,6 +86,7 @@ class Batch:
         powers = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(len(hashes), np.uint64(base))]))
         inverse = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(len(hashes), np.uint64(pow(base, -1, 1 << 64)))]))
         sums = np.concatenate([[np.uint64(0)], np.cumsum(hashes * powers[:-1], dtype=np.uint64)])
+        del powers, grams, least
 
         alone = np.isin(anchor, crowded) if len(crowded) else np.zeros(len(anchor), dtype=bool)
         new = np.ones(len(starts), dtype=bool)
@@ -131,6 +133,7 @@ def _unpack(blob: bytes) -> tuple[list[np.ndarray], bytes]:
 
 def _batch_of(table: pa.Table, window: int, crowded: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, Batch]:
     """Number, order of the rows, hashes of the texts, and the batch: rows by id and text, in whatever order they came."""
+    release()
     ids, keys = table["__id"].to_numpy(), table["__key"].to_numpy()
     order = np.lexsort((keys, ids))
     texts = table["text"].to_pylist()
@@ -230,6 +233,7 @@ def _match(window: int):
     of the data, are written to disk once, in this shuffle."""
 
     def run(table: pa.Table) -> pa.Table:
+        release()
         batches, blobs = table["__batch"].to_pylist(), table["blob"].to_pylist()
         if table["shard"][0].as_py() < 0:
             return _rows([(n, True, blob) for n, blob in zip(batches, blobs)], MATCHED)
@@ -314,6 +318,7 @@ def _clean(window: int, columns: list[str]):
     """The documents of a batch less their repeats, every other column as it is."""
 
     def run(table: pa.Table, found: pa.Table) -> pa.Table:
+        release()
         ids, keys = table["__id"].to_numpy(), table["__key"].to_numpy()
         order = np.lexsort((keys, ids)).tolist()
         texts = table["text"].to_pylist()

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import release
 from tidemark.llm.linear import Rows, encode, fit_logistic, hashed_ngrams, ngram_slots, sigmoid
 
 SAMPLE_ROWS = 6000  # labelled documents that the model is fitted on, at most
@@ -68,10 +69,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows:
     """Fit on the sample; with one class only or no labels at all, the model knows the class share alone."""
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         for pdf in batches:
             yield pd.DataFrame({"one": 0, "doc_id": pdf["doc_id"].astype(str), "label": pdf["label"], "slots": [ngram_slots(t, orders, bits).astype("<u4").tobytes() for t in pdf["text"]]})
 
     def fit(table: pa.Table) -> pa.Table:
+        release()
         slot, weight = fit_weights(table, 1 << bits, max_features, l2)
         return pa.table({"slot": pa.array(slot, pa.int32()), "weight": pa.array(weight, pa.float64())})
 
@@ -125,6 +128,7 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
 
     @F.pandas_udf("double")
     def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        release()
         for texts in batches:
             yield pd.Series(shared.value.scores([t or "" for t in texts]))
 
