@@ -29,7 +29,7 @@ from tidemark.llm.common import release
 from tidemark.llm.fm_index import FmIndex, match_windows
 
 GRAM = 5  # words of the grams that anchors are chosen from
-BATCH_BYTES = 4_000_000  # of document text for each batch
+BATCH_BYTES = 2_500_000  # of document text for each batch
 FRAGMENT_WINDOWS = 64  # longer runs are cut
 SHARD_BYTES = 2_000_000  # of document text for each shard
 CROWDED = 5_000  # an anchor in so many fragments is dealt window by window
