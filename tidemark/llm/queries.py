@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, cotrain, licenses, mixing, packing, sharding, simhash, substring, topk, toxicity
+from tidemark.llm import ann, cotrain, licenses, manifest, mixing, packing, sharding, simhash, substring, tokens, topk, toxicity, whitening
 from tidemark.llm.common import table
 from tidemark.llm.vectors import usable
 
@@ -63,6 +63,20 @@ def op10_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = tokens.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
+    return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", components=32, scale=64)
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return manifest.manifest(table(spark, sf_dir, "documents"), tampered=tampered)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_temperature_mixing": op2_temperature_mixing,
@@ -74,6 +88,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_cotraining": op8_cotraining,
     "op9_simhash": op9_simhash,
     "op10_kmeans_tree": op10_kmeans_tree,
+    "op11_token_counts": op11_token_counts,
+    "op12_whitening": op12_whitening,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -104,4 +121,45 @@ ORACLE_SQL: dict[str, str] = {
         ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM scored)
         SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <= 10
     """,
+    "op13_merkle_manifest": """
+        WITH RECURSIVE rows AS (
+          SELECT doc_id, source, text,
+            concat(coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'), coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-')) AS head,
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lowered,
+            xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, 1 + strlen(CAST(doc_id AS VARCHAR))), lambda i: CAST(ascii(CAST(doc_id AS VARCHAR)[i]) AS BIGINT))),
+              lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda c, k: xor(c >> 1, CASE WHEN c % 2 = 1 THEN 3988292384 ELSE 0 END)))) AS crc
+          FROM documents),
+        hashed AS (
+          SELECT doc_id, source, sha256(concat(head, coalesce(strlen(text) || ':' || text, '-'))) AS leaf,
+            CASE WHEN crc % 5 = 0 THEN sha256(concat(head, coalesce(strlen(lowered) || ':' || lowered, '-'))) END AS changed
+          FROM rows),
+        leaves AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY source) AS n FROM hashed),
+        nodes AS (
+          SELECT 0 AS level, source, idx, n, leaf AS h FROM leaves
+          UNION ALL SELECT level + 1, source, idx // 16, CAST(ceil(n / 16.0) AS BIGINT), sha256(string_agg(h, '' ORDER BY idx)) FROM nodes WHERE n > 1 GROUP BY level, source, idx // 16, n),
+        tops AS MATERIALIZED (SELECT source, h, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS idx, count(*) OVER () AS n FROM nodes WHERE n = 1),
+        upper AS (
+          SELECT 0 AS level, idx, n, h FROM tops
+          UNION ALL SELECT level + 1, idx // 16, CAST(ceil(n / 16.0) AS BIGINT), sha256(string_agg(h, '' ORDER BY idx)) FROM upper WHERE n > 1 GROUP BY level, idx // 16, n),
+        steps AS (
+          SELECT level, source, idx, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') || '|' || coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS s
+          FROM nodes WHERE n > 1 WINDOW w AS (PARTITION BY level, source, idx // 16 ORDER BY idx)),
+        upper_steps AS (
+          SELECT level, idx, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') || '|' || coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS s
+          FROM upper WHERE n > 1 WINDOW w AS (PARTITION BY level, idx // 16 ORDER BY idx)),
+        own AS (
+          SELECT l.source, l.idx, list(s ORDER BY level) AS steps
+          FROM leaves l JOIN steps ON steps.source IS NOT DISTINCT FROM l.source AND steps.idx = l.idx >> (4 * level) GROUP BY l.source, l.idx),
+        above AS (
+          SELECT t.source, list(s ORDER BY level) AS steps FROM tops t JOIN upper_steps u ON u.idx = t.idx >> (4 * level) GROUP BY t.source),
+        whole AS (
+          SELECT l.doc_id, l.leaf, coalesce(l.changed, l.leaf) AS start, t.h AS subroot, (SELECT h FROM upper WHERE n = 1) AS root,
+            list_concat(coalesce(own.steps, CAST([] AS VARCHAR[])), coalesce(above.steps, CAST([] AS VARCHAR[]))) AS steps
+          FROM leaves l JOIN tops t ON t.source IS NOT DISTINCT FROM l.source
+          LEFT JOIN own ON own.source IS NOT DISTINCT FROM l.source AND own.idx = l.idx LEFT JOIN above ON above.source IS NOT DISTINCT FROM l.source),
+        folded AS (
+          SELECT *, list_reduce(list_prepend(start, steps), lambda a, s: sha256(concat(split_part(s, '|', 1), a, split_part(s, '|', 2)))) AS folded_root,
+            sha256(replace(array_to_string(steps, ''), '|', '')) AS proof_sha256 FROM whole)
+        SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM folded
+    """,
 }
