@@ -127,3 +127,79 @@ def test_liveness(spark, claim_age, held, beat_age, interval, want):
     claims = spark.range(1).select(F.lit("s").alias("shard"), F.lit("h").alias("host"), at(claim_age).alias("claimed_utc"), F.lit("c").alias("claim_etag"), F.lit("active").alias("state"))
     progress = spark.range(1).select(F.lit("h").alias("host"), at(beat_age or 0).alias("heartbeat_utc"), F.lit(held).cast("string").alias("held_etag"), F.lit(interval or 0).alias("heartbeat_sec"))
     assert R.reclaimable(claims, progress if interval is not None else progress.limit(0), now, 30).first()["reclaimable"] is want
+
+
+def spaced(rng, n, step):
+    """Numbers far enough apart that slices, groups of slices and groups of groups are crossed."""
+    seq, out = 0, []
+    for _ in range(n):
+        seq += rng.choice([1, 2, step])
+        out.append(seq)
+    return out
+
+
+@pytest.mark.parametrize("step", [3, 5_000, 3_000_000_000])
+def test_high_water_marks_and_gaps_across_slices(spark, step):
+    rng = random.Random(11)
+    rows = [(s, rng.choice(["w1", "w1", "w2", None]), rng.choice([None, rng.randrange(400), rng.randrange(400)])) for s in spaced(rng, 500, step)]
+    df = spark.createDataFrame(rows, "seq long, worker_id string, client_seq long").repartition(5)
+    high, want = {}, set()
+    for s, w, c in rows:
+        if c is None or c > high.get(w, -1):
+            want.add(s)
+        high[w] = max(high.get(w, -1), -1 if c is None else c)
+    assert {r["seq"] for r in E.dedup_client(df).collect()} == want
+    missing = set()
+    for w in ("w1", "w2", None):
+        own = [s for s, x, _ in rows if x == w]
+        missing |= {(w, a + 1, b - 1) for a, b in zip(own, own[1:]) if b > a + 1}
+    assert {tuple(r) for r in E.gaps(df.union(df.limit(50)), "worker_id").collect()} == missing
+
+
+def test_rolling_rates_across_blocks(spark):
+    rng, at, rows = random.Random(12), 0, []
+    for s in range(400):
+        at += rng.choice([0, 1, 5, 30, 61])
+        rows.append((s, rng.choice("ab"), "ProgressDelta", rng.randrange(9), at))
+    df = spark.createDataFrame(rows, "seq long, job_id string, kind string, files_delta long, at long").withColumn("event_at", F.timestamp_seconds("at"))
+    got = {r["seq"]: r["files_s"] for r in E.rolling_rates(df, "job_id", 60).collect()}
+    assert got == {s: sum(d for _, k, _, d, t in rows if k == j and u - 60 <= t <= u) / 60 for s, j, _, _, u in rows}
+
+
+@pytest.mark.parametrize("step, created", [(3, False), (5_000, False), (5_000, True), (2_000_000, True)])
+def test_phases_in_slices_equal_the_fold(spark, step, created):
+    rng = random.Random(13)
+    kinds = ["ProgressDelta", "ProgressDelta", "JobPaused", "JobResumed", "JobPhaseChanged", "VerifyStarted", "VerifyCompleted", *["JobCompleted"] * (step == 3), *["JobCreated"] * created]
+    rows = [(s, rng.choice(["hot", "hot", "cold"]), rng.choice(kinds), rng.choice(E.PIPELINE)) for s in spaced(rng, 1500, step)]
+    df = spark.createDataFrame(rows, "seq long, job_id string, kind string, to_phase string").repartition(4)
+    got = {r["job_id"]: tuple(r)[1:] for r in E.job_phases(df, created).collect()}
+    for job in ("hot", "cold"):
+        own = [(s, k, t) for s, j, k, t in rows if j == job]
+        if created:
+            own = own[next(i for i, e in enumerate(own) if e[1] == "JobCreated") :]
+        phase, history = E.fold_phases(own)
+        first = lambda names: next((s for s, _, to in history if to in names), None)
+        assert got[job] == (phase, len(history), first(["Copying"]), first(E.ENDED))
+
+
+def test_phase_maps_follow_the_step():
+    for kind in ("ProgressDelta", "JobPaused", "JobResumed", "JobCompleted", "JobCreated", "VerifyStarted"):
+        assert E.phase_map(kind, None).shape == (len(E.PHASE_STATES),)
+    paused = E.PHASE_STATES.index(("Paused", "Copying"))
+    assert E.PHASE_STATES[E.phase_map("JobResumed", None)[paused]] == ("Copying", None)
+    assert E.phase_map("JobPaused", None)[E.NO_JOB] == E.NO_JOB
+
+
+def test_all_older_registrations_are_superseded(spark):
+    rows = [(1, "A", "j", "h-1", 1, 10, None), (2, "B", "j", "h-1", 1, 10, None), (3, "C", "j", "h-2", 2, 20, None), (4, "D", "j", "h-1", 1, 10, None), (5, "E", "k", "h-2", 2, 30, None), (0, "Z", "j", "h-9", 9, 5, 1)]
+    df = spark.createDataFrame(rows, "seq long, worker_id string, job_id string, host string, pid long, start_time long, left_seq long")
+    assert {(r["worker_id"], r["by"]) for r in R.superseded(df).collect()} == {("A", "C"), ("B", "C"), ("C", "D")}
+
+
+def test_a_manifest_digest_sees_every_entry(spark):
+    rows = [(f"part-{i}", 10 + i, 100, None if i == 3 else f"e{i}") for i in range(40)]
+    one = lambda r: tuple(R.build_manifest(spark.createDataFrame(r, "shard string, n_rows long, n_bytes long, etag string").repartition(3), "r").first())
+    base = one(rows)
+    assert base == one(rows[::-1]) and base[1:4] == (40, sum(r[1] for r in rows), 4000)
+    digests = {base[4], one(rows + rows[:1])[4], one(rows + rows[:1] * 2)[4], one(rows[1:])[4], one([*rows[1:], ("part-0", 10, 100, "other")])[4]}
+    assert len(digests) == 5

@@ -9,7 +9,6 @@ from tidemark import scratch
 from tidemark.operators import inventory as I
 from tidemark.operators import reconcile as R
 from tidemark.sources import tables as S
-from tidemark.streaming import events as E
 
 CATALOG = "shard_index int, row_id long, path string, size long, mode long, file_type int, mtime_sec long, mtime_nsec long, atime_sec long, atime_nsec long, uid long, gid long, nlink long, inode long, fsid long, allocated_blocks long"
 
@@ -114,34 +113,6 @@ def test_snapshots_keep_their_last_versions(spark, tmp_path):
         S.read_state(spark, str(tmp_path), "jobs").collect()
 
 
-def test_capped_progress_equals_a_loop(spark, tmp_path):
-    rng = random.Random(6)
-    rows, at = [], 0.0
-    for k in range(200):
-        at += rng.choice([0.0, 0.1, 0.3, 0.7, 1.0, 2.5])
-        rows.append((k + 1, "j", f"w{k % 2}", "ProgressDelta", rng.randrange(1, 9), 1_700_000_000 + at))
-    df = spark.createDataFrame(rows, "seq long, job_id string, worker_id string, kind string, files_delta long, at double").withColumn("event_at", F.timestamp_micros((F.col("at") * 1e6).cast("long"))).drop("at")
-    for i in range(4):
-        df.where(f"seq > {50 * i} and seq <= {50 * i + 50}").coalesce(1).write.mode("append").json(str(tmp_path))
-    got = E.run_available(E.capped_progress(S.read_events(spark, str(tmp_path), streaming=True)), "capped").collect()
-    want = []
-    for w in ("w0", "w1"):
-        led, since, held = -1e18, -1e18, 0
-        for i in range(4):
-            for seq, _, _, _, n, t in [r for r in rows if r[2] == w and 50 * i < r[0] <= 50 * i + 50]:
-                t = int(t * 1e6) / 1e6
-                if held and t - since >= 1.0:
-                    want.append((w, "drained", held, seq))
-                    held = 0
-                if t - led >= 1.0:
-                    led = t
-                    want.append((w, "leading", n, seq))
-                else:
-                    since, held = (since if held else t), held + n
-            want.append((w, "retained", held, seq))
-    assert sorted((r["worker_id"], r["part"], r["files"], r["seq"]) for r in got) == sorted(want)
-
-
 def test_scratch_tables_go_when_they_are_cleared(spark):
     at = scratch.mark()
     df = scratch.materialise(spark.range(5), "gone")

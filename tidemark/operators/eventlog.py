@@ -5,12 +5,16 @@ An event has seq (ascending, one writer), event_at, job_id, worker_id, kind and
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.ordered import carried, entering, slice_of, with_carried
+from tidemark.scratch import materialise
+
 PIPELINE = ("Planned", "Scanning", "Copying", "Verifying", "Cutover")
 ENDED = ("Completed", "Failed", "Cancelled")
 KINDS = ("JobCreated", "JobPhaseChanged", "JobPaused", "JobResumed", "JobCancelled", "JobCompleted", "JobFailed", "WorkerJoined", "WorkerLeft", "WorkerStateChanged", "WorkerFenced", "WorkerRecovered", "ProgressSync", "ProgressDelta", "ErrorEmitted", "VerifyStarted", "VerifyCompleted", "VerifyFileMismatch", "ShardClaimed", "ShardCompleted", "ClaimConflictResolved")
@@ -37,10 +41,17 @@ def transition_table(spark) -> DataFrame:
 
 
 def dedup_client(events: DataFrame) -> DataFrame:
-    """Without stamped events whose client_seq does not exceed all earlier ones of their worker; unstamped ones stay."""
-    before = Window.partitionBy("worker_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    high = F.max("client_seq").over(before)
-    return events.withColumn("_high", high).where(F.col("client_seq").isNull() | F.col("_high").isNull() | (F.col("client_seq") > F.col("_high"))).drop("_high")
+    """Without stamped events whose client_seq does not exceed all earlier ones of their worker; unstamped ones stay.
+
+    A worker's events are read in slices of seq, with the highest stamp of all slices before.
+    """
+    rows = events.withColumn("_slice", slice_of("seq"))
+    per = rows.groupBy("worker_id", "_slice").agg(F.max("client_seq").alias("_stamp"))
+    earlier = Window.partitionBy("worker_id", "_slice").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    inside = rows.withColumn("_high", F.max("client_seq").over(earlier))
+    high = F.greatest("_high", "_before__stamp")
+    both = with_carried(inside, carried(per, ["worker_id"], {"_stamp": "max"}), ["worker_id"])
+    return both.where(F.col("client_seq").isNull() | high.isNull() | (F.col("client_seq") > high)).select(*events.columns)
 
 
 def validate_batches(events: DataFrame, forbidden: tuple[str, ...]) -> DataFrame:
@@ -67,7 +78,7 @@ def progress(events: DataFrame, key: str, delta: str, sync: str, reset: str | No
         last = events.where(F.col("kind") == reset).groupBy(key).agg(F.max("seq").alias("_from"))
         rows = events.join(last, key, "left").where(F.col("_from").isNull() | (F.col("seq") > F.col("_from")))
     # Sums by slices of seq first, so that a key with a third of all events is summed in many tasks.
-    slices = rows.where(F.col(delta).isNotNull() | F.col(sync).isNotNull()).withColumn("_slice", F.floor(F.col("seq") / 4096))
+    slices = rows.where(F.col(delta).isNotNull() | F.col(sync).isNotNull()).withColumn("_slice", slice_of("seq"))
     in_slice = Window.partitionBy(key, "_slice").orderBy("seq")
     run = slices.withColumn("_s", F.sum(F.coalesce(F.col(delta), F.lit(0))).over(in_slice))
     per_slice = run.groupBy(key, "_slice").agg(F.sum(F.coalesce(F.col(delta), F.lit(0))).alias("_sum"), F.max(F.col(sync) - F.col("_s")).alias("_lift"))
@@ -102,12 +113,17 @@ def error_buckets(events: DataFrame, classes: int = CLASSES) -> DataFrame:
 def error_samples(events: DataFrame, keep: int = SAMPLES, classes: int = CLASSES) -> DataFrame:
     """job_id, class, paths: an error's path joins its bucket's list unless it is in it, and the oldest leaves when there are too many.
 
-    A path that left may come back, so this is a fold in order of seq; each task streams its buckets' errors.
+    A path that left may come back, and one that comes again does not move up, so what a stretch of errors leaves depends on every
+    path of the list before it: there is nothing to merge, and this is a fold in order of seq. Each task streams its buckets'
+    errors and holds one list; errors that repeat the path before them in a slice of seq are left out first.
     """
     buckets = error_buckets(events, classes).select("job_id", "class")
     errors = events.where("kind = 'ErrorEmitted'").select("job_id", "class", "path", "seq").join(buckets.select("job_id", "class", F.lit(True).alias("_own")), ["job_id", "class"], "left")
     errors = errors.withColumn("class", F.when(F.col("_own"), F.col("class")).otherwise(OVERFLOW))
 
+    again = F.lag("path").over(Window.partitionBy("job_id", "class", "_slice").orderBy("seq"))
+    errors = errors.withColumn("_slice", slice_of("seq")).withColumn("_again", F.col("path") == again).where("_again is null or not _again").drop("_slice", "_again")
+
     def fold(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, paths = None, []
         for pdf in pdfs:
@@ -126,14 +142,23 @@ def error_samples(events: DataFrame, keep: int = SAMPLES, classes: int = CLASSES
     return errors.repartition("job_id", "class").sortWithinPartitions("job_id", "class", "seq").mapInPandas(fold, "job_id string, class string, paths array<string>")
 
 
+def target_of(kind: str, to: str | None, mismatches: int | None) -> str | None:
+    """The phase that an event names; that of a finished verification follows from its mismatches, where they are known."""
+    if kind == "VerifyCompleted" and mismatches is not None:
+        return "Failed" if mismatches else "Cutover"
+    return to
+
+
 def phase_step(phase: str, history: list[tuple[int, str, str]], seq: int, kind: str, to: str | None) -> tuple[str, list[tuple[int, str, str]]]:
     """Phase and history (seq, before, after; the last HISTORY) after one more event."""
+    if kind == "JobCreated":
+        return "Planned", []
     if kind == "ProgressDelta":
         to = "Copying" if phase == "Planned" else None
     elif kind == "JobResumed":
         to = next((a for _, a, _ in reversed(history) if a != "Paused"), "Scanning") if phase == "Paused" else None
     else:
-        to = {"JobPaused": "Paused", "JobCompleted": "Completed", "JobFailed": "Failed", "JobCancelled": "Cancelled", "VerifyStarted": "Verifying"}.get(kind, to)
+        to = {"JobPaused": "Paused", "JobCompleted": "Completed", "JobFailed": "Failed", "JobCancelled": "Cancelled", "VerifyStarted": "Verifying"}.get(kind, to if kind in ("JobPhaseChanged", "VerifyCompleted") else None)
     if to and transition_allowed(phase, to):
         return to, [*history, (seq, phase, to)][-HISTORY:]
     return phase, history
@@ -147,45 +172,104 @@ def fold_phases(events: list[tuple[int, str, str | None]]) -> tuple[str, list[tu
     return phase, history
 
 
-def phase_relevant(events: DataFrame) -> DataFrame:
-    """Phase events, and of each stretch of deltas between them the first: others cannot change a phase."""
-    w = Window.partitionBy("job_id").orderBy("seq")
-    delta = F.col("kind") == "ProgressDelta"
-    return events.withColumn("_before", F.lag("kind").over(w)).where(~delta | F.col("_before").isNull() | (F.col("_before") != "ProgressDelta")).drop("_before")
+#: All that a job's phase depends on: its phase, and for a paused job the phase that it goes back to. The last stands for no job.
+PHASE_STATES = (*((p, None) for p in PIPELINE), *(("Paused", p) for p in PIPELINE), *((p, None) for p in ENDED), (None, None))
+NO_JOB = len(PHASE_STATES) - 1
 
 
-def job_phases(events: DataFrame) -> DataFrame:
-    """job_id, phase, transitions, first_copying, ended: the phase machine of every job, illegal moves ignored.
+def phase_map(kind: str, to: str | None) -> np.ndarray:
+    """The state (a place in PHASE_STATES) that each state becomes by an event, as phase_step has it."""
+    out = []
+    for phase, back in PHASE_STATES:
+        if phase is None and kind != "JobCreated":
+            out.append(NO_JOB)
+            continue
+        after, _ = phase_step(phase, [(0, back, "Paused")] if back else [], 1, kind, to)
+        out.append(PHASE_STATES.index((after, (back if phase == "Paused" else phase) if after == "Paused" else None)))
+    return np.array(out)
 
-    Jobs are dealt over tasks and their events streamed in order, one job's phase and history held at a time.
-    """
 
-    def row(job: str, phase: str, history: list) -> tuple:
-        copying = next((s for s, _, to in history if to == "Copying"), None)
-        ended = next((s for s, _, to in history if to in ENDED), None)
-        return job, phase, len(history), copying, ended
+def phase_relevant(events: DataFrame) -> DataFrame:
+    """job_id, seq, kind, to_phase, _slice: phase events, and of each stretch of deltas in a slice the first: others cannot change a phase."""
+    w = Window.partitionBy("job_id", "_slice").orderBy("seq")
+    kind = F.col("kind")
+    to = F.when((kind == "VerifyCompleted") & F.col("mismatches").isNotNull(), F.when(F.col("mismatches") == 0, "Cutover").otherwise("Failed")).otherwise(F.col("to_phase")) if "mismatches" in events.columns else F.col("to_phase")
+    rows = events.select("job_id", "seq", "kind", to.alias("to_phase"), slice_of("seq").alias("_slice")).withColumn("_before", F.lag("kind").over(w))
+    return rows.where((kind != "ProgressDelta") | F.col("_before").isNull() | (F.col("_before") != "ProgressDelta")).drop("_before")
 
-    def fold(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        job, phase, history = None, "Planned", []
-        for pdf in pdfs:
-            done = []
-            for j, *event in zip(pdf["job_id"], pdf["seq"], pdf["kind"], pdf["to_phase"]):
-                if j != job:
-                    if job is not None:
-                        done.append(row(job, phase, history))
-                    job, phase, history = j, "Planned", []
-                phase, history = phase_step(phase, history, *event)
-            yield _phase_frame(done)
-        if job is not None:
-            yield _phase_frame([row(job, phase, history)])
 
-    dealt = phase_relevant(events).select("job_id", "seq", "kind", "to_phase").repartition("job_id").sortWithinPartitions("job_id", "seq")
-    return dealt.mapInPandas(fold, "job_id string, phase string, transitions long, first_copying long, ended long")
+def phase_moves(events: DataFrame, created: bool = False) -> DataFrame:
+    """job_id, seq, before, after: every legal move of every job, and its creation (with a null `before`).
+
+    A slice of a job's events becomes a map from the states in which it may be entered to those in which it is left; maps are
+    composed in groups (operators.ordered), and with the state in which it is really entered a slice tells its moves. No task
+    holds more than a slice. created: a job is none before JobCreated, and what comes before it is ignored; else jobs
+    are there from the start, as Planned.
+    """
+    rows = phase_relevant(events)
+
+    def maps(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        steps: dict[tuple, np.ndarray] = {}
+        for key, state in _by_slice(pdfs, lambda: np.arange(len(PHASE_STATES)), lambda state, seq, kind, to: _step(steps, kind, to)[state]):
+            yield pd.DataFrame({"job_id": [key[0]], "_slice": [key[1]], "leaves": [state], "counts": [np.zeros(len(state), dtype=np.int64)]})
 
+    dealt = rows.repartition("job_id", "_slice").sortWithinPartitions("job_id", "_slice", "seq")
+    slices = materialise(dealt.mapInPandas(maps, "job_id string, _slice long, leaves array<int>, counts array<long>"), "phase-maps")
+    most = slices.agg(F.max("_slice")).first()[0] or 0
+    states = entering(slices, "job_id", NO_JOB if created else 0, most).drop("count")
 
-def _phase_frame(rows: list[tuple]) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=["job_id", "phase", "transitions", "first_copying", "ended"])
-    return frame.astype({"first_copying": "Int64", "ended": "Int64"})
+    def moves(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        steps: dict[tuple, np.ndarray] = {}
+        key, state = None, NO_JOB
+        for pdf in pdfs:
+            out = []
+            for job, at, seq, kind, to, entered in pdf[["job_id", "_slice", "seq", "kind", "to_phase", "state"]].itertuples(index=False):
+                if (job, at) != key:
+                    key, state = (job, at), entered
+                after = int(_step(steps, kind, to)[state])
+                if kind == "JobCreated":
+                    out.append((job, seq, None, "Planned"))
+                elif PHASE_STATES[after][0] != PHASE_STATES[state][0]:
+                    out.append((job, seq, PHASE_STATES[state][0], PHASE_STATES[after][0]))
+                state = after
+            yield pd.DataFrame(out, columns=["job_id", "seq", "before", "after"])
+
+    entered = with_carried(rows, states, ["job_id"]).repartition("job_id", "_slice").sortWithinPartitions("job_id", "_slice", "seq")
+    return entered.mapInPandas(moves, "job_id string, seq long, before string, after string")
+
+
+def _step(steps: dict[tuple, np.ndarray], kind: str, to: str | None) -> np.ndarray:
+    if (kind, to) not in steps:
+        steps[kind, to] = phase_map(kind, to)
+    return steps[kind, to]
+
+
+def _by_slice(pdfs: Iterator[pd.DataFrame], start, step) -> Iterator[tuple]:
+    """(job_id, _slice) and what its events, which come in order, make of start()."""
+    key, state = None, None
+    for pdf in pdfs:
+        for job, at, *event in pdf[["job_id", "_slice", "seq", "kind", "to_phase"]].itertuples(index=False):
+            if (job, at) != key:
+                if key is not None:
+                    yield key, state
+                key, state = (job, at), start()
+            state = step(state, *event)
+    if key is not None:
+        yield key, state
+
+
+def job_phases(events: DataFrame, created: bool = False) -> DataFrame:
+    """job_id, phase, transitions, first_copying, ended: the phase machine of every job, illegal moves ignored; of the last HISTORY moves since it was created."""
+    moves = materialise(phase_moves(events, created), "phase-moves")
+    born = moves.where("before is null").groupBy("job_id").agg(F.max("seq").alias("_born"))
+    # All moves in one table of the moves since creation: one row a move, few next to the events.
+    since = moves.where("before is not null").join(born, "job_id", "left").where("_born is null or seq > _born")
+    newest = F.row_number().over(Window.partitionBy("job_id").orderBy(F.desc("seq")))
+    kept = since.withColumn("_newest", newest).where(F.col("_newest") <= HISTORY)
+    per = kept.groupBy("job_id").agg(F.max_by("after", "seq").alias("phase"), F.count("*").alias("transitions"), F.min(F.when(F.col("after") == "Copying", F.col("seq"))).alias("first_copying"), F.min(F.when(F.col("after").isin(*ENDED), F.col("seq"))).alias("ended"))
+    jobs = born.select("job_id") if created else events.select("job_id").distinct()
+    named = per.withColumnRenamed("job_id", "_job")
+    return jobs.join(named, F.col("job_id").eqNullSafe(F.col("_job")), "left").select("job_id", F.coalesce("phase", F.lit("Planned")).alias("phase"), F.coalesce("transitions", F.lit(0)).alias("transitions"), "first_copying", "ended")
 
 
 def rates(events: DataFrame, key: str, now: str, seconds: int) -> DataFrame:
@@ -195,10 +279,18 @@ def rates(events: DataFrame, key: str, now: str, seconds: int) -> DataFrame:
 
 
 def rolling_rates(events: DataFrame, key: str, seconds: int) -> DataFrame:
-    """Every delta with the rate of the window that it ends."""
-    at = F.unix_seconds(F.col("event_at").cast("timestamp"))
-    w = Window.partitionBy(key).orderBy("_at").rangeBetween(-seconds, 0)
-    return events.where("kind = 'ProgressDelta'").withColumn("_at", at).select(key, "seq", (F.sum("files_delta").over(w) / seconds).alias("files_s"))
+    """Every delta with the rate of the window that it ends.
+
+    Deltas are added up by the second. A window reaches into the block of `seconds` before its own at most, so each second is put
+    into its block and the next: no task orders more than two blocks of a key.
+    """
+    deltas = events.where("kind = 'ProgressDelta'").select(key, "seq", "files_delta", F.unix_seconds(F.col("event_at").cast("timestamp")).alias("_at"))
+    per = deltas.groupBy(key, "_at").agg(F.sum("files_delta").alias("_d"))
+    block = F.floor(F.col("_at") / seconds)
+    blocks = per.withColumn("_block", F.explode(F.array(block, block + 1)))
+    w = Window.partitionBy(key, "_block").orderBy("_at").rangeBetween(-seconds, 0)
+    sums = blocks.withColumn("_sum", F.sum("_d").over(w)).where(block == F.col("_block")).select(F.col(key).alias("_k"), F.col("_at").alias("_k_at"), "_sum")
+    return deltas.join(sums, deltas[key].eqNullSafe(F.col("_k")) & (F.col("_at") == F.col("_k_at"))).select(key, "seq", (F.col("_sum") / seconds).alias("files_s"))
 
 
 def rates_absolute(events: DataFrame, key: str, value: str, now: str, seconds: int) -> DataFrame:
@@ -245,20 +337,68 @@ def prune_chunks(chunks: DataFrame, since: int) -> DataFrame:
 
 
 def gaps(events: DataFrame, key: str) -> DataFrame:
-    """key, first_missing, last_missing: ranges of seq that a key's events skip; repeats of a seq count once."""
-    w = Window.partitionBy(key).orderBy("seq")
-    return events.select(key, "seq").distinct().withColumn("_next", F.lead("seq").over(w)).where(F.col("_next") > F.col("seq") + 1).select(key, (F.col("seq") + 1).alias("first_missing"), (F.col("_next") - 1).alias("last_missing"))
+    """key, first_missing, last_missing: ranges of seq that a key's events skip; repeats of a seq count once.
+
+    Ranges inside a slice of seq, and those between a slice's first event and the last one of all slices before.
+    """
+    rows = events.select(key, "seq", slice_of("seq").alias("_slice")).distinct()
+    after = F.lead("seq").over(Window.partitionBy(key, "_slice").orderBy("seq"))
+    inside = rows.select(key, "seq", after.alias("_next"))
+    per = rows.groupBy(key, "_slice").agg(F.min("seq").alias("_first"), F.max("seq").alias("_last"))
+    between = carried(per, [key], {"_last": "last"}).select(key, F.col("_before__last").alias("seq"), F.col("_first").alias("_next"))
+    return inside.unionByName(between).where(F.col("_next") > F.col("seq") + 1).select(key, (F.col("seq") + 1).alias("first_missing"), (F.col("_next") - 1).alias("last_missing"))
 
 
 def unknown_kinds(events: DataFrame, known: tuple[str, ...] = KINDS) -> DataFrame:
     return events.where(~F.col("kind").isin(*known)).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-def cap_errors(events: DataFrame, n: int = 10) -> DataFrame:
-    """At most n errors of a job's class in each second of the clock, the first ones."""
-    second = F.date_trunc("second", F.col("event_at"))
-    place = F.row_number().over(Window.partitionBy("job_id", "class", second).orderBy("seq"))
-    return events.where("kind = 'ErrorEmitted'").withColumn("_place", place).where(F.col("_place") <= n).drop("_place")
+def pass_errors(errors: Iterable[tuple[str, int, int]], start: int | None, counts: dict[str, int], n: int, gap: int) -> tuple[list[tuple[str, int]], int | None, dict[str, int]]:
+    """(class, seq) of the errors (class, seq, milliseconds; in order) that pass, and the open window: its start and what passed of each class."""
+    out = []
+    for name, seq, at in errors:
+        if start is None or at - start >= gap:
+            start, counts = at, {}
+        if counts.get(name, 0) < n:
+            counts[name] = counts.get(name, 0) + 1
+            out.append((name, seq))
+    return out, start, counts
+
+
+def cap_errors(events: DataFrame, n: int = 10, seconds: float = 1.0) -> DataFrame:
+    """events, of the errors those that pass: at most n of a job's class in a window of a second. A window starts at the first error
+    after the last one has run out, and all classes share it.
+
+    Errors with a second of silence before them start a window whatever came earlier, so they cut a job's errors into bursts that
+    are folded each by itself.
+    """
+    gap = int(seconds * 1000)
+    errors = events.where("kind = 'ErrorEmitted'")
+    thin = errors.select("job_id", "class", "seq", F.unix_millis(F.col("event_at").cast("timestamp")).alias("at")).withColumn("_slice", slice_of("seq"))
+    # The error before, in the slice or else in those before it; time does not fall along seq.
+    per = thin.groupBy("job_id", "_slice").agg(F.max("at").alias("_at"))
+    inside = thin.withColumn("_prev", F.lag("at").over(Window.partitionBy("job_id", "_slice").orderBy("at", "seq")))
+    chained = with_carried(inside, carried(per, ["job_id"], {"_at": "max"}), ["job_id"]).drop("_at")
+    first = F.coalesce(F.col("at") - F.coalesce("_prev", "_before__at") >= gap, F.lit(True))
+    marked = chained.withColumn("_first", F.when(first, F.col("seq"))).drop("_prev", "_before__at")
+    heads = marked.groupBy("job_id", "_slice").agg(F.max("_first").alias("_head"))
+    within = F.max("_first").over(Window.partitionBy("job_id", "_slice").orderBy("at", "seq"))
+    bursts = with_carried(marked.withColumn("_own", within), carried(heads, ["job_id"], {"_head": "max"}), ["job_id"])
+    bursts = bursts.select("job_id", F.coalesce("_own", "_before__head").alias("_burst"), "class", "seq", "at")
+
+    def fold(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, start, counts = None, None, {}
+        for pdf in pdfs:
+            out = []
+            for job, burst, name, seq, at in pdf[["job_id", "_burst", "class", "seq", "at"]].itertuples(index=False):
+                if (job, burst) != key:
+                    key, start, counts = (job, burst), None, {}
+                passed, start, counts = pass_errors([(name, seq, at)], start, counts, n, gap)
+                out += [s for _, s in passed]
+            yield pd.DataFrame({"seq": pd.Series(out, dtype="int64")})
+
+    passed = bursts.repartition("job_id", "_burst").sortWithinPartitions("job_id", "_burst", "at", "seq").mapInPandas(fold, "seq long")
+    return errors.join(passed, "seq", "left_semi")
 
 
 def syncs(events: DataFrame, seconds: int = 1) -> DataFrame:

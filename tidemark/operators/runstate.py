@@ -6,9 +6,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.reconcile import sort_raw_path
+
 TERMINAL = ("completed", "failed")
 EXITED = ("exiting", "exited", "finished")
 LEASE_SECONDS = 900
+MANIFEST_DIGITS = 4  # hex digits that tell the blocks of a manifest's digest apart
 
 
 def age_seconds(at: Column, now: str) -> Column:
@@ -16,9 +19,23 @@ def age_seconds(at: Column, now: str) -> Column:
 
 
 def build_manifest(shards: DataFrame, run_id: str) -> DataFrame:
-    """One row: run_id, totals and an order-free digest of the shard entries (key, rows, bytes, etag)."""
-    entry = F.xxhash64("shard", "n_rows", "n_bytes", "etag")
-    return shards.agg(F.lit(run_id).alias("run_id"), F.count("*").alias("shards"), F.sum("n_rows").alias("total_rows"), F.sum("n_bytes").alias("total_bytes"), F.bit_xor(entry).alias("digest"))
+    """One row: run_id, totals and a digest of the entries (key, rows, bytes, etag): the hex sha256 of their blocks' hashes in order.
+
+    A block is the entries whose key's hash starts with the same bits, in order of the key, so no task holds all of them; the order in which
+    shards were listed is of no matter, and every entry is, also one that is there twice.
+    """
+    text = lambda c: F.coalesce(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-"))
+    entry = F.sha2(F.concat(*map(text, ("shard", "n_rows", "n_bytes", "etag"))), 256)
+    named = shards.select("n_rows", "n_bytes", entry.alias("_entry"), F.substring(F.sha2(F.coalesce("shard", F.lit("")), 256), 1, MANIFEST_DIGITS).alias("_block"))
+    blocks = named.groupBy("_block").agg(F.count("*").alias("n"), F.sum("n_rows").alias("rows"), F.sum("n_bytes").alias("bytes"), F.sha2(F.array_join(F.array_sort(F.collect_list("_entry")), ""), 256).alias("hash"))
+    top = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_block", "hash"))), lambda b: b["hash"]), ""), 256)
+    return blocks.agg(F.lit(run_id).alias("run_id"), F.coalesce(F.sum("n"), F.lit(0)).alias("shards"), F.sum("rows").alias("total_rows"), F.sum("bytes").alias("total_bytes"), top.alias("digest"))
+
+
+def manifest_entries(shards: DataFrame) -> DataFrame:
+    """place (from 1), key, rows, bytes, etag: the entries of a manifest in order of their key, by a range-partitioned sort."""
+    entries = sort_raw_path(shards.select(F.col("shard").alias("path"), F.col("n_rows").alias("rows"), F.col("n_bytes").alias("bytes"), "etag"))
+    return entries.select("place", F.col("path").alias("key"), "rows", "bytes", "etag")
 
 
 def shard_status(shards: DataFrame, claims: DataFrame) -> DataFrame:
@@ -155,12 +172,21 @@ def machine_name(host: Column, pid: Column) -> Column:
 
 
 def superseded(registrations: DataFrame) -> DataFrame:
-    """worker_id, by: workers that a later registration of their job and machine, of another process or start, replaced."""
+    """worker_id, machine, by: live workers that a later registration of their job and machine, of another process or start, replaced.
+
+    By the first such one: registrations of one process in a row are a run, and all of them go when the next run begins.
+    A worker that left before (`left_seq`, where the table has it) is not replaced.
+    """
     w = Window.partitionBy("job_id", "machine").orderBy("seq")
     named = registrations.withColumn("machine", machine_name(F.col("host"), F.col("pid")))
-    nxt = F.lead(F.struct("worker_id", "pid", "start_time")).over(w)
-    found = named.withColumn("next", nxt).where("next is not null and (next.pid <> pid or next.start_time <> start_time)")
-    return found.select("worker_id", "machine", F.col("next.worker_id").alias("by"))
+    process = F.struct("pid", "start_time")
+    starts = named.withColumn("_starts", F.coalesce(~process.eqNullSafe(F.lag(process).over(w)), F.lit(True)))
+    # Of the next run its first row: the first start of a run after this row.
+    head = F.when(F.col("_starts"), F.struct("seq", "worker_id"))
+    found = starts.withColumn("_next", F.first(head, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))).where("_next is not null")
+    if "left_seq" in registrations.columns:
+        found = found.where("left_seq is null or left_seq > _next.seq")
+    return found.select("worker_id", "machine", F.col("_next.worker_id").alias("by"))
 
 
 def workers_of(registrations: DataFrame, gone: DataFrame) -> DataFrame:

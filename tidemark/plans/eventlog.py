@@ -49,8 +49,8 @@ def win_worker_fold(events):
 
 
 # One event of every job at a time. back: the phase that a resumed job goes back to; fewer moves than the history keeps.
-PHASES = """RECURSIVE p(name, n) AS (VALUES ('Planned', 0), ('Scanning', 1), ('Copying', 2), ('Verifying', 3), ('Cutover', 4), ('Paused', 5), ('Completed', 6), ('Failed', 7), ('Cancelled', 8)),
-  v AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY seq) AS rn FROM phase_events),
+_PHASES = """RECURSIVE p(name, n) AS (VALUES ('Planned', 0), ('Scanning', 1), ('Copying', 2), ('Verifying', 3), ('Cutover', 4), ('Paused', 5), ('Completed', 6), ('Failed', 7), ('Cancelled', 8)),
+  v AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY seq) AS rn FROM {source}),
   f AS (SELECT job_id, CAST(0 AS BIGINT) AS rn, 'Planned' AS phase, 'Scanning' AS back, CAST(0 AS BIGINT) AS transitions, CAST(NULL AS BIGINT) AS first_copying, CAST(NULL AS BIGINT) AS ended FROM (SELECT DISTINCT job_id FROM v) z
     UNION ALL SELECT w.job_id, w.rn, CASE WHEN ok THEN target ELSE phase END, CASE WHEN ok AND phase <> 'Paused' THEN phase ELSE back END, transitions + CASE WHEN ok THEN 1 ELSE 0 END,
       CASE WHEN ok AND target = 'Copying' THEN coalesce(first_copying, seq) ELSE first_copying END, CASE WHEN ok AND a_n >= 6 THEN coalesce(ended, seq) ELSE ended END
@@ -58,6 +58,11 @@ PHASES = """RECURSIVE p(name, n) AS (VALUES ('Planned', 0), ('Scanning', 1), ('C
       FROM (SELECT f.job_id, v.rn, v.seq, f.phase, f.back, f.transitions, f.first_copying, f.ended, CASE v.kind WHEN 'ProgressDelta' THEN CASE WHEN f.phase = 'Planned' THEN 'Copying' END WHEN 'JobResumed' THEN CASE WHEN f.phase = 'Paused' THEN f.back END
           WHEN 'JobPaused' THEN 'Paused' WHEN 'JobCompleted' THEN 'Completed' WHEN 'JobFailed' THEN 'Failed' WHEN 'JobCancelled' THEN 'Cancelled' WHEN 'VerifyStarted' THEN 'Verifying' ELSE v.to_phase END AS target
         FROM f JOIN v ON v.job_id = f.job_id AND v.rn = f.rn + 1) t LEFT JOIN p a ON a.name = t.target LEFT JOIN p b ON b.name = t.phase) w)"""
+PHASES = _PHASES.replace("{source}", "phase_events")
+# Jobs that were created, and what came after the last creation of each.
+SINCE = """(SELECT e.job_id, e.seq, e.kind, CASE WHEN e.kind = 'VerifyCompleted' THEN CASE WHEN e.mismatches = 0 THEN 'Cutover' ELSE 'Failed' END ELSE e.to_phase END AS to_phase
+    FROM run_log e JOIN (SELECT job_id, max(seq) AS s FROM run_log WHERE kind = 'JobCreated' GROUP BY job_id) c ON e.job_id = c.job_id WHERE e.seq > c.s AND e.kind IN ('JobPhaseChanged', 'JobPaused', 'JobResumed', 'JobCancelled', 'JobCompleted', 'JobFailed', 'ProgressDelta', 'VerifyStarted', 'VerifyCompleted'))"""
+CREATED_PHASES = _PHASES.replace("{source}", f"{SINCE} z")
 
 
 @query("win_phase_fold", "phase_events", sql=f"{PHASES} SELECT job_id, arg_max(phase, rn) AS phase, max(transitions) AS transitions, max(first_copying) AS first_copying, max(ended) AS ended FROM f GROUP BY job_id")
@@ -65,6 +70,13 @@ def win_phase_fold(events):
     return E.job_phases(events)
 
 
+@query("win_phase_fold_created", "run_log", sql=f"""{CREATED_PHASES}, c AS (SELECT DISTINCT job_id FROM run_log WHERE kind = 'JobCreated'), g AS (SELECT job_id, arg_max(phase, rn) AS phase, max(transitions) AS transitions, max(first_copying) AS first_copying, max(ended) AS ended FROM f GROUP BY job_id)
+  SELECT c.job_id, coalesce(phase, 'Planned') AS phase, coalesce(transitions, 0) AS transitions, first_copying, ended FROM c LEFT JOIN g ON c.job_id = g.job_id""")
+def win_phase_fold_created(events):
+    kinds = ("JobCreated", "JobPhaseChanged", "JobPaused", "JobResumed", "JobCancelled", "JobCompleted", "JobFailed", "ProgressDelta", "VerifyStarted", "VerifyCompleted")
+    return E.job_phases(events.where(F.col("kind").isin(*kinds)), created=True)
+
+
 @query("sc_phase_rules", "jobs", sql="""p(name, n) AS (VALUES ('Planned', 0), ('Scanning', 1), ('Copying', 2), ('Verifying', 3), ('Cutover', 4), ('Paused', 5), ('Completed', 6), ('Failed', 7), ('Cancelled', 8))
   SELECT j.phase AS before, a.name AS after, count(*) AS n FROM jobs j JOIN p b ON b.name = j.phase JOIN p a ON b.n <> a.n AND b.n < 6 AND (a.n >= 6 OR a.n = 5 OR b.n = 5 OR b.n < a.n) GROUP BY 1, 2""")
 def sc_phase_rules(jobs):
@@ -81,7 +93,10 @@ def agg_error_buckets(events):
     return E.error_buckets(events)
 
 
-@query("agg_error_samples", "event_log")
+# One error of every bucket at a time.
+@query("agg_error_samples", "event_log", sql=f"""RECURSIVE {BUCKETS.replace('e.seq, e.retryable', 'e.seq, e.path')}, v AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY job_id, class ORDER BY seq) AS rn FROM e),
+  f AS (SELECT DISTINCT job_id, class, CAST(0 AS BIGINT) AS rn, CAST([] AS VARCHAR[]) AS paths FROM v UNION ALL SELECT f.job_id, f.class, v.rn, CASE WHEN list_contains(f.paths, v.path) THEN f.paths ELSE list_append(f.paths, v.path)[-10:] END FROM f JOIN v ON v.job_id = f.job_id AND v.class = f.class AND v.rn = f.rn + 1)
+  SELECT job_id, class, arg_max(paths, rn) AS paths FROM f GROUP BY job_id, class""")
 def agg_error_samples(events):
     return E.error_samples(events)
 
@@ -149,9 +164,16 @@ def st_unknown_kinds(events):
     return E.unknown_kinds(events.withColumn("kind", F.when(F.col("seq") % 50 == 0, F.concat(F.lit("New"), "kind")).otherwise(F.col("kind"))))
 
 
-@query("st_error_cap", "event_log", sql="r AS (SELECT *, row_number() OVER (PARTITION BY job_id, class, date_trunc('second', event_at) ORDER BY seq) AS n FROM event_log WHERE kind = 'ErrorEmitted') SELECT job_id, class, seq FROM r WHERE n <= 10")
+# A window starts at the first error that is five seconds or more after the start of the one before.
+WINDOWS = """RECURSIVE t AS MATERIALIZED (SELECT job_id, class, seq, epoch_ms(event_at) AS at_ms FROM error_log),
+  w AS (SELECT job_id, min(at_ms) AS s FROM t GROUP BY job_id UNION ALL SELECT w.job_id, min(t.at_ms) FROM w JOIN t ON t.job_id = w.job_id AND t.at_ms >= w.s + 5000 GROUP BY w.job_id),
+  r AS (SELECT t.job_id, t.class, t.seq, row_number() OVER (PARTITION BY t.job_id, t.class, (SELECT max(s) FROM w WHERE w.job_id = t.job_id AND w.s <= t.at_ms) ORDER BY t.seq) AS n FROM t)
+  SELECT job_id, class, seq FROM r WHERE n <= 2"""
+
+
+@query("st_error_cap", "error_log", sql=WINDOWS)
 def st_error_cap(events):
-    return E.cap_errors(events).select("job_id", "class", "seq")
+    return E.cap_errors(events, 2, 5).select("job_id", "class", "seq")
 
 
 @query("st_sync", "event_log", sql="p AS (SELECT job_id, CAST(floor(epoch(event_at) / 3600) AS BIGINT) * 3600 AS at_s, sum(files_delta) AS d FROM event_log WHERE kind = 'ProgressDelta' GROUP BY 1, 2) SELECT job_id, at_s AS at, CAST(sum(d) OVER (PARTITION BY job_id ORDER BY at_s) AS BIGINT) AS files FROM p WHERE d <> 0")

@@ -92,6 +92,20 @@ VIEWS: dict[str, str] = {
         SELECT seq, event_at, worker_id, CASE seq % 6 WHEN 0 THEN 'WorkerJoined' WHEN 1 THEN 'WorkerLeft' WHEN 2 THEN 'WorkerStateChanged' WHEN 3 THEN 'WorkerFenced' WHEN 4 THEN 'WorkerRecovered' ELSE 'WorkerStateChanged' END AS kind,
           CASE WHEN seq % 6 = 2 THEN 'Busy' WHEN seq % 6 = 5 THEN 'Draining' END AS to_state, concat('reason-', seq) AS reason
         FROM {event_log} WHERE kind IN ('WorkerJoined', 'ClaimConflictResolved')""",
+    "run_log": """
+        SELECT seq, event_at, concat(job_id, '-', CAST(seq % 8 AS VARCHAR(10))) AS job_id, worker_id, kind,
+          CASE (seq * 7) % 5 WHEN 0 THEN 'Planned' WHEN 1 THEN 'Scanning' WHEN 2 THEN 'Copying' WHEN 3 THEN 'Verifying' ELSE 'Cutover' END AS to_phase,
+          CASE WHEN kind = 'VerifyCompleted' THEN CASE WHEN seq % 4 = 0 THEN 3 ELSE 0 END END AS mismatches,
+          CASE WHEN kind = 'WorkerStateChanged' THEN CASE seq % 3 WHEN 0 THEN 'Busy' WHEN 1 THEN 'Draining' END END AS to_state, concat('reason-', seq) AS reason,
+          CASE WHEN kind = 'ProgressDelta' THEN files_delta END AS files_delta, CASE WHEN kind = 'ProgressDelta' THEN bytes_delta END AS bytes_delta,
+          CASE WHEN kind = 'ProgressSync' THEN sync_files % 90 END AS sync_files, CASE WHEN kind = 'ErrorEmitted' THEN class END AS class, path, retryable, client_seq
+        FROM (SELECT seq, event_at, job_id, worker_id, files_delta, bytes_delta, sync_files, class, path, retryable, client_seq, CASE WHEN seq % 23 = 3 THEN 'JobCreated'
+            WHEN kind = 'ClaimConflictResolved' THEN CASE seq % 6 WHEN 0 THEN 'WorkerLeft' WHEN 1 THEN 'WorkerFenced' WHEN 2 THEN 'WorkerRecovered' WHEN 3 THEN 'WorkerStateChanged' ELSE 'ClaimConflictResolved' END
+            WHEN kind = 'ProgressSync' AND seq % 5 < 3 THEN CASE seq % 7 WHEN 0 THEN 'JobPaused' WHEN 1 THEN 'JobResumed' WHEN 2 THEN 'JobPhaseChanged' WHEN 3 THEN 'VerifyStarted' WHEN 4 THEN 'VerifyCompleted' WHEN 5 THEN 'JobPhaseChanged' ELSE 'JobCancelled' END
+            ELSE kind END AS kind FROM {event_log}) t""",
+    "error_log": """
+        SELECT seq, job_id, TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '1' SECOND * (CAST(floor(seq / 30) AS INTEGER) + 20 * CAST(floor(seq / 900) AS INTEGER)) AS event_at, kind, concat('c', CAST(seq % 3 AS VARCHAR(10))) AS class
+        FROM {event_log} WHERE kind = 'ErrorEmitted'""",
     "phase_events": """
         SELECT seq, event_at, concat(job_id, '-', CAST(seq % 40 AS VARCHAR(10))) AS job_id,
           CASE WHEN kind = 'ProgressDelta' THEN 'ProgressDelta' WHEN seq % 11 = 0 THEN 'JobPaused' WHEN seq % 11 = 1 THEN 'JobResumed' WHEN seq % 53 = 2 THEN 'JobCompleted' WHEN seq % 67 = 3 THEN 'JobCancelled' ELSE 'JobPhaseChanged' END AS kind,
@@ -113,7 +127,7 @@ VIEWS: dict[str, str] = {
     "blobs_source": "SELECT concat(lang, '/', source, '/', doc_id) AS path, text AS content, doc_id FROM {documents}",
     "blobs_destination": "SELECT path, CASE WHEN doc_id % 50 = 0 THEN concat(content, 'x') ELSE content END AS content, doc_id FROM {blobs_source} WHERE doc_id % 97 <> 0",
     "registrations": """
-        SELECT event_id AS seq, concat('w-', event_id) AS worker_id, concat('job-', user_id % 5) AS job_id, concat('host', user_id % 9, '-', 100 + event_id % 4) AS host, 100 + event_id % 4 AS pid, ts AS start_time, value AS rate
+        SELECT event_id AS seq, concat('w-', event_id) AS worker_id, concat('job-', user_id % 5) AS job_id, concat('host', user_id % 9, '-', 100 + event_id % 2) AS host, 100 + event_id % 2 AS pid, date_trunc('day', ts) AS start_time, value AS rate
         FROM {events} WHERE event_type = 'signup'""",
     "jobs": """
         SELECT concat('job-', o_orderkey) AS job_id, c.c_name AS name, CASE o_orderkey % 6 WHEN 0 THEN 'Planned' WHEN 1 THEN 'Scanning' WHEN 2 THEN 'Copying' WHEN 3 THEN 'Paused' WHEN 4 THEN 'Completed' ELSE 'Failed' END AS phase,

@@ -24,9 +24,16 @@ def half(shards):
     return some.unionByName(shards.where("shard_no % 101 = 0").select(F.concat(F.lit("x"), "shard").alias("shard"), "n_rows", "n_bytes", "etag"))
 
 
-@query("src_build_manifest", "shards", sql="SELECT 'run-7' AS run_id, count(*) AS shards, CAST(sum(n_rows) AS BIGINT) AS total_rows, CAST(sum(n_bytes) AS BIGINT) AS total_bytes FROM shards")
+@query("src_build_manifest", "shards", sql="""h AS (SELECT n_rows, n_bytes, left(sha256(shard), 4) AS b, sha256(concat(length(shard), ':', shard, length(CAST(n_rows AS VARCHAR)), ':', n_rows, length(CAST(n_bytes AS VARCHAR)), ':', n_bytes, length(etag), ':', etag)) AS e FROM shards),
+  g AS (SELECT b, count(*) AS n, sum(n_rows) AS r, sum(n_bytes) AS s, sha256(string_agg(e, '' ORDER BY e)) AS e FROM h GROUP BY b)
+  SELECT 'run-7' AS run_id, CAST(sum(n) AS BIGINT) AS shards, CAST(sum(r) AS BIGINT) AS total_rows, CAST(sum(s) AS BIGINT) AS total_bytes, sha256(string_agg(e, '' ORDER BY b)) AS digest FROM g""")
 def src_build_manifest(shards):
-    return R.build_manifest(shards, "run-7").drop("digest")
+    return R.build_manifest(shards, "run-7")
+
+
+@query("src_manifest_entries", "shards", sql="SELECT row_number() OVER (ORDER BY shard) AS place, shard AS key, n_rows AS rows, n_bytes AS bytes, etag FROM shards")
+def src_manifest_entries(shards):
+    return R.manifest_entries(shards)
 
 
 @query("join_status", "shards", "claims", sql=f"{STATUS} SELECT shard, n_rows, state FROM status")
@@ -116,12 +123,12 @@ def set_shard_diff(shards):
 NAMED = "named AS (SELECT *, CASE WHEN host LIKE concat('%-', pid) THEN left(host, length(host) - length(concat('-', pid))) ELSE host END AS machine FROM registrations)"
 
 
-@query("join_supersede", "registrations", sql=f"{NAMED}, n AS (SELECT *, lead(worker_id) OVER w AS next_id, lead(pid) OVER w AS next_pid, lead(start_time) OVER w AS next_start FROM named WINDOW w AS (PARTITION BY job_id, machine ORDER BY seq)) SELECT worker_id, machine, next_id AS by FROM n WHERE next_id IS NOT NULL AND (next_pid <> pid OR next_start <> start_time)")
+@query("join_supersede", "registrations", sql=f"{NAMED}, r AS (SELECT a.worker_id, a.machine, b.worker_id AS later, row_number() OVER (PARTITION BY a.worker_id ORDER BY b.seq) AS n FROM named a JOIN named b ON a.job_id = b.job_id AND a.machine = b.machine AND b.seq > a.seq AND (a.pid <> b.pid OR a.start_time <> b.start_time)) SELECT worker_id, machine, later AS by FROM r WHERE n = 1")
 def join_supersede(registrations):
     return R.superseded(registrations)
 
 
-@query("join_worker_job", "registrations", sql=f"{NAMED}, n AS (SELECT *, lead(worker_id) OVER (PARTITION BY job_id, machine ORDER BY seq) AS next_id FROM named) SELECT job_id, worker_id, CAST(row_number() OVER (PARTITION BY job_id ORDER BY seq) AS INTEGER) AS place FROM n WHERE next_id IS NULL")
+@query("join_worker_job", "registrations", sql=f"{NAMED}, n AS (SELECT * FROM named a WHERE NOT EXISTS (SELECT 1 FROM named b WHERE a.job_id = b.job_id AND a.machine = b.machine AND b.seq > a.seq AND (a.pid <> b.pid OR a.start_time <> b.start_time))) SELECT job_id, worker_id, CAST(row_number() OVER (PARTITION BY job_id ORDER BY seq) AS INTEGER) AS place FROM n")
 def join_worker_job(registrations):
     return R.workers_of(registrations, R.superseded(registrations))
 

@@ -24,7 +24,7 @@ MANIFEST = "run_id string, created_utc string, root string, exclusions array<str
 CLAIM = "host string, claimed_utc timestamp, epoch int, state string"
 PROGRESS = "host string, heartbeat_utc timestamp, current_shard string, shard_rows_done bigint, held_etag string, heartbeat_sec bigint, files_ok bigint, files_failed bigint, files_fenced bigint"
 SINK = "row_id bigint, path_b64 string, error string, phase string, downgrade string"
-EVENT = "seq bigint, event_at timestamp, schema_version int, job_id string, worker_id string, kind string, files_delta bigint, bytes_delta bigint, sync_files bigint, class string, path string, retryable boolean, client_seq bigint"
+EVENT = "seq bigint, event_at timestamp, schema_version int, job_id string, worker_id string, kind string, files_delta bigint, bytes_delta bigint, sync_files bigint, class string, path string, retryable boolean, client_seq bigint, to_phase string, mismatches bigint, to_state string, reason string"
 EVIDENCE = "path_b64 string, reason string, source string, source_etag string"
 
 

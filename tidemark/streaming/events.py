@@ -42,15 +42,19 @@ def ingest(events: DataFrame, late: str = LATE) -> DataFrame:
     return stamped.unionByName(marked.where("client_seq is null"))
 
 
-def live_progress(events: DataFrame, key: str = "job_id") -> DataFrame:
-    """key, total, last_seq after each micro-batch: deltas add up, absolute values raise, events at or before last_seq are ignored."""
+def live_progress(events: DataFrame, key: str = "job_id", reset: str | None = None) -> DataFrame:
+    """key, total, last_seq after each micro-batch: deltas add up, absolute values raise, an event of the kind `reset` starts
+    anew, events at or before last_seq are ignored."""
 
     def fold(group: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         total, last = state.get if state.exists else (0, 0)
         rows = pd.concat(pdfs).sort_values("seq")
-        for seq, delta, sync in zip(rows["seq"], rows["files_delta"], rows["sync_files"]):
+        for seq, kind, delta, sync in zip(rows["seq"], rows["kind"], rows["files_delta"], rows["sync_files"]):
             if seq > last:
                 last = int(seq)
+                if kind == reset:
+                    total = 0
+                    continue
                 if pd.notna(delta):
                     total += int(delta)
                 if pd.notna(sync):
@@ -58,34 +62,10 @@ def live_progress(events: DataFrame, key: str = "job_id") -> DataFrame:
         state.update((total, last))
         yield pd.DataFrame({key: [group[0]], "total": [total], "last_seq": [last]})
 
-    useful = events.where("files_delta is not null or sync_files is not null").select(key, "seq", "files_delta", "sync_files")
+    useful = events.where(F.expr("files_delta is not null or sync_files is not null") | (F.col("kind") == F.lit(reset))).select(key, "seq", "kind", "files_delta", "sync_files")
     return useful.groupBy(key).applyInPandasWithState(fold, f"{key} string, total long, last_seq long", "total long, last_seq long", "update", GroupStateTimeout.NoTimeout)
 
 
-def capped_progress(events: DataFrame, seconds: float = 1.0) -> DataFrame:
-    """job_id, worker_id, part, files, seq: the first delta of a second passes (leading); later ones are summed and
-    released (drained) once the oldest of them is a second old; what is still held is told after each micro-batch (retained)."""
-
-    def fold(group: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        led, since, held = state.get if state.exists else (-1e18, -1e18, 0)
-        out, seq = [], 0
-        for seq, at, delta in pd.concat(pdfs).sort_values("seq")[["seq", "at", "files_delta"]].itertuples(index=False):
-            if held and at - since >= seconds:
-                out.append((*group, "drained", held, seq))
-                held = 0
-            if at - led >= seconds:
-                led = at
-                out.append((*group, "leading", int(delta), seq))
-            else:
-                since = since if held else at
-                held += int(delta)
-        state.update((led, since, held))
-        yield pd.DataFrame([*out, (*group, "retained", held, seq)], columns=["job_id", "worker_id", "part", "files", "seq"])
-
-    deltas = events.where("kind = 'ProgressDelta'").select("job_id", "worker_id", "seq", "files_delta", F.col("event_at").cast("double").alias("at"))
-    return deltas.groupBy("job_id", "worker_id").applyInPandasWithState(fold, "job_id string, worker_id string, part string, files long, seq long", "led double, since double, held long", "append", GroupStateTimeout.NoTimeout)
-
-
 def windowed_rates(events: DataFrame, window: str = "5 minutes", slide: str = "1 minute") -> DataFrame:
     """job_id, start, files of sliding windows, each once it is complete."""
     windows = events.where("kind = 'ProgressDelta'").withWatermark("event_at", LATE).groupBy("job_id", F.window("event_at", window, slide).alias("w")).agg(F.sum("files_delta").alias("files"))
