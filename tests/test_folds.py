@@ -203,3 +203,60 @@ def test_a_manifest_digest_sees_every_entry(spark):
     assert base == one(rows[::-1]) and base[1:4] == (40, sum(r[1] for r in rows), 4000)
     digests = {base[4], one(rows + rows[:1])[4], one(rows + rows[:1] * 2)[4], one(rows[1:])[4], one([*rows[1:], ("part-0", 10, 100, "other")])[4]}
     assert len(digests) == 5
+
+
+@pytest.mark.parametrize("max_bytes, max_files, block", [(300, 20, 64), (100, 4, 10), (50, 30, 40), (10_000, 7, 16)])
+def test_batches_across_blocks_equal_a_loop(spark, max_bytes, max_files, block):
+    rng = random.Random(max_files)
+    rows = [(s, (s << 40) + k * rng.choice([1, 1, 3]), rng.choice([0, 1, 10, 49, 50, 51, 300, 500, None])) for s, n in ((0, 1500), (1, 3), (2, 64), (5, 400)) for k in range(n)]
+    rows = sorted({r[1]: r for r in rows}.values())
+    want, shard = {}, None
+    for s, r, size in rows:
+        if s != shard:
+            shard, batch, files, held = s, 0, 0, 0
+        elif files >= max_files or held + (size or 0) > max_bytes:
+            batch, files, held = batch + 1, 0, 0
+        want[r], files, held = batch, files + 1, held + (size or 0)
+    df = spark.createDataFrame(rows, "shard_index int, row_id long, size long").withColumn("path", F.lit("/x")).repartition(6)
+    got = I.assign_batches(df, max_bytes, max_files, block_rows=block)
+    assert got.columns == [*df.columns, "batch"]
+    assert {r["row_id"]: r["batch"] for r in got.collect()} == want
+
+
+def test_exits_of_a_block():
+    import numpy as np
+
+    leaves, counts = I._exits(np.array([5, 5, 5, 5, 20, 1]), 4, 10, 3)
+    # Starts at 0: 0-1, 2-3 and then beyond; at 1: 1-2, then 3 alone, as 20 does not fit; at 2: 2-3.
+    assert leaves.tolist() == [0, 0, 0] and counts.tolist() == [2, 2, 1]
+    leaves, counts = I._exits(np.array([1, 1, 1, 1]), 2, 10, 3)
+    assert leaves.tolist() == [1, 2, 0] and counts.tolist() == [1, 1, 0]
+
+
+def test_footers_are_read_by_their_ends(spark, tmp_path):
+    import os
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from tidemark.sources import footers
+    from tidemark.sources import tables as S
+
+    for k in range(70):
+        table = pa.table({"a": pa.array([os.urandom(200) for _ in range(1000 if k else 0)])})
+        stamps = {"shard_index": str(k), "pad": "x" * (100_000 if k == 3 else 1)} if k != 5 else {}
+        pq.write_table(table.replace_schema_metadata(stamps), f"{tmp_path}/part-{k:03}.parquet")
+    spark.dataSource.register(footers.FooterSource)
+    read = spark.read.format("parquet_footers").load(str(tmp_path))
+    rows = read.collect()
+    assert read.rdd.getNumPartitions() == 2 and len({r["file"] for r in rows}) == 70
+    assert max(r["bytes_read"] for r in rows if "part-003" not in r["file"]) <= footers.TAIL < max(r["bytes_read"] for r in rows)
+    whole = spark.read.format("binaryFile").load(str(tmp_path)).select(F.sum("length")).first()[0]
+    assert sum(r["bytes_read"] for r in {r["file"]: r for r in rows}.values()) < whole / 2
+    assert {(r["file"][-16:], r["key"], r["value"], r["rows"]) for r in rows if r["key"] == "shard_index"} == {(f"part-{k:03}.parquet", "shard_index", str(k), 1000 if k else 0) for k in range(70) if k != 5}
+    assert [r["key"] for r in rows if "part-005" in r["file"] and r["key"] not in (None, "ARROW:schema")] == []
+    assert S.read_footers(spark, f"file://{tmp_path}").where("key = 'shard_index'").count() == 69
+    assert not footers.reachable("viewfs://store/in/x")
+    (tmp_path / "bad.parquet").write_bytes(b"not one")
+    with pytest.raises(Exception, match="no Parquet file"):
+        spark.read.format("parquet_footers").load(str(tmp_path)).collect()

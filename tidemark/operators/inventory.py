@@ -5,14 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.paths import SNAPSHOT_DIRS, basename, depth, is_partial_name, is_safe_path, parent, strip_root
+from tidemark.operators.ordered import carried, entering, slice_of, with_carried
 from tidemark.operators.sampling import is_boundary
+from tidemark.scratch import materialise
 
 ROW_BITS = 40
+BLOCK_ROWS = 1_000_000  # of a shard that one task reads in order
 S_IFMT = {1: 0o100000, 2: 0o040000, 3: 0o120000}
 TYPE_BITS = {0o100000: 1, 0o040000: 2, 0o120000: 3, 0o010000: 4, 0o140000: 5, 0o060000: 6, 0o020000: 7}
 MIB, GIB = 1 << 20, 1 << 30
@@ -141,12 +145,16 @@ def _fill(sizes: np.ndarray, batch: int, files: int, held: int, max_bytes: int,
     return out, batch, files, held
 
 
-def assign_batches(index: DataFrame, max_bytes: int, max_files: int) -> DataFrame:
+def assign_batches(index: DataFrame, max_bytes: int, max_files: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """index with `batch`: rows of a shard in order, a batch closing when it has max_files rows or the next row
     would take it over max_bytes; the first row of a batch always fits. A null size counts nothing.
 
-    Where a batch ends depends on all before it in the shard, so every shard is read in order, streaming.
+    Where a batch ends depends on all before it in the shard. Shards of at most block_rows rows are each read in order, streaming, by
+    one task; with a larger one among them shards are cut into blocks of so many rows (_batch_starts), for the same batches.
     """
+    largest = index.groupBy("shard_index").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest > block_rows:
+        return _with_batches(index, _batch_starts(index, max_bytes, max_files, max(block_rows, max_files)))
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, state = None, (0, 0, 0)
@@ -165,6 +173,76 @@ def assign_batches(index: DataFrame, max_bytes: int, max_files: int) -> DataFram
     return index.repartition("shard_index").sortWithinPartitions("shard_index", "row_id").mapInArrow(fold, f"{kinds}, batch long")
 
 
+def _exits(sizes: np.ndarray, own: int, max_bytes: int, max_files: int) -> tuple[np.ndarray, np.ndarray]:
+    """For a block of `own` rows and the rows after it: where the first batch beyond the block starts (rows after its end), and how many
+    batches start in it, if the first one in it starts at row 0, 1, and so on to max_files - 1."""
+    cum = np.concatenate([[0], np.cumsum(sizes)])
+    start = np.arange(own)
+    ends = np.searchsorted(cum, cum[:own] + max_bytes, side="right") - 1
+    follow = np.clip(np.minimum(ends, start + max_files), start + 1, len(sizes))  # where the batch that starts here ends
+    count = np.ones(own, dtype=np.int64)
+    while (inside := np.flatnonzero(follow < own)).size:  # each goes on from where it is, twice as far in every turn
+        at = follow[inside]
+        follow[inside], count[inside] = follow[at], count[inside] + count[at]
+    entry = np.arange(max_files)
+    there = entry < own
+    leaves, counts = entry - own, np.zeros(max_files, dtype=np.int64)
+    leaves[there], counts[there] = follow[entry[there]] - own, count[entry[there]]
+    return np.clip(leaves, 0, max_files - 1).astype(np.int32), counts
+
+
+def _batch_starts(index: DataFrame, max_bytes: int, max_files: int, block_rows: int) -> DataFrame:
+    """shard_index, row_id, batch of the first row of every batch.
+
+    Rows are numbered densely within their shard and cut into blocks. For every row of a block at which the first batch may start, the
+    successors of batches, composed by doubling, tell where the first batch beyond it starts; a batch has at most max_files rows, so
+    that is one of the next max_files. These maps of blocks are composed in groups (operators.ordered). No task holds
+    more than a block and max_files rows.
+    """
+    thin = index.select("shard_index", "row_id", F.coalesce("size", F.lit(0)).cast("long").alias("size"), slice_of("row_id").alias("_slice"))
+    inside = thin.withColumn("_in", F.row_number().over(Window.partitionBy("shard_index", "_slice").orderBy("row_id")) - 1)
+    per = carried(thin.groupBy("shard_index", "_slice").agg(F.count("*").alias("_n")), ["shard_index"], {"_n": "sum"})
+    place = (F.col("_in") + F.coalesce("_before__n", F.lit(0))).cast("long")
+    placed = with_carried(inside, per, ["shard_index"]).withColumn("_at", place)
+    placed = materialise(placed.select("shard_index", "row_id", "size", "_at", F.floor(F.col("_at") / block_rows).alias("_block")), "placed")
+    kind = index.schema["shard_index"].dataType.simpleString()
+    lead = F.col("_at") % block_rows < max_files
+    halo = placed.withColumn("_block", F.explode(F.when(lead & (F.col("_block") > 0), F.array(F.col("_block") - 1, "_block")).otherwise(F.array("_block"))))
+
+    def maps(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_at")
+        block = pdf["_block"].iloc[0]
+        leaves, counts = _exits(pdf["size"].to_numpy(), int((pdf["_at"] // block_rows == block).sum()), max_bytes, max_files)
+        return pd.DataFrame({"shard_index": [pdf["shard_index"].iloc[0]], "_slice": [block], "leaves": [leaves], "counts": [counts]})
+
+    found = materialise(halo.select("shard_index", "size", "_at", "_block").groupBy("shard_index", "_block").applyInPandas(maps, f"shard_index {kind}, _slice long, leaves array<int>, counts array<long>"), "batch-maps")
+    most = found.agg(F.max("_slice")).first()[0] or 0
+    entered = entering(found, "shard_index", 0, most)
+
+    def starts(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_at")
+        first, before = int(pdf["state"].iloc[0]), int(pdf["count"].iloc[0])
+        rows = pdf["row_id"].to_numpy()[first:]
+        numbers, *_ = _fill(pdf["size"].to_numpy()[first:], 0, 0, 0, max_bytes, max_files)
+        new = np.flatnonzero(np.diff(numbers, prepend=-1))
+        return pd.DataFrame({"shard_index": pdf["shard_index"].iloc[0], "row_id": rows[new], "batch": before + numbers[new]})
+
+    known = with_carried(placed.withColumnRenamed("_block", "_slice"), entered, ["shard_index"])
+    return known.groupBy("shard_index", "_slice").applyInPandas(starts, f"shard_index {kind}, row_id long, batch long")
+
+
+def _with_batches(index: DataFrame, starts: DataFrame) -> DataFrame:
+    """index with the batch of the last start at or before each row: those in its slice of row ids, or the last one before the slice."""
+    own = materialise(starts, "batch-starts").withColumn("_slice", slice_of("row_id"))
+    inside = own.groupBy("shard_index", "_slice").agg(F.array_sort(F.collect_list("row_id")).alias("_starts"), F.max("batch").alias("_last"))
+    there = index.select("shard_index", slice_of("row_id").alias("_slice")).distinct()
+    slices = carried(there.join(inside, ["shard_index", "_slice"], "left"), ["shard_index"], {"_last": "last"})
+    rows = with_carried(index.withColumn("_slice", slice_of("row_id")), slices.drop("_up1"), ["shard_index"])
+    begun = F.size(F.filter(F.coalesce("_starts", F.array().cast("array<long>")), lambda s: s <= F.col("row_id")))
+    before = F.coalesce("_before__last", F.lit(-1))
+    return rows.select(*index.columns, (before + begun).cast("long").alias("batch"))
+
+
 def interleave(rows: DataFrame, within: list[str]) -> DataFrame:
     """rows with spread_order (from 1): parents take turns in the order in which they are first seen."""
     named = rows.withColumn("_parent", parent(F.col("path")))
@@ -180,7 +258,8 @@ def deepest_first(rows: DataFrame) -> DataFrame:
 
 def copy_plan(index: DataFrame, max_bytes: int = 1 << 30, max_files: int = 1000, **policy) -> DataFrame:
     """Batch, place in its spread order, action, link role, attributes and size class of every row; links are found inside their batch."""
-    batched = assign_batches(index, max_bytes, max_files)
+    # The one exchange of all windows below, which all stay inside a batch.
+    batched = assign_batches(index, max_bytes, max_files).repartition("shard_index", "batch")
     roles = interleave(link_roles(batched, ["shard_index", "batch"]), ["shard_index", "batch"])
     return roles.select("shard_index", "row_id", "batch", "spread_order", copy_action(F.col("link_role")).alias("action"), "link_role", attr_plan(**policy).alias("attributes"), F.when(F.col("file_type") == 1, size_class(F.col("size"))).alias("size_class"), "size")
 

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.paths import path_b64, path_from_b64, shard_of_claim, sink_of, start_seq
 from tidemark.scratch import remove
+from tidemark.sources import footers
 
 FORMAT_VERSION = 1
 SCHEMA_VERSION = 1  # of events and snapshots
@@ -22,7 +23,7 @@ INDEX_OPTIONAL = {"mtime_sec": "bigint", "mtime_nsec": "bigint", "atime_sec": "b
 
 MANIFEST = "run_id string, created_utc string, root string, exclusions array<string>, shards array<struct<key: string, rows: bigint, bytes: bigint, etag: string>>, format_version int"
 CLAIM = "host string, claimed_utc timestamp, epoch int, state string"
-PROGRESS = "host string, heartbeat_utc timestamp, current_shard string, shard_rows_done bigint, held_etag string, heartbeat_sec bigint, files_ok bigint, files_failed bigint, files_fenced bigint"
+PROGRESS = "host string, heartbeat_utc timestamp, current_shard string, shard_rows_done bigint, held_etag string, heartbeat_sec bigint, files_ok bigint, files_failed bigint, files_fenced bigint, latency struct<window_sec: bigint, ops: array<struct<side: string, op: string, count: bigint, total_us: bigint, p50_us: bigint, p95_us: bigint, p99_us: bigint, max_us: bigint>>>"
 SINK = "row_id bigint, path_b64 string, error string, phase string, downgrade string"
 EVENT = "seq bigint, event_at timestamp, schema_version int, job_id string, worker_id string, kind string, files_delta bigint, bytes_delta bigint, sync_files bigint, class string, path string, retryable boolean, client_seq bigint, to_phase string, mismatches bigint, to_state string, reason string"
 EVIDENCE = "path_b64 string, reason string, source string, source_etag string"
@@ -86,9 +87,17 @@ def row_counts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_footers(spark: SparkSession, path: str) -> DataFrame:
-    """file, rows, key, value: row counts and key/value stamps of Parquet footers (files are read whole: keep shards moderate)."""
+    """file, rows, key, value: row counts and key/value stamps of Parquet footers.
+
+    Where the store of the path is one that its files can be read from by range (sources.footers), only their ends are read;
+    elsewhere, as in a store that only Spark's readers reach, whole files.
+    """
     import pyarrow.parquet as pq
 
+    if footers.reachable(path):
+        spark.dataSource.register(footers.FooterSource)
+        return spark.read.format(footers.FooterSource.name()).load(path).select("file", "rows", "key", "value")
+
     def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in pdfs:
             out = []
