@@ -28,6 +28,7 @@ EXACT = 1 << 53
 MOST = (1 << 63) - 1
 WIDE = 1 << 60  # totals of vectors that might pass it are computed beyond 64 bits
 FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+HEADS = 4  # times k: partial scores of a query and list that are resolved for its cutoff
 CELLS = ["dim", "list", "_g", "_h"]
 
 
@@ -157,6 +158,9 @@ def _three_phases(groups: DataFrame, asked: int, n: int, k: int, lists: int) ->
         return pairs.select("query_id", "vec_id", "score").union(parts).groupBy("query_id", "vec_id").agg(F.sum("score").alias("score"))
 
     heads = vectors.groupBy(*CELLS).cogroup(candidates.groupBy(*CELLS)).applyInArrow(_local_heads(k), shape)
+    # Of all blocks of a list the best: what is resolved for the cutoff does not grow with the table.
+    place = F.row_number().over(Window.partitionBy("query_id", "list").orderBy(F.desc("score"), "vec_id"))
+    heads = heads.withColumn("_place", place).where(F.col("_place") <= HEADS * k).drop("_place")
     cutoffs = best(complete(materialise(known(heads), "heads")), k).where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("cutoff"))
     sent = materialise(queries.join(cutoffs, "id", "left"), "queries")
 
