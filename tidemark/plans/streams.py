@@ -138,14 +138,28 @@ def st_rates_stream(events):
     return done.select("job_id", F.unix_seconds("start").alias("start"), "files")
 
 
-@query("st_reconcile", "shards", "claims", sql="SELECT 'JobFailed' AS kind, concat((SELECT count(*) FROM claims WHERE state = 'failed'), ' of ', (SELECT count(*) FROM shards), ' shards failed') AS reason")
-def st_reconcile(shards, claims):
+def _reconciled(shards, claims):
     spark, path = shards.sparkSession, scratch_path(shards.sparkSession, "reconcile")
     done = claims.withColumn("state", F.when(F.col("state") == "active", "completed").otherwise(F.col("state"))).select("shard", "state", "claimed_utc", "claim_etag")
+    # First the claims as they are, then those of workers that go on, and what nobody claimed comes last; some come again.
     rest = shards.join(claims.select("shard"), "shard", "left_anti").select("shard", F.lit("completed").alias("state"), F.lit(None).cast("timestamp").alias("claimed_utc"), F.lit("late").alias("claim_etag"))
-    for part in (done, rest):
+    for part in (claims.select(*done.columns), done, rest.unionByName(done.where("state = 'completed'"))):
         part.repartition(CHUNK_FILES).write.mode("append").parquet(f"{path}/in")
     stream = spark.readStream.schema(done.schema).option("maxFilesPerTrigger", CHUNK_FILES).parquet(f"{path}/in")
-    running = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{path}/checkpoint").foreachBatch(S.completion(shards, f"{path}/out")).start()
-    running.awaitTermination()
-    return S.outcome(spark, f"{path}/out")
+    tell = live.reconcile(shards.count(), f"{path}/out")
+    live.shard_changes(stream, shards).writeStream.trigger(availableNow=True).option("checkpointLocation", f"{path}/checkpoint").foreachBatch(tell).start().awaitTermination()
+    return live.reconciled(spark, f"{path}/out")
+
+
+@query("st_reconcile", "shards", "claims", sql="SELECT 'JobFailed' AS kind, concat((SELECT count(*) FROM claims WHERE state = 'failed'), ' of ', (SELECT count(*) FROM shards), ' shards failed') AS reason")
+def st_reconcile(shards, claims):
+    return _reconciled(shards, claims).where("kind <> 'ProgressSync'").select("kind", "reason")
+
+
+# What is told after the first claims, after those that went on, and after all shards: failed ones never count.
+@query("st_reconcile_syncs", "shards", "claims", sql="""f AS (SELECT shard FROM claims WHERE state = 'failed'), c AS (SELECT shard FROM claims WHERE state = 'completed'), a AS (SELECT shard FROM claims)
+  SELECT CAST(sum(n_rows) AS BIGINT) AS files, CAST(sum(n_bytes) AS BIGINT) AS bytes FROM shards WHERE shard IN (SELECT shard FROM c)
+  UNION ALL SELECT sum(n_rows), sum(n_bytes) FROM shards WHERE shard IN (SELECT shard FROM a) AND shard NOT IN (SELECT shard FROM f)
+  UNION ALL SELECT sum(n_rows), sum(n_bytes) FROM shards WHERE shard NOT IN (SELECT shard FROM f)""")
+def st_reconcile_syncs(shards, claims):
+    return _reconciled(shards, claims).where("kind = 'ProgressSync'").select("files", "bytes")

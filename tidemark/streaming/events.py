@@ -1,4 +1,4 @@
-"""The event log as a stream: ingest without repeats, live state, capped progress, windowed rates, completion.
+"""The event log as a stream: ingest without repeats, running progress, windowed rates. State with timers is in streaming.live.
 
 Order within a key comes from seq, which its single writer assigns; a micro-batch is sorted by it. Batch folds
 (operators.eventlog) are the authority: replaying the log gives what the stream arrived at.
@@ -6,15 +6,14 @@ Order within a key comes from seq, which its single writer assigns; a micro-batc
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidemark.operators.runstate import tally
 from tidemark.scratch import scratch_path
 
 LATE = "10 minutes"
@@ -70,32 +69,3 @@ def windowed_rates(events: DataFrame, window: str = "5 minutes", slide: str = "1
     """job_id, start, files of sliding windows, each once it is complete."""
     windows = events.where("kind = 'ProgressDelta'").withWatermark("event_at", LATE).groupBy("job_id", F.window("event_at", window, slide).alias("w")).agg(F.sum("files_delta").alias("files"))
     return windows.select("job_id", F.col("w.start").alias("start"), "files")
-
-
-def completion(shards: DataFrame, path: str) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch over claims: keeps the state of each shard, and when all shards are terminal tells the outcome, once.
-
-    Both tables are kept by micro-batch, so a batch that runs again leaves the same rows.
-    """
-
-    def batch(claims: DataFrame, n: int) -> None:
-        spark, schema = claims.sparkSession, claims.select("shard", "state", "claimed_utc", "claim_etag").schema
-        known = claims.select(*schema.names)
-        if n:
-            known = known.unionByName(spark.read.schema(schema).parquet(f"{path}/latest/batch={n - 1}"))
-        # What is known of each shard so far: a micro-batch reads this and its own claims, not all claims again.
-        newest = F.max_by(F.struct("state", "claimed_utc", "claim_etag"), F.when(F.col("state") == "active", 0).otherwise(1))
-        known.groupBy("shard").agg(newest.alias("c")).select("shard", "c.*").write.mode("overwrite").parquet(f"{path}/latest/batch={n}")
-        latest = spark.read.schema(schema).parquet(f"{path}/latest/batch={n}")
-        one = tally(shards, latest).first()
-        if one["all_terminal"]:
-            reason = f"{one['failed']} of {one['failed'] + one['completed']} shards failed" if one["failed"] else "ok"
-            spark.createDataFrame([("JobFailed" if one["failed"] else "JobCompleted", reason, n)], "kind string, reason string, batch int").write.mode("overwrite").parquet(f"{path}/outcome/batch={n}")
-
-    return batch
-
-
-def outcome(spark: SparkSession, path: str) -> DataFrame:
-    """The outcome of the first micro-batch that told one."""
-    told = spark.read.schema("kind string, reason string, batch int").parquet(f"{path}/outcome")
-    return told.agg(F.min_by("kind", "batch").alias("kind"), F.min_by("reason", "batch").alias("reason"))

@@ -330,6 +330,71 @@ def live_syncs(events: DataFrame, seconds: int = 1, late: str = LATE) -> DataFra
     return _keyed(deltas, "job_id").transformWithStateInPandas(statefulProcessor=Syncs(seconds), outputStructType="job_id string, at long, files long", outputMode="Append", timeMode="EventTime")
 
 
+class ShardStates(StatefulProcessor):
+    """The state of each shard's claim, told as changes of the counts. A completed claim stays; else the later one counts, so that a
+    failed shard may be cleared and tried again."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.claim = handle.getValueState("claim", "state string, at long")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        old, at = self.claim.get() if self.claim.exists() else (None, -(1 << 62))
+        state, size = old, (0, 0)
+        for r in _rows(rows, ["at", "claim_etag"]):
+            size = int(r.n_rows), int(r.n_bytes)
+            if state != "completed" and (int(r.at) >= at or r.state == "completed"):
+                state, at = r.state, max(at, int(r.at))
+        self.claim.update((state, at))
+        if state != old:
+            moved = [int(state == s) - int(old == s) for s in ("completed", "failed", "active")]
+            yield pd.DataFrame([(*moved, *(moved[0] * n for n in size))], columns=["completed", "failed", "active", "rows_completed", "bytes_completed"])
+
+
+TALLY = "completed long, failed long, active long, rows_completed long, bytes_completed long"
+
+
+def shard_changes(claims: DataFrame, shards: DataFrame) -> DataFrame:
+    """Changes of the tally by claims (shard, state, claimed_utc, claim_etag): one row for a shard that changed; claims of other shards are ignored."""
+    own = claims.join(shards.select("shard", "n_rows", "n_bytes"), "shard").select("shard", "state", _millis("claimed_utc"), "claim_etag", "n_rows", "n_bytes")
+    own = own.withColumn("at", F.coalesce("at", F.lit(0)))
+    return _keyed(own, "shard").transformWithStateInPandas(statefulProcessor=ShardStates(), outputStructType=TALLY, outputMode="Append", timeMode="None")
+
+
+RECONCILED = "kind string, reason string, files long, bytes long, batch int"
+
+
+def reconcile(total_shards: int, path: str):
+    """For foreachBatch over shard_changes(): keeps the tally, one row a micro-batch, and tells what follows from it as events.
+
+    A ProgressSync when rows or bytes of completed shards are more than was told, so that counters that missed something heal
+    upward; JobCompleted or JobFailed when all shards are terminal, once. A micro-batch that runs again leaves the same rows.
+    """
+
+    def batch(changes: DataFrame, n: int) -> None:
+        spark, names = changes.sparkSession, [f.partition(" ")[0] for f in TALLY.split(", ")]
+        state = f"{TALLY}, told_rows long, told_bytes long, ended boolean"
+        old = spark.read.schema(state).parquet(f"{path}/tally/batch={n - 1}").first() if n else None
+        moved = changes.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names]).first()  # one row
+        now = {c: moved[c] + (old[c] if old else 0) for c in names}
+        told, ended = ((old["told_rows"], old["told_bytes"]), old["ended"]) if old else ((0, 0), False)
+        events = []
+        if not ended and (now["rows_completed"] > told[0] or now["bytes_completed"] > told[1]):
+            told = max(told[0], now["rows_completed"]), max(told[1], now["bytes_completed"])
+            events.append(("ProgressSync", None, *told, n))
+        if not ended and now["completed"] + now["failed"] == total_shards:
+            ended = True
+            events.append(("JobFailed", f"{now['failed']} of {total_shards} shards failed", None, None, n) if now["failed"] else ("JobCompleted", "ok", None, None, n))
+        spark.createDataFrame([(*now.values(), *told, ended)], state).write.mode("overwrite").parquet(f"{path}/tally/batch={n}")
+        spark.createDataFrame(events, RECONCILED).write.mode("overwrite").parquet(f"{path}/events/batch={n}")
+
+    return batch
+
+
+def reconciled(spark: Any, path: str) -> DataFrame:
+    """The events that were told."""
+    return spark.read.schema(RECONCILED.rpartition(",")[0]).option("recursiveFileLookup", True).parquet(f"{path}/events")
+
+
 class Eviction(StatefulProcessor):
     """State of a worker goes when it has been disconnected and silent for so long; no other state ever goes by time."""
 
