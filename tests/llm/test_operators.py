@@ -694,6 +694,36 @@ def test_pipeline(spark):
     assert full == 0
 
 
+def test_pipeline_rows_become_sequences_of_every_read(spark):
+    import corpus_pipeline as P
+    from tokenizers import Tokenizer
+
+    stages = dict(P.STAGES)
+    docs = stages["substring"](spark, stages["simhash"](spark, spark.read.parquet(f"{DATA}/documents.parquet").limit(120), DATA), DATA)
+    docs = spark.createDataFrame(docs.collect(), docs.schema)
+    mixed = stages["mixing"](spark, docs, DATA)
+    mixed = spark.createDataFrame(mixed.collect(), mixed.schema)
+    reads = Counter(r["doc_id"] for r in mixed.collect())
+    assert max(reads.values()) == 2
+    packed = stages["packing"](spark, mixed, DATA)
+    packed = spark.createDataFrame(packed.collect(), packed.schema)
+    keys = [(r["doc_id"], r["read"], r["piece"]) for r in packed.collect()]
+    assert len(set(keys)) == len(keys) and {(d, n) for d, n, _ in keys} == {(d, n) for d, k in reads.items() for n in range(k)}
+    pieces = packing.tokenise(docs, public_tokenizers.path("word_bpe_49k.json"))
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = {r["doc_id"]: [*tokenizer.encode(r["text"] or "", add_special_tokens=False).ids, 1] for r in docs.collect()}
+    seen = Counter()
+    for r in packing.sequences(pieces, packed).collect():
+        at = 0
+        for p in r["pieces"]:
+            ids = np.frombuffer(p["ids"], dtype="<u4").tolist()
+            assert p["offset"] == at and ids == want[p["doc_id"]][4096 * p["piece"] :][:4096]
+            at += len(ids)
+            seen[p["doc_id"]] += len(ids)
+        assert at <= 4096
+    assert seen == {d: n * len(want[d]) for d, n in reads.items()}
+
+
 def test_pipeline_stages_equal_brute_force(spark):
     import corpus_pipeline as P
 

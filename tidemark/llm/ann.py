@@ -30,6 +30,7 @@ BRANCHES = 8
 LEAF_SAMPLE = 64  # a node of fewer sample vectors is a leaf
 SPLIT_ROWS = 1024  # a leaf of more rows gets a tree of its own
 FANOUT = 1 << 14  # leaf l of the tree under leaf x is x * FANOUT + l + 1: more than a tree can have, and room for three splits of a leaf
+SPLITS = 3  # a fourth would pass 64 bits of leaf numbers; leaves that are large still are met in blocks
 CALIBRATION_QUERIES = 200
 BUCKET_ROWS, BUCKET_QUERIES = 16_384, 8192
 BLOCK_ROWS = 4096  # of one leaf
@@ -140,7 +141,7 @@ class Forest:
         self.rows = materialise(rows.select("id", "v").mapInArrow(place, shape), "leaves")
         self.sizes = materialise(self.rows.groupBy("leaf").agg(F.count("*").alias("rows")), "leaf-sizes")
         whole = self.spark.createDataFrame([], "leaf long")  # leaves of equal vectors, as far as their samples show
-        while True:
+        for _ in range(SPLITS):
             large = self.sizes.where(F.col("rows") > split_rows).join(whole, "leaf", "left_anti")
             large = materialise(large.select("leaf", F.ceil(F.col("rows") / BUCKET_ROWS).cast("int").alias("blocks")), "large-leaves")
             if large.isEmpty():
@@ -306,7 +307,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = 0.
     is_query is a condition on `id`. Candidates are all rows but the query's own. Vectors of each length are
     a table of their own (there should be few lengths). Null vectors, zero ones and those with null or
     non-finite components take no part; of repeated ids the greatest vector stands for all. A query
-    always visits leaves that hold at least k others, if there are so many.
+    always visits leaves that hold at least k others, if there are so many. An empty table, or one without
+    queries, gives an empty result. Only the two named columns are read and these four returned, so others may be called anything.
     """
     rows = materialise(usable(vectors, id_column, vector, zero_too=False), "vectors")
     lengths = sorted(r[0] for r in rows.select(F.size("v")).distinct().collect())

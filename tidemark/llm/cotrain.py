@@ -221,7 +221,10 @@ def _measures(docs: DataFrame, model: Model) -> Column:
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
-    """doc_id, held_out, score (of being good), keep for every row; null texts, languages and sources count as empty."""
+    """doc_id, held_out, score (of being good), keep for every row; null texts, languages and sources count as empty.
+
+    An empty table gives an empty result. Only doc_id, text, lang and source are read, so other columns may be called anything.
+    """
     columns = docs.select("doc_id", "text", "lang", "source")
     scored = columns.select("doc_id", _measures(columns, train(docs, labels, **options))["score"].alias("score"))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).alias("keep"))

@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import materialise, release
@@ -130,6 +130,12 @@ def tokenise(docs: DataFrame, tokenizer_path: str, max_tokens: int = 4096, end_i
     return docs.select("doc_id", "text").mapInArrow(run, shape)
 
 
+def numbered_reads(pieces: DataFrame) -> DataFrame:
+    """pieces (without ids) with `read`, from 0: which of the rows of its doc_id and piece each is. A document that is read twice has reads 0 and 1."""
+    again = Window.partitionBy("doc_id", "piece").orderBy("ids_crc32", "length")
+    return pieces.withColumn("read", F.row_number().over(again) - 1)
+
+
 def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """Bin and offset of every size (1 to capacity), packed longest first."""
     if len(sizes) and (sizes.min() < 1 or sizes.max() > capacity):
@@ -178,6 +184,9 @@ def pack(pieces: DataFrame, max_tokens: int = 4096, group_pieces: int = GROUP_PI
 
 
 def sequences(pieces: DataFrame, placed: DataFrame) -> DataFrame:
-    """sequence_id and its pieces in order, with their ids: what a trainer reads. pieces: of tokenise(); doc_id must be unique."""
+    """sequence_id and its pieces in order, with their ids: what a trainer reads. pieces: of tokenise(), of documents with unique doc_ids.
+
+    placed: of pack(), with several rows for a piece that is read several times.
+    """
     both = pieces.select("doc_id", "piece", "ids").join(placed.select("doc_id", "piece", "sequence_id", "offset"), ["doc_id", "piece"])
     return both.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "doc_id", "piece", "ids"))).alias("pieces"))

@@ -98,7 +98,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42, distance:
     """doc_id, fp, component_id for every row: the smallest doc_id that chains of close fingerprints reach.
 
     Rows without words have fingerprint zero and are linked like others. Null doc_ids keep their rows and
-    count for no component's smallest id (a component of nulls alone has a null id).
+    count for no component's smallest id (a component of nulls alone has a null id). Repeated rows are one
+    text. An empty table gives an empty result. Only doc_id and text are read, so other columns may be called anything.
     """
     rows = materialise(fingerprints(docs, shingle, seed), "fingerprints")
     fps = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
@@ -292,7 +293,11 @@ def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, crow
 
 
 def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
-    """docs with one row of each group of near copies: that of the smallest doc_id (null ids last), once. Names that begin with __ are reserved."""
+    """docs with one row of each group of near copies: that of the smallest doc_id (null ids last), once.
+
+    Groups are chains: a text that goes may be like the one that stays only by way of others. A null text is one of no words, and all of
+    those are copies. An empty table gives an empty result. Other columns stay as they are; names that begin with __ are reserved.
+    """
     rows = docs.select("doc_id", identity(F.col("text")).alias("__text"))
     groups = materialise(near_copies(docs, **options), "groups")
     firsts = rows.groupBy("__text").agg(F.min("doc_id").alias("doc_id")).join(groups, "__text")

@@ -346,7 +346,8 @@ def remove_repeats(docs: DataFrame, window: int = 13, crowded: int = CROWDED) ->
     Adds n_words and n_removed (columns of these names are replaced); texts that lose nothing stay as they
     are, byte for byte, null ones too. The rest of a text keeps its white space; where words went, the
     neighbours are one space apart. Rows with one doc_id do not remove each other's words, and a null
-    doc_id counts as larger than any other. doc_id must be an integer. Names that begin with __ are reserved.
+    doc_id counts as larger than any other. doc_id must be an integer. An empty table gives an empty result.
+    Names that begin with __ are reserved.
     """
     columns = [c for c in docs.columns if c not in ("n_words", "n_removed")]
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0

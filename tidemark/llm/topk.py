@@ -189,7 +189,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, lists: int = 2, id
     vector: integers, as of quantise(). is_query is a condition on `id`. Candidates are all rows but the
     query's own; only vectors of the query's length compare, and vectors that are null or hold nulls take no
     part. Of repeated ids the greatest vector stands for all. Fewer candidates than k give fewer rows. A score
-    beyond 64 bits counts as the nearest number of 64 bits. The integers must be ids, too.
+    beyond 64 bits counts as the nearest number of 64 bits. The integers must be ids, too. An empty table, or one without
+    queries, gives an empty result. Only the two named columns are read and these four returned, so others may be called anything.
     """
     rows = usable(vectors, id_column, vector, zero_too=True).withColumn("dim", F.size("v"))
     # Totals of other vectors stay below WIDE: each component is below the root of WIDE / dim.

@@ -136,6 +136,10 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "toxic", **options) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of docs."""
+    """doc_id, held_out, score, predicted for every row of docs; null and empty texts are scored like any, repeated rows each.
+
+    An empty table gives an empty result; without labels all scores are one half. Only doc_id and text are read, so other columns may be
+    called anything.
+    """
     scored = score(docs.select("doc_id", "text"), train(docs, labels, label, **options))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
