@@ -22,19 +22,19 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import materialise, release
 
 GROUP_PIECES = 20_000
-CACHED_WORDS, KEPT_WORDS = 800_000, 400_000  # in a task, and from one task of a worker to its next
+CACHED_WORDS = 800_000  # in a task; from one task of a worker to its next, half of them
 CHUNK_BYTES = 8_000_000  # of text that is split into words at once
-_vocabularies: dict[str, "WordIds"] = {}
+_vocabularies: dict[tuple[str, int], "WordIds"] = {}
 
 
 class WordIds:
     """Token ids of white-space separated words, for a tokenizer that drops white space, ignores case and
-    splits letters from commas and stops. Words are looked up by Arrow; CACHED_WORDS stay, besides those of a chunk."""
+    splits letters from commas and stops. Words are looked up by Arrow; `cached` of them stay, besides those of a chunk."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached: int = CACHED_WORDS):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.cached = Tokenizer.from_file(path), cached
         self.forget(0)
 
     def forget(self, keep: int) -> None:
@@ -50,8 +50,8 @@ class WordIds:
 
     def of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For distinct words: where the ids of each start, how many they are, and the ids."""
-        if len(self.words) > CACHED_WORDS:
-            self.forget(CACHED_WORDS // 2)
+        if len(self.words) > self.cached:
+            self.forget(self.cached // 2)
         place = pc.index_in(words, value_set=self.words)
         if place.null_count:
             unseen = words.filter(pc.is_null(place))
@@ -104,25 +104,26 @@ def _pieces(doc_ids: pa.Array, texts: pa.Array, vocabulary: WordIds, max_tokens:
     return out
 
 
-def tokenise(docs: DataFrame, tokenizer_path: str, max_tokens: int = 4096, end_id: int = 1, with_ids: bool = True) -> DataFrame:
+def tokenise(docs: DataFrame, tokenizer_path: str, max_tokens: int = 4096, end_id: int = 1, with_ids: bool = True, cached_words: int = CACHED_WORDS, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (of ids) and, with_ids, ids (binary, little-endian unsigned 32 bits), one row a piece.
 
     A null or empty text is its end id alone. Rows that repeat give repeated pieces. The tokenizer's file
-    must lie at the same path on every executor.
+    must lie at the same path on every executor. A task remembers the ids of cached_words words and splits chunk_bytes of text at a
+    time: less of both is less memory, and more work.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = _vocabularies.get(tokenizer_path)
+        vocabulary = _vocabularies.get((tokenizer_path, cached_words))
         if vocabulary is None:
-            vocabulary = _vocabularies[tokenizer_path] = WordIds(tokenizer_path)
+            vocabulary = _vocabularies[tokenizer_path, cached_words] = WordIds(tokenizer_path, cached_words)
         names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
         for batch in batches:
             doc_ids, texts = batch.column("doc_id"), pc.fill_null(batch.column("text"), "")
-            chunk = np.cumsum(pc.binary_length(texts).to_numpy()) // CHUNK_BYTES
+            chunk = np.cumsum(pc.binary_length(texts).to_numpy()) // chunk_bytes
             for part in np.split(np.arange(len(chunk)), np.flatnonzero(np.diff(chunk)) + 1) if len(chunk) else []:
                 first, k = int(part[0]), len(part)
                 yield pa.RecordBatch.from_arrays(_pieces(doc_ids.slice(first, k), texts.slice(first, k), vocabulary, max_tokens, end_id, with_ids), names=names)
-        vocabulary.forget(KEPT_WORDS)
+        vocabulary.forget(cached_words // 2)
         release()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
