@@ -48,7 +48,8 @@ def with_shard_rows(df: DataFrame) -> DataFrame:
     rows = df.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("row_in_shard"))
     names = rows.select("_file").distinct()  # one row a file
     names = names.withColumn("shard_index", F.row_number().over(Window.orderBy("_file")) - 1)
-    return rows.join(F.broadcast(names), "_file").drop("_file")  # shards are numbered in 23 bits
+    # As many as 2^23 shards have a number: Spark broadcasts the names if they turn out small.
+    return rows.join(names, "_file").drop("_file")
 
 
 def read_scan(spark: SparkSession, path: str) -> DataFrame:
