@@ -57,6 +57,7 @@ class Batch:
             words = t.split()
             ids.append(np.fromiter(map(vocabulary.__getitem__, words), dtype=np.int32, count=len(words)))
             pieces.append(b" ".join(words))
+        vocabulary.default_factory = None  # else it refers to itself, and stays until the garbage collector comes by
         self.doc_ids, self.window = doc_ids, window
         self.n_words = np.array([len(i) for i in ids], dtype=np.int64)
         self.first = np.concatenate([[0], np.cumsum(self.n_words)])
@@ -248,10 +249,12 @@ def _match(window: int):
         content: dict[bytes, int] = defaultdict()
         content.default_factory = content.__len__
         text_of = np.array([content[lines[i]] for i in shared], dtype=np.int64)
+        content.default_factory = None
         del lines, texts
         vocabulary: dict[bytes, int] = defaultdict()
         vocabulary.default_factory = lambda: len(vocabulary) + 1
         symbols = [[*map(vocabulary.__getitem__, t.split()), 0] for t in content]
+        vocabulary.default_factory = None
         sizes = np.array([len(s) for s in symbols], dtype=np.int64)
         symbols = np.fromiter((x for s in symbols for x in s), dtype=np.int64, count=int(sizes.sum()))
         ends = np.cumsum(sizes) - 1
