@@ -121,3 +121,11 @@ def test_scratch_tables_go_when_they_are_cleared(spark):
     assert scratch.mark() == at
     with pytest.raises(Exception):
         spark.read.parquet(df.inputFiles()[0])
+
+
+def test_a_copy_plan_deals_rows_twice(spark):
+    """Once for the batches, once for all windows inside them."""
+    df = catalog(spark, *[(k, f"/d{k % 3}/f{k}", 10 * k, k // 2, 1, {}) for k in range(40)])
+    plan = I.copy_plan(df, 100, 5)
+    assert plan._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+    assert sorted(r["spread_order"] for r in plan.where("batch = 0").collect()) == [1, 2, 3, 4, 5]
