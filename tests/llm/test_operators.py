@@ -649,6 +649,16 @@ def test_near_copies_meet_more_than_their_hub(spark):
         assert [first.setdefault(roots[ids[i]], i) for i in range(n)] == want
 
 
+def test_unlinked_pairs_come_once(spark):
+    rng = np.random.default_rng(11)
+    texts = {bytes([i]): (bytes([int(rng.choice([0, 1, 2, i], p=[0.6, 0.2, 0.1, 0.1]))]), set(rng.integers(0, 12, 6).tolist())) for i in range(40)}
+    rows = [(key, text, root) for text, (root, keys) in texts.items() for key in keys]
+    keyed = spark.createDataFrame(rows, "key long, __text binary, root binary")
+    met = [(bytes(r["a"]), bytes(r["b"])) for r in simhash._unlinked(keyed).collect()]
+    wanted = {(a, b) for a in texts for b in texts if a < b and texts[a][0] != texts[b][0] and texts[a][1] & texts[b][1]}
+    assert len(met) == len(set(met)) and set(met) == wanted
+
+
 def test_near_copies_by_similarity(spark):
     rng = random.Random(9)
     texts, groups = [], []

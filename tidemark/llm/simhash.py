@@ -182,17 +182,20 @@ def _unlinked(keyed: DataFrame, also: Column | None = None) -> DataFrame:
     """Pairs of different roots under a key of (key, __text, root, and what `also` needs, of x and y).
 
     Most texts of a key have one root, once they are linked. A pair has a text of another root at least: those, in
-    blocks if there are very many, meet all texts of the key.
+    blocks if there are very many, meet all texts of the key. A pair meets under the smallest of its keys alone: a row
+    carries the smaller keys of its text, and two that share one of them have met there.
     """
+    about = [c for c in keyed.columns if c != "key"]
+    listed = keyed.groupBy(*about).agg(F.sort_array(F.collect_set("key")).alias("keys")).select(*about, "keys", F.posexplode("keys").alias("at", "key"))
     keys = keyed.groupBy("key").agg(F.mode("root", True).alias("major"), F.count("*").alias("n"))
-    rows = keyed.join(keys, "key")
+    rows = listed.select(*about, "key", F.slice("keys", F.lit(1), F.col("at")).alias("smaller")).join(keys, "key")
     others = rows.where("root <> major")
     blocks = others.groupBy("key").agg(F.ceil(F.count("*") / BLOCK_TEXTS).cast("int").alias("blocks"))
     x = others.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("__text"), F.col("blocks")).cast("int")).alias("x")
     y = rows.join(blocks, "key").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("y")
-    once = (F.col("y.root") == F.col("y.major")) | (F.col("x.root") < F.col("y.root"))
+    once = ((F.col("y.root") == F.col("y.major")) | (F.col("x.root") < F.col("y.root"))) & ~F.arrays_overlap("x.smaller", "y.smaller")
     met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.block") == F.col("y.block")) & once & (F.lit(True) if also is None else also))
-    return _ordered(met.select(F.col("x.__text").alias("a"), F.col("y.__text").alias("b")), "a", "b")
+    return met.select(F.least("x.__text", "y.__text").alias("a"), F.greatest("x.__text", "y.__text").alias("b"))
 
 
 BUCKET_BYTES = 32_000_000
