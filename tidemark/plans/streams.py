@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.plans.eventlog import CREATED_PHASES, WINDOWS
 from tidemark.plans.registry import query
 from tidemark.scratch import materialise, scratch_path
-from tidemark.sources.tables import read_events
+from tidemark.sources.tables import MICROS, read_events
 from tidemark.streaming import events as S
 from tidemark.streaming import live
 
@@ -26,7 +26,7 @@ def replay(events, least: int = 3):
     dealt.repartition("_chunk", F.pmod("seq", F.lit(CHUNK_FILES))).write.partitionBy("_chunk").parquet(staged)
     for i in range(chunks):
         part = spark.read.schema(dealt.schema).parquet(staged).where(F.col("_chunk") == i).drop("_chunk")
-        part.repartition(CHUNK_FILES).write.mode("append").json(path)
+        part.repartition(CHUNK_FILES).write.mode("append").options(**MICROS).json(path)
     return read_events(spark, path, streaming=True, files=CHUNK_FILES)
 
 
@@ -90,7 +90,7 @@ def st_live_state_from_snapshot(events):
 def st_liveness_live(events):
     silent = S.run_available(live.liveness(replay(events), 6 * 3600), "liveness")
     # A worker that came back is told again later, and not at all if it is there: of those still silent, the last word.
-    last = events.groupBy("worker_id").agg(F.max(F.unix_millis(F.col("event_at").cast("timestamp"))).alias("last_ms"))
+    last = events.groupBy("worker_id").agg(F.max(live.nearest_millis()).alias("last_ms"))
     return silent.join(last, ["worker_id", "last_ms"], "left_semi").select("worker_id", "last_ms", "silent_seconds")
 
 
@@ -98,7 +98,7 @@ def st_liveness_live(events):
   s AS (SELECT worker_id, arg_max(kind, seq) FILTER (kind <> 'WorkerStateChanged' OR to_state IS NOT NULL) AS k, max(t) AS last_ms FROM e GROUP BY worker_id) SELECT worker_id, last_ms FROM s, c WHERE k = 'WorkerLeft' AND last_ms + 86400000 <= now""")
 def st_evict_live(events):
     gone = S.run_available(live.evictions(replay(events), 24), "evictions")
-    last = events.groupBy("worker_id").agg(F.max(F.unix_millis(F.col("event_at").cast("timestamp"))).alias("last_ms"))
+    last = events.groupBy("worker_id").agg(F.max(live.nearest_millis()).alias("last_ms"))
     return gone.join(last, ["worker_id", "last_ms"], "left_semi").select("worker_id", "last_ms")
 
 

@@ -40,6 +40,11 @@ def _millis(at: str = "event_at") -> Column:
     return F.unix_millis(F.col(at).cast("timestamp")).alias("at")
 
 
+def nearest_millis(at: str = "event_at") -> Column:
+    """A time that is told, in milliseconds: rounded, a half upward. Ticks and seconds start where they start, so they use _millis."""
+    return F.unix_millis(F.col(at).cast("timestamp") + F.expr("INTERVAL '0.0005' SECOND")).alias("at")
+
+
 class Reducer(StatefulProcessor):
     """A job's or a worker's state after each micro-batch. A job starts with JobCreated, a worker with WorkerJoined, each time anew;
     events before are of nobody, but for errors, whose buckets outlive a job's new start. Events up to last_seq are ignored."""
@@ -164,7 +169,7 @@ class Liveness(StatefulProcessor):
 
 def liveness(events: DataFrame, seconds: int = 90, late: str = LATE) -> DataFrame:
     """worker_id, last_ms, silent_seconds: one row when a worker has sent nothing for so long; it is watched again from its next event."""
-    beats = events.where("worker_id is not null").withWatermark("event_at", late).select("worker_id", "event_at", _millis())
+    beats = events.where("worker_id is not null").withWatermark("event_at", late).select("worker_id", "event_at", nearest_millis())
     return _keyed(beats, "worker_id").transformWithStateInPandas(statefulProcessor=Liveness(seconds), outputStructType="worker_id string, last_ms long, silent_seconds long", outputMode="Append", timeMode="EventTime")
 
 
@@ -425,5 +430,5 @@ class Eviction(StatefulProcessor):
 
 def evictions(events: DataFrame, hours: float = 24, late: str = LATE) -> DataFrame:
     """worker_id, last_ms: disconnected workers when they have been idle for so long; fenced ones stay."""
-    rows = events.where("worker_id is not null").withWatermark("event_at", late).select("worker_id", "seq", "kind", "to_state", "event_at", _millis())
+    rows = events.where("worker_id is not null").withWatermark("event_at", late).select("worker_id", "seq", "kind", "to_state", "event_at", nearest_millis())
     return _keyed(rows, "worker_id").transformWithStateInPandas(statefulProcessor=Eviction(hours), outputStructType="worker_id string, last_ms long", outputMode="Append", timeMode="EventTime")
