@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -336,33 +337,44 @@ def live_syncs(events: DataFrame, seconds: int = 1, late: str = LATE) -> DataFra
 
 
 class ShardStates(StatefulProcessor):
-    """The state of each shard's claim, told as changes of the counts. A completed claim stays; else the later one counts, so that a
-    failed shard may be cleared and tried again."""
+    """The states of the claims on a bucket of shards, told as changes of the counts. A completed claim stays; else the later one counts,
+    so that a failed shard may be cleared and tried again. A bucket's shards are one value: a state for each would be a call for each."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.claim = handle.getValueState("claim", "state string, at long")
+        self.claims = handle.getValueState("claims", "shards binary")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        old, at = self.claim.get() if self.claim.exists() else (None, -(1 << 62))
-        state, size = old, (0, 0)
-        for r in _rows(rows, ["at", "claim_etag"]):
-            size = int(r.n_rows), int(r.n_bytes)
-            if state != "completed" and (int(r.at) >= at or r.state == "completed"):
-                state, at = r.state, max(at, int(r.at))
-        self.claim.update((state, at))
-        if state != old:
-            moved = [int(state == s) - int(old == s) for s in ("completed", "failed", "active")]
-            yield pd.DataFrame([(*moved, *(moved[0] * n for n in size))], columns=["completed", "failed", "active", "rows_completed", "bytes_completed"])
+        known = pa.ipc.open_stream(self.claims.get()[0]).read_all().to_pandas() if self.claims.exists() else pd.DataFrame(columns=["shard", "state", "at"])
+        whole = pd.concat(rows).sort_values(["shard", "at", "claim_etag"], kind="stable")
+        whole["done"] = whole["state"] == "completed"
+        new = whole.drop_duplicates("shard", keep="last").set_index("shard").assign(done=whole.groupby("shard")["done"].any())
+        old = known.set_index("shard").reindex(new.index)
+        was, at = old["state"], old["at"].fillna(-(1 << 62)).astype("int64")
+        later = (was != "completed") & (new["at"] >= at)
+        state = was.astype(object).mask(later, new["state"]).mask(new["done"], "completed")
+        moved = [(state == s).astype("int64") - (was == s).astype("int64") for s in ("completed", "failed", "active")]
+        now = pd.DataFrame({"shard": new.index, "state": state.to_numpy(), "at": at.where(~later, new["at"]).to_numpy()})
+        kept = pa.Table.from_pandas(pd.concat([known[~known["shard"].isin(new.index)], now]) if len(known) else now, CLAIMS, preserve_index=False)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, kept.schema) as writer:
+            writer.write_table(kept)
+        self.claims.update((sink.getvalue().to_pybytes(),))
+        if any(m.any() for m in moved):
+            sums = [int(m.sum()) for m in moved] + [int((moved[0] * new[c]).sum()) for c in ("n_rows", "n_bytes")]
+            yield pd.DataFrame([sums], columns=[f.partition(" ")[0] for f in TALLY.split(", ")])
 
 
 TALLY = "completed long, failed long, active long, rows_completed long, bytes_completed long"
+CLAIMS = pa.schema([("shard", pa.string()), ("state", pa.string()), ("at", pa.int64())])
+BUCKET_SHARDS = 4096  # what a bucket holds on average; a checkpoint holds for one value and one table of shards
 
 
 def shard_changes(claims: DataFrame, shards: DataFrame) -> DataFrame:
-    """Changes of the tally by claims (shard, state, claimed_utc, claim_etag): one row for a shard that changed; claims of other shards are ignored."""
+    """Changes of the tally by claims (shard, state, claimed_utc, claim_etag): one row for a bucket of shards that changed; claims of other shards are ignored."""
+    buckets = max(1, -(-shards.count() // BUCKET_SHARDS))
     own = claims.join(shards.select("shard", "n_rows", "n_bytes"), "shard").select("shard", "state", _millis("claimed_utc"), "claim_etag", "n_rows", "n_bytes")
-    own = own.withColumn("at", F.coalesce("at", F.lit(0)))
-    return _keyed(own, "shard").transformWithStateInPandas(statefulProcessor=ShardStates(), outputStructType=TALLY, outputMode="Append", timeMode="None")
+    own = own.withColumn("at", F.coalesce("at", F.lit(0))).withColumn("bucket", F.pmod(F.xxhash64("shard"), F.lit(buckets)))
+    return _keyed(own, "bucket").transformWithStateInPandas(statefulProcessor=ShardStates(), outputStructType=TALLY, outputMode="Append", timeMode="None")
 
 
 RECONCILED = "kind string, reason string, files long, bytes long, batch int"
