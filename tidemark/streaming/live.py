@@ -7,6 +7,7 @@ Timers fire when the watermark passes them, which needs no further event of thei
 from __future__ import annotations
 
 import bisect
+import pickle
 from collections.abc import Iterator
 from typing import Any
 
@@ -41,6 +42,24 @@ def _millis(at: str = "event_at") -> Column:
     return F.unix_millis(F.col(at).cast("timestamp")).alias("at")
 
 
+STATE_NAMES = ["entity", "key", "last_seq", "phase", "files", "bytes", "conflicts", "state", "fence_reason", "last_error", "history", "buckets"]
+SLOTS = 512  # of small states: each is one value, so a micro-batch makes as many calls however many keys it has; a checkpoint holds for one number
+
+
+def _slot(*key: str) -> Column:
+    return F.pmod(F.xxhash64(*key), F.lit(SLOTS)).cast("string").alias("slot")
+
+
+def _held(state: Any) -> dict:
+    """The states of a slot by key."""
+    return pickle.loads(state.get()[0]) if state.exists() else {}
+
+
+def _counted(r: Any, files: int, n_bytes: int) -> tuple[int, int]:
+    files, n_bytes = files + int(r.files_delta or 0), n_bytes + int(r.bytes_delta or 0)
+    return files if r.sync_files is None else max(files, int(r.sync_files)), n_bytes
+
+
 def nearest_millis(at: str = "event_at") -> Column:
     """A time that is told, in milliseconds: rounded, a half upward. Ticks and seconds start where they start, so they use _millis."""
     return F.unix_millis(F.col(at).cast("timestamp") + F.expr("INTERVAL '0.0005' SECOND")).alias("at")
@@ -48,16 +67,24 @@ def nearest_millis(at: str = "event_at") -> Column:
 
 class Reducer(StatefulProcessor):
     """A job's or a worker's state after each micro-batch. A job starts with JobCreated, a worker with WorkerJoined, each time anew;
-    events before are of nobody, but for errors, whose buckets outlive a job's new start. Events up to last_seq are ignored."""
+    events before are of nobody, but for errors, whose buckets outlive a job's new start. Events up to last_seq are ignored.
+    A job has a slot of its own. Workers are many and their states small: those of a slot are one value, read and written once."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.workers = handle.getValueState("workers", "states binary")
         self.core = handle.getValueState("core", "last_seq long, there boolean, phase string, files long, bytes long, conflicts long, state string, fence_reason string, last_error string")
         self.history = handle.getListState("history", MOVE)
         self.buckets = handle.getMapState("buckets", "class string", BUCKET.partition(", ")[2])
 
     def handleInitialState(self, key: Any, initialState: pd.DataFrame, timerValues: Any) -> None:
+        if key[0] == "worker":
+            known = _held(self.workers)
+            for r in initialState.astype(object).where(initialState.notna(), None).itertuples(index=False):
+                known[r.key] = (int(r.last_seq), r.state is not None, int(r.files or 0), int(r.bytes or 0), r.state, r.fence_reason, r.last_error)
+            self.workers.update((pickle.dumps(known),))
+            return
         r = initialState.astype(object).where(initialState.notna(), None).iloc[0]
-        there = (r["phase"] if key[0] == "job" else r["state"]) is not None
+        there = r["phase"] is not None
         self.core.update((int(r["last_seq"]), there, r["phase"], int(r["files"] or 0), int(r["bytes"] or 0), int(r["conflicts"] or 0), r["state"], r["fence_reason"], r["last_error"]))
         if r["history"] is not None and len(r["history"]):
             self.history.put([(int(h["seq"]), h["before"], h["after"]) for h in r["history"]])
@@ -65,6 +92,9 @@ class Reducer(StatefulProcessor):
             self.buckets.updateValue((b["class"],), (int(b["count"]), int(b["first_seq"]), int(b["last_seq"]), bool(b["retryable"]), list(b["paths"])))
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        if key[0] == "worker":
+            yield from self._workers(rows)
+            return
         old = self.core.get() if self.core.exists() else (0, False, None, 0, 0, 0, None, None, None)
         last, there, phase, files, n_bytes, conflicts, state, fence, error = old
         history = [tuple(h) for h in self.history.get()] if self.history.exists() else []
@@ -73,28 +103,15 @@ class Reducer(StatefulProcessor):
             if r.seq <= last:
                 continue
             last, kind = int(r.seq), r.kind
-            if key[0] == "job":
-                if kind == "JobCreated":
-                    there, phase, moves, files, n_bytes, conflicts = True, "Planned", [], 0, 0, 0
-                elif kind == "ErrorEmitted":
-                    self._error(r, touched)
-                elif there:
-                    phase, moves = E.phase_step(phase, moves, last, kind, E.target_of(kind, r.to_phase, r.mismatches))
-                    conflicts += kind == "ClaimConflictResolved"
-            elif kind == "WorkerJoined":
-                there, state, files, n_bytes, fence, error = True, "Idle", 0, 0, None, None
+            if kind == "JobCreated":
+                there, phase, moves, files, n_bytes, conflicts = True, "Planned", [], 0, 0, 0
+            elif kind == "ErrorEmitted":
+                self._error(r, touched)
             elif there:
-                if kind == "WorkerLeft":
-                    state, error = "Disconnected", r.reason
-                elif kind == "WorkerStateChanged":
-                    state = r.to_state if r.to_state is not None else state
-                elif kind == "WorkerFenced":
-                    state, fence = "Fenced", r.reason
-                elif kind == "WorkerRecovered":
-                    state, fence = "Idle", None
+                phase, moves = E.phase_step(phase, moves, last, kind, E.target_of(kind, r.to_phase, r.mismatches))
+                conflicts += kind == "ClaimConflictResolved"
             if there:
-                files, n_bytes = files + int(r.files_delta or 0), n_bytes + int(r.bytes_delta or 0)
-                files = files if r.sync_files is None else max(files, int(r.sync_files))
+                files, n_bytes = _counted(r, files, n_bytes)
         if last == old[0]:
             return
         self.core.update((last, there, phase, files, n_bytes, conflicts, state, fence, error))
@@ -102,12 +119,39 @@ class Reducer(StatefulProcessor):
             self.history.put(moves) if moves else self.history.clear()
         for name, bucket in touched.items():
             self.buckets.updateValue((name,), bucket)
-        found = sorted(((k[0], *v) for k, v in self.buckets.iterator()), key=lambda b: b[2]) if key[0] == "job" else []
+        found = sorted(((k[0], *v) for k, v in self.buckets.iterator()), key=lambda b: b[2])
         yield pd.DataFrame(
             [(*key, last, phase, files, n_bytes, conflicts, state, fence, error, [dict(zip(("seq", "before", "after"), m)) for m in moves], [dict(zip(("class", "count", "first_seq", "last_seq", "retryable", "paths"), b)) for b in found])],
-            columns=["entity", "key", "last_seq", "phase", "files", "bytes", "conflicts", "state", "fence_reason", "last_error", "history", "buckets"],
+            columns=STATE_NAMES,
         )
 
+    def _workers(self, rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, changed = _held(self.workers), set()
+        for r in _rows(rows, ["seq"]):
+            last, there, files, n_bytes, state, fence, error = known.get(r.key) or (0, False, 0, 0, None, None, None)
+            if r.seq <= last:
+                continue
+            kind = r.kind
+            if kind == "WorkerJoined":
+                there, state, files, n_bytes, fence, error = True, "Idle", 0, 0, None, None
+            elif there:
+                if kind == "WorkerLeft":
+                    state, error = "Disconnected", r.reason
+                elif kind == "WorkerStateChanged":
+                    state = r.to_state if r.to_state is not None else state
+                elif kind == "WorkerFenced":
+                    state, fence = "Fenced", r.reason
+                elif kind == "WorkerRecovered":
+                    state, fence = "Idle", None
+            if there:
+                files, n_bytes = _counted(r, files, n_bytes)
+            known[r.key] = (int(r.seq), there, files, n_bytes, state, fence, error)
+            changed.add(r.key)
+        if changed:
+            self.workers.update((pickle.dumps(known),))
+            told = [("worker", w, last, None, files, n_bytes, 0, state, fence, error, [], []) for w in sorted(changed) for last, _, files, n_bytes, state, fence, error in (known[w],)]
+            yield pd.DataFrame(told, columns=STATE_NAMES)
+
     def _error(self, r: Any, touched: dict) -> None:
         """The bucket of an error's class, or the common one when there are enough; touched holds this micro-batch's."""
         known = lambda name: touched.get(name) or (self.buckets.getValue((name,)) if self.buckets.containsKey((name,)) else None)
@@ -133,8 +177,9 @@ def live_state(events: DataFrame, snapshot: DataFrame | None = None) -> DataFram
         F.when(F.col("worker_id").isNotNull() & kind.isin(*WORKER_KINDS, "ProgressDelta", "ProgressSync"), F.struct(F.lit("worker").alias("entity"), F.col("worker_id").alias("key"))),
     ))
     keyed = events.select(F.explode(entities).alias("e"), *columns).select("e.*", *[c if isinstance(c, str) else "class_" for c in columns])
-    start = snapshot.groupBy("entity", "key") if snapshot is not None else None
-    return _keyed(keyed, "entity", "key").transformWithStateInPandas(statefulProcessor=Reducer(), outputStructType=STATE, outputMode="Update", timeMode="None", initialState=start)
+    slot = F.when(F.col("entity") == "worker", _slot("key")).otherwise(F.col("key")).alias("slot")
+    start = snapshot.select("*", slot).groupBy("entity", "slot") if snapshot is not None else None
+    return _keyed(keyed.select("*", slot), "entity", "slot").transformWithStateInPandas(statefulProcessor=Reducer(), outputStructType=STATE, outputMode="Update", timeMode="None", initialState=start)
 
 
 def state_of(updates: DataFrame) -> DataFrame:
@@ -176,50 +221,67 @@ def liveness(events: DataFrame, seconds: int = 90, late: str = LATE) -> DataFram
 
 class CappedProgress(StatefulProcessor):
     """The first delta of a second passes (leading); later ones are summed and released (drained) when the oldest of them is a
-    second old, by the next event or by the timer, whichever is first: both release the same."""
+    second old, by the next event or by the timer, whichever is first: both release the same. The keys of a slot are one value,
+    and its timer is that of the oldest held."""
 
     def __init__(self, seconds: float):
         self.gap = int(seconds * 1000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.held = handle, handle.getValueState("held", "led long, since long, files long, seq long")
+        self.handle, self.held = handle, handle.getValueState("held", "armed long, states binary")
 
-    def _frame(self, key: Any, out: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame([(*key, *r) for r in out], columns=["job_id", "worker_id", "part", "files", "seq", "at_ms"])
+    def _load(self) -> tuple[int | None, dict]:
+        armed, states = self.held.get() if self.held.exists() else (None, None)
+        return armed, pickle.loads(states) if states is not None else {}
+
+    def _keep(self, armed: int | None, held: dict) -> None:
+        """Store the slot; its timer is set for the oldest that is held."""
+        oldest = min((since for _, since, _, _ in held.values() if since is not None), default=None)
+        if armed != oldest:
+            if armed is not None:
+                self.handle.deleteTimer(armed + self.gap)
+            if oldest is not None:
+                self.handle.registerTimer(oldest + self.gap)
+        self.held.update((oldest, pickle.dumps(held)))
+
+    def _frame(self, out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=["job_id", "worker_id", "part", "files", "seq", "at_ms"])
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        led, since, files, last = self.held.get() if self.held.exists() else (None, None, 0, 0)
-        armed, out = since, []
+        armed, held = self._load()
+        out = []
         for r in _rows(rows, ["at", "seq"]):
+            own = (r.job_id, r.worker_id)
+            led, since, files, last = held.get(own) or (None, None, 0, 0)
             at, seq, n = int(r.at), int(r.seq), int(r.files_delta)
             if since is not None and at - since >= self.gap:
-                out.append(("drained", files, last, since + self.gap))
+                out.append((*own, "drained", files, last, since + self.gap))
                 since, files = None, 0
             if led is None or at - led >= self.gap:
                 led = at
-                out.append(("leading", n, seq, at))
+                out.append((*own, "leading", n, seq, at))
             else:
                 since, files, last = at if since is None else since, files + n, seq
-        if armed != since:
-            if armed is not None:
-                self.handle.deleteTimer(armed + self.gap)
-            if since is not None:
-                self.handle.registerTimer(since + self.gap)
-        self.held.update((led, since, files, last))
-        yield self._frame(key, out)
+            held[own] = (led, since, files, last)
+        self._keep(armed, held)
+        yield self._frame(out)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        led, since, files, last = self.held.get()
-        if since is not None and since + self.gap <= expiredTimerInfo.getExpiryTimeInMs():
-            self.held.update((led, None, 0, 0))
-            yield self._frame(key, [("drained", files, last, since + self.gap)])
+        armed, held = self._load()
+        now, out = timerValues.getCurrentWatermarkInMs(), []
+        for own, (led, since, files, last) in held.items():
+            if since is not None and since + self.gap <= now:
+                held[own] = (led, None, 0, 0)
+                out.append((*own, "drained", files, last, since + self.gap))
+        self._keep(None if armed is not None and armed + self.gap == expiredTimerInfo.getExpiryTimeInMs() else armed, held)
+        yield self._frame(out)
 
 
 def capped_progress(events: DataFrame, seconds: float = 1.0, late: str = LATE) -> DataFrame:
     """job_id, worker_id, part (leading or drained), files, seq, at_ms: at most two rows a key and second; what a timer has not yet
     released is younger than the watermark."""
-    deltas = events.where("kind = 'ProgressDelta' and files_delta is not null").withWatermark("event_at", late).select("job_id", "worker_id", "seq", "files_delta", "event_at", _millis())
-    return _keyed(deltas, "job_id", "worker_id").transformWithStateInPandas(statefulProcessor=CappedProgress(seconds), outputStructType="job_id string, worker_id string, part string, files long, seq long, at_ms long", outputMode="Append", timeMode="EventTime")
+    deltas = events.where("kind = 'ProgressDelta' and files_delta is not null").withWatermark("event_at", late).select("job_id", "worker_id", "seq", "files_delta", "event_at", _millis(), _slot("job_id", "worker_id"))
+    return _keyed(deltas, "slot").transformWithStateInPandas(statefulProcessor=CappedProgress(seconds), outputStructType="job_id string, worker_id string, part string, files long, seq long, at_ms long", outputMode="Append", timeMode="EventTime")
 
 
 class CappedErrors(StatefulProcessor):
