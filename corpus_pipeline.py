@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import mixing, packing, simhash, substring, toxicity
-from tidemark.llm.common import clear, mark, remove, scratch_path, small_batches, table
+from tidemark.llm.common import clear, mark, materialise, remove, scratch_path, small_batches, table
 
 # A worker of one stage stays for the next ones, beside what Spark itself holds by then: less than packing alone would take.
 CACHED_WORDS, CHUNK_BYTES = 200_000, 2_000_000
@@ -23,8 +23,10 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of SimHash fingerprints, linked as in op9_simhash; of these, one of each group that is alike by exact shingle sets."""
     small_batches(spark)
-    return simhash.drop_near_copies(docs, shingle=5, similarity=0.8)
+    apart = materialise(simhash.drop_near_duplicates(docs, shingle=3, seed=42, distance=2), "simhash")
+    return simhash.drop_near_copies(apart, shingle=5, similarity=0.8)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -304,8 +304,35 @@ def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
     rows = docs.select("doc_id", identity(F.col("text")).alias("__text"))
     groups = materialise(near_copies(docs, **options), "groups")
     firsts = rows.groupBy("__text").agg(F.min("doc_id").alias("doc_id")).join(groups, "__text")
-    kept = firsts.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "__text")).alias("k"))
+    return _kept(docs, firsts.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "__text")).alias("k")))
+
+
+def _kept(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """Of docs the rows whose id and text are among k (no_id, doc_id, __text), each once."""
     kept = materialise(kept.select(F.col("k.__text").alias("__kept"), F.coalesce(F.col("k.doc_id"), F.lit(0)).alias("__id"), F.isnull("k.doc_id").alias("__null")), "kept")
     tagged = docs.select("*", identity(F.col("text")).alias("__kept"), F.coalesce("doc_id", F.lit(0)).alias("__id"), F.isnull("doc_id").alias("__null"))
     on = ["__kept", "__id", "__null"]
     return tagged.join(kept, on).dropDuplicates(on).select(*docs.columns)
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = 3, seed: int = 42, distance: int = 2, blocks: int = 4, crowd: int = 16) -> DataFrame:
+    """docs with one row of each component of close fingerprints (see near_duplicates): that of the smallest doc_id (null ids last), once.
+
+    What is joined is fingerprints, not rows: each brings its first row. Null texts have no words. An empty table gives an empty
+    result. Other columns stay as they are; names that begin with __ are reserved.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for batch in batches:
+            fps = np.array([fingerprint(t, shingle, seed) for t in batch["text"].to_pylist()], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["__text"], pa.array(fps.view(np.int64))], names=["doc_id", "__text", "fp"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    body = F.coalesce("text", F.lit("")).cast("binary").alias("text")
+    rows = docs.select("doc_id", identity(F.col("text")).alias("__text"), body).mapInArrow(run, f"doc_id {kind}, __text binary, fp long")
+    first = F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "__text")).alias("k")
+    fps = materialise(rows.groupBy("fp").agg(first), "distinct-fingerprints")
+    roots = materialise(connected_components(links(fps.select(F.lit(0).alias("hashing"), "fp"), distance, blocks, crowd)), "components")
+    rooted = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(F.coalesce("root", "fp").alias("root"), "k")
+    return _kept(docs, rooted.groupBy("root").agg(F.min("k").alias("k")))
