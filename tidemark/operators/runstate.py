@@ -181,9 +181,10 @@ def superseded(registrations: DataFrame) -> DataFrame:
     named = registrations.withColumn("machine", machine_name(F.col("host"), F.col("pid")))
     process = F.struct("pid", "start_time")
     starts = named.withColumn("_starts", F.coalesce(~process.eqNullSafe(F.lag(process).over(w)), F.lit(True)))
-    # Of the next run its first row: the first start of a run after this row.
+    # Of the next run its first row: the first start of a run after this row. Rows go backwards, as a frame to the end is read anew for every row.
     head = F.when(F.col("_starts"), F.struct("seq", "worker_id"))
-    found = starts.withColumn("_next", F.first(head, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))).where("_next is not null")
+    later = Window.partitionBy("job_id", "machine").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
+    found = starts.withColumn("_next", F.last(head, ignorenulls=True).over(later)).where("_next is not null")
     if "left_seq" in registrations.columns:
         found = found.where("left_seq is null or left_seq > _next.seq")
     return found.select("worker_id", "machine", F.col("_next.worker_id").alias("by"))
