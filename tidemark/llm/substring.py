@@ -64,12 +64,13 @@ class Batch:
         self.joined = b" ".join(p for p in pieces if p)
         ids = np.concatenate(ids) if ids else np.zeros(0, dtype=np.int32)
         known = list(vocabulary)
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, known), dtype=np.uint64, count=len(known))[ids]
+        self.hashes = np.fromiter(map(xxhash.xxh64_intdigest, known), dtype=np.uint64, count=len(known))[ids]
         self.byte_at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, known), dtype=np.int64, count=len(known))[ids] + 1)])
-        self._runs(hashes, crowded)
+        self.form(crowded)
 
-    def _runs(self, hashes: np.ndarray, crowded: np.ndarray) -> None:
-        window, gram = self.window, min(GRAM, self.window)
+    def form(self, crowded: np.ndarray) -> None:
+        """The fragments, with every window of a crowded anchor by itself; the words stay as they were read."""
+        hashes, window, gram = self.hashes, self.window, min(GRAM, self.window)
         n = len(hashes) - window + 1
         starts = np.concatenate([np.arange(f, f + k - window + 1) for f, k in zip(self.first, self.n_words) if k >= window] or [np.zeros(0, dtype=np.int64)])
         if n < 1 or not len(starts):
@@ -211,7 +212,7 @@ def _send(window: int, shards: int):
         if (flag == 2).any():
             crowded = np.unique(b.anchor[b.distinct[flag == 2]])
             shared = np.unique(b.anchor[b.distinct[flag == 1]])
-            _, _, _, b = _batch_of(table, window, crowded)
+            b.form(crowded)
             flag = (np.isin(b.anchor[b.distinct], shared) | (b.run_windows[b.distinct] == 1) & np.isin(b.source_anchor[b.distinct], crowded)).astype(np.int64)
         # Runs of fragments that stand once in the batch and in no other can't be repeats.
         local = np.bincount(b.run_fragment, minlength=len(b.distinct)) > 1
