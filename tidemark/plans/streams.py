@@ -13,21 +13,24 @@ from tidemark.streaming import live
 
 
 CHUNK_ROWS, CHUNK_FILES = 1_000_000, 4
+SMALL = 8 * CHUNK_ROWS  # for streams that hold little of a micro-batch: each costs every partition of the state a start and a commit
+AT = "unix_micros(CAST(event_at AS TIMESTAMP))"
 
 
-def replay(events, least: int = 3):
-    """The events as a stream of JSON files, in micro-batches in order of seq: `least`, or more of about CHUNK_ROWS events."""
+def replay(events, least: int = 3, rows: int = CHUNK_ROWS, by: str = "seq"):
+    """The events as a stream of JSON files, in micro-batches in order of `by`: `least`, or more of about `rows` events."""
     spark, path, staged = events.sparkSession, scratch_path(events.sparkSession, "replay"), scratch_path(events.sparkSession, "replay-staged")
-    first, last, rows = events.agg(F.min("seq"), F.max("seq"), F.count("*")).first()
-    chunks = max(least, -(-rows // CHUNK_ROWS))
+    first, last, n = events.agg(F.min(F.expr(by)), F.max(F.expr(by)), F.count("*")).first()
+    chunks = max(least, -(-n // rows))
+    files = CHUNK_FILES * max(1, -(-n // chunks // CHUNK_ROWS))
     width = max(1, -(-((last or 0) - (first or 0) + 1) // chunks))
     # Dealt by chunk in one pass; then each chunk's own files are read, and put where the stream sees them in order.
-    dealt = events.withColumn("_chunk", F.floor((F.col("seq") - (first or 0)) / width))
-    dealt.repartition("_chunk", F.pmod("seq", F.lit(CHUNK_FILES))).write.partitionBy("_chunk").parquet(staged)
+    dealt = events.withColumn("_chunk", F.floor((F.expr(by) - (first or 0)) / width))
+    dealt.repartition("_chunk", F.pmod("seq", F.lit(files))).write.partitionBy("_chunk").parquet(staged)
     for i in range(chunks):
         part = spark.read.schema(dealt.schema).parquet(staged).where(F.col("_chunk") == i).drop("_chunk")
-        part.repartition(CHUNK_FILES).write.mode("append").options(**MICROS).json(path)
-    return read_events(spark, path, streaming=True, files=CHUNK_FILES)
+        part.repartition(files).write.mode("append").options(**MICROS).json(path)
+    return read_events(spark, path, streaming=True, files=files)
 
 
 @query("st_ingest_repeats", "event_log", sql="SELECT worker_id, client_seq, CAST(CASE WHEN client_seq IS NULL THEN count(*) ELSE 1 END AS BIGINT) AS n FROM event_log GROUP BY worker_id, client_seq")
@@ -88,7 +91,8 @@ def st_live_state_from_snapshot(events):
 @query("st_liveness_live", "event_log", sql="""e AS (SELECT worker_id, epoch_ms(event_at) AS t FROM event_log), c AS (SELECT max(t) - 600000 AS now FROM e),
   n AS (SELECT worker_id, t, lead(t) OVER (PARTITION BY worker_id ORDER BY t) AS nxt FROM e) SELECT worker_id, max(t) AS last_ms, CAST(6 * 3600 AS BIGINT) AS silent_seconds FROM n, c WHERE nxt IS NULL AND t + 6 * 3600000 + 1 <= now GROUP BY worker_id""")
 def st_liveness_live(events):
-    silent = S.run_available(live.liveness(replay(events), 6 * 3600), "liveness")
+    # In order of time: what comes later than the watermark is dropped, and times may fall along seq.
+    silent = S.run_available(live.liveness(replay(events, rows=SMALL, by=AT), 6 * 3600), "liveness")
     # A worker that came back is told again later, and not at all if it is there: of those still silent, the last word.
     last = events.groupBy("worker_id").agg(F.max(live.nearest_millis()).alias("last_ms"))
     return silent.join(last, ["worker_id", "last_ms"], "left_semi").select("worker_id", "last_ms", "silent_seconds")
@@ -97,7 +101,7 @@ def st_liveness_live(events):
 @query("st_evict_live", "worker_events", sql="""e AS (SELECT worker_id, seq, kind, to_state, epoch_ms(event_at) AS t FROM worker_events), c AS (SELECT max(t) - 600000 AS now FROM e),
   s AS (SELECT worker_id, arg_max(kind, seq) FILTER (kind <> 'WorkerStateChanged' OR to_state IS NOT NULL) AS k, max(t) AS last_ms FROM e GROUP BY worker_id) SELECT worker_id, last_ms FROM s, c WHERE k = 'WorkerLeft' AND last_ms + 86400000 <= now""")
 def st_evict_live(events):
-    gone = S.run_available(live.evictions(replay(events), 24), "evictions")
+    gone = S.run_available(live.evictions(replay(events, rows=SMALL, by=AT), 24), "evictions")
     last = events.groupBy("worker_id").agg(F.max(live.nearest_millis()).alias("last_ms"))
     return gone.join(last, ["worker_id", "last_ms"], "left_semi").select("worker_id", "last_ms")
 

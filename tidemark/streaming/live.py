@@ -55,6 +55,18 @@ def _held(state: Any) -> dict:
     return pickle.loads(state.get()[0]) if state.exists() else {}
 
 
+def _unpacked(table: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(table).read_all().to_pandas()
+
+
+def _packed(table: pd.DataFrame, schema: pa.Schema) -> bytes:
+    """A slot's states as one value."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, schema) as writer:
+        writer.write_table(pa.Table.from_pandas(table, schema, preserve_index=False))
+    return sink.getvalue().to_pybytes()
+
+
 def _counted(r: Any, files: int, n_bytes: int) -> tuple[int, int]:
     files, n_bytes = files + int(r.files_delta or 0), n_bytes + int(r.bytes_delta or 0)
     return files if r.sync_files is None else max(files, int(r.sync_files)), n_bytes
@@ -189,34 +201,50 @@ def state_of(updates: DataFrame) -> DataFrame:
 
 
 class Liveness(StatefulProcessor):
-    """A worker that is silent for more than `seconds` is told once; what it sends before the timer fires sets it anew."""
+    """A worker that is silent for more than `seconds` is told once; what it sends before the timer fires sets it anew. The workers of
+    a slot are one table, and its timer is that of the one that has been silent for longest."""
 
     def __init__(self, seconds: int):
         self.silence = seconds * 1000 + 1  # longer than, not as long as
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.last = handle, handle.getValueState("last", "at long")
+        self.handle, self.last = handle, handle.getValueState("last", "armed long, workers binary")
+
+    def _load(self) -> tuple[int | None, pd.Series]:
+        armed, workers = self.last.get() if self.last.exists() else (None, None)
+        return armed, _unpacked(workers).set_index("worker_id")["at"] if workers is not None else pd.Series(dtype="int64")
+
+    def _keep(self, armed: int | None, last: pd.Series) -> None:
+        """Store the slot; its timer is set for the worker that has been silent for longest."""
+        oldest = int(last.min()) if len(last) else None
+        if armed != oldest:
+            if armed is not None:
+                self.handle.deleteTimer(armed + self.silence)
+            if oldest is not None:
+                self.handle.registerTimer(oldest + self.silence)
+        self.last.update((oldest, _packed(pd.DataFrame({"worker_id": last.index, "at": last.to_numpy()}), BEATS)))
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        at = max(int(pdf["at"].max()) for pdf in rows)
-        known = self.last.get()[0] if self.last.exists() else None
-        if known is None or at > known:
-            if known is not None:
-                self.handle.deleteTimer(known + self.silence)
-            self.last.update((at,))
-            self.handle.registerTimer(at + self.silence)
+        armed, last = self._load()
+        new = pd.concat(pdf.groupby("worker_id")["at"].max() for pdf in rows)
+        self._keep(armed, pd.concat([last, new]).groupby(level=0).max())
         return iter(())
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        at = self.last.get()[0]
-        self.last.clear()
-        yield pd.DataFrame([(key[0], at, (self.silence - 1) // 1000)], columns=["worker_id", "last_ms", "silent_seconds"])
+        armed, last = self._load()
+        silent = last + self.silence <= timerValues.getCurrentWatermarkInMs()
+        self._keep(None if armed is not None and armed + self.silence == expiredTimerInfo.getExpiryTimeInMs() else armed, last[~silent])
+        told = last[silent]
+        yield pd.DataFrame({"worker_id": told.index, "last_ms": told.to_numpy(), "silent_seconds": (self.silence - 1) // 1000})
+
+
+BEATS = pa.schema([("worker_id", pa.string()), ("at", pa.int64())])
 
 
 def liveness(events: DataFrame, seconds: int = 90, late: str = LATE) -> DataFrame:
     """worker_id, last_ms, silent_seconds: one row when a worker has sent nothing for so long; it is watched again from its next event."""
-    beats = events.where("worker_id is not null").withWatermark("event_at", late).select("worker_id", "event_at", nearest_millis())
-    return _keyed(beats, "worker_id").transformWithStateInPandas(statefulProcessor=Liveness(seconds), outputStructType="worker_id string, last_ms long, silent_seconds long", outputMode="Append", timeMode="EventTime")
+    beats = events.where("worker_id is not null").withWatermark("event_at", late).select("worker_id", "event_at", nearest_millis(), _slot("worker_id"))
+    return _keyed(beats, "slot").transformWithStateInPandas(statefulProcessor=Liveness(seconds), outputStructType="worker_id string, last_ms long, silent_seconds long", outputMode="Append", timeMode="EventTime")
 
 
 class CappedProgress(StatefulProcessor):
@@ -406,7 +434,7 @@ class ShardStates(StatefulProcessor):
         self.claims = handle.getValueState("claims", "shards binary")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        known = pa.ipc.open_stream(self.claims.get()[0]).read_all().to_pandas() if self.claims.exists() else pd.DataFrame(columns=["shard", "state", "at"])
+        known = _unpacked(self.claims.get()[0]) if self.claims.exists() else pd.DataFrame(columns=["shard", "state", "at"])
         whole = pd.concat(rows).sort_values(["shard", "at", "claim_etag"], kind="stable")
         whole["done"] = whole["state"] == "completed"
         new = whole.drop_duplicates("shard", keep="last").set_index("shard").assign(done=whole.groupby("shard")["done"].any())
@@ -416,11 +444,8 @@ class ShardStates(StatefulProcessor):
         state = was.astype(object).mask(later, new["state"]).mask(new["done"], "completed")
         moved = [(state == s).astype("int64") - (was == s).astype("int64") for s in ("completed", "failed", "active")]
         now = pd.DataFrame({"shard": new.index, "state": state.to_numpy(), "at": at.where(~later, new["at"]).to_numpy()})
-        kept = pa.Table.from_pandas(pd.concat([known[~known["shard"].isin(new.index)], now]) if len(known) else now, CLAIMS, preserve_index=False)
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, kept.schema) as writer:
-            writer.write_table(kept)
-        self.claims.update((sink.getvalue().to_pybytes(),))
+        kept = pd.concat([known[~known["shard"].isin(new.index)], now]) if len(known) else now
+        self.claims.update((_packed(kept, CLAIMS),))
         if any(m.any() for m in moved):
             sums = [int(m.sum()) for m in moved] + [int((moved[0] * new[c]).sum()) for c in ("n_rows", "n_bytes")]
             yield pd.DataFrame([sums], columns=[f.partition(" ")[0] for f in TALLY.split(", ")])
@@ -475,34 +500,52 @@ def reconciled(spark: Any, path: str) -> DataFrame:
 
 
 class Eviction(StatefulProcessor):
-    """State of a worker goes when it has been disconnected and silent for so long; no other state ever goes by time."""
+    """State of a worker goes when it has been disconnected and silent for so long; no other state ever goes by time. The workers of a
+    slot are one value, and its timer is that of the disconnected one that has been silent for longest."""
 
     def __init__(self, hours: float):
         self.idle = int(hours * 3_600_000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.state = handle, handle.getValueState("state", "state string, at long, seq long")
+        self.handle, self.state = handle, handle.getValueState("state", "armed long, states binary")
+
+    def _load(self) -> tuple[int | None, dict]:
+        armed, states = self.state.get() if self.state.exists() else (None, None)
+        return armed, pickle.loads(states) if states is not None else {}
+
+    def _keep(self, armed: int | None, known: dict) -> None:
+        """Store the slot; its timer is set for the disconnected worker that has been silent for longest."""
+        oldest = min((at for state, at, _ in known.values() if state == "Disconnected"), default=None)
+        if armed != oldest:
+            if armed is not None:
+                self.handle.deleteTimer(armed + self.idle)
+            if oldest is not None:
+                self.handle.registerTimer(oldest + self.idle)
+        self.state.update((oldest, pickle.dumps(known)))
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        state, at, seq = self.state.get() if self.state.exists() else (None, None, -1)
-        if state == "Disconnected":
-            self.handle.deleteTimer(at + self.idle)
+        armed, known = self._load()
         for r in _rows(rows, ["seq"]):
+            state, at, seq = known.get(r.worker_id) or (None, 0, -1)
+            at = max(at, int(r.at))
             if r.seq > seq:
-                seq, at = int(r.seq), max(at or 0, int(r.at))
+                seq = int(r.seq)
                 state = {"WorkerLeft": "Disconnected", "WorkerFenced": "Fenced", "WorkerJoined": "Idle", "WorkerRecovered": "Idle"}.get(r.kind, r.to_state if r.kind == "WorkerStateChanged" and r.to_state else state)
-        if state == "Disconnected":
-            self.handle.registerTimer(at + self.idle)
-        self.state.update((state, at, seq))
+            known[r.worker_id] = (state, at, seq)
+        self._keep(armed, known)
         return iter(())
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        _, at, _ = self.state.get()
-        self.state.clear()
-        yield pd.DataFrame([(key[0], at)], columns=["worker_id", "last_ms"])
+        armed, known = self._load()
+        now = timerValues.getCurrentWatermarkInMs()
+        gone = [(w, at) for w, (state, at, _) in known.items() if state == "Disconnected" and at + self.idle <= now]
+        for w, _ in gone:
+            del known[w]
+        self._keep(None if armed is not None and armed + self.idle == expiredTimerInfo.getExpiryTimeInMs() else armed, known)
+        yield pd.DataFrame(gone, columns=["worker_id", "last_ms"])
 
 
 def evictions(events: DataFrame, hours: float = 24, late: str = LATE) -> DataFrame:
     """worker_id, last_ms: disconnected workers when they have been idle for so long; fenced ones stay."""
-    rows = events.where("worker_id is not null").withWatermark("event_at", late).select("worker_id", "seq", "kind", "to_state", "event_at", nearest_millis())
-    return _keyed(rows, "worker_id").transformWithStateInPandas(statefulProcessor=Eviction(hours), outputStructType="worker_id string, last_ms long", outputMode="Append", timeMode="EventTime")
+    rows = events.where("worker_id is not null").withWatermark("event_at", late).select("worker_id", "seq", "kind", "to_state", "event_at", nearest_millis(), _slot("worker_id"))
+    return _keyed(rows, "slot").transformWithStateInPandas(statefulProcessor=Eviction(hours), outputStructType="worker_id string, last_ms long", outputMode="Append", timeMode="EventTime")
