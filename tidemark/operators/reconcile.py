@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.paths import path_b64
@@ -45,12 +45,34 @@ def with_groups(entries: DataFrame) -> DataFrame:
     return entries.join(groups, ["side", "dev", "ino", "file_type"], "left")
 
 
-def pair_sides(entries: DataFrame) -> DataFrame:
-    """One row a path of either side: src_* and dst_* columns, and `place`: both, source or destination."""
-    columns = [c for c in entries.columns if c not in ("side", "path")]
+def group_roots(entries: DataFrame) -> DataFrame:
+    """side, path, dev, ino, group_root of the files for which with_groups() has one, each once. Nothing but these columns is shuffled."""
+    files = entries.where((F.col("file_type") == REGULAR) & F.col("dev").isNotNull() & F.col("ino").isNotNull())
+    thin = files.select("side", "path", "dev", "ino", F.when(F.col("nlink") > 1, F.col("path")).alias("_linked"))
+    order = Window.partitionBy("side", "dev", "ino").orderBy("path")
+    inode = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    told = thin.withColumns({"group_root": F.min("_linked").over(inode), "_members": F.count("_linked").over(inode), "_again": F.lag("path").over(order).eqNullSafe(F.col("path"))})
+    return told.where("_members > 1 and not _again").select("side", "path", "dev", "ino", "group_root")
+
+
+def pair_sides(entries: DataFrame, groups: bool = False) -> DataFrame:
+    """One row a path of either side: src_* and dst_* columns, and `place`: both, source or destination.
+
+    groups: with group_root, as of with_groups(); it is joined by path like the sides, so whole rows are shuffled once and not by inode too.
+    """
+
+    def of(number: int) -> DataFrame:
+        own = entries.where(F.col("side") == number)
+        if not groups:
+            return own
+        roots = group_roots(own).select(F.col("path").alias("_path"), F.col("dev").alias("_dev"), F.col("ino").alias("_ino"), "group_root")
+        # Ranges, so that they are no keys: rows would be dealt by these too.
+        inode = F.col("dev").between(F.col("_dev"), F.col("_dev")) & F.col("ino").between(F.col("_ino"), F.col("_ino"))
+        return own.join(roots, (F.col("path") == F.col("_path")) & inode & (F.col("file_type") == REGULAR), "left").drop("_path", "_dev", "_ino")
 
     def side(number: int, prefix: str) -> DataFrame:
-        return entries.where(F.col("side") == number).select("path", F.lit(True).alias(f"{prefix}_here"), *[F.col(c).alias(f"{prefix}_{c}") for c in columns])
+        own = of(number)
+        return own.select("path", F.lit(True).alias(f"{prefix}_here"), *[F.col(c).alias(f"{prefix}_{c}") for c in own.columns if c not in ("side", "path")])
 
     pairs = side(0, "src").join(side(1, "dst"), "path", "full_outer")
     place = F.when(F.col("dst_here").isNull(), "source").when(F.col("src_here").isNull(), "destination").otherwise("both")
@@ -118,7 +140,7 @@ def diff_pairs(pairs: DataFrame, preserve: Preserve = Preserve()) -> DataFrame:
 
 
 def compare_entries(entries: DataFrame, preserve: Preserve = Preserve()) -> DataFrame:
-    return diff_pairs(pair_sides(with_groups(entries)), preserve)
+    return diff_pairs(pair_sides(entries, groups=True), preserve)
 
 
 def mismatch_counts(diffs: DataFrame) -> DataFrame:

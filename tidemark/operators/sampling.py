@@ -76,7 +76,7 @@ def reasons_of(entries: DataFrame, risk: DataFrame) -> DataFrame:
 
     The paired sides are written once, as everything below reads them.
     """
-    pairs = pair_sides(with_groups(entries))
+    pairs = pair_sides(entries, groups=True)
     own = F.when(F.size(differences()) > 0, BIT["metadata_mismatch"]).otherwise(0).bitwiseOR(F.when(is_boundary(F.col("src_size")), BIT["bucket_boundary"]).otherwise(0))
     good = pairs.where((F.col("src_file_type") == REGULAR) & (F.col("dst_file_type") == REGULAR)).select("path", "src_group_root", own.alias("own"))
     good = materialise(good, "eligible")
@@ -160,6 +160,6 @@ def check_sample(sample: DataFrame, entries: DataFrame) -> DataFrame:
 
 def jobs_with_baselines(jobs: DataFrame, entries: DataFrame) -> DataFrame:
     """Selected paths with both sides' sizes and hardlink roots."""
-    pairs = pair_sides(with_groups(entries)).where("place = 'both'")
+    pairs = pair_sides(entries, groups=True).where("place = 'both'")
     return jobs.join(pairs.select("path", "src_size", "dst_size", F.col("src_group_root").alias("src_root"), F.col("dst_group_root").alias("dst_root")), "path")
 
