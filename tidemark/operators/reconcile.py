@@ -143,6 +143,15 @@ def compare_entries(entries: DataFrame, preserve: Preserve = Preserve()) -> Data
     return diff_pairs(pair_sides(entries, groups=True), preserve)
 
 
+def report_totals(pairs: DataFrame) -> DataFrame:
+    """One row: entries of each side and of both, differences, and paths that have any; the pairs are read once."""
+    n, place = F.size(differences()).alias("n"), F.col("place")
+    counts = {"source_entries": F.count_if(place != "destination"), "destination_entries": F.count_if(place != "source"), "on_both": F.count_if(place == "both"), "mismatches": F.sum("n")}
+    # Paths without differences are one group, added up before the shuffle.
+    by = pairs.select("path", "place", n).groupBy(F.when(F.col("n") > 0, F.col("path")).alias("path")).agg(*[c.alias(name) for name, c in counts.items()])
+    return by.agg(*[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in counts], F.count("path").alias("mismatched_paths"))
+
+
 def mismatch_counts(diffs: DataFrame) -> DataFrame:
     return diffs.groupBy("kind").agg(F.count("*").alias("n"))
 

@@ -119,10 +119,7 @@ def sink_mismatches(issues, unstable, entries, source, destination):
 @query("sink_report", "entries", sql=GROUPED + """ SELECT (SELECT count(*) FROM entries WHERE side = 0) AS source_entries, (SELECT count(*) FROM entries WHERE side = 1) AS destination_entries,
     (SELECT count(*) FROM j WHERE sp IS NOT NULL AND dp IS NOT NULL) AS on_both, (SELECT count(*) FROM diffs) AS mismatches, (SELECT count(DISTINCT path) FROM diffs) AS mismatched_paths""")
 def sink_report(entries):
-    pairs = R.pair_sides(R.with_groups(entries))
-    sides = pairs.agg(F.count_if(F.col("place") != "destination").alias("source_entries"), F.count_if(F.col("place") != "source").alias("destination_entries"), F.count_if(F.col("place") == "both").alias("on_both"))
-    diffs = R.diff_pairs(pairs).groupBy("path").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("mismatches"), F.count("*").alias("mismatched_paths"))
-    return sides.crossJoin(F.broadcast(diffs))  # one row each
+    return R.report_totals(R.pair_sides(entries, groups=True))
 
 
 @query("set_hardlink_partition", "entries", sql=GROUPED + """, sets AS (SELECT side, group_root, count(*) AS members, list_sort(list(path)) AS paths FROM grouped WHERE group_root IS NOT NULL GROUP BY side, group_root)
